@@ -38,7 +38,7 @@ LETTER, NUMBER, OTHER, A2, A3, GLUE, ALONE, WHITE, END = range(9)
 # States: at a token's beginning, in a run of letters, numbers, others or white space, after a space
 # that joins what follows, and with one or two letters of a contraction to come.
 FRESH, LETTERS, NUMBERS, OTHERS, JOIN, WHITES, ONE, TWO = range(8)
-ENTRIES = 400_000  # of each table of the merger; a full table starts anew
+ENTRIES, WORDS = 600_000, 1_200_000  # of the merger's tables (about 100 bytes each); a full table starts anew
 
 
 def _splitter() -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +129,8 @@ class Merger(dict):
         self.text = {i: b for b, i in self.ids.items()}
         self.rank = {(vocabulary[a], vocabulary[b]): (n, vocabulary[a + b]) for n, (a, b) in enumerate(merges)}
         self.longest = max(map(len, self.ids), default=1)
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.moves: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, bool] = {}
+        self.moves: dict[int, int] = {}  # by node and byte
         self._clear()
 
     def _clear(self) -> None:
@@ -158,48 +158,55 @@ class Merger(dict):
 
     def follows(self, a: int, b: int) -> bool:
         """Whether token b may stand after token a: the encoding of both is these two."""
-        known = self.pairs.get((a, b))
+        key = a << 32 | b
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= ENTRIES:
                 self.pairs.clear()
-            known = self.pairs[a, b] = a < 0 or self.encode(self.text[a] + self.text[b]) == [a, b]
+            known = self.pairs[key] = a < 0 or self.encode(self.text[a] + self.text[b]) == [a, b]
         return known
 
-    def _step(self, raw: bytes, i: int, lasts: list[int], counts: list[int]) -> None:
-        """Append the last token and the count of raw[: i + 1], given those of all shorter prefixes."""
-        for size in range(min(i + 1, self.longest), 0, -1):
-            token = self.ids.get(raw[i + 1 - size : i + 1])
-            if token is not None and self.follows(lasts[i + 1 - size], token):
-                lasts.append(token)
-                counts.append(counts[i + 1 - size] + 1)
-                return
+    def _extend(self, raw: bytes, path: list[int], last: list[int], count: list[int]) -> None:
+        """Append to the path a new node for the prefix that is one byte longer.
+
+        path[i] is the node of raw[:i]; last and count are by node.
+        """
+        end = len(path)
+        for size in range(min(end, self.longest), 0, -1):
+            token = self.ids.get(raw[end - size : end])
+            if token is not None:
+                before = path[end - size]
+                if self.follows(last[before], token):
+                    path.append(len(last))
+                    last.append(token)
+                    count.append(count[before] + 1)
+                    return
         raise ValueError("the vocabulary lacks a single byte")
 
     def __missing__(self, word: str) -> int:
         raw = word.encode()
-        if len(raw) > 24:  # too rare to keep: the same transitions, without nodes
-            lasts, counts = [-1], [0]
-            for i in range(len(raw)):
-                self._step(raw, i, lasts, counts)
-            return counts[-1]
+        path = [0]
+        if len(raw) > 24:  # too rare to keep: the same transitions, without nodes that stay
+            last, count = [-1], [0]
+            while len(path) <= len(raw):
+                self._extend(raw, path, last, count)
+            return count[-1]
         if len(self.moves) >= ENTRIES:
             self._clear()
-        if len(self) >= ENTRIES:
+        if len(self) >= WORDS:
             self.clear()
-        node, lasts, counts = 0, [-1], [0]
-        for i, byte in enumerate(raw):
-            to = self.moves.get((node, byte))
-            if to is None:
-                self._step(raw, i, lasts, counts)
-                to = self.moves[node, byte] = len(self.last)
-                self.last.append(lasts[-1])
-                self.count.append(counts[-1])
-            else:
-                lasts.append(self.last[to])
-                counts.append(self.count[to])
-            node = to
-        self[word] = counts[-1]
-        return counts[-1]
+        node, moves = 0, self.moves
+        for byte in raw:
+            node = moves.get(node << 8 | byte)
+            if node is None:
+                break
+            path.append(node)
+        while len(path) <= len(raw):
+            key = path[-1] << 8 | raw[len(path) - 1]
+            self._extend(raw, path, self.last, self.count)
+            moves[key] = path[-1]
+        found = self[word] = self.count[path[-1]]
+        return found
 
 
 @functools.lru_cache(maxsize=2)
