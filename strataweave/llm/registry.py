@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strataweave.llm import exact_dedup, html_text, packing, token_count, warc
+from strataweave.llm import exact_dedup, html_text, jaccard, packing, token_count, warc
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_warc": warc.op6_warc,
+    "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op8_html_text": html_text.op8_html_text,
     "op9_token_counts": token_count.op9_token_counts,
 }
