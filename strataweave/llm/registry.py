@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from strataweave.llm import exact_dedup, html_text, jaccard, packing, token_count, warc
+from strataweave.llm import decontaminate, exact_dedup, html_text, jaccard, packing, quality, token_count, warc
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_warc": warc.op6_warc,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op8_html_text": html_text.op8_html_text,
     "op9_token_counts": token_count.op9_token_counts,
+    "op10_quality": quality.op10_quality,
 }
 
 #: Operators without an entry are not expressible in SQL; their tests hold brute-force versions.
