@@ -246,10 +246,10 @@ def _sets(docs: DataFrame, groups: DataFrame, names: DataFrame, n: int) -> DataF
             for block in blocks(iter([batch.take(pa.array(found))])):
                 own = sets_of(block.column("text"), n)
                 names_ = pa.array([name_of(x) if len(x) else None for x in own], pa.int64())
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), names_, pa.array([x.tobytes() for x in own], pa.binary())], ["doc_id", "fp", "own"])
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), names_, pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["doc_id", "fp", "own"])
 
     hashed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP)).alias("at"))
-    rows = hashed.mapInArrow(run, "doc_id bigint, fp bigint, own binary")
+    rows = hashed.mapInArrow(run, "doc_id bigint, fp bigint, own array<bigint>")
     named = wanted.select(F.col("doc_id").alias("w_id"), F.col("fp").alias("w_fp"))
     return rows.join(named, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("fp") == F.col("w_fp")), "left_semi").select("fp", "own")
 
@@ -258,21 +258,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFr
     """The pairs (u, v) of set names that reach the threshold."""
     left = sets.select(F.col("fp").alias("u"), F.col("own").alias("own_u"))
     right = sets.select(F.col("fp").alias("v"), F.col("own").alias("own_v"))
-    both = pairs.join(right, "v").join(left, "u").select("u", "v", "own_u", "own_v")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("own_u"), batch.column("own_v"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                common = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
-                keep.append(common * share[1] >= share[0] * (len(x) + len(y) - common))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "u bigint, v bigint")
+    both = pairs.join(right, "v").join(left, "u")
+    common = F.size(F.array_intersect("own_u", "own_v"))
+    whole = F.size("own_u") + F.size("own_v") - common
+    return both.filter(common * share[1] >= whole * share[0]).select("u", "v")
 
 
 def _ordered(a: str, b: str) -> list:
