@@ -60,7 +60,12 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
 def hashes(vocabulary: pa.Array, seed: int = 0) -> np.ndarray:
     """64-bit hashes of strings."""
     h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w, seed) for w in vocabulary.to_pylist()), np.uint64, len(vocabulary))
+    return np.fromiter((h(w, seed) for w in strings(vocabulary)), np.uint64, len(vocabulary))
+
+
+def strings(texts: pa.Array) -> list[str]:
+    """A column of strings as a list (faster than to_pylist; a null is None)."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,3 +92,23 @@ def sum_arrays(parts: DataFrame, dtype: str, size: int) -> np.ndarray:
     some = salted.groupBy("salt").applyInArrow(add, "part binary")
     rows = some.groupBy(F.lit(0).alias("all")).applyInArrow(add, "part binary").collect()
     return np.frombuffer(rows[0]["part"], dtype).copy() if rows else np.zeros(size, dtype)
+
+
+def deal(bucket: np.ndarray, *arrays: np.ndarray) -> tuple[list[int], list[list[bytes]]]:
+    """The arrays' raw bytes by bucket: (buckets, one list of bytes per array)."""
+    order = np.argsort(bucket, kind="stable")
+    which = bucket[order]
+    cuts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])) if len(which) else np.empty(0, np.int64)
+    edges = np.append(cuts, len(which)).tolist()
+    sorted_ = [a[order] for a in arrays]
+    return which[cuts].tolist(), [[a[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)] for a in sorted_]
+
+
+def total_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys and their summed counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first)
