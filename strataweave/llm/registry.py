@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strataweave.llm import decontaminate, exact_dedup, html_text, jaccard, language_model, packing, quality, token_count, warc
+from strataweave.llm import decontaminate, exact_dedup, html_text, jaccard, language_model, packing, pii, quality, token_count, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_pii": pii.op2_pii,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_lm_scores": language_model.op4_lm_scores,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
