@@ -1,11 +1,66 @@
-"""The corpus pipeline: quality, exact dedup, near dedup, decontamination, packing."""
+"""The corpus pipeline: quality, exact dedup, near dedup, decontamination, packing.
+
+Each stage takes the rows that its predecessor kept, and all but the last return the columns they
+came with. Stage results are written as Parquet in the shared folder and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataweave.llm import decontaminate, exact_dedup, jaccard, packing, quality
+from strataweave.llm.common import table
+from strataweave.session import materialize
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier, learnt from `labels`, accepts."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality.keep_good(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text."""
+    return exact_dedup.keep_first(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near copies."""
+    return jaccard.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text holds no item of `benchmark`. Texts are named by their hash, so null and repeated ids are handled too."""
+    key = F.xxhash64("text")
+    named = docs.select(key.alias("doc_id"), "text")
+    found = decontaminate.contaminated(named, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    bad = materialize(found.select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+    return docs.join(bad, key == F.col("__bad"), "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining rows as sequences of 4096 ids."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
 
+#: Tokenising and the classifier are not expressible in SQL; tests hold a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of `documents`."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -75,8 +75,8 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << BITS, np.uint32)
-        names = ["doc_id", "n", "fp", "segment", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["doc_id", "key", "n", "fp", "segment", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for block in blocks(batches):
             sizes, fps = [], []
             for own in sets_of(block.column("text"), n):
@@ -84,14 +84,15 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
                 fps.append(name_of(own) if len(own) else None)
                 np.add.at(counters, (own >> np.uint64(64 - BITS)).astype(np.int64), 1)
             none = [None] * len(sizes)
-            columns = [block.column("doc_id"), *(pa.array(c, k) for c, k in zip((sizes, fps, none, none), kinds[1:], strict=True))]
+            columns = [block.column("doc_id"), block.column("key"), *(pa.array(c, k) for c, k in zip((sizes, fps, none, none), kinds[2:], strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names)
         for k, part in enumerate(np.split(counters, SEGMENTS)):
             if part.any():
-                row = [[None], [None], [None], [k], [zlib.compress(part.tobytes(), 1)]]
+                row = [[None], [None], [None], [None], [k], [zlib.compress(part.tobytes(), 1)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], names)
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, fp bigint, segment int, counts binary")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    return keyed.mapInArrow(run, "doc_id bigint, key bigint, n bigint, fp bigint, segment int, counts binary")
 
 
 def _counters(profile: DataFrame) -> np.ndarray:
@@ -293,7 +294,9 @@ def _across(long_lists: DataFrame, labels: DataFrame, share: tuple[int, int]) ->
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, share: tuple[int, int] = (3, 4), bucket_postings: int = 400_000) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text).
+    """doc_id, key (xxhash64 of the text), n_shingles, component_id, class_key for every row of `docs` (doc_id, text).
+
+    `class_key` names the class whatever its ids are; it is null for rows without words.
 
     `share`: the least Jaccard similarity, as a fraction. `bucket_postings`: postings that a
     reducer takes on average.
@@ -301,7 +304,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, share: tuple[int, int] = (3, 4)
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     profile = materialize(_profile(docs, n), "profile")
-    rows = profile.filter("segment is null").select("doc_id", "n", "fp")
+    rows = profile.filter("segment is null").select("doc_id", "key", "n", "fp")
     groups = rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     groups = materialize(groups, "sets")
     total = groups.agg(F.sum("n").alias("n")).first()["n"] or 0
@@ -334,12 +337,31 @@ def jaccard_classes(docs: DataFrame, n: int = 5, share: tuple[int, int] = (3, 4)
     of = groups.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("comp"))
     of = materialize(of, "classes")
     least = of.groupBy(F.col("comp").alias("l_comp")).agg(F.min("doc_id").alias("component_id"))
-    named = of.join(least, F.col("comp") == F.col("l_comp")).select(F.col("fp").alias("c_fp"), "component_id")
+    named = of.join(least, F.col("comp") == F.col("l_comp")).select(F.col("fp").alias("c_fp"), "component_id", F.col("comp").alias("class_key"))
     return rows.join(named, F.col("fp") == F.col("c_fp"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class_key"
     )
 
 
+def keep_one(docs: DataFrame, n: int = 5, share: tuple[int, int] = (3, 4)) -> DataFrame:
+    """The rows of `docs`, with their columns, without the near copies: of each class the row with
+    the least (doc_id, hash of the text) stays. Rows without words are in no class and stay."""
+    classes = materialize(jaccard_classes(docs, n, share), "near-classes")
+    first = F.min(F.struct("doc_id", "key"))
+    kept = classes.filter("n_shingles > 0").groupBy("class_key").agg(first.alias("k"))
+    bare = classes.filter("n_shingles = 0").select("doc_id", "key").distinct()
+    kept = materialize(kept.select("k.*").union(bare), "near-kept").select(F.col("doc_id").alias("__id"), F.col("key").alias("__kept"))
+    names = docs.columns
+    marked = docs.withColumn("__key", F.xxhash64("text"))
+    rows = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept")), "left_semi")
+    if classes.filter("n_shingles > 0").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").take(1):
+        # Rows that are the same twice: one of them, whole.
+        words_ = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+        one = rows.filter(words_).groupBy("doc_id", "__key").agg(F.first(F.struct(*names)).alias("row")).select("row.*")
+        rows = one.union(rows.filter(~F.coalesce(words_, F.lit(False))).select(*names))
+    return rows.select(*names)
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of `documents` linked by five-word shingles at 0.75 or more."""
-    return jaccard_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return jaccard_classes(table(spark, sf_dir, "documents", "doc_id", "text")).drop("key", "class_key")

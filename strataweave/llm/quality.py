@@ -184,6 +184,17 @@ def score(docs: DataFrame, model: Model, neighbours: int = 24) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: Model, neighbours: int = 24) -> DataFrame:
+    """The rows of `docs`, with their columns, whose predicted label is 1."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            yield block.filter(pa.array(shared.value.score(terms_of(block.column("text")), neighbours) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from `labels` outside the held-out third."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
