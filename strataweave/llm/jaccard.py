@@ -181,7 +181,7 @@ def _lists(share: tuple[int, int]):
     def reduce(group: pa.Table) -> pa.Table:
         read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in group[c].to_pylist()])
         token, fp, n, pos, salt = (read(c, t) for c, t in (("token", np.uint64), ("fp", np.int64), ("n", np.int32), ("pos", np.int32), ("salt", np.int32)))
-        order = np.lexsort((fp, n, salt, token))
+        order = np.lexsort((fp, pos, salt, token))  # a list begins with the set that has the fewest rarer n-grams
         token, fp, n, pos, salt = token[order], fp[order], n[order], pos[order], salt[order]
         again = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
         keep = np.concatenate([[True], ~(again & (fp[1:] == fp[:-1]))])  # one set from several tasks
@@ -251,8 +251,8 @@ def _sets(docs: DataFrame, groups: DataFrame, names: DataFrame, n: int) -> DataF
 
     hashed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP)).alias("at"))
     rows = hashed.mapInArrow(run, "doc_id bigint, fp bigint, own array<bigint>")
-    named = wanted.select(F.col("doc_id").alias("w_id"), F.col("fp").alias("w_fp"))
-    return rows.join(named, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("fp") == F.col("w_fp")), "left_semi").select("fp", "own")
+    # A row too many (an id that shares a bit, an id with several texts) meets no pair, or its own twin.
+    return rows.select("fp", "own")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -315,8 +315,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, share: tuple[int, int] = (3, 4)
 
     long_lists = found.filter("long_list")
     stars = long_lists.filter("fp <> other").select(*_ordered("fp", "other"))
-    heads = long_lists.filter("salt > 0 and fp = other").select("token", "fp")
-    head = heads.groupBy(F.col("token").alias("h_token")).agg(F.min("fp").alias("head"))
+    heads = long_lists.filter("salt > 0 and fp = other").select("token", "fp", "pos")
+    head = heads.groupBy(F.col("token").alias("h_token")).agg(F.min_by("fp", F.struct("pos", "fp")).alias("head"))
     meet = heads.join(head, F.col("token") == F.col("h_token")).filter("fp <> head").select(*_ordered("fp", "head"))
     close = found.filter("not long_list").select(*_ordered("fp", "other"))
     pairs = materialize(close.union(stars).union(meet).distinct(), "pairs")
