@@ -37,7 +37,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "phone": "+"}  # a text without it has no match
 REACH = 120  # characters on either side of a seed that its context words are taken from
 SPAN = "struct<kind:int,start:int,stop:int,value:string,before:string,after:string>"
-BROADCAST_PATTERNS = 20_000  # more patterns than this are joined by shuffle
+PATTERNS_AT_ONCE = 5_000  # patterns that one pass over the texts looks up
 
 
 def _digits(value: Column) -> Column:
@@ -112,49 +112,57 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return held.select("doc_id", "key", F.concat(*each).alias("spans"))
 
 
-def _fold(word: Column) -> Column:
-    """A context word: lower case, digits alike, without marks at its ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(word), r"^[^\pL\pN=:#]+|[^\pL\pN=:#]+$", ""), "[0-9]", "9")
+def _fold(text: Column) -> Column:
+    """Lower case, digits alike: contexts are compared in this form."""
+    return F.translate(F.lower(text), "012345678", "999999999")
 
 
-def _patterns(left2: Column, left1: Column, right1: Column) -> Column:
-    """The patterns of a place, from the words around it; null words give none."""
-    l2, l1, r1 = _fold(left2), _fold(left1), _fold(right1)
-    return F.filter(
-        F.array(
-            F.when((l2 != "") & (l1 != ""), F.concat(F.lit("L\x01"), l2, F.lit("\x01"), l1)),
-            F.when((l1 != "") & (r1 != ""), F.concat(F.lit("LR\x01"), l1, F.lit("\x01"), r1)),
-        ),
-        lambda p: p.isNotNull(),
-    )
+def _left(a: Column, b: Column) -> Column:
+    """The pattern of two words before; null if one is missing."""
+    return F.when((a != "") & (b != ""), F.concat(F.lit("L\x01"), a, F.lit("\x01"), b))
+
+
+def _around(a: Column, b: Column) -> Column:
+    """The pattern of a word before and a word after."""
+    return F.when((a != "") & (b != ""), F.concat(F.lit("LR\x01"), a, F.lit("\x01"), b))
 
 
 def _seed_edges(base: DataFrame) -> DataFrame:
     """(pattern, kind, instance) for every base match."""
     each = base.select(F.explode("spans").alias("s"))
-    before, after = F.col("s.before"), F.col("s.after")
-    words = _patterns(
-        F.regexp_extract(before, r"(\S++)\s++\S++\s*+$", 1), F.regexp_extract(before, r"(\S++)\s*+$", 1), F.regexp_extract(after, r"^\S*+\s++(\S++)", 1)
-    )
+    before, after = F.regexp_replace(_fold(F.col("s.before")), r"\S++$", ""), _fold(F.col("s.after"))
+    first, second = F.regexp_extract(before, r"(\S++)\s++\S++\s*+$", 1), F.regexp_extract(before, r"(\S++)\s*+$", 1)
+    words = F.array_compact(F.array(_left(first, second), _around(second, F.regexp_extract(after, r"^\S*+\s++(\S++)", 1))))
     return each.select(F.explode(words).alias("pattern"), F.col("s.kind").alias("kind"), F.lower("s.value").alias("instance"))
 
 
-def _slots(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Every place in every text where one of the patterns stands: doc_id, key, start, stop, value, pattern, kind."""
+def _slots(docs: DataFrame, patterns: list[str]) -> DataFrame:
+    """Every place in every text where one of the patterns stands: doc_id, key, start, stop, value, pattern.
+
+    Words are tested in place against a hash set of the patterns; only hits leave the row.
+    """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = rows.withColumn("words", F.regexp_extract_all(_fold(F.col("text")), F.lit(r"\S++"), F.lit(0)))
+    get = lambda i: F.get("words", i)
+    known = lambda p: F.coalesce(p.isin(patterns), F.lit(False))
+    left, around = lambda i: _left(get(i - 2), get(i - 1)), lambda i: _around(get(i - 1), get(i + 1))
+    places = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
+    marked = words.withColumn("hits", F.filter(places, lambda i: known(left(i)) | known(around(i)))).filter("size(hits) > 0")
     # Each piece is a word with the white space before it, so lengths add up to places.
-    pieces = rows.select("doc_id", F.xxhash64("text").alias("key"), F.regexp_extract_all("text", F.lit(r"\s*+\S++"), F.lit(0)).alias("pieces"))
-    word = lambda x: F.regexp_replace(x, r"^\s+", "")
-    near = lambda i: word(F.get("pieces", F.col("at") + i))
-    each = pieces.select("*", F.explode(F.sequence(F.lit(0), F.size("pieces") - 1)).alias("at")).filter("size(pieces) > 0")
-    placed = each.select("doc_id", "key", "pieces", "at", F.explode(_patterns(near(-2), near(-1), near(1))).alias("pattern"))
-    hits = placed.join(patterns, "pattern")
-    end = F.aggregate(F.slice("pieces", F.lit(1), F.col("at") + 1), F.lit(0), lambda a, x: (a + F.length(x)).cast("int"))
-    whole = hits.select("doc_id", "key", "pattern", "kind", word(F.get("pieces", F.col("at"))).alias("word"), end.alias("end"))
+    pieces = marked.withColumn("pieces", F.regexp_extract_all("text", F.lit(r"\s*+\S++"), F.lit(0)))
+    end = lambda i: F.aggregate(F.slice("pieces", F.lit(1), i + 1), F.lit(0), lambda a, x: (a + F.length(x)).cast("int"))
+
+    def hit(i: Column) -> Column:
+        return F.struct(
+            F.filter(F.array(left(i), around(i)), known).alias("patterns"), F.regexp_replace(F.get("pieces", i), r"^\s+", "").alias("word"), end(i).alias("end")
+        )
+
+    each = pieces.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.transform("hits", hit)).alias("h"))
+    each = each.select("doc_id", "key", "h.word", "h.end", F.explode("h.patterns").alias("pattern"))
     lead = F.length(F.regexp_extract("word", r"^[^\pL\pN+@]*+", 0))
     bare = F.regexp_replace(F.regexp_replace("word", r"^[^\pL\pN+@]+", ""), r"[^\pL\pN]+$", "")
     start = F.col("end") - F.length("word") + lead
-    return whole.select("doc_id", "key", "pattern", "kind", start.cast("int").alias("start"), (start + F.length(bare)).cast("int").alias("stop"), bare.alias("value"))
+    return each.select("doc_id", "key", "pattern", start.cast("int").alias("start"), (start + F.length(bare)).cast("int").alias("stop"), bare.alias("value"))
 
 
 def discover(docs: DataFrame, base: DataFrame, support: int = 4, rounds: int = 3, confidence: float = 0.75) -> DataFrame | None:
@@ -166,10 +174,16 @@ def discover(docs: DataFrame, base: DataFrame, support: int = 4, rounds: int = 3
     count = patterns.count()
     if not count:
         return None
-    small = F.broadcast(patterns.select("pattern", "kind")) if count <= BROADCAST_PATTERNS else patterns.select("pattern", "kind")
+    # Groups of a bounded size are looked up one after the other: each pattern is looked up in every text.
+    groups = -(-count // PATTERNS_AT_ONCE)
+    slots = None
+    for g in range(groups):
+        some = patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(groups)) == g).select("pattern", "kind")
+        names = [r["pattern"] for r in some.select("pattern").collect()]
+        part = _slots(docs, names).join(F.broadcast(some), "pattern") if names else None
+        slots = part if slots is None else slots if part is None else slots.unionByName(part)
     # What overlaps a base match of the text is that match.
     held = base.filter("size(spans) > 0").select(F.col("doc_id").alias("b_id"), F.col("key").alias("b_key"), "spans").distinct()
-    slots = _slots(docs, small)
     joined = slots.join(held, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("key") == F.col("b_key")), "left")
     seed = F.get(F.filter("spans", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")) & (s["kind"] == F.col("kind"))), 0)["value"]
     taken = F.coalesce(F.exists("spans", lambda s: (s["start"] < F.greatest(F.col("stop"), F.col("start") + 1)) & (s["stop"] > F.col("start"))), F.lit(False))
