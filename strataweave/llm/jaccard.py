@@ -9,7 +9,9 @@
    Lists of at most SHORT sets give all such pairs. A longer list gives the pairs with its first
    set only; what those do not join is paired up afterwards, across the components found by then.
    Lists of frequent n-grams are dealt over several salts, whose first sets meet one another.
-4. Pairs are verified on the whole sets, and links become components.
+4. Each set has a bitmap of four to eight bits per n-gram. Bits in which two bitmaps differ bound the sets'
+   common n-grams from above, which sifts most pairs that fall short without their sets.
+5. The pairs left are verified on the whole sets, and links become components.
 
 So no list is expanded into all its pairs, and nothing is dropped: a pair that reaches the
 threshold is either verified or already in one component.
@@ -65,6 +67,14 @@ def sets_of(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
+def bitmap_of(own: np.ndarray) -> np.ndarray:
+    """A bit for each n-gram, in a power of two of bits, as signed longs; halves fold into the next smaller size."""
+    size = max(64, 1 << int(4 * len(own) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(own & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def name_of(own: np.ndarray) -> int:
     """A signed 64-bit name of a set."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64))
@@ -75,24 +85,25 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << BITS, np.uint32)
-        names = ["doc_id", "key", "n", "fp", "segment", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["doc_id", "key", "n", "fp", "bits", "segment", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
         for block in blocks(batches):
-            sizes, fps = [], []
+            sizes, fps, bits = [], [], []
             for own in sets_of(block.column("text"), n):
                 sizes.append(len(own))
                 fps.append(name_of(own) if len(own) else None)
+                bits.append(bitmap_of(own) if len(own) else None)
                 np.add.at(counters, (own >> np.uint64(64 - BITS)).astype(np.int64), 1)
             none = [None] * len(sizes)
-            columns = [block.column("doc_id"), block.column("key"), *(pa.array(c, k) for c, k in zip((sizes, fps, none, none), kinds[2:], strict=True))]
+            columns = [block.column("doc_id"), block.column("key"), *(pa.array(c, k) for c, k in zip((sizes, fps, bits, none, none), kinds[2:], strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names)
         for k, part in enumerate(np.split(counters, SEGMENTS)):
             if part.any():
-                row = [[None], [None], [None], [None], [k], [zlib.compress(part.tobytes(), 1)]]
+                row = [[None], [None], [None], [None], [None], [k], [zlib.compress(part.tobytes(), 1)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], names)
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    return keyed.mapInArrow(run, "doc_id bigint, key bigint, n bigint, fp bigint, segment int, counts binary")
+    return keyed.mapInArrow(run, "doc_id bigint, key bigint, n bigint, fp bigint, bits array<bigint>, segment int, counts binary")
 
 
 def _counters(profile: DataFrame) -> np.ndarray:
@@ -255,6 +266,24 @@ def _sets(docs: DataFrame, groups: DataFrame, names: DataFrame, n: int) -> DataF
     return rows.select("fp", "own")
 
 
+def _sift(pairs: DataFrame, groups: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) that may reach the threshold, by their sets' bitmaps."""
+    own = lambda c: groups.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = pairs.join(own("v"), "v").join(own("u"), "u")
+    size = F.least(F.size("bits_u"), F.size("bits_v"))
+
+    def fold(c: str):  # sizes are within 3:4 of one another, so one halving is enough; others are not compared
+        x = F.col(c)
+        halves = F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseOR(q))
+        return F.when(F.size(x) == size, x).when(F.size(x) == 2 * size, halves)
+
+    differ = F.aggregate(F.zip_with(fold("bits_u"), fold("bits_v"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, x: a + x)
+    up, down = share
+    total = F.col("n_u") + F.col("n_v")
+    fits = (total - F.coalesce(differ, F.lit(0))) * (up + down) >= 2 * up * total
+    return both.filter(fits).select("u", "v")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """The pairs (u, v) of set names that reach the threshold."""
     left = sets.select(F.col("fp").alias("u"), F.col("own").alias("own_u"))
@@ -305,7 +334,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, share: tuple[int, int] = (3, 4)
     docs = docs.select("doc_id", "text")
     profile = materialize(_profile(docs, n), "profile")
     rows = profile.filter("segment is null").select("doc_id", "key", "n", "fp")
-    groups = rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    named = profile.filter("fp is not null").select("doc_id", "n", "fp", "bits")
+    groups = named.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits"))
     groups = materialize(groups, "sets")
     total = groups.agg(F.sum("n").alias("n")).first()["n"] or 0
     levels = spark.sparkContext.broadcast(_counters(profile))
@@ -320,15 +350,17 @@ def jaccard_classes(docs: DataFrame, n: int = 5, share: tuple[int, int] = (3, 4)
     meet = heads.join(head, F.col("token") == F.col("h_token")).filter("fp <> head").select(*_ordered("fp", "head"))
     close = found.filter("not long_list").select(*_ordered("fp", "other"))
     pairs = materialize(close.union(stars).union(meet).distinct(), "pairs")
+    sifted = materialize(_sift(pairs, groups, share), "pairs-sifted")
 
     def ends(p: DataFrame) -> DataFrame:
         return p.select(F.col("u").alias("fp")).union(p.select(F.col("v").alias("fp"))).distinct()
 
-    sets = materialize(_sets(docs, groups, ends(pairs), n), "candidate-sets")
-    links = materialize(_verify(pairs, sets, share), "links")
+    sets = materialize(_sets(docs, groups, ends(sifted), n), "candidate-sets")
+    links = materialize(_verify(sifted, sets, share), "links")
     labels = materialize(connected_components(links), "labels")
     if long_lists.take(1):
         more = materialize(_across(long_lists, labels, share).join(pairs, ["u", "v"], "left_anti"), "pairs-across")
+        more = materialize(_sift(more, groups, share), "pairs-across-sifted")
         if more.take(1):
             fresh = materialize(_sets(docs, groups, ends(more), n), "candidate-sets-across")
             links = links.union(materialize(_verify(more, fresh, share), "links-across"))
