@@ -59,8 +59,9 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
 
 def hashes(vocabulary: pa.Array, seed: int = 0) -> np.ndarray:
     """64-bit hashes of strings."""
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w, seed) for w in strings(vocabulary)), np.uint64, len(vocabulary))
+    digest = xxhash.xxh3_64_digest
+    raw = b"".join([digest(w, seed) for w in strings(vocabulary)])
+    return np.frombuffer(raw, ">u8").astype(np.uint64)
 
 
 def strings(texts: pa.Array) -> list[str]:
