@@ -7,7 +7,7 @@ Bootstrap: base matches are seeds. The two words before a seed (L), and the word
 after (LR), are lexical patterns. Patterns with at least `support` distinct seeds of a kind are
 looked up at every word of every text; what stands in their slot is an instance. On the graph
 of patterns and instances scores go back and forth `rounds` times: a pattern's score is
-the mean of its distinct instances' scores (seeds 1, words of no identifier's shape 0), times its
+the mean score of what stands in its slots (seeds 1, words of no identifier's shape 0), times its
 support's weight; another instance's score is the noisy-or of its patterns'. Instances that reach `confidence` in the slot of
 a pattern that does become spans of that pattern's kind.
 
@@ -136,79 +136,100 @@ def _seed_edges(base: DataFrame) -> DataFrame:
     return each.select(F.explode(words).alias("pattern"), F.col("s.kind").alias("kind"), F.lower("s.value").alias("instance"))
 
 
-def _slots(docs: DataFrame, patterns: list[str]) -> DataFrame:
-    """Every place in every text where one of the patterns stands: doc_id, key, start, stop, value, pattern.
+SHAPE = "[0-9@]"  # an identifier has a digit or an at sign
 
-    Words are tested in place against a hash set of the patterns; only hits leave the row.
+
+def _occurrences(docs: DataFrame, patterns: list[str]) -> DataFrame:
+    """doc_id, key, at (number of the word), pattern, shaped for every place where one of the patterns stands.
+
+    Three words in a row are one row of a generator, tested against a hash set; only hits go on.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    words = rows.withColumn("words", F.regexp_extract_all(_fold(F.col("text")), F.lit(r"\S++"), F.lit(0)))
-    get = lambda i: F.get("words", i)
-    known = lambda p: F.coalesce(p.isin(patterns), F.lit(False))
-    left, around = lambda i: _left(get(i - 2), get(i - 1)), lambda i: _around(get(i - 1), get(i + 1))
-    places = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
-    marked = words.withColumn("hits", F.filter(places, lambda i: known(left(i)) | known(around(i)))).filter("size(hits) > 0")
+    words = F.regexp_extract_all(_fold(F.coalesce("text", F.lit(""))), F.lit(r"\S++"), F.lit(0))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), words.alias("w")).filter("size(w) > 2")
+    tail = lambda k: F.slice("w", F.lit(k), F.size("w"))
+    three = F.arrays_zip("w", tail(2), tail(3))
+    each = rows.select("doc_id", "key", F.posexplode(three).alias("at", "x"))
+    each = each.select("doc_id", "key", "at", "x.*").toDF("doc_id", "key", "at", "a", "b", "c")
+    left, around = _left(F.col("a"), F.col("b")), _around(F.col("a"), F.col("c"))
+    hit = lambda p, word, step: F.when(p.isin(patterns), F.struct(p.alias("pattern"), (F.col("at") + step).alias("at"), word.rlike(SHAPE).alias("shaped")))
+    # The slot of a left pattern is the third word, that of one around is the second.
+    found = each.filter(F.coalesce(F.col("c") != "", F.lit(False))).filter(left.isin(patterns) | around.isin(patterns))
+    return found.select("doc_id", "key", F.inline(F.array_compact(F.array(hit(left, F.col("c"), 2), hit(around, F.col("b"), 1)))))
+
+
+def _places(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """doc_id, key, pattern, start, stop, value of hits (doc_id, key, pattern, at)."""
+    per = hits.groupBy(F.col("doc_id").alias("h_id"), F.col("key").alias("h_key")).agg(F.collect_set(F.struct("at", "pattern")).alias("hits"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    joined = rows.join(per, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key")))
     # Each piece is a word with the white space before it, so lengths add up to places.
-    pieces = marked.withColumn("pieces", F.regexp_extract_all("text", F.lit(r"\s*+\S++"), F.lit(0)))
+    pieces = joined.withColumn("pieces", F.regexp_extract_all("text", F.lit(r"\s*+\S++"), F.lit(0)))
     end = lambda i: F.aggregate(F.slice("pieces", F.lit(1), i + 1), F.lit(0), lambda a, x: (a + F.length(x)).cast("int"))
-
-    def hit(i: Column) -> Column:
-        return F.struct(
-            F.filter(F.array(left(i), around(i)), known).alias("patterns"), F.regexp_replace(F.get("pieces", i), r"^\s+", "").alias("word"), end(i).alias("end")
-        )
-
-    each = pieces.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.transform("hits", hit)).alias("h"))
-    each = each.select("doc_id", "key", "h.word", "h.end", F.explode("h.patterns").alias("pattern"))
+    one = lambda h: F.struct(h["pattern"].alias("pattern"), F.regexp_replace(F.get("pieces", h["at"]), r"^\s+", "").alias("word"), end(h["at"]).alias("end"))
+    each = pieces.select("doc_id", "key", F.inline(F.transform("hits", one)))
     lead = F.length(F.regexp_extract("word", r"^[^\pL\pN+@]*+", 0))
     bare = F.regexp_replace(F.regexp_replace("word", r"^[^\pL\pN+@]+", ""), r"[^\pL\pN]+$", "")
     start = F.col("end") - F.length("word") + lead
     return each.select("doc_id", "key", "pattern", start.cast("int").alias("start"), (start + F.length(bare)).cast("int").alias("stop"), bare.alias("value"))
 
 
-def discover(docs: DataFrame, base: DataFrame, support: int = 4, rounds: int = 3, confidence: float = 0.75) -> DataFrame | None:
-    """doc_id, key, kind, start, stop of identifiers that contextual patterns find; None if no pattern has support."""
+def discover(docs: DataFrame, base: DataFrame, support: int = 4, rounds: int = 3, confidence: float = 0.75, trust: float = 0.5) -> DataFrame | None:
+    """doc_id, key, kind, start, stop of identifiers that contextual patterns find; None if no pattern can be trusted."""
     edges = _seed_edges(base)
     by_kind = edges.groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("seeds"))
     best = by_kind.groupBy("pattern").agg(F.max_by("kind", F.struct("seeds", -F.col("kind"))).alias("kind"), F.max("seeds").alias("seeds"), F.sum("seeds").alias("all_seeds"))
     patterns = materialize(best.filter(f"seeds >= {support} and seeds >= 0.9 * all_seeds").select("pattern", "kind", "seeds"), "patterns")
     count = patterns.count()
+    # Groups of a bounded size are looked up one after the other: each pattern is looked up in every text.
+    groups = -(-count // PATTERNS_AT_ONCE)
+    hits = None
+    for g in range(groups):
+        names = [r["pattern"] for r in patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(groups)) == g).select("pattern").collect()]
+        if names:
+            part = _occurrences(docs, names)
+            hits = part if hits is None else hits.unionByName(part)
+    if hits is None:
+        return None
+    # A pattern's score is at most the share of its slots with an identifier's shape: others cannot be trusted, and end here.
+    totals = hits.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"), F.count_if("shaped").alias("n_shaped"))
+    totals = materialize(totals.join(patterns, "pattern").withColumn("open", F.col("n_shaped") >= trust * F.col("total")), "pattern-totals")
+    names = totals.filter("open")
+    count = names.count()
     if not count:
         return None
-    # Groups of a bounded size are looked up one after the other: each pattern is looked up in every text.
     groups = -(-count // PATTERNS_AT_ONCE)
     slots = None
     for g in range(groups):
-        some = patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(groups)) == g).select("pattern", "kind")
-        names = [r["pattern"] for r in some.select("pattern").collect()]
-        part = _slots(docs, names).join(F.broadcast(some), "pattern") if names else None
-        slots = part if slots is None else slots if part is None else slots.unionByName(part)
+        some = [r["pattern"] for r in names.filter(F.pmod(F.xxhash64("pattern"), F.lit(groups)) == g).select("pattern").collect()]
+        if some:
+            part = _occurrences(docs, some).filter("shaped").select("doc_id", "key", "pattern", "at")
+            slots = part if slots is None else slots.unionByName(part)
+    placed = _places(docs, materialize(slots, "hits")).join(names.select("pattern", "kind"), "pattern").distinct()
     # What overlaps a base match of the text is that match.
     held = base.filter("size(spans) > 0").select(F.col("doc_id").alias("b_id"), F.col("key").alias("b_key"), "spans").distinct()
-    joined = slots.join(held, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("key") == F.col("b_key")), "left")
-    seed = F.get(F.filter("spans", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")) & (s["kind"] == F.col("kind"))), 0)["value"]
+    joined = placed.join(held, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("key") == F.col("b_key")), "left")
+    same = F.get(F.filter("spans", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")) & (s["kind"] == F.col("kind"))), 0)["value"]
     taken = F.coalesce(F.exists("spans", lambda s: (s["start"] < F.greatest(F.col("stop"), F.col("start") + 1)) & (s["stop"] > F.col("start"))), F.lit(False))
-    found = joined.select("doc_id", "key", "pattern", "kind", "start", "stop", F.lower(F.coalesce(seed, "value")).alias("instance"), seed.isNotNull().alias("seed"), taken.alias("taken"))
+    found = joined.select("doc_id", "key", "pattern", "kind", "start", "stop", F.lower(F.coalesce(same, "value")).alias("instance"), same.isNotNull().alias("seed"), taken.alias("taken"))
     found = materialize(found, "slots")
-    shaped = F.col("instance").rlike("[0-9@]") & (F.length("instance") >= 4)
-    graph = found.groupBy("pattern", "kind", "instance").agg(F.bool_or("seed").alias("seed"))
-    graph = materialize(graph.select("pattern", "kind", "instance", "seed", (F.col("seed") | shaped).alias("shaped")), "pattern-graph")
-    weight = graph.filter("seed").groupBy(F.col("pattern").alias("w_pattern")).agg((1 - 1 / (1 + F.count(F.lit(1)))).alias("weight"))
+    graph = found.groupBy("pattern", "kind", "instance").agg(F.bool_or("seed").alias("seed"), F.count(F.lit(1)).alias("times"))
+    graph = materialize(graph.withColumn("shaped", F.col("seed") | (F.length("instance") >= 4)), "pattern-graph")
+    weights = names.select(F.col("pattern").alias("w_pattern"), "total", (1 - 1 / (1 + F.col("seeds"))).alias("weight"))
     nodes = graph.groupBy("instance", "kind").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(0.0)).alias("score"))
     scores = None
     for _ in range(rounds):
         known = nodes.select(F.col("instance").alias("n_instance"), F.col("kind").alias("n_kind"), "score")
         valued = graph.join(known, (F.col("instance") == F.col("n_instance")) & (F.col("kind") == F.col("n_kind")))
-        mean = valued.groupBy("pattern").agg(F.avg("score").alias("mean"))
-        scores = mean.join(weight, F.col("pattern") == F.col("w_pattern")).select(F.col("pattern").alias("s_pattern"), (F.col("mean") * F.col("weight")).alias("trust"))
-        scores = materialize(scores, "pattern-scores")
+        total = valued.groupBy("pattern").agg(F.sum(F.col("score") * F.col("times")).alias("sum"))
+        scores = total.join(weights, F.col("pattern") == F.col("w_pattern"))
+        scores = materialize(scores.select(F.col("pattern").alias("s_pattern"), (F.least(F.col("sum") / F.col("total"), F.lit(1.0)) * F.col("weight")).alias("trust")), "pattern-scores")
         back = graph.join(scores, F.col("pattern") == F.col("s_pattern"), "left")
         doubt = F.sum(F.log(F.greatest(1 - F.coalesce("trust", F.lit(0.0)), F.lit(1e-9))))
         either = F.when(F.bool_or("seed"), 1.0).when(F.bool_or("shaped"), 1 - F.exp(doubt)).otherwise(0.0)
         nodes = materialize(back.groupBy("instance", "kind").agg(either.alias("score")), "instance-scores")
-    sure = scores.filter(F.col("trust") >= confidence * 0.66)
     known = nodes.filter(F.col("score") >= confidence).select(F.col("instance").alias("n_instance"), F.col("kind").alias("n_kind"))
-    new = found.filter("not seed and not taken").filter(shaped)
-    new = new.join(sure, F.col("pattern") == F.col("s_pattern"), "left_semi")
+    new = found.filter("not seed and not taken").filter(F.length("instance") >= 4)
+    new = new.join(scores.filter(F.col("trust") >= trust), F.col("pattern") == F.col("s_pattern"), "left_semi")
     new = new.join(known, (F.col("instance") == F.col("n_instance")) & (F.col("kind") == F.col("n_kind")), "left_semi")
     return new.select("doc_id", "key", "kind", "start", "stop").distinct()
 
