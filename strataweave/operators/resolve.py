@@ -125,23 +125,28 @@ def cosine_pairs(vectors: DataFrame, least: float = 0.65, block: int = 2048) ->
     count = vectors.count()
     parts = max(1, -(-count // block))
     dealt = vectors.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    left = dealt.select("id", "v", F.explode(F.sequence(F.col("p"), F.lit(parts - 1))).alias("q"), "p")
-    right = dealt.select("id", "v", F.explode(F.sequence(F.lit(0), F.col("p"))).alias("p"), F.col("p").alias("q"))
-
-    def unit(frame: pd.DataFrame) -> np.ndarray:
-        x = np.stack(frame["v"].to_numpy()).astype(np.float64)
+    # Row p of the upper triangle of block pairs meets column q.
+    key = lambda p, q: (p * parts + q).alias("pair")
+    left = dealt.select("id", "v", "p", F.explode(F.sequence(F.col("p"), F.lit(parts - 1))).alias("q"))
+    left = left.select(key(F.col("p"), F.col("q")), "id", "v")
+    right = dealt.select("id", "v", F.col("p").alias("q"), F.explode(F.sequence(F.lit(0), F.col("p"))).alias("o"))
+    right = right.select(key(F.col("o"), F.col("q")), F.col("id").alias("other"), F.col("v").alias("w"))  # names of its own
+
+    def unit(column: pd.Series) -> np.ndarray:
+        x = np.stack(column.to_numpy()).astype(np.float64)
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        near = unit(a) @ unit(b).T
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "similarity": np.empty(0)})
+        near = unit(a["v"]) @ unit(b["w"]).T
         i, j = np.nonzero(near >= least)
-        x, y = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
-        keep = x < y if a["p"].iloc[0] == a["q"].iloc[0] else x != y
+        x, y = a["id"].to_numpy()[i], b["other"].to_numpy()[j]
+        p, q = divmod(int(a["pair"].iloc[0]), parts)
+        keep = x < y if p == q else x != y
         return pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep], "similarity": near[i, j][keep]})
 
-    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(run, "a bigint, b bigint, similarity double")
+    return left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(run, "a bigint, b bigint, similarity double")
 
 
 def merge_allowed(a: Column, b: Column, similarity: Column) -> Column:

@@ -37,11 +37,11 @@ def consolidate_projects(spark, sf_dir):
     return resolve.consolidate(p).select("run_id", "action_field", "title", F.concat_ws("|", F.array_sort("measures")).alias("measures"))
 
 
-@query("""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 3 = 0)
-SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM e a JOIN e b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.5""".replace(" WHERE vec_id % 3 = 0", ""))
+@query("""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM e a JOIN e b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.3""")
 def cosine_pairs(spark, sf_dir):
     v = adapters.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return resolve.cosine_pairs(v, 0.5).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return resolve.cosine_pairs(v, 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("""WITH s AS (SELECT q.vec_id AS q, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS x FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id)
