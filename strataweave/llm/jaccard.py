@@ -368,7 +368,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, share: tuple[int, int] = (3, 4)
     # The least doc_id of a component: of the groups whose sets are linked.
     of = groups.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("comp"))
     of = materialize(of, "classes")
-    least = of.groupBy(F.col("comp").alias("l_comp")).agg(F.min("doc_id").alias("component_id"))
+    # Written before it is joined, so that both sides are dealt for the join and a large class can be split.
+    least = materialize(of.groupBy(F.col("comp").alias("l_comp")).agg(F.min("doc_id").alias("component_id")), "least-ids")
     named = of.join(least, F.col("comp") == F.col("l_comp")).select(F.col("fp").alias("c_fp"), "component_id", F.col("comp").alias("class_key"))
     return rows.join(named, F.col("fp") == F.col("c_fp"), "left").select(
         "doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class_key"

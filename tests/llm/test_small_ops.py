@@ -156,9 +156,9 @@ def test_lm_without_rows(spark, tmp_path):
 
 def test_filter_never_underestimates():
     rng = np.random.default_rng(1)
-    keys = rng.integers(0, 2**63, 5000).astype(np.uint64) // np.uint64(1) * np.uint64(1)
+    keys = rng.integers(0, 2**63, 5000).astype(np.uint64)
     counts = rng.integers(2, 5000, 5000)
-    raw = np.frombuffer(language_model.fill(keys, counts, 2, 20_000), np.uint8).reshape(1, -1)
+    raw = np.frombuffer(language_model.fill(keys, counts, 2, 120_000), np.uint8).reshape(1, -1)
     level = language_model.Filter(raw, 2).level(keys)
     assert (level >= language_model.quantise(counts)).all()
     absent = language_model.Filter(raw, 2).level(rng.integers(0, 2**63, 5000).astype(np.uint64))
