@@ -179,3 +179,24 @@ def repair_json(c: Column) -> Column:
 def ocr_line_kept(line: Column, least: float = 0.3) -> Column:
     """Whether a line of recognised text has enough letters; language and spelling checks can be added by the caller."""
     return (F.length(line) > 0) & (F.length(F.regexp_replace(line, "[^A-Za-z]", "")) >= least * F.length(line))
+
+
+def flat_columns(df, separator: str = "."):
+    """A table whose nested structs are columns of their own, named by their path."""
+    from pyspark.sql.types import StructType
+
+    def walk(schema: StructType, path: tuple[str, ...]):
+        for f in schema.fields:
+            if isinstance(f.dataType, StructType):
+                yield from walk(f.dataType, (*path, f.name))
+            else:
+                yield (*path, f.name)
+
+    quoted = lambda p: ".".join(f"`{x}`" for x in p)
+    return df.select(*(F.col(quoted(p)).alias(separator.join(p)) for p in walk(df.schema, ())))
+
+
+def with_pages(content: Column, pages: Column) -> Column:
+    """A content map with the attribution 'Seiten a, b' unless it has one."""
+    text = F.concat(F.lit("Seiten "), F.array_join(F.transform(F.array_sort(F.array_distinct(pages)), lambda p: p.cast("string")), ", "))
+    return F.when(F.map_contains_key(content, F.lit("page_attribution")), content).otherwise(F.map_concat(content, F.create_map(F.lit("page_attribution"), text)))

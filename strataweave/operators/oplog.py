@@ -180,3 +180,25 @@ def parent_edges(nodes: DataFrame, edges: DataFrame, confidence: float = 0.8) ->
         fits = fits | ((F.col("parent_type") == parent) & (F.col("entity_type") == child))
     new = linked.filter(fits).select("source_id", F.col("parent_id").alias("from_id"), F.col("id").alias("to_id")).distinct()
     return new.join(edges.select("source_id", "from_id", "to_id"), ["source_id", "from_id", "to_id"], "left_anti").withColumn("confidence", F.lit(confidence))
+
+
+def state_changes(states: DataFrame) -> DataFrame:
+    """Size of each state's JSON against the one before: source_id, step, chars, tokens, change; states: source_id, step, state."""
+    chars = F.length(F.to_json("state"))
+    before = F.lag("chars").over(Window.partitionBy("source_id").orderBy("step"))
+    rows = states.select("source_id", "step", chars.alias("chars"))
+    return rows.withColumn("tokens", F.floor(F.col("chars") / 3.5)).withColumn("change", F.col("chars") - F.coalesce(before, F.lit(0)))
+
+
+def free_ids(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """Ids for new entities per source and prefix: the smallest numbers that are not taken, in order.
+
+    wanted: source_id, prefix, ord; taken: source_id, prefix, number.
+    """
+    n = F.row_number().over(Window.partitionBy("source_id", "prefix").orderBy("ord"))
+    own = taken.distinct().withColumn("below", F.col("number") - F.row_number().over(Window.partitionBy("source_id", "prefix").orderBy("number")))
+    # The k-th free number is k plus the taken ones that have fewer than k free numbers below them.
+    gaps = own.groupBy("source_id", "prefix").agg(F.array_sort(F.collect_list("below")).alias("gaps"))
+    rows = wanted.withColumn("k", n).join(gaps, ["source_id", "prefix"], "left")
+    skipped = F.coalesce(F.size(F.filter("gaps", lambda g: g < F.col("k"))), F.lit(0))
+    return rows.select("source_id", "prefix", "ord", F.concat_ws("_", "prefix", (F.col("k") + skipped).cast("string")).alias("id"))

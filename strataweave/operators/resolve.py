@@ -255,3 +255,24 @@ def flatten_tree(tree: DataFrame) -> DataFrame:
     cross = F.flatten(F.transform(measures, lambda m: F.transform(indicators, lambda i: row(m, i, 0.75))))
     every = F.concat(F.array(row(F.col("action_field"), title, 0.9)), F.transform(measures, lambda m: row(title, m, 0.8)), F.transform(indicators, lambda i: row(title, i, 0.8)), cross)
     return p.select("run_id", F.inline(every)).distinct()
+
+
+def exact_merge(projects: DataFrame) -> DataFrame:
+    """The fallback: action fields of one exact name, without English names, with the first project of each title."""
+    rows = projects.filter(~T.is_english_name(F.col("action_field")))
+    first = rows.groupBy("run_id", "action_field", "title").agg(F.min("ord").alias("ord"))
+    return first.groupBy("run_id", "action_field").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "title"))), lambda x: x["title"]).alias("titles"))
+
+
+def without_contained(names: DataFrame) -> DataFrame:
+    """Names that no longer name of the run contains (longest first, then by order); names: run_id, name, ord."""
+    distinct = names.groupBy("run_id", "name").agg(F.min("ord").alias("ord"))
+    every = distinct.groupBy("run_id").agg(F.collect_list(F.lower("name")).alias("all_names"))
+    low = F.lower("name")
+    inside = F.exists("all_names", lambda x: (F.length(x) > F.length(low)) & F.contains(x, low))
+    return distinct.join(every, "run_id").filter(~inside).select("run_id", "name")
+
+
+def collect_names(names: DataFrame) -> DataFrame:
+    """All names of a run, once and sorted."""
+    return names.groupBy("run_id").agg(F.array_sort(F.collect_set("name")).alias("names"))

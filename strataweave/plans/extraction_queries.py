@@ -219,3 +219,19 @@ def stage_durations(spark, sf_dir):
     e = adapters.sql(spark, sf_dir, "SELECT concat('s', CAST(user_id % 40 AS STRING)) AS source_id, CASE WHEN event_id % 2 = 0 THEN 'parse' ELSE 'fold' END AS stage, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN event_type IN ('signup', 'click') THEN 'start' ELSE 'end' END AS kind FROM events")
     d = extract.stage_durations(e)
     return d.groupBy("source_id", "stage").agg(F.count(F.lit(1)).alias("starts"), F.count("seconds").alias("ended"), F.round(F.sum("seconds"), 3).alias("seconds"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, length(concat('{"n":', turn, ',"role":"', role, '"}')) AS chars FROM conversations) SELECT conv_id, turn, CAST(chars AS INT) AS chars, CAST(floor(chars / 3.5) AS BIGINT) AS tokens, CAST(chars - coalesce(lag(chars) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS INT) AS change FROM s""")
+def json_state_change(spark, sf_dir):
+    c = adapters.read(spark, sf_dir, "conversations")
+    s = c.select(F.col("conv_id").alias("source_id"), F.col("turn").alias("step"), F.struct(F.col("turn").alias("n"), "role").alias("state"))
+    return oplog.state_changes(s).withColumnRenamed("source_id", "conv_id").withColumnRenamed("step", "turn")
+
+
+@query("""WITH RECURSIVE w AS (SELECT n_regionkey AS r, n_nationkey AS ord, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation), t AS (SELECT DISTINCT c_nationkey % 5 AS r, c_custkey % 17 + 1 AS number FROM customer WHERE c_custkey % 4 = 0 AND c_custkey < 60),
+f AS (SELECT r, i AS number, row_number() OVER (PARTITION BY r ORDER BY i) AS k FROM (SELECT DISTINCT r FROM w), generate_series(1, 60) g(i) WHERE (r, i) NOT IN (SELECT r, number FROM t))
+SELECT w.r AS region, w.ord AS nation, concat('proj_', f.number) AS id FROM w JOIN f ON f.r = w.r AND f.k = w.k""")
+def free_ids(spark, sf_dir):
+    wanted = adapters.sql(spark, sf_dir, "SELECT CAST(n_regionkey AS STRING) AS source_id, 'proj' AS prefix, n_nationkey AS ord FROM nation")
+    taken = adapters.sql(spark, sf_dir, "SELECT CAST(c_nationkey % 5 AS STRING) AS source_id, 'proj' AS prefix, c_custkey % 17 + 1 AS number FROM customer WHERE c_custkey % 4 = 0 AND c_custkey < 60")
+    return oplog.free_ids(wanted, taken).select(F.col("source_id").cast("int").alias("region"), F.col("ord").alias("nation"), "id")

@@ -133,3 +133,22 @@ def tree_flatten(spark, sf_dir):
 def name_predicates(spark, sf_dir):
     part = adapters.read(spark, sf_dir, "part")
     return part.select("p_partkey", T.is_temporary_id(F.concat(F.lit("TEMP_"), "p_name")).alias("temporary"), T.is_english_name(F.concat("p_name", F.lit(" Overview"))).alias("english"))
+
+
+@query(f"""WITH nm AS ({NAMES}), f AS (SELECT run_id, name, min(ord) AS ord FROM nm GROUP BY ALL) SELECT run_id, concat(run_id, ' field') AS action_field, string_agg(name, '|' ORDER BY ord) AS titles FROM f WHERE run_id <> '3' GROUP BY run_id""")
+def exact_merge(spark, sf_dir):
+    """The fallback merge: exact names, English ones left out."""
+    n = adapters.sql(spark, sf_dir, NAMES).withColumn("action_field", F.when(F.col("run_id") == "3", "An overview of all").otherwise(F.concat("run_id", F.lit(" field")))).withColumnRenamed("name", "title")
+    return resolve.exact_merge(n).withColumn("titles", F.concat_ws("|", "titles"))
+
+
+@query("""WITH n AS (SELECT DISTINCT p_brand AS run_id, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE p_name END AS name FROM part) SELECT run_id, name FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.run_id = a.run_id AND length(b.name) > length(a.name) AND contains(lower(b.name), lower(a.name)))""")
+def containment_merge(spark, sf_dir):
+    n = adapters.sql(spark, sf_dir, "SELECT p_brand AS run_id, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE p_name END AS name, p_partkey AS ord FROM part")
+    return resolve.without_contained(n)
+
+
+@query("SELECT p_brand AS run_id, string_agg(DISTINCT p_name, '|' ORDER BY p_name) AS names FROM part GROUP BY p_brand")
+def collected_names(spark, sf_dir):
+    n = adapters.sql(spark, sf_dir, "SELECT p_brand AS run_id, p_name AS name FROM part")
+    return resolve.collect_names(n).withColumn("names", F.concat_ws("|", "names"))
