@@ -5,7 +5,7 @@ non-overlapping per kind, with checks that drop a match.
 
 Bootstrap: base matches are seeds. The two words before a seed (L), and the word before with the word
 after (LR), are lexical patterns. Patterns with at least `support` distinct seeds of a kind are
-looked up at every word of every text; what stands in their slot is an instance. On the graph
+looked up at every shaped word of every text (one with a digit or an at sign); what stands in their slot is an instance. On the graph
 of patterns and instances scores go back and forth `rounds` times: a pattern's score is
 the mean score of what stands in its slots (seeds 1, words of no identifier's shape 0), times its
 support's weight; another instance's score is the noisy-or of its patterns'. Instances that reach `confidence` in the slot of
@@ -67,8 +67,8 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _located(number: int, kind: str) -> Column:
-    """The spans of a kind, from `text` and the kind's matches.
+def _located(number: int, kind: str, pattern: str, valid) -> Column:
+    """The spans of a kind, from `text` and the matches of its pattern in `<kind>_found`.
 
     The text is split at the matches; lengths of gaps and matches add up to places. Texts
     without a match that passes are not split.
@@ -91,11 +91,11 @@ def _located(number: int, kind: str) -> Column:
             F.substring("text", x["start"] + F.length(x["value"]) + 1, F.lit(REACH)).alias("after"),
         )
 
-    gaps = F.split("text", PATTERNS[kind], -1)
+    gaps = F.split("text", pattern, -1)
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
     located = F.aggregate(pairs, start, step, lambda s: s["out"])
-    spans = F.transform(F.filter(located, lambda x: _valid(kind, x["value"])), span)
-    return F.when(F.exists(hits, lambda v: _valid(kind, v)), spans).otherwise(F.array()).cast(f"array<{SPAN}>")
+    spans = F.transform(F.filter(located, lambda x: valid(x["value"])), span)
+    return F.when(F.exists(hits, valid), spans).otherwise(F.array()).cast(f"array<{SPAN}>")
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -108,7 +108,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
     ]
     # Only texts with a match that can pass are split for the places of their matches.
     held = rows.select("doc_id", "text", F.xxhash64("text").alias("key"), *found)
-    each = [_located(i, kind) for i, kind in enumerate(KINDS)]
+    valid = lambda kind: lambda v: _valid(kind, v)
+    each = [_located(i, kind, PATTERNS[kind], valid(kind)) for i, kind in enumerate(KINDS)]
     return held.select("doc_id", "key", F.concat(*each).alias("spans"))
 
 
@@ -127,111 +128,121 @@ def _around(a: Column, b: Column) -> Column:
     return F.when((a != "") & (b != ""), F.concat(F.lit("LR\x01"), a, F.lit("\x01"), b))
 
 
+def _contexts(before: Column, after: Column) -> Column:
+    """The patterns of a place, from the folded text on either side of it."""
+    before = F.regexp_replace(before, r"\S++$", "")
+    first, second = F.regexp_extract(before, r"(\S++)\s++\S++\s*+$", 1), F.regexp_extract(before, r"(\S++)\s*+$", 1)
+    return F.array_compact(F.array(_left(first, second), _around(second, F.regexp_extract(after, r"^\S*+\s++(\S++)", 1))))
+
+
 def _seed_edges(base: DataFrame) -> DataFrame:
     """(pattern, kind, instance) for every base match."""
     each = base.select(F.explode("spans").alias("s"))
-    before, after = F.regexp_replace(_fold(F.col("s.before")), r"\S++$", ""), _fold(F.col("s.after"))
-    first, second = F.regexp_extract(before, r"(\S++)\s++\S++\s*+$", 1), F.regexp_extract(before, r"(\S++)\s*+$", 1)
-    words = F.array_compact(F.array(_left(first, second), _around(second, F.regexp_extract(after, r"^\S*+\s++(\S++)", 1))))
+    words = _contexts(_fold(F.col("s.before")), _fold(F.col("s.after")))
     return each.select(F.explode(words).alias("pattern"), F.col("s.kind").alias("kind"), F.lower("s.value").alias("instance"))
 
 
-SHAPE = "[0-9@]"  # an identifier has a digit or an at sign
+#: A word of an identifier's shape: it has a digit or an at sign.
+SHAPED = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+
 
+def _shaped_slots(docs: DataFrame) -> DataFrame:
+    """doc_id, key, pattern, start, stop, value: every shaped word of every text under each of its patterns.
+
+    Marks at the word's ends are not part of the value.
+    """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hits = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(SHAPED), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = rows.select("doc_id", "text", F.xxhash64("text").alias("key"), hits.alias("word_found")).filter("size(word_found) > 0")
+    spans = _located(0, "word", SHAPED, lambda v: F.lit(True))
+    each = found.select("doc_id", "key", F.explode(spans).alias("s")).select("doc_id", "key", "s.start", "s.value", F.explode(_contexts(_fold(F.col("s.before")), _fold(F.col("s.after")))).alias("pattern"))
+    lead = F.length(F.regexp_extract("value", r"^[^\pL\pN+@]*+", 0))
+    bare = F.regexp_replace(F.regexp_replace("value", r"^[^\pL\pN+@]+", ""), r"[^\pL\pN]+$", "")
+    return each.select("doc_id", "key", "pattern", (F.col("start") + lead).alias("start"), (F.col("start") + lead + F.length(bare)).alias("stop"), bare.alias("value"))
 
-def _occurrences(docs: DataFrame, patterns: list[str]) -> DataFrame:
-    """doc_id, key, at (number of the word), pattern, shaped for every place where one of the patterns stands.
 
-    Three words in a row are one row of a generator, tested against a hash set; only hits go on.
+def _totals(docs: DataFrame, patterns: list[str]) -> DataFrame:
+    """(pattern, total): how often each of the patterns stands in the texts, whatever is in its slot.
+
+    Three words in a row are one row of a generator; a hash set of first words lets few of them go on.
     """
+    firsts = sorted({p.split("\x01")[1] for p in patterns})
     words = F.regexp_extract_all(_fold(F.coalesce("text", F.lit(""))), F.lit(r"\S++"), F.lit(0))
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), words.alias("w")).filter("size(w) > 2")
+    rows = docs.select(words.alias("w")).filter("size(w) > 2")
     tail = lambda k: F.slice("w", F.lit(k), F.size("w"))
-    three = F.arrays_zip("w", tail(2), tail(3))
-    each = rows.select("doc_id", "key", F.posexplode(three).alias("at", "x"))
-    each = each.select("doc_id", "key", "at", "x.*").toDF("doc_id", "key", "at", "a", "b", "c")
-    left, around = _left(F.col("a"), F.col("b")), _around(F.col("a"), F.col("c"))
-    hit = lambda p, word, step: F.when(p.isin(patterns), F.struct(p.alias("pattern"), (F.col("at") + step).alias("at"), word.rlike(SHAPE).alias("shaped")))
-    # The slot of a left pattern is the third word, that of one around is the second.
-    found = each.filter(F.coalesce(F.col("c") != "", F.lit(False))).filter(left.isin(patterns) | around.isin(patterns))
-    return found.select("doc_id", "key", F.inline(F.array_compact(F.array(hit(left, F.col("c"), 2), hit(around, F.col("b"), 1)))))
-
-
-def _places(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """doc_id, key, pattern, start, stop, value of hits (doc_id, key, pattern, at)."""
-    per = hits.groupBy(F.col("doc_id").alias("h_id"), F.col("key").alias("h_key")).agg(F.collect_set(F.struct("at", "pattern")).alias("hits"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    joined = rows.join(per, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key")))
-    # Each piece is a word with the white space before it, so lengths add up to places.
-    pieces = joined.withColumn("pieces", F.regexp_extract_all("text", F.lit(r"\s*+\S++"), F.lit(0)))
-    end = lambda i: F.aggregate(F.slice("pieces", F.lit(1), i + 1), F.lit(0), lambda a, x: (a + F.length(x)).cast("int"))
-    one = lambda h: F.struct(h["pattern"].alias("pattern"), F.regexp_replace(F.get("pieces", h["at"]), r"^\s+", "").alias("word"), end(h["at"]).alias("end"))
-    each = pieces.select("doc_id", "key", F.inline(F.transform("hits", one)))
-    lead = F.length(F.regexp_extract("word", r"^[^\pL\pN+@]*+", 0))
-    bare = F.regexp_replace(F.regexp_replace("word", r"^[^\pL\pN+@]+", ""), r"[^\pL\pN]+$", "")
-    start = F.col("end") - F.length("word") + lead
-    return each.select("doc_id", "key", "pattern", start.cast("int").alias("start"), (start + F.length(bare)).cast("int").alias("stop"), bare.alias("value"))
+    each = rows.select(F.explode(F.arrays_zip("w", tail(2), tail(3))).alias("x")).select("x.*").toDF("a", "b", "c").filter(F.col("a").isin(firsts))
+    both = F.array(_left(F.col("a"), F.col("b")), _around(F.col("a"), F.col("c")))
+    found = each.filter("c <> ''").select(F.explode(both).alias("pattern")).filter(F.col("pattern").isin(patterns))
+    return found.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+
+
+def _scored(graph: DataFrame, weights: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(s_pattern, trust) and (n_instance, n_kind, score) after some rounds.
+
+    graph: pattern, kind, instance, seed, times, shaped; weights: w_pattern, total, weight.
+    """
+    nodes = graph.groupBy("instance", "kind").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(0.0)).alias("score"))
+    trusts = None
+    for _ in range(rounds):
+        known = nodes.select(F.col("instance").alias("n_instance"), F.col("kind").alias("n_kind"), "score")
+        valued = graph.join(known, (F.col("instance") == F.col("n_instance")) & (F.col("kind") == F.col("n_kind")))
+        gained = valued.groupBy("pattern").agg(F.sum(F.col("score") * F.col("times")).alias("sum")).join(weights, F.col("pattern") == F.col("w_pattern"))
+        trusts = materialize(gained.select(F.col("pattern").alias("s_pattern"), (F.least(F.col("sum") / F.col("total"), F.lit(1.0)) * F.col("weight")).alias("trust")), "pattern-scores")
+        back = graph.join(trusts, F.col("pattern") == F.col("s_pattern"), "left")
+        doubt = F.sum(F.log(F.greatest(1 - F.coalesce("trust", F.lit(0.0)), F.lit(1e-9))))
+        either = F.when(F.bool_or("seed"), 1.0).when(F.bool_or("shaped"), 1 - F.exp(doubt)).otherwise(0.0)
+        nodes = materialize(back.groupBy("instance", "kind").agg(either.alias("score")), "instance-scores")
+    return trusts, nodes.select(F.col("instance").alias("n_instance"), F.col("kind").alias("n_kind"), "score")
 
 
 def discover(docs: DataFrame, base: DataFrame, support: int = 4, rounds: int = 3, confidence: float = 0.75, trust: float = 0.5) -> DataFrame | None:
-    """doc_id, key, kind, start, stop of identifiers that contextual patterns find; None if no pattern can be trusted."""
+    """doc_id, key, kind, start, stop of identifiers that contextual patterns find; None if there are none.
+
+    Only shaped words can be found, so they are looked at first, with the pattern's other slots left out of its
+    score. That score is an upper bound, and what does not pass with it does not pass. Only if something does,
+    the patterns concerned are counted at every word of every text.
+    """
     edges = _seed_edges(base)
     by_kind = edges.groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("seeds"))
     best = by_kind.groupBy("pattern").agg(F.max_by("kind", F.struct("seeds", -F.col("kind"))).alias("kind"), F.max("seeds").alias("seeds"), F.sum("seeds").alias("all_seeds"))
-    patterns = materialize(best.filter(f"seeds >= {support} and seeds >= 0.9 * all_seeds").select("pattern", "kind", "seeds"), "patterns")
-    count = patterns.count()
-    # Groups of a bounded size are looked up one after the other: each pattern is looked up in every text.
-    groups = -(-count // PATTERNS_AT_ONCE)
-    hits = None
-    for g in range(groups):
-        names = [r["pattern"] for r in patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(groups)) == g).select("pattern").collect()]
-        if names:
-            part = _occurrences(docs, names)
-            hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
-        return None
-    # A pattern's score is at most the share of its slots with an identifier's shape: others cannot be trusted, and end here.
-    totals = hits.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"), F.count_if("shaped").alias("n_shaped"))
-    totals = materialize(totals.join(patterns, "pattern").withColumn("open", F.col("n_shaped") >= trust * F.col("total")), "pattern-totals")
-    names = totals.filter("open")
-    count = names.count()
-    if not count:
-        return None
-    groups = -(-count // PATTERNS_AT_ONCE)
-    slots = None
-    for g in range(groups):
-        some = [r["pattern"] for r in names.filter(F.pmod(F.xxhash64("pattern"), F.lit(groups)) == g).select("pattern").collect()]
-        if some:
-            part = _occurrences(docs, some).filter("shaped").select("doc_id", "key", "pattern", "at")
-            slots = part if slots is None else slots.unionByName(part)
-    placed = _places(docs, materialize(slots, "hits")).join(names.select("pattern", "kind"), "pattern").distinct()
+    patterns = materialize(best.filter(f"seeds >= {support} and seeds >= 0.9 * all_seeds").select(F.col("pattern").alias("p_pattern"), "kind", "seeds"), "patterns")
+    placed = _shaped_slots(docs).join(patterns, F.col("pattern") == F.col("p_pattern")).drop("p_pattern").distinct()
     # What overlaps a base match of the text is that match.
     held = base.filter("size(spans) > 0").select(F.col("doc_id").alias("b_id"), F.col("key").alias("b_key"), "spans").distinct()
     joined = placed.join(held, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("key") == F.col("b_key")), "left")
     same = F.get(F.filter("spans", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")) & (s["kind"] == F.col("kind"))), 0)["value"]
     taken = F.coalesce(F.exists("spans", lambda s: (s["start"] < F.greatest(F.col("stop"), F.col("start") + 1)) & (s["stop"] > F.col("start"))), F.lit(False))
-    found = joined.select("doc_id", "key", "pattern", "kind", "start", "stop", F.lower(F.coalesce(same, "value")).alias("instance"), same.isNotNull().alias("seed"), taken.alias("taken"))
+    found = joined.select("doc_id", "key", "pattern", "kind", "seeds", "start", "stop", F.lower(F.coalesce(same, "value")).alias("instance"), same.isNotNull().alias("seed"), taken.alias("taken"))
     found = materialize(found, "slots")
-    graph = found.groupBy("pattern", "kind", "instance").agg(F.bool_or("seed").alias("seed"), F.count(F.lit(1)).alias("times"))
+    graph = found.groupBy("pattern", "kind", "instance").agg(F.bool_or("seed").alias("seed"), F.count(F.lit(1)).alias("times"), F.max("seeds").alias("seeds"))
     graph = materialize(graph.withColumn("shaped", F.col("seed") | (F.length("instance") >= 4)), "pattern-graph")
-    weights = names.select(F.col("pattern").alias("w_pattern"), "total", (1 - 1 / (1 + F.col("seeds"))).alias("weight"))
-    nodes = graph.groupBy("instance", "kind").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(0.0)).alias("score"))
-    scores = None
-    for _ in range(rounds):
-        known = nodes.select(F.col("instance").alias("n_instance"), F.col("kind").alias("n_kind"), "score")
-        valued = graph.join(known, (F.col("instance") == F.col("n_instance")) & (F.col("kind") == F.col("n_kind")))
-        total = valued.groupBy("pattern").agg(F.sum(F.col("score") * F.col("times")).alias("sum"))
-        scores = total.join(weights, F.col("pattern") == F.col("w_pattern"))
-        scores = materialize(scores.select(F.col("pattern").alias("s_pattern"), (F.least(F.col("sum") / F.col("total"), F.lit(1.0)) * F.col("weight")).alias("trust")), "pattern-scores")
-        back = graph.join(scores, F.col("pattern") == F.col("s_pattern"), "left")
-        doubt = F.sum(F.log(F.greatest(1 - F.coalesce("trust", F.lit(0.0)), F.lit(1e-9))))
-        either = F.when(F.bool_or("seed"), 1.0).when(F.bool_or("shaped"), 1 - F.exp(doubt)).otherwise(0.0)
-        nodes = materialize(back.groupBy("instance", "kind").agg(either.alias("score")), "instance-scores")
-    known = nodes.filter(F.col("score") >= confidence).select(F.col("instance").alias("n_instance"), F.col("kind").alias("n_kind"))
-    new = found.filter("not seed and not taken").filter(F.length("instance") >= 4)
-    new = new.join(scores.filter(F.col("trust") >= trust), F.col("pattern") == F.col("s_pattern"), "left_semi")
-    new = new.join(known, (F.col("instance") == F.col("n_instance")) & (F.col("kind") == F.col("n_kind")), "left_semi")
-    return new.select("doc_id", "key", "kind", "start", "stop").distinct()
+    weight = (1 - 1 / (1 + F.max("seeds"))).alias("weight")
+    weights = graph.groupBy(F.col("pattern").alias("w_pattern")).agg(F.sum("times").alias("total"), weight)
+
+    def passing(weights: DataFrame) -> DataFrame:
+        trusts, scores = _scored(graph, weights, rounds)
+        known = scores.filter(F.col("score") >= confidence).select("n_instance", "n_kind")
+        new = found.filter("not seed and not taken").filter(F.length("instance") >= 4)
+        new = new.join(trusts.filter(F.col("trust") >= trust), F.col("pattern") == F.col("s_pattern"), "left_semi")
+        return new.join(known, (F.col("instance") == F.col("n_instance")) & (F.col("kind") == F.col("n_kind")), "left_semi")
+
+    if not found.filter("not seed and not taken").take(1):
+        return None
+    hopeful = materialize(passing(weights).select("kind").distinct(), "hopeful-kinds")
+    if not hopeful.take(1):
+        return None
+    # All patterns of these kinds: their instances' scores depend on one another.
+    open_ = weights.join(graph.join(hopeful, "kind", "left_semi").select(F.col("pattern").alias("o_pattern")).distinct(), F.col("w_pattern") == F.col("o_pattern"), "left_semi")
+    groups = -(-open_.count() // PATTERNS_AT_ONCE)
+    totals = None
+    for g in range(groups):  # groups of a bounded size, one after the other
+        names = [r["w_pattern"] for r in open_.filter(F.pmod(F.xxhash64("w_pattern"), F.lit(groups)) == g).select("w_pattern").collect()]
+        if names:
+            part = _totals(docs, names)
+            totals = part if totals is None else totals.unionByName(part)
+    totals = materialize(totals, "pattern-totals")
+    exact = weights.drop("total").join(totals, F.col("w_pattern") == F.col("pattern")).select("w_pattern", "total", "weight")
+    return passing(exact).select("doc_id", "key", "kind", "start", "stop").distinct()
 
 
 def _text_of(spans: Column) -> Column:
