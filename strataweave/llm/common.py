@@ -76,22 +76,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sum_arrays(parts: DataFrame, dtype: str, size: int) -> np.ndarray:
-    """The sum of arrays of one fixed size that tasks report as raw bytes in column `part`.
+FAN_IN = 32  # partial results that one task adds up
+
+
+def add_up(rows: DataFrame, keys: list[str], add, schema: str) -> DataFrame:
+    """Partial results of tasks, added up in a tree of FAN_IN per task, whatever their number.
 
-    Two levels of groups, so no task holds more than a running sum and its own share of rows;
-    the driver gets one array.
+    `add` takes the rows of a group and returns one row of `schema`, which begins with `idx bigint`.
     """
+    parts = max(rows.rdd.getNumPartitions(), 1)
+    rows = rows.withColumn("idx", F.spark_partition_id().cast("bigint"))
+    while True:
+        rows = rows.withColumn("idx", F.floor(F.col("idx") / FAN_IN)).groupBy(*keys, "idx").applyInArrow(add, schema)
+        parts = -(-parts // FAN_IN)
+        if parts <= 1:
+            return rows
+
+
+def sum_arrays(parts: DataFrame, dtype: str, size: int) -> np.ndarray:
+    """The sum of arrays of one fixed size that tasks report as raw bytes in column `part`; the driver gets one array."""
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(size, dtype)
         for raw in group["part"]:
             total += np.frombuffer(raw.as_buffer(), dtype)
-        return pa.table({"part": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"idx": group["idx"][:1], "part": pa.array([total.tobytes()], pa.binary())})
 
-    salted = parts.select("part", F.pmod(F.spark_partition_id(), F.lit(32)).alias("salt"))
-    some = salted.groupBy("salt").applyInArrow(add, "part binary")
-    rows = some.groupBy(F.lit(0).alias("all")).applyInArrow(add, "part binary").collect()
+    rows = add_up(parts.select("part"), [], add, "idx bigint, part binary").collect()
     return np.frombuffer(rows[0]["part"], dtype).copy() if rows else np.zeros(size, dtype)
 
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import blocks, hashes, mix, table, words
+from strataweave.llm.common import add_up, blocks, hashes, mix, table, words
 from strataweave.operators.components import connected_components
 from strataweave.session import materialize
 
@@ -113,12 +113,12 @@ def _counters(profile: DataFrame) -> np.ndarray:
         for packed in group["counts"].to_pylist():
             part = np.frombuffer(zlib.decompress(packed), np.uint8)
             total += part.view(np.uint32 if len(part) == total.nbytes // 2 else np.uint64)
-        return pa.table({"segment": group["segment"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+        return pa.table({"idx": group["idx"][:1], "segment": group["segment"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    parts = profile.filter("segment is not null").select("segment", "counts", F.pmod(F.xxhash64("counts"), F.lit(32)).alias("salt"))
-    some = parts.groupBy("segment", "salt").applyInArrow(add, "segment int, counts binary")
+    parts = profile.filter("segment is not null").select("segment", "counts")
+    summed = add_up(parts, ["segment"], add, "idx bigint, segment int, counts binary")
     levels = np.zeros((SEGMENTS, (1 << BITS) // SEGMENTS), np.uint8)
-    for row in some.groupBy("segment").applyInArrow(add, "segment int, counts binary").collect():  # SEGMENTS rows of fixed size
+    for row in summed.collect():  # SEGMENTS rows of fixed size
         total = np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
         levels[row["segment"]] = np.ceil(np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
     return levels.ravel()

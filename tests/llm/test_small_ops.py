@@ -388,3 +388,12 @@ def test_extract_rows(spark):
     got = Counter((r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract(pages).collect())
     assert got == Counter({(1, "u", "x", 1): 2, (2, None, "", 0): 1, (None, "u", "", 0): 1})
     assert pa.array([1]).type == pa.int64()
+
+
+@pytest.mark.parametrize("fan", [2, 3, 32])
+def test_partial_sums_in_a_tree(spark, monkeypatch, fan):
+    from strataweave.llm import common
+
+    monkeypatch.setattr(common, "FAN_IN", fan)
+    parts = spark.range(0, 40, 1, 9).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([np.array([b.num_rows, 1], np.int64).tobytes()], pa.binary())], ["part"]) for b in bs), "part binary")
+    assert common.sum_arrays(parts, "int64", 2)[0] == 40
