@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataweave.functions import text as T
+
 # Keywords, entity type, title, confidence, pages of the deterministic extractor.
 RULES = (
     (("mobilität", "verkehr"), "action_field", "Mobilität und Verkehr", 0.9),
@@ -85,3 +90,45 @@ def token_accounting(turns: DataFrame, estimate: Column) -> DataFrame:
     return n.groupBy("log").agg(
         F.sum("tokens").alias("tokens"), F.coalesce(F.sum(F.when(is_user, F.col("tokens"))), F.lit(0)).alias("asked"), F.coalesce(F.sum(F.when(~is_user, F.col("tokens"))), F.lit(0)).alias("answered")
     )
+
+
+ANSWER = (
+    "operations ARRAY<STRUCT<operation: STRING, entity_type: STRING, entity_id: STRING, content: MAP<STRING, STRING>, "
+    "connections: ARRAY<STRUCT<from_id: STRING, to_id: STRING, confidence: DOUBLE>>, confidence: DOUBLE, source_pages: ARRAY<INT>, source_quote: STRING>>, `continue` BOOLEAN"
+)
+
+
+def ask(chunks: DataFrame, client: Callable[[], Callable[[str], str | None]], attempts: int = 3) -> DataFrame:
+    """Answers of a model to the prompts: source_id, chunk_index, answer; null after `attempts` failures.
+
+    `client` is called once per partition and returns the function that asks; any backend can stand behind it.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        send = client()
+        for frame in frames:
+            answers = []
+            for prompt in frame["prompt"]:
+                answer = None
+                for _ in range(attempts):
+                    try:
+                        answer = send(prompt)
+                    except (OSError, ValueError):  # a backend that is away or answers badly is asked again
+                        continue
+                    if answer is not None:
+                        break
+                answers.append(answer)
+            yield frame.assign(answer=answers)[["source_id", "chunk_index", "answer"]]
+
+    return chunks.select("source_id", "chunk_index", "prompt").mapInPandas(run, "source_id string, chunk_index int, answer string")
+
+
+def answered_operations(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Operations of the answers, in order, and the answers that hold none (to be looked at).
+
+    Thinking text and code fences go; list items that are no operation (stray metadata) are left out.
+    """
+    rows = answers.withColumn("a", F.from_json(T.repair_json(F.col("answer")), ANSWER))
+    bad = rows.filter("a is null or a.operations is null").select("source_id", "chunk_index", "answer")
+    each = rows.filter("a.operations is not null").select("source_id", "chunk_index", F.posexplode("a.operations").alias("seq", "o"))
+    return each.filter("o.operation is not null").select("source_id", "chunk_index", "seq", "o.*"), bad

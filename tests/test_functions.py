@@ -169,3 +169,49 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = oplog.create_ids(df.withColumns({"tags": F.array().cast("array<string>"), "confidence": F.lit(1.0), "source_pages": F.array().cast("array<int>"), "source_quote": F.lit(None).cast("string")}))
     want = {(r.source_id, r.id) for r in batch.collect()}
     assert {(a, b) for a, b, _ in got} == want and len(got) == len(want)
+
+
+def test_models_are_asked_again_and_answers_parsed(spark):
+    from strataweave.operators import extract
+
+    chunks = spark.createDataFrame([("s", i) for i in range(4)], "source_id string, chunk_index int")
+    chunks = extract.prompts(chunks, 'Read {what}: {"year": 1}', what=F.col("chunk_index").cast("string"))
+
+    def client():
+        tries = {}
+
+        def send(prompt):
+            tries[prompt] = tries.get(prompt, 0) + 1
+            assert '{"year": 1}' in prompt
+            if "Read 0" in prompt:
+                return None
+            if "Read 1" in prompt and tries[prompt] < 3:
+                raise OSError
+            if "Read 3" in prompt:
+                return "no json"
+            return '<think>hm</think>```json\n{"operations": [{"operation": "CREATE", "entity_type": "project", "content": {"title": "T"}}, {"page": 3}]}\n```'
+
+        return send
+
+    ops, bad = extract.answered_operations(extract.ask(chunks.coalesce(1), client))
+    assert [(r.chunk_index, r.operation, r.content["title"]) for r in ops.orderBy("chunk_index").collect()] == [(1, "CREATE", "T"), (2, "CREATE", "T")]
+    assert {r.chunk_index for r in bad.collect()} == {0, 3}
+
+
+def test_prompt_files(tmp_path):
+    from strataweave.sources import prompts
+
+    (tmp_path / "ops.json").write_text('{"nodes": {"user": "Use {x} and {\\"y\\": 1}"}}')
+    assert prompts.lookup(str(tmp_path), "ops.nodes.user", x="1") == 'Use 1 and {"y": 1}'
+    assert prompts.names(str(tmp_path)) == ["ops"]
+    for bad, error in (("ops.nodes", ValueError), ("ops.nodes.none", KeyError)):
+        with pytest.raises(error):
+            prompts.lookup(str(tmp_path), bad)
+    prompts.clear()
+
+
+def test_flat_columns_and_attribution(spark):
+    df = spark.range(1).select(F.struct(F.lit(1).alias("a"), F.struct(F.lit(2).alias("b")).alias("c")).alias("r"), F.lit(3).alias("z"))
+    assert T.flat_columns(df).columns == ["r.a", "r.c.b", "z"]
+    m = spark.range(1).select(T.with_pages(F.create_map(F.lit("t"), F.lit("x")), F.array(F.lit(3), F.lit(1)))).first()[0]
+    assert m == {"t": "x", "page_attribution": "Seiten 1, 3"}
