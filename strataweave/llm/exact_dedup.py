@@ -43,7 +43,9 @@ class DigestIndex:
     def append(self, groups: DataFrame) -> None:
         """Add the groups that are new; digests that are there already are left alone."""
         new = self.missing(groups).select("digest", "keep_id", "copies")
-        new.repartition(self.buckets, "digest").write.insertInto(self.table)
+        # The table's own bucket number: a task writes one bucket, as one sorted file.
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
+        new.repartitionById(self.buckets, bucket).write.insertInto(self.table)
 
     def compact(self) -> "DigestIndex":
         """The same index, one sorted file a bucket, in a new folder (many appends leave many files)."""

@@ -397,3 +397,10 @@ def test_partial_sums_in_a_tree(spark, monkeypatch, fan):
     monkeypatch.setattr(common, "FAN_IN", fan)
     parts = spark.range(0, 40, 1, 9).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([np.array([b.num_rows, 1], np.int64).tobytes()], pa.binary())], ["part"]) for b in bs), "part binary")
     assert common.sum_arrays(parts, "int64", 2)[0] == 40
+
+
+def test_an_append_writes_one_file_a_bucket(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    exact_dedup.dedupe(docs(spark, [(i, f"text {i}") for i in range(200)]).repartition(7), index)
+    files = [f for f in spark.read.parquet(index.path).inputFiles() if f.endswith(".parquet")]
+    assert len(files) == 4 and index.read().count() == 200
