@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+@functools.cache
+def _trim():
+    """glibc's malloc_trim, where there is one."""
+    name = ctypes.util.find_library("c")
+    return getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
+
+
+def release() -> None:
+    """Give freed memory back, so that workers that wait for their next task stay small."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `chars` bytes of text each; at least one row each."""
     for batch in batches:
@@ -31,6 +48,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = B
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
+    release()
 
 
 def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
