@@ -1,19 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Counts: every training text is a sequence of words and one end. Tasks count words and n-grams
-by 64-bit hash, and hand (hash, count) arrays on by hash range; a reducer per range adds them up. The
+by 64-bit hash (n-grams by its upper 48 bits), and hand keys and counts on by hash range; a reducer per range adds them up. The
 words' counts stay exact. The n-grams' counts are quantised, q = 1 + floor(log_BASE c), and the pairs
-(n-gram, 1) ... (n-gram, q) enter the filter: each hash range has a segment of its own, so segments
-are built where the counts are. A filter has at most `filter_bytes`; where the counts
-would fill more than half its bits the least count that enters rises (1, 2, 3, 4, 6, 8, ...), and what
-is below it is left to the smoothing.
+(n-gram, 1) ... (n-gram, q) enter the filter: each hash range has a segment of its own, sized by its own counts and written to
+the shared folder by the reducer that has them. Segments grow in number and in total with the corpus; nothing is left out to fit a size.
 
-Score: a count is read by probing (n-gram, 1), (n-gram, 2), ... until a probe misses. A word's
-probability is the n-gram's count smoothed by the lower order's probability (Dirichlet prior of
-weight `mu`), down to additively smoothed single words.
+Score: texts are dealt over chunks of about CHUNK bytes. A chunk sends its distinct words and n-grams to their hash ranges, is
+answered with exact counts and levels in the same order, and scores its texts. A count is read by probing (n-gram, 1),
+(n-gram, 2), ... until a probe misses. A word's probability is the n-gram's count smoothed by the lower order's probability
+(Dirichlet prior of weight `mu`), down to additively smoothed single words.
 
 Base score: exact. Words that are at least one in `hot` of all training tokens, so at most `hot` words,
-are broadcast with their counts; the occurrences of rarer words go to the reducer of their hash range as arrays.
+are broadcast with their counts and not asked for.
 
 Defined results: a null or empty text is one end. Null ids train and are not held out. Repeated rows count and are scored
 one by one. Without training texts N and V are 0, and base scores are those of unknown tokens. Columns beside doc_id and text
@@ -30,17 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import blocks, deal, hashes, mix, table, total_by_key, words
+from strataweave.llm.common import blocks, hashes, mix, table, total_by_key, words
 from strataweave.session import materialize
 
 BASE = 1.6  # of the quantised counts
 PROBES = 3  # bits per entry
 ADD = 0.1
 FLUSH = 2_500_000
-CUTOFFS = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512, 1024, 4096, 1 << 16, 1 << 20, 1 << 30]
+CHUNK = 6_000_000  # bytes of text that ask for their counts together
 BEGIN = np.uint64(0x5851F42D4C957F2D)
 END_WORD = "\n"  # no word has white space
 GOLD = np.uint64(0x9E3779B97F4A7C15)
+UPPER = np.uint64(0xFFFFFFFFFFFF0000)  # of an n-gram's hash
 
 
 def held_out() -> F.Column:
@@ -66,10 +66,29 @@ def ngrams(tokens: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarr
         before = np.concatenate([[BEGIN], before[:-1]])
         before[first] = BEGIN
         gram = mix(gram * GOLD + before + np.uint64(n))
-        out.append(gram)
+        out.append(gram & UPPER)
     return out
 
 
+def ranges(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(hash range, begin, end) of sorted keys."""
+    of = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    edges = np.searchsorted(of, np.arange(buckets + 1)).tolist()
+    return [(i, a, b) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+
+
+def squeeze(keys: np.ndarray) -> bytes:
+    """Sorted n-gram keys by planes of bytes, which compress where neighbours are alike."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].T).tobytes()
+
+
+def unsqueeze(raw: pa.Scalar) -> np.ndarray:
+    planes = np.frombuffer(raw.as_buffer(), np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, 2:] = planes.T
+    return out.view("<u8").reshape(-1)
+
+
 def quantise(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9).astype(np.int64)
 
@@ -86,7 +105,7 @@ def places(keys: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
 
 @dataclass
 class Filter:
-    """A segmented log-frequency Bloom filter: bytes [segment, bytes of a segment]."""
+    """A segment of a log-frequency Bloom filter."""
 
     raw: np.ndarray
     cutoff: int
@@ -94,14 +113,16 @@ class Filter:
     def level(self, keys: np.ndarray) -> np.ndarray:
         """The quantised count of each key, by probes of one level after the other until one misses."""
         out = np.zeros(len(keys), np.int64)
-        segments, size = self.raw.shape
         flat = self.raw.reshape(-1)
-        live, base = np.arange(len(keys)), (keys % np.uint64(segments)).astype(np.int64) * size
+        bits = np.uint64(len(flat) * 8)
+        live = np.arange(len(keys))
         for level in range(int(quantise(np.array([self.cutoff]))[0]), len(LEVELS)):
-            for probe in range(PROBES):
-                at = places(keys[live], level, probe, size * 8)
-                hit = flat[base[live] + (at >> 3)] >> (at & 7).astype(np.uint8) & 1
-                live = live[hit.astype(bool)]
+            at = mix(keys[live] + np.uint64(level * int(GOLD) & 0xFFFFFFFFFFFFFFFF))
+            step = mix(at) | np.uint64(1)
+            for _ in range(PROBES):
+                bit = at % bits
+                hit = (flat[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                live, at, step = live[hit], at[hit] + step[hit], step[hit]
             if not len(live):
                 break
             out[live] = level
@@ -120,19 +141,28 @@ def fill(keys: np.ndarray, counts: np.ndarray, cutoff: int, size: int) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _counts(docs: DataFrame, order: int, buckets: int) -> DataFrame:
-    """Per hash range: words with exact counts, n-grams with counts of 2 or more, and what a filter would need."""
+def _counts(docs: DataFrame, order: int, buckets: int, least: int) -> DataFrame:
+    """Per hash range: words with exact counts, and the filter's segment of n-grams with counts of `least` or more."""
 
     def pack(kind: int, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        keys, counts = total_by_key(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-        which, (k, c) = deal((keys % np.uint64(buckets)).astype(np.int32), keys, counts.astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([kind] * len(which), pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], ["bucket", "kind", "keys", "counts"])
+        keys = np.concatenate([k for k, _ in held])
+        if kind == 1:
+            keys, counts = total_by_key(keys, np.concatenate([c for _, c in held]))
+        else:
+            keys = np.sort(keys)
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            keys, counts = keys[first], np.diff(np.append(first, len(keys)))
+        counts = counts.astype(np.int64 if kind == 1 else np.int32)
+        cuts = ranges(keys, buckets)
+        k = [keys[a:b].tobytes() if kind == 1 else squeeze(keys[a:b]) for _, a, b in cuts]
+        c = [counts[a:b].tobytes() for _, a, b in cuts]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, *_ in cuts], pa.int32()), pa.array([kind] * len(cuts), pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], ["bucket", "kind", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {1: [], 2: []}
         size = {1: 0, 2: 0}
 
-        def add(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def add(kind: int, keys: np.ndarray, counts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
             held[kind].append((keys, counts))
             size[kind] += len(keys)
             if size[kind] > FLUSH:
@@ -145,7 +175,7 @@ def _counts(docs: DataFrame, order: int, buckets: int) -> DataFrame:
             some = np.flatnonzero(many)
             yield from add(1, of[some], many[some])
             for grams in ngrams(of[codes], offsets, order):
-                yield from add(2, *np.unique(grams, return_counts=True))
+                yield from add(2, grams)
         for kind in (1, 2):
             if held[kind]:
                 yield from pack(kind, held[kind])
@@ -153,75 +183,64 @@ def _counts(docs: DataFrame, order: int, buckets: int) -> DataFrame:
     def merge(group: pa.Table) -> pa.Table:
         kinds = group["kind"].to_pylist()
         own = {}
-        for kind in (1, 2):
+        for kind, read, t in ((1, lambda x: np.frombuffer(x.as_buffer(), np.uint64), np.int64), (2, unsqueeze, np.int32)):
             rows = [i for i, k in enumerate(kinds) if k == kind]
-            parts = [[np.frombuffer(group[c][i].as_buffer(), t) for i in rows] or [np.empty(0, t)] for c, t in (("keys", np.uint64), ("counts", np.int64))]
-            own[kind] = total_by_key(np.concatenate(parts[0]), np.concatenate(parts[1]))
+            keys = np.concatenate([read(group["keys"][i]) for i in rows] or [np.empty(0, np.uint64)])
+            own[kind] = total_by_key(keys, np.concatenate([np.frombuffer(group["counts"][i].as_buffer(), t) for i in rows] or [np.empty(0, t)]).astype(np.int64))
         words_, counts = own[1]
-        keep = own[2][1] >= 2
+        keep = own[2][1] >= least
         grams, times = own[2][0][keep], own[2][1][keep]
-        both, levels = np.concatenate([counts, times]), quantise(np.concatenate([counts, times]))
-        need = [int((levels[both >= c] - quantise(np.array([c]))[0] + 1).sum()) for c in CUTOFFS]
-        mass = [float(LEVELS[quantise(counts[counts >= c])].sum()) for c in CUTOFFS]
-        blob = lambda x: pa.array([x.tobytes()], pa.binary())
-        return pa.table({"bucket": group["bucket"][:1], "word_keys": blob(words_), "word_counts": blob(counts), "keys": blob(grams), "counts": blob(times), "tokens": pa.array([int(counts.sum())]), "distinct": pa.array([len(words_)]), "need": pa.array([need], pa.list_(pa.int64())), "mass": pa.array([mass], pa.list_(pa.float64()))})
+        need = int((quantise(times) - quantise(np.array([least]))[0] + 1).sum())
+        segment = fill(grams, times, least, max(64, int(need * PROBES / np.log(2) / 8) + 1))
+        blob = lambda x: pa.array([x], pa.binary())
+        return pa.table({"bucket": group["bucket"][:1], "word_keys": blob(words_.tobytes()), "word_counts": blob(counts.tobytes()), "segment": blob(segment), "tokens": pa.array([int(counts.sum())]), "distinct": pa.array([len(words_)])})
 
     parts = docs.mapInArrow(run, "bucket int, kind int, keys binary, counts binary")
-    whole = "bucket int, word_keys binary, word_counts binary, keys binary, counts binary, tokens bigint, distinct bigint, need array<bigint>, mass array<double>"
-    return parts.groupBy("bucket").applyInArrow(merge, whole)
+    return parts.groupBy("bucket").applyInArrow(merge, "bucket int, word_keys binary, word_counts binary, segment binary, tokens bigint, distinct bigint")
 
 
 @dataclass
 class Model:
-    """What a worker needs: the filter, totals, and the frequent words' exact counts."""
+    """What a worker needs: totals, and the frequent words' exact counts. The rest stays in the table of counts."""
 
-    filter: Filter
+    buckets: int
     tokens: int
     distinct: int
-    mass: float
     hot_keys: np.ndarray
     hot_counts: np.ndarray
     order: int
     mu: float
+    cutoff: int
 
-    def text_scores(self, codes: np.ndarray, offsets: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """log10 probability of each text."""
-        single = LEVELS[self.filter.level(of)]
-        chance = (single[codes] + ADD) / (self.mass + ADD * (self.distinct + 1))
-        context = np.concatenate([[len(of) - 1], codes[:-1]])
-        context[offsets[:-1]] = len(of) - 1  # as many texts begin as end
+    def frequent(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are broadcast, and the counts of these (0 of others)."""
+        if not len(self.hot_keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        place = np.minimum(np.searchsorted(self.hot_keys, keys), len(self.hot_keys) - 1)
+        is_hot = self.hot_keys[place] == keys
+        return is_hot, np.where(is_hot, self.hot_counts[place], 0)
+
+    def text_scores(self, codes: np.ndarray, offsets: np.ndarray, single: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of each text, from the words' counts by code and the n-grams' levels by token."""
+        chance = (single[codes] + ADD) / (self.tokens + ADD * (self.distinct + 1))
+        context = np.concatenate([[len(single) - 1], codes[:-1]])
+        context[offsets[:-1]] = len(single) - 1  # as many texts begin as end
         before = single[context]
-        for grams in ngrams(of[codes], offsets, self.order):
-            count = LEVELS[self.filter.level(grams)]
+        for level in levels:
+            count = LEVELS[level]
             chance = (count + self.mu * chance) / (np.maximum(before, count) + self.mu)
             before = np.concatenate([[0.0], count[:-1]])
             before[offsets[:-1]] = single[-1]
         return np.add.reduceat(np.log10(chance), offsets[:-1])
 
 
-def fit(docs: DataFrame, order: int = 2, mu: float = 40.0, hot: int = 1 << 20, filter_bytes: int = 64 << 20, least: int = 2) -> tuple[Model, DataFrame]:
-    """The model of all rows of `docs` (doc_id, text), and the table of exact counts."""
+def fit(docs: DataFrame, order: int = 2, mu: float = 40.0, hot: int = 1 << 20, least: int = 2) -> tuple[Model, DataFrame]:
+    """The model of all rows of `docs` (doc_id, text), and the table of exact counts and segments."""
     docs = docs.select("text")
     buckets = max(32, 2 * docs.rdd.getNumPartitions())
-    counts = materialize(_counts(docs, order, buckets), "counts")
-    needs = [F.sum(F.element_at("need", i + 1)).alias(f"need{i}") for i in range(len(CUTOFFS))]
-    masses = [F.sum(F.element_at("mass", i + 1)).alias(f"mass{i}") for i in range(len(CUTOFFS))]
-    total = counts.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct"), *needs, *masses).first()
+    counts = materialize(_counts(docs, order, buckets, least), "counts")
+    total = counts.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
     tokens, distinct = total["tokens"] or 0, total["distinct"] or 0
-    bits = lambda i: (total[f"need{i}"] or 0) * PROBES / np.log(2)
-    pick = next(i for i, c in enumerate(CUTOFFS) if c >= least and (bits(i) <= filter_bytes * 8 or c == CUTOFFS[-1]))
-    cutoff, size = CUTOFFS[pick], max(64, int(bits(pick) / 8 / buckets) + 1)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys, many = (np.concatenate([np.frombuffer(batch.column(c)[i].as_buffer(), t) for c in names]) for names, t in ((("word_keys", "keys"), np.uint64), (("word_counts", "counts"), np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("bucket").slice(i, 1), pa.array([fill(keys, many, cutoff, size)], pa.binary())], ["bucket", "segment"])
-
-    raw = np.zeros((buckets, size), np.uint8)
-    # At most filter_bytes come to the driver.
-    for row in counts.select("bucket", "word_keys", "word_counts", "keys", "counts").mapInArrow(build, "bucket int, segment binary").collect():
-        raw[row["bucket"]] = np.frombuffer(row["segment"], np.uint8)
     floor = max(1, -(-tokens // hot))  # at most `hot` words reach it
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,97 +254,64 @@ def fit(docs: DataFrame, order: int = 2, mu: float = 40.0, hot: int = 1 << 20, f
     keys = np.concatenate([np.frombuffer(r["k"], np.uint64) for r in rows] or [np.empty(0, np.uint64)])
     many = np.concatenate([np.frombuffer(r["c"], np.int64) for r in rows] or [np.empty(0, np.int64)])
     rank = np.argsort(keys)
-    return Model(Filter(raw, cutoff), tokens, distinct, float(total[f"mass{pick}"] or 0), keys[rank], many[rank], order, mu), counts
+    return Model(buckets, tokens, distinct, keys[rank], many[rank], order, mu, least), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """The contract's columns for every row of `docs` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    buckets = len(model.filter.raw)
-    names = ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "bucket", "part", "at", "keys", "times"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, score double, bucket int, part bigint, at binary, keys binary, times binary"
-
-    def batch_of(columns: dict[str, object], n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Model = shared.value
-        held: list[tuple[np.ndarray, ...]] = []
-        size, part = 0, 0
-
-        def rare() -> pa.RecordBatch:
-            at, keys, times = (np.concatenate(x) for x in zip(*held, strict=True))
-            which, (a, k, t) = deal((keys % np.uint64(buckets)).astype(np.int32), at, keys, times)
-            return batch_of({"bucket": which, "part": [part] * len(which), "at": a, "keys": k, "times": t}, len(which))
-
-        for block in blocks(batches):
-            rows = block.column("row").to_numpy()
-            part = int(rows[0]) >> 33
-            codes, offsets, of = _sequences(block.column("text"))
-            n = len(rows)
-            pair = np.repeat(np.arange(n), np.diff(offsets)) * len(of) + codes
-            pair, times = np.unique(pair, return_counts=True)
-            doc, code = np.divmod(pair, len(of))
-            place = np.searchsorted(own.hot_keys, of)
-            place = np.minimum(place, max(len(own.hot_keys) - 1, 0))
-            is_hot = own.hot_keys[place] == of if len(own.hot_keys) else np.zeros(len(of), bool)
-            log = np.log10(np.where(is_hot, own.hot_counts[place] if len(own.hot_keys) else 0, 1) + ADD)
-            hot = is_hot[code]
-            logs = np.bincount(doc[hot], weights=times[hot] * log[code[hot]], minlength=n)
-            known = np.bincount(doc[hot], weights=times[hot], minlength=n).astype(np.int64)
-            yield batch_of({"row": rows, "doc_id": block.column("doc_id"), "held_out": block.column("held_out"), "n_tokens": np.diff(offsets), "known": known, "logs": logs, "score": own.text_scores(codes, offsets, of)}, n)
-            held.append(((rows[doc[~hot]] & ((1 << 33) - 1)).astype(np.int64), of[code[~hot]], times[~hot].astype(np.int32)))
-            size += len(held[-1][0])
-            if size > FLUSH:
-                yield rare()
-                held, size = [], 0
-        if size:
-            yield rare()
-
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = docs.select("doc_id", "text", held_out().alias("held_out"), F.monotonically_increasing_id().alias("row"))
-    scored = materialize(rows.mapInArrow(run, schema), "scored")
+    dealt = rows.select(F.pmod(F.xxhash64("row"), F.lit(-(-size // CHUNK) or 1)).alias("chunk"), "doc_id", "text", "held_out")
 
-    def look_up(rare: pa.Table, exact: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], []]
-        if exact.num_rows:
-            keys, many = np.frombuffer(exact["word_keys"][0].as_buffer(), np.uint64), np.frombuffer(exact["word_counts"][0].as_buffer(), np.int64)
-        else:
-            keys, many = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for part, at, own, times in zip(rare["part"].to_pylist(), rare["at"], rare["keys"], rare["times"], strict=True):
-            at, own, times = np.frombuffer(at.as_buffer(), np.int64), np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(times.as_buffer(), np.int32)
-            count = np.zeros(len(own), np.int64)
-            if len(keys):
-                place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                count = np.where(keys[place] == own, many[place], 0)
-            doc, back = np.unique(at, return_inverse=True)
-            logs = np.bincount(back, weights=times * np.log10(count + ADD))
-            known = np.bincount(back, weights=times * (count > 0)).astype(np.int64)
-            for column, value in zip(out, (part, doc.tobytes(), logs.tobytes(), known.tobytes()), strict=True):
-                column.append(value)
-        return pa.table({"part": pa.array(out[0], pa.int64()), **{c: pa.array(x, pa.binary()) for c, x in zip(("at", "logs", "known"), out[1:], strict=True)}})
-
-    def add_up(group: pa.Table) -> pa.Table:
-        at, logs, known = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in group[c]]) for c, t in (("at", np.int64), ("logs", np.float64), ("known", np.int64)))
-        doc, back = np.unique(at, return_inverse=True)
-        row = doc + (group["part"][0].as_py() << 33)
-        return pa.table({"r_row": row, "r_logs": np.bincount(back, weights=logs), "r_known": np.bincount(back, weights=known).astype(np.int64)})
-
-    rare = scored.filter("bucket is not null").select("bucket", "part", "at", "keys", "times")
-    exact = counts.select("bucket", "word_keys", "word_counts")
-    sums = rare.groupBy("bucket").cogroup(exact.groupBy("bucket")).applyInArrow(look_up, "part bigint, at binary, logs binary, known binary")
-    sums = sums.groupBy("part").applyInArrow(add_up, "r_row bigint, r_logs double, r_known bigint")
-    main = scored.filter("row is not null").select(*names[:7])
-    unit = float(np.log10(model.tokens + ADD * (model.distinct + 1)))
-    return main.join(sums, F.col("row") == F.col("r_row"), "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("r_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("r_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
-        "score",
-    )
+    def ask(group: pa.Table) -> pa.Table:
+        """The distinct words that are not broadcast and the distinct n-grams of a chunk, sorted, by hash range."""
+        own: Model = shared.value
+        codes, offsets, of = _sequences(group["text"].combine_chunks())
+        rare = np.sort(of[~own.frequent(of)[0]])
+        grams = np.unique(np.concatenate([np.empty(0, np.uint64), *ngrams(of[codes], offsets, own.order)]))
+        words_, grams_ = ({i: (a, b) for i, a, b in ranges(x, own.buckets)} for x in (rare, grams))
+        which = sorted(words_.keys() | grams_.keys())
+        keys = [rare[slice(*words_.get(i, (0, 0)))].tobytes() for i in which]
+        packed = [squeeze(grams[slice(*grams_.get(i, (0, 0)))]) for i in which]
+        return pa.table({"bucket": pa.array(which, pa.int32()), "chunk": pa.array([group["chunk"][0].as_py()] * len(which), pa.int64()), "words": pa.array(keys, pa.binary()), "grams": pa.array(packed, pa.binary())})
+
+    def look_up(asked: pa.Table, held: pa.Table) -> pa.Table:
+        rare = [np.frombuffer(x.as_buffer(), np.uint64) for x in asked["words"]]
+        grams = [unsqueeze(x) for x in asked["grams"]]
+        edges = [np.cumsum([0, *map(len, x)]).tolist() for x in (rare, grams)]
+        words_, keys = (np.concatenate([np.empty(0, np.uint64), *x]) for x in (rare, grams))
+        count, level = np.zeros(len(words_), np.int64), np.zeros(len(keys), np.uint8)
+        if held.num_rows:
+            known, many = np.frombuffer(held["word_keys"][0].as_buffer(), np.uint64), np.frombuffer(held["word_counts"][0].as_buffer(), np.int64)
+            if len(known):
+                place = np.minimum(np.searchsorted(known, words_), len(known) - 1)
+                count = np.where(known[place] == words_, many[place], 0)
+            level = Filter(np.frombuffer(held["segment"][0].as_buffer(), np.uint8), shared.value.cutoff).level(keys).astype(np.uint8)
+        cut = lambda x, at: pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())
+        return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "counts": cut(count, edges[0]), "levels": cut(level, edges[1])})
+
+    def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
+        own: Model = shared.value
+        codes, offsets, of = _sequences(group["text"].combine_chunks())
+        answers = answers.sort_by("bucket")
+        count, level = (np.concatenate([np.empty(0, t), *(np.frombuffer(x.as_buffer(), t) for x in answers[c])]) for c, t in (("counts", np.int64), ("levels", np.uint8)))
+        is_hot, exact = own.frequent(of)
+        rare = np.flatnonzero(~is_hot)
+        exact[rare[np.argsort(of[rare])]] = count
+        grams = ngrams(of[codes], offsets, own.order)
+        _, at = np.unique(np.concatenate([np.empty(0, np.uint64), *grams]), return_inverse=True)
+        levels = [level[x] for x in np.split(at, len(grams))] if grams else []
+        starts = offsets[:-1]
+        logs = np.add.reduceat(np.log10(exact + ADD)[codes], starts)
+        n, unit = np.diff(offsets), float(np.log10(own.tokens + ADD * (own.distinct + 1)))
+        scores = own.text_scores(codes, offsets, exact.astype(np.float64), levels)
+        return pa.table({"doc_id": group["doc_id"], "held_out": group["held_out"], "n_tokens": n, "n_known": np.add.reduceat((exact > 0)[codes].astype(np.int64), starts), "train_tokens": pa.array([own.tokens] * len(n), pa.int64()), "base_score": logs - n * unit, "score": scores})
+
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "bucket int, chunk bigint, words binary, grams binary")
+    held = counts.select("bucket", "word_keys", "word_counts", "segment")
+    answers = asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(look_up, "chunk bigint, bucket int, counts binary, levels binary")
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,6 +165,25 @@ def test_filter_never_underestimates():
     assert (absent > 0).mean() < 0.3
 
 
+def test_lm_segments_grow_with_the_counts(spark):
+    rng = random.Random(4)
+    sizes = []
+    for n in (100, 800):
+        texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(100)) for _ in range(n)]
+        df = docs(spark, [(i, t) for i, t in enumerate(texts * 2)])
+        model, counts = language_model.fit(df)
+        rows = counts.select("bucket", "segment").collect()
+        sizes.append(sum(len(r.segment) for r in rows))
+        codes, offsets, of = language_model._sequences(pa.array(texts * 2))
+        keys, many = np.unique(language_model.ngrams(of[codes], offsets, 2)[0], return_counts=True)
+        parts = {i: (a, b) for i, a, b in language_model.ranges(keys, model.buckets)}
+        for r in rows:
+            a, b = parts[r.bucket]
+            level = language_model.Filter(np.frombuffer(r.segment, np.uint8), model.cutoff).level(keys[a:b])
+            assert (level >= language_model.quantise(many[a:b])).all()
+    assert sizes[1] > 5 * sizes[0]
+
+
 # ---- op5, op7 ------------------------------------------------------------------------------
 
 
