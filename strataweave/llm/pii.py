@@ -7,7 +7,7 @@ Bootstrap: base matches are seeds. The two words before a seed (L), and the word
 after (LR), are lexical patterns. Patterns with at least `support` distinct seeds of a kind are
 looked up at every shaped word of every text (one with a digit or an at sign); what stands in their slot is an instance. On the graph
 of patterns and instances scores go back and forth `rounds` times: a pattern's score is
-the mean score of what stands in its slots (seeds 1, words of no identifier's shape 0), times its
+the mean score of the distinct instances in its slots (seeds 1, words of no identifier's shape 0; copies count once), times its
 support's weight; another instance's score is the noisy-or of its patterns'. Instances that reach `confidence` in the slot of
 a pattern that does become spans of that pattern's kind.
 
@@ -146,6 +146,11 @@ def _seed_edges(base: DataFrame) -> DataFrame:
 SHAPED = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
 
+def _bare(word: Column) -> Column:
+    """A word without the marks at its ends."""
+    return F.regexp_replace(F.regexp_replace(word, r"^[^\pL\pN+@]+", ""), r"[^\pL\pN]+$", "")
+
+
 def _shaped_slots(docs: DataFrame) -> DataFrame:
     """doc_id, key, pattern, start, stop, value: every shaped word of every text under each of its patterns.
 
@@ -157,36 +162,37 @@ def _shaped_slots(docs: DataFrame) -> DataFrame:
     spans = _located(0, "word", SHAPED, lambda v: F.lit(True))
     each = found.select("doc_id", "key", F.explode(spans).alias("s")).select("doc_id", "key", "s.start", "s.value", F.explode(_contexts(_fold(F.col("s.before")), _fold(F.col("s.after")))).alias("pattern"))
     lead = F.length(F.regexp_extract("value", r"^[^\pL\pN+@]*+", 0))
-    bare = F.regexp_replace(F.regexp_replace("value", r"^[^\pL\pN+@]+", ""), r"[^\pL\pN]+$", "")
+    bare = _bare(F.col("value"))
     return each.select("doc_id", "key", "pattern", (F.col("start") + lead).alias("start"), (F.col("start") + lead + F.length(bare)).alias("stop"), bare.alias("value"))
 
 
-def _totals(docs: DataFrame, patterns: list[str]) -> DataFrame:
-    """(pattern, total): how often each of the patterns stands in the texts, whatever is in its slot.
+def _plain_slots(docs: DataFrame, patterns: list[str]) -> DataFrame:
+    """(pattern, plain): how many distinct words of no identifier's shape stand in the slots of each of the patterns.
 
-    Three words in a row are one row of a generator; a hash set of first words lets few of them go on.
+    Three words in a row are one row of a generator; a hash set of first words lets few of them go on. Copies of a word in a pattern count once.
     """
     firsts = sorted({p.split("\x01")[1] for p in patterns})
     words = F.regexp_extract_all(_fold(F.coalesce("text", F.lit(""))), F.lit(r"\S++"), F.lit(0))
     rows = docs.select(words.alias("w")).filter("size(w) > 2")
     tail = lambda k: F.slice("w", F.lit(k), F.size("w"))
     each = rows.select(F.explode(F.arrays_zip("w", tail(2), tail(3))).alias("x")).select("x.*").toDF("a", "b", "c").filter(F.col("a").isin(firsts))
-    both = F.array(_left(F.col("a"), F.col("b")), _around(F.col("a"), F.col("c")))
-    found = each.filter("c <> ''").select(F.explode(both).alias("pattern")).filter(F.col("pattern").isin(patterns))
-    return found.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+    place = lambda pattern, slot: F.struct(pattern.alias("pattern"), slot.alias("slot"))
+    both = F.array(place(_left(F.col("a"), F.col("b")), F.col("c")), place(_around(F.col("a"), F.col("c")), F.col("b")))
+    found = each.filter("c <> ''").select(F.explode(both).alias("x")).select("x.*").filter(F.col("pattern").isin(patterns) & ~F.col("slot").rlike("[9@]"))
+    return found.select("pattern", _bare(F.col("slot")).alias("slot")).distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("plain"))
 
 
 def _scored(graph: DataFrame, weights: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
     """(s_pattern, trust) and (n_instance, n_kind, score) after some rounds.
 
-    graph: pattern, kind, instance, seed, times, shaped; weights: w_pattern, total, weight.
+    graph: pattern, kind, instance, seed, shaped; weights: w_pattern, total (distinct instances), weight.
     """
     nodes = graph.groupBy("instance", "kind").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(0.0)).alias("score"))
     trusts = None
     for _ in range(rounds):
         known = nodes.select(F.col("instance").alias("n_instance"), F.col("kind").alias("n_kind"), "score")
         valued = graph.join(known, (F.col("instance") == F.col("n_instance")) & (F.col("kind") == F.col("n_kind")))
-        gained = valued.groupBy("pattern").agg(F.sum(F.col("score") * F.col("times")).alias("sum")).join(weights, F.col("pattern") == F.col("w_pattern"))
+        gained = valued.groupBy("pattern").agg(F.sum("score").alias("sum")).join(weights, F.col("pattern") == F.col("w_pattern"))
         trusts = materialize(gained.select(F.col("pattern").alias("s_pattern"), (F.least(F.col("sum") / F.col("total"), F.lit(1.0)) * F.col("weight")).alias("trust")), "pattern-scores")
         back = graph.join(trusts, F.col("pattern") == F.col("s_pattern"), "left")
         doubt = F.sum(F.log(F.greatest(1 - F.coalesce("trust", F.lit(0.0)), F.lit(1e-9))))
@@ -214,10 +220,10 @@ def discover(docs: DataFrame, base: DataFrame, support: int = 4, rounds: int = 3
     taken = F.coalesce(F.exists("spans", lambda s: (s["start"] < F.greatest(F.col("stop"), F.col("start") + 1)) & (s["stop"] > F.col("start"))), F.lit(False))
     found = joined.select("doc_id", "key", "pattern", "kind", "seeds", "start", "stop", F.lower(F.coalesce(same, "value")).alias("instance"), same.isNotNull().alias("seed"), taken.alias("taken"))
     found = materialize(found, "slots")
-    graph = found.groupBy("pattern", "kind", "instance").agg(F.bool_or("seed").alias("seed"), F.count(F.lit(1)).alias("times"), F.max("seeds").alias("seeds"))
+    graph = found.groupBy("pattern", "kind", "instance").agg(F.bool_or("seed").alias("seed"), F.max("seeds").alias("seeds"))
     graph = materialize(graph.withColumn("shaped", F.col("seed") | (F.length("instance") >= 4)), "pattern-graph")
     weight = (1 - 1 / (1 + F.max("seeds"))).alias("weight")
-    weights = graph.groupBy(F.col("pattern").alias("w_pattern")).agg(F.sum("times").alias("total"), weight)
+    weights = graph.groupBy(F.col("pattern").alias("w_pattern")).agg(F.count(F.lit(1)).alias("total"), weight)
 
     def passing(weights: DataFrame) -> DataFrame:
         trusts, scores = _scored(graph, weights, rounds)
@@ -238,10 +244,10 @@ def discover(docs: DataFrame, base: DataFrame, support: int = 4, rounds: int = 3
     for g in range(groups):  # groups of a bounded size, one after the other
         names = [r["w_pattern"] for r in open_.filter(F.pmod(F.xxhash64("w_pattern"), F.lit(groups)) == g).select("w_pattern").collect()]
         if names:
-            part = _totals(docs, names)
+            part = _plain_slots(docs, names)
             totals = part if totals is None else totals.unionByName(part)
     totals = materialize(totals, "pattern-totals")
-    exact = weights.drop("total").join(totals, F.col("w_pattern") == F.col("pattern")).select("w_pattern", "total", "weight")
+    exact = open_.join(totals, F.col("w_pattern") == F.col("pattern"), "left").select("w_pattern", (F.col("total") + F.coalesce("plain", F.lit(0))).alias("total"), "weight")
     return passing(exact).select("doc_id", "key", "kind", "start", "stop").distinct()
 
 

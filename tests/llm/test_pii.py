@@ -75,6 +75,20 @@ def test_contexts_find_unseen_identifiers(spark, tmp_path):
     assert all(got[i].n_phone == 1 and got[i].spans for i in range(8))
 
 
+def test_copies_count_once_in_a_pattern(spark, tmp_path):
+    rows = [(i, f"Some words. Please call +1 (555) 010-{1000 + i} today or not.", "", "") for i in range(20)]
+    rows += [(100 + i, "Please call us.", "", "") for i in range(500)]
+    rows += [(50, "Some words. Please call 555-0199x today or not.", "", "")]
+    # Five seeds, one of them copied, among thirty words.
+    rows += [(2000 + i, f"We visit a{min(i, 4)}@b.cd", "", "") for i in range(300)]
+    rows += [(3000 + i, f"We visit {chr(97 + i % 26)}{'xyz'[i // 26]}", "", "") for i in range(30)]
+    rows += [(51, "We visit room-17", "", "")]
+    got = {r.doc_id: r for r in run(spark, rows, tmp_path)}
+    at = rows[520][1].index("555")
+    assert got[50].spans == f"phone:{at}:{at + 9}"
+    assert got[51].spans == ""
+
+
 def test_repeated_rows_and_empty_table(spark, tmp_path):
     got = run(spark, [(1, "a@b.cd", "", ""), (1, "a@b.cd", "", ""), (1, "none", "", ""), (None, "a@b.cd", "", "")], tmp_path)
     assert sorted((r.doc_id is None, r.n_email) for r in got) == [(False, 0), (False, 1), (False, 1), (True, 1)]
