@@ -6,9 +6,9 @@ words' counts stay exact. The n-grams' counts are quantised, q = 1 + floor(log_B
 (n-gram, 1) ... (n-gram, q) enter the filter: each hash range has a segment of its own, sized by its own counts and written to
 the shared folder by the reducer that has them. Segments grow in number and in total with the corpus; nothing is left out to fit a size.
 
-Score: texts are dealt over chunks of about CHUNK bytes. A chunk sends its distinct words and n-grams to their hash ranges, is
+Score: texts lie in chunks of about CHUNK bytes. A chunk sends its distinct words and n-grams to their hash ranges, is
 answered with exact counts and levels in the same order, and scores its texts. A count is read by probing (n-gram, 1),
-(n-gram, 2), ... until a probe misses. A word's probability is the n-gram's count smoothed by the lower order's probability
+(n-gram, 2), ... until a probe misses, and is at most those of the two shorter n-grams within. A word's probability is the n-gram's count smoothed by the lower order's probability
 (Dirichlet prior of weight `mu`), down to additively smoothed single words.
 
 Base score: exact. Words that are at least one in `hot` of all training tokens, so at most `hot` words,
@@ -33,7 +33,7 @@ from strataweave.llm.common import blocks, hashes, mix, table, total_by_key, wor
 from strataweave.session import materialize
 
 BASE = 1.6  # of the quantised counts
-PROBES = 3  # bits per entry
+PROBES = 6  # bits per entry
 ADD = 0.1
 FLUSH = 2_500_000
 CHUNK = 6_000_000  # bytes of text that ask for their counts together
@@ -225,8 +225,13 @@ class Model:
         chance = (single[codes] + ADD) / (self.tokens + ADD * (self.distinct + 1))
         context = np.concatenate([[len(single) - 1], codes[:-1]])
         context[offsets[:-1]] = len(single) - 1  # as many texts begin as end
-        before = single[context]
+        # No n-gram is more frequent than the two that it is made of, whatever a probe says.
+        quantised = np.where(single > 0, quantise(single), 0)
+        before, most = single[context], np.minimum(quantised[context], quantised[codes])
         for level in levels:
+            level = np.minimum(level, most)
+            most = np.minimum(np.concatenate([[0], level[:-1]]), level)
+            most[offsets[:-1]] = np.minimum(quantised[-1], level[offsets[:-1]])
             count = LEVELS[level]
             chance = (count + self.mu * chance) / (np.maximum(before, count) + self.mu)
             before = np.concatenate([[0.0], count[:-1]])
@@ -234,10 +239,10 @@ class Model:
         return np.add.reduceat(np.log10(chance), offsets[:-1])
 
 
-def fit(docs: DataFrame, order: int = 2, mu: float = 40.0, hot: int = 1 << 20, least: int = 2) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, order: int = 3, mu: float = 40.0, hot: int = 1 << 20, least: int = 1) -> tuple[Model, DataFrame]:
     """The model of all rows of `docs` (doc_id, text), and the table of exact counts and segments."""
     docs = docs.select("text")
-    buckets = max(32, 2 * docs.rdd.getNumPartitions())
+    buckets = max(32, 4 * docs.rdd.getNumPartitions())
     counts = materialize(_counts(docs, order, buckets, least), "counts")
     total = counts.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
     tokens, distinct = total["tokens"] or 0, total["distinct"] or 0
@@ -260,16 +265,26 @@ def fit(docs: DataFrame, order: int = 2, mu: float = 40.0, hot: int = 1 << 20, l
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """The contract's columns for every row of `docs` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per chunk, named by its first row: the texts as a compressed stream."""
+        for block in blocks(batches, chars=CHUNK):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(block)
+            yield pa.RecordBatch.from_arrays([block.column("row").slice(0, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
+
+    texts = lambda group: pa.ipc.open_stream(group["rows"][0].as_buffer()).read_all()
     rows = docs.select("doc_id", "text", held_out().alias("held_out"), F.monotonically_increasing_id().alias("row"))
-    dealt = rows.select(F.pmod(F.xxhash64("row"), F.lit(-(-size // CHUNK) or 1)).alias("chunk"), "doc_id", "text", "held_out")
+    dealt = rows.mapInArrow(pack, "chunk bigint, rows binary")
 
     def ask(group: pa.Table) -> pa.Table:
         """The distinct words that are not broadcast and the distinct n-grams of a chunk, sorted, by hash range."""
         own: Model = shared.value
-        codes, offsets, of = _sequences(group["text"].combine_chunks())
+        codes, offsets, of = _sequences(texts(group)["text"].combine_chunks())
         rare = np.sort(of[~own.frequent(of)[0]])
-        grams = np.unique(np.concatenate([np.empty(0, np.uint64), *ngrams(of[codes], offsets, own.order)]))
+        grams = np.sort(np.concatenate([np.empty(0, np.uint64), *ngrams(of[codes], offsets, own.order)]))
+        grams = grams[np.append(True, grams[1:] != grams[:-1])] if len(grams) else grams
         words_, grams_ = ({i: (a, b) for i, a, b in ranges(x, own.buckets)} for x in (rare, grams))
         which = sorted(words_.keys() | grams_.keys())
         keys = [rare[slice(*words_.get(i, (0, 0)))].tobytes() for i in which]
@@ -293,7 +308,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
         own: Model = shared.value
-        codes, offsets, of = _sequences(group["text"].combine_chunks())
+        own_rows = texts(group)
+        codes, offsets, of = _sequences(own_rows["text"].combine_chunks())
         answers = answers.sort_by("bucket")
         count, level = (np.concatenate([np.empty(0, t), *(np.frombuffer(x.as_buffer(), t) for x in answers[c])]) for c, t in (("counts", np.int64), ("levels", np.uint8)))
         is_hot, exact = own.frequent(of)
@@ -306,7 +322,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         logs = np.add.reduceat(np.log10(exact + ADD)[codes], starts)
         n, unit = np.diff(offsets), float(np.log10(own.tokens + ADD * (own.distinct + 1)))
         scores = own.text_scores(codes, offsets, exact.astype(np.float64), levels)
-        return pa.table({"doc_id": group["doc_id"], "held_out": group["held_out"], "n_tokens": n, "n_known": np.add.reduceat((exact > 0)[codes].astype(np.int64), starts), "train_tokens": pa.array([own.tokens] * len(n), pa.int64()), "base_score": logs - n * unit, "score": scores})
+        return pa.table({"doc_id": own_rows["doc_id"], "held_out": own_rows["held_out"], "n_tokens": n, "n_known": np.add.reduceat((exact > 0)[codes].astype(np.int64), starts), "train_tokens": pa.array([own.tokens] * len(n), pa.int64()), "base_score": logs - n * unit, "score": scores})
 
     asked = dealt.groupBy("chunk").applyInArrow(ask, "bucket int, chunk bigint, words binary, grams binary")
     held = counts.select("bucket", "word_keys", "word_counts", "segment")

@@ -184,6 +184,31 @@ def test_lm_segments_grow_with_the_counts(spark):
     assert sizes[1] > 5 * sizes[0]
 
 
+def test_lm_knows_what_was_seen_once(spark, tmp_path):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(300)]
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    free = [i for i in range(1000, 1400) if zlib.crc32(str(i).encode()) % 10 == 0]
+    shuffled = train[0].split()
+    rng.shuffle(shuffled)
+    rows += [(free[0], train[0]), (free[1], " ".join(shuffled))]
+    docs(spark, rows, tmp_path)
+    got = {r.doc_id: r for r in language_model.op4_lm_scores(spark, str(tmp_path)).collect()}
+    assert got[free[0]].held_out and got[free[1]].held_out
+    assert got[free[0]].score > 0.6 * got[free[1]].score
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet").filter(~language_model.held_out())
+    model, counts = language_model.fit(df)
+    codes, offsets, of = language_model._sequences(pa.array(train))
+    parts = {r.bucket: language_model.Filter(np.frombuffer(r.segment, np.uint8), model.cutoff) for r in counts.collect()}
+    for grams in language_model.ngrams(of[codes], offsets, 3):
+        keys = np.unique(grams)
+        assert all((parts[i].level(keys[a:b]) > 0).all() for i, a, b in language_model.ranges(keys, model.buckets))
+    model, counts = language_model.fit(df, order=2)
+    two = {r.doc_id: r.score for r in language_model.score(spark.read.parquet(f"{tmp_path}/documents.parquet"), model, counts).collect()}
+    assert got[free[0]].score > two[free[0]]
+
+
 # ---- op5, op7 ------------------------------------------------------------------------------
 
 
