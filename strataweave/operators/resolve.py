@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -157,27 +156,33 @@ def merge_allowed(a: Column, b: Column, similarity: Column) -> Column:
     return (similarity >= 0.9) | F.contains(x, y) | F.contains(y, x) | (overlap >= 0.6)
 
 
-def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The k most similar vectors of each query: q, id, similarity, rank. queries (q, v) are few: their blocks are broadcast behind a count."""
-    asked = [(r["q"], r["v"]) for r in queries.orderBy("q").limit(10_001).collect()]
-    if len(asked) > 10_000:
-        raise ValueError("more than 10,000 queries: join them in parts")
-    ids = [q for q, _ in asked]
-    m = np.array([v for _, v in asked], np.float64).reshape(len(asked), -1)
-    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f) or not ids:
-                continue
-            x = np.stack(f["v"].to_numpy()).astype(np.float64)
-            near = m @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-            own = f["id"].to_numpy()
-            for q, row in zip(ids, near, strict=True):
-                best = np.lexsort((own, -row))[: k + 1]
-                yield pd.DataFrame({"q": q, "id": own[best], "similarity": row[best]})
-
-    found = vectors.select("id", "v").mapInPandas(run, "q bigint, id bigint, similarity double").filter("q <> id")
+def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:
+    """The k most similar vectors of each query: q, id, similarity, rank; queries: q, v.
+
+    Queries and vectors are dealt over blocks of about `block` rows, and each pair of blocks is one exact matrix product that
+    leaves at most k vectors a query; the k best of these are the result.
+    """
+    parts = {name: max(1, -(-table.count() // block)) for name, table in (("q", queries), ("v", vectors))}
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("q", "v", deal("q", parts["q"]).alias("p"), every(parts["v"]).alias("o")).select((F.col("p") * parts["v"] + F.col("o")).alias("pair"), "q", "v")
+    right = vectors.select("id", F.col("v").alias("w"), deal("id", parts["v"]).alias("o"), every(parts["q"]).alias("p")).select((F.col("p") * parts["v"] + F.col("o")).alias("pair"), "id", "w")
+
+    def unit(column: pd.Series) -> np.ndarray:
+        x = np.stack(column.to_numpy()).astype(np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if len(a) and len(b):
+            own = b["id"].to_numpy()
+            for q, row in zip(a["q"], unit(a["v"]) @ unit(b["w"]).T, strict=True):
+                best = np.flatnonzero(own != q)
+                best = best[np.lexsort((own[best], -row[best]))[:k]]
+                out.append((np.full(len(best), q), own[best], row[best]))
+        return pd.DataFrame(dict(zip(("q", "id", "similarity"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    found = left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(run, "q bigint, id bigint, similarity double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 

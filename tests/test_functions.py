@@ -215,3 +215,12 @@ def test_flat_columns_and_attribution(spark):
     assert T.flat_columns(df).columns == ["r.a", "r.c.b", "z"]
     m = spark.range(1).select(T.with_pages(F.create_map(F.lit("t"), F.lit("x")), F.array(F.lit(3), F.lit(1)))).first()[0]
     assert m == {"t": "x", "page_attribution": "Seiten 1, 3"}
+
+
+def test_top_similar_of_more_than_ten_thousand_queries(spark):
+    v = spark.range(40).select("id", F.array(F.cos(F.col("id") / 7), F.sin(F.col("id") / 7)).alias("v"))
+    q = spark.range(10_050).select(F.col("id").alias("q"), F.array(F.cos(F.col("id") % 40 / 7), F.sin(F.col("id") % 40 / 7)).alias("v"))
+    got = {(r.q, r.rank): r.id for r in resolve.top_similar(v, q, 2).collect()}
+    assert len(got) == 2 * 10_050
+    assert got[10_040, 1] == 0 and got[10_040, 2] == 1  # the same angle as 10,040 % 40, then the next
+    assert got[0, 1] == 1 and got[0, 2] == 2  # a query is not its own neighbour
