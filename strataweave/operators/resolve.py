@@ -211,7 +211,8 @@ def fuzzy_quote(quotes: DataFrame, pages: DataFrame, least: float = 0.9) -> Data
 
     Exact containment is decided by the engine; only the rest goes to the matcher, a sliding window as wide as the quote.
     """
-    known = pages.select("page", T.quote_form(F.col("text")).alias("page_text"))
+    asked = pages.join(quotes.select("page").distinct(), "page", "left_semi")
+    known = asked.select("page", T.quote_form(F.col("text")).alias("page_text"))
     rows = quotes.withColumn("form", T.quote_form(F.col("quote"))).join(known, "page", "left")
     rows = rows.withColumn("outcome", F.when(F.col("page_text").isNull(), "page_not_found").when(F.contains("page_text", "form"), "exact"))
 

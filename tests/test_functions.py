@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataweave.config import Config
 from strataweave.functions import text as T
 from strataweave.operators import chunking, content, graph, oplog, resolve
-from strataweave.plans import analyze
+from strataweave.plans import analyze, resolution_queries
 from strataweave.sources import graphs, pages, sinks
 from strataweave.streaming import fold
 
@@ -224,3 +224,13 @@ def test_top_similar_of_more_than_ten_thousand_queries(spark):
     assert len(got) == 2 * 10_050
     assert got[10_040, 1] == 0 and got[10_040, 2] == 1  # the same angle as 10,040 % 40, then the next
     assert got[0, 1] == 1 and got[0, 2] == 2  # a query is not its own neighbour
+
+
+def test_quotes_are_sought_in_whole_documents(spark, tmp_path):
+    long = "Viele andere Worte stehen davor. " * 40
+    items = [(0, "take all the words of one quote"), (1, "words that stand in none"), (2, "words as they are"), (3, "a quote without document")]
+    texts = [(0, f"{long} Take all the words of one quote. {long}"), (3, long), (6, f"{long} Words as they are."), (7, "else")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.q_id: r.outcome for r in resolution_queries.quote_fuzzy_match(spark, str(tmp_path)).collect()}
+    assert got == {0: "fuzzy", 1: "no_match", 2: "exact", 3: "page_not_found"}
