@@ -78,15 +78,19 @@ def ranges(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
 
 
 def squeeze(keys: np.ndarray) -> bytes:
-    """Sorted n-gram keys by planes of bytes, which compress where neighbours are alike."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].T).tobytes()
+    """Sorted n-gram keys: their number, then the steps between them by planes of bytes, the upper three compressed."""
+    steps = np.diff(keys >> np.uint64(16), prepend=np.uint64(0)).astype("<u8")
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :6].T)
+    return len(keys).to_bytes(4, "little") + planes[:3].tobytes() + pa.compress(planes[3:].tobytes(), "zstd", asbytes=True)
 
 
 def unsqueeze(raw: pa.Scalar) -> np.ndarray:
-    planes = np.frombuffer(raw.as_buffer(), np.uint8).reshape(6, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, 2:] = planes.T
-    return out.view("<u8").reshape(-1)
+    raw = raw.as_buffer()
+    n = int.from_bytes(raw[:4].to_pybytes(), "little")
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :3] = np.frombuffer(raw[4 : 4 + 3 * n], np.uint8).reshape(3, n).T
+    steps[:, 3:6] = np.frombuffer(pa.decompress(raw[4 + 3 * n :], 3 * n, "zstd"), np.uint8).reshape(3, n).T
+    return np.cumsum(steps.view("<u8").reshape(-1), dtype=np.uint64) << np.uint64(16)
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
