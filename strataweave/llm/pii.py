@@ -1,22 +1,29 @@
 """Personal data: fixed patterns, and contextual patterns bootstrapped from what they find.
 
 Base: emails, IP addresses, card and phone numbers by regular expression, leftmost and
-non-overlapping per kind, with checks that drop a match.
+non-overlapping per kind, with checks that drop a match. Labelled secrets (token = "...") are a kind beside these four, reported
+apart and never in the base.
 
-Bootstrap: base matches are seeds. The two words before a seed (L), and the word before with the word
-after (LR), are lexical patterns. Patterns with at least `support` distinct seeds of a kind are
-looked up at every shaped word of every text (one with a digit or an at sign); what stands in their slot is an instance. On the graph
-of patterns and instances scores go back and forth `rounds` times: a pattern's score is
-the mean score of the distinct instances in its slots (seeds 1, words of no identifier's shape 0; copies count once), times its
-support's weight; another instance's score is the noisy-or of its patterns'. Instances that reach `confidence` in the slot of
-a pattern that does become spans of that pattern's kind.
+Bootstrap: every word with a digit or an at sign, run on over words of a number's shape, is an instance with its place.
+Instances that are wholly a base match are seeds. A lexical pattern is the words around a slot for such words: the word before
+(a label keeps its colon), two words before, one on either side, two after, where a line's ends count as words and digits are alike. The graph of
+patterns and instances is built once; then `rounds` times
+
+1. patterns with at least `support` accepted distinct instances, `purity` of them of one kind, are induced for that kind;
+2. a pattern's trust is the mean score of the distinct instances in its slots, times 1 - 1 / (1 + support);
+3. another instance's score is the noisy-or of its patterns' trusts, for its best kind; it is accepted, and induces
+   patterns in the next round, if that reaches `confidence`, a pattern reaches `trust`, and the value has the kind's shape.
+
+Copies of a value in a pattern count once. Accepted instances in the slot of a trusted pattern of their kind become spans, where
+they do not overlap a base span.
 
 Everything is DataFrame functions. Possessive quantifiers and look-behinds keep the regular
-expressions linear and free of recursion in very long texts; they match what the plain ones do.
+expressions linear and free of recursion in very long texts; they match what the plain ones do. The graph's keys are 64-bit hashes.
 
 Defined results: null and empty texts have no spans and the digest of the empty string. Places are code points, ends exclusive.
 Repeated rows are each reported; rows with one id and different texts are told apart by the text's
-hash. An empty table gives an empty result. Columns beside doc_id and text never enter.
+hash. Of kinds that score alike the first listed is taken. An empty table gives an empty result. Very long texts are read
+whole, in time in proportion. Columns beside doc_id and text never enter.
 """
 
 from __future__ import annotations
@@ -35,9 +42,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "phone": "+"}  # a text without it has no match
-REACH = 120  # characters on either side of a seed that its context words are taken from
-SPAN = "struct<kind:int,start:int,stop:int,value:string,before:string,after:string>"
-PATTERNS_AT_ONCE = 5_000  # patterns that one pass over the texts looks up
+SPAN = "struct<kind:int,start:int,stop:int>"
+SECRET = len(KINDS)  # the number of the fifth kind
+SECRET_LABEL = "(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)"
+SECRET_VALUE = r"[A-Za-z0-9_+/=.-]{12,}+"
 
 
 def _digits(value: Column) -> Column:
@@ -67,6 +75,24 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _starts(sizes: Column) -> Column:
+    """What stands before each entry of an array of sizes, added up; in blocks, so that long arrays are not copied entry by entry."""
+    block = F.greatest(F.ceil(F.sqrt(F.size(sizes))), F.lit(1)).cast("int")
+    blocks = F.ceil(F.size(sizes) / block).cast("int")
+    begin = lambda at: F.struct(at.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda state, x: F.struct((state["at"] + x).cast("int").alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+    part = lambda j: F.slice(sizes, j * block + 1, block)
+    whole = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.aggregate(part(j), F.lit(0), lambda a, x: a + x))
+    firsts = F.aggregate(whole, begin(F.lit(0)), step, lambda s: s["out"])
+    each = F.transform(firsts, lambda at, j: F.aggregate(part(j), begin(at), step, lambda s: s["out"]))
+    return F.when(F.size(sizes) > 0, F.flatten(each)).otherwise(F.array().cast("array<int>"))
+
+
+def _gaps(pattern: str, hits: Column) -> Column:
+    """What stands before each hit of a pattern, since the hit before."""
+    return F.slice(F.split("text", pattern, -1), F.lit(1), F.size(hits))
+
+
 def _located(number: int, kind: str, pattern: str, valid) -> Column:
     """The spans of a kind, from `text` and the matches of its pattern in `<kind>_found`.
 
@@ -74,32 +100,18 @@ def _located(number: int, kind: str, pattern: str, valid) -> Column:
     without a match that passes are not split.
     """
     hits = F.col(f"{kind}_found")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        place = (state["at"] + F.length(x["gap"])).cast("int")
-        one = F.array(F.struct(place.alias("start"), x["hit"].alias("value")))
-        return F.struct((place + F.length(x["hit"])).cast("int").alias("at"), F.concat(state["out"], one).alias("out"))
-
-    def span(x: Column) -> Column:
-        return F.struct(
-            F.lit(number).alias("kind"),
-            x["start"].alias("start"),
-            (x["start"] + F.length(x["value"])).cast("int").alias("stop"),
-            x["value"].alias("value"),
-            F.substring("text", F.greatest(x["start"] - REACH, F.lit(0)) + 1, F.least(x["start"], F.lit(REACH))).alias("before"),
-            F.substring("text", x["start"] + F.length(x["value"]) + 1, F.lit(REACH)).alias("after"),
-        )
-
-    gaps = F.split("text", pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    located = F.aggregate(pairs, start, step, lambda s: s["out"])
-    spans = F.transform(F.filter(located, lambda x: valid(x["value"])), span)
+    sizes = F.transform(F.arrays_zip(_gaps(pattern, hits).alias("gap"), hits.alias("hit")), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), x["hit"].alias("value")))
+    places = F.transform(
+        F.arrays_zip(sizes.alias("x"), _starts(F.transform(sizes, lambda x: x["gap"] + x["hit"])).alias("before")),
+        lambda z: F.struct((z["before"] + z["x"]["gap"]).alias("start"), z["x"]["hit"].alias("long"), z["x"]["value"].alias("value")),
+    )
+    span = lambda x: F.struct(F.lit(number).alias("kind"), x["start"].alias("start"), (x["start"] + x["long"]).alias("stop"))
+    spans = F.transform(F.filter(places, lambda x: valid(x["value"])), span)
     return F.when(F.exists(hits, valid), spans).otherwise(F.array()).cast(f"array<{SPAN}>")
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the text), spans: the base matches that pass, each with what stands around it."""
+    """doc_id, key (hash of the text), spans: the base matches that pass."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     none = F.array().cast("array<string>")
     found = [
@@ -113,166 +125,154 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return held.select("doc_id", "key", F.concat(*each).alias("spans"))
 
 
-def _fold(text: Column) -> Column:
-    """Lower case, digits alike: contexts are compared in this form."""
-    return F.translate(F.lower(text), "012345678", "999999999")
-
-
-def _left(a: Column, b: Column) -> Column:
-    """The pattern of two words before; null if one is missing."""
-    return F.when((a != "") & (b != ""), F.concat(F.lit("L\x01"), a, F.lit("\x01"), b))
-
-
-def _around(a: Column, b: Column) -> Column:
-    """The pattern of a word before and a word after."""
-    return F.when((a != "") & (b != ""), F.concat(F.lit("LR\x01"), a, F.lit("\x01"), b))
+#: An instance: a word with a digit or an at sign; one that ends in a digit or a bracket runs on over words of a number's shape.
+INSTANCE = (
+    r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+    r"(?:(?<=[0-9)])(?:\x20[+(]?[0-9][0-9().-]*+(?!\S))*+(?:(?<=[0-9)])\x20[0-9][0-9().-]*+[\p{P}&&[^(]]*+(?!\S))?+)?+"
+)
+LEAD = r"^(?:[^\pL\pN+@(]|\((?![0-9]+\)))*+"  # marks that are not part of a value
+#: What a value must be like to be taken for a kind: an at sign; digits and dots or colons; digits enough.
+SHAPES = {"email": r"@", "ip": r"^[0-9a-fA-F]*[.:][0-9a-fA-F.:]*[0-9]", "card": r"^[^A-Za-z]*(?:[0-9][^A-Za-z0-9]*){12}", "phone": r"^[^A-Za-z]*(?:[0-9][^A-Za-z0-9]*){7}", "secret": r"^(?=.*[0-9])\S{8,}$"}
 
 
-def _contexts(before: Column, after: Column) -> Column:
-    """The patterns of a place, from the folded text on either side of it."""
-    before = F.regexp_replace(before, r"\S++$", "")
-    first, second = F.regexp_extract(before, r"(\S++)\s++\S++\s*+$", 1), F.regexp_extract(before, r"(\S++)\s*+$", 1)
-    return F.array_compact(F.array(_left(first, second), _around(second, F.regexp_extract(after, r"^\S*+\s++(\S++)", 1))))
-
+def _fold(text: Column) -> Column:
+    """Lower case, digits alike, line ends as a word: contexts are compared in this form."""
+    return F.regexp_replace(F.translate(F.lower(text), "012345678", "999999999"), r"[^\S\n]*+\n\s*+", " ^ ")
 
-def _seed_edges(base: DataFrame) -> DataFrame:
-    """(pattern, kind, instance) for every base match."""
-    each = base.select(F.explode("spans").alias("s"))
-    words = _contexts(_fold(F.col("s.before")), _fold(F.col("s.after")))
-    return each.select(F.explode(words).alias("pattern"), F.col("s.kind").alias("kind"), F.lower("s.value").alias("instance"))
 
+def _words(text: Column) -> Column:
+    """Words without the marks around them, but for a label's colon or equals sign."""
+    bare = F.transform(F.split(F.trim(text), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\pL\pN+^=]+|[^\pL\pN:=^]+$", ""))
+    return F.filter(bare, lambda w: w != "")
 
-#: A word of an identifier's shape: it has a digit or an at sign.
-SHAPED = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
+def _patterns(before: Column, after: Column) -> Column:
+    """The names of the patterns of a slot, from the words on either side (nearest first)."""
+    b = lambda i: F.get(before, i)
+    a = lambda i: F.get(after, i)
+    named = lambda tag, *w: F.when(w[-1].isNotNull() & w[0].isNotNull(), F.xxhash64(F.lit(tag), *w))
+    return F.array_distinct(F.array_compact(F.array(named("L", b(0)), named("LL", b(0), b(1)), named("LR", b(0), a(0)), named("RR", a(0), a(1)))))
 
-def _bare(word: Column) -> Column:
-    """A word without the marks at its ends."""
-    return F.regexp_replace(F.regexp_replace(word, r"^[^\pL\pN+@]+", ""), r"[^\pL\pN]+$", "")
 
+def _kind_of(value: Column, secret: Column) -> Column:
+    """The kind that a value wholly is, null if none; -1 if it only holds an email, an address or a number of a kind."""
+    whole = lambda k: value.rlike("^(?:" + PATTERNS[k].replace(r"(?:(?<![A-Za-z0-9._%+-])|\G)", "").replace("(?<![0-9])", "") + ")$")
+    kind = F.when(secret, F.lit(SECRET))
+    for i, k in enumerate(KINDS):
+        kind = kind.when(whole(k) & _valid(k, value), F.lit(i))
+    return kind.when(value.rlike(PATTERNS["email"]) | value.rlike(PATTERNS["ip"]) | value.rlike(PATTERNS["phone"]), F.lit(-1))
 
-def _shaped_slots(docs: DataFrame) -> DataFrame:
-    """doc_id, key, pattern, start, stop, value: every shaped word of every text under each of its patterns.
 
-    Marks at the word's ends are not part of the value.
-    """
+def instances(docs: DataFrame) -> DataFrame:
+    """doc_id, key, start, stop, instance (hash of the value), kind (of a seed, else null), shapes, patterns: every place of every text."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    hits = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(SHAPED), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    found = rows.select("doc_id", "text", F.xxhash64("text").alias("key"), hits.alias("word_found")).filter("size(word_found) > 0")
-    spans = _located(0, "word", SHAPED, lambda v: F.lit(True))
-    each = found.select("doc_id", "key", F.explode(spans).alias("s")).select("doc_id", "key", "s.start", "s.value", F.explode(_contexts(_fold(F.col("s.before")), _fold(F.col("s.after")))).alias("pattern"))
-    lead = F.length(F.regexp_extract("value", r"^[^\pL\pN+@]*+", 0))
-    bare = _bare(F.col("value"))
-    return each.select("doc_id", "key", "pattern", (F.col("start") + lead).alias("start"), (F.col("start") + lead + F.length(bare)).alias("stop"), bare.alias("value"))
-
-
-def _plain_slots(docs: DataFrame, patterns: list[str]) -> DataFrame:
-    """(pattern, plain): how many distinct words of no identifier's shape stand in the slots of each of the patterns.
-
-    Three words in a row are one row of a generator; a hash set of first words lets few of them go on. Copies of a word in a pattern count once.
-    """
-    firsts = sorted({p.split("\x01")[1] for p in patterns})
-    words = F.regexp_extract_all(_fold(F.coalesce("text", F.lit(""))), F.lit(r"\S++"), F.lit(0))
-    rows = docs.select(words.alias("w")).filter("size(w) > 2")
-    tail = lambda k: F.slice("w", F.lit(k), F.size("w"))
-    each = rows.select(F.explode(F.arrays_zip("w", tail(2), tail(3))).alias("x")).select("x.*").toDF("a", "b", "c").filter(F.col("a").isin(firsts))
-    place = lambda pattern, slot: F.struct(pattern.alias("pattern"), slot.alias("slot"))
-    both = F.array(place(_left(F.col("a"), F.col("b")), F.col("c")), place(_around(F.col("a"), F.col("c")), F.col("b")))
-    found = each.filter("c <> ''").select(F.explode(both).alias("x")).select("x.*").filter(F.col("pattern").isin(patterns) & ~F.col("slot").rlike("[9@]"))
-    return found.select("pattern", _bare(F.col("slot")).alias("slot")).distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("plain"))
+    hits = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(INSTANCE), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = rows.select("doc_id", "text", F.xxhash64("text").alias("key"), hits.alias("hits")).filter("size(hits) > 0")
+    parts = found.select("doc_id", "key", "hits", F.split("text", INSTANCE, -1).alias("gaps"))
+    sizes = F.zip_with(F.slice("gaps", F.lit(1), F.size("hits")), "hits", lambda g, h: F.length(g) + F.length(h))
+    zipped = F.arrays_zip(
+        F.col("hits").alias("hit"),
+        _starts(sizes).alias("at"),
+        F.slice("gaps", F.lit(1), F.size("hits")).alias("gap"),
+        F.slice("gaps", F.lit(2), F.size("hits")).alias("next"),
+        F.concat(F.array(F.lit("\n")), F.slice("hits", F.lit(1), F.size("hits") - 1)).alias("last"),
+        F.concat(F.slice("hits", F.lit(2), F.size("hits") - 1), F.array(F.lit("\n"))).alias("follow"),
+    )
+    each = parts.select("doc_id", "key", F.explode(zipped).alias("x")).select("doc_id", "key", "x.*")
+    each = each.select(
+        "doc_id",
+        "key",
+        (F.col("at") + F.length("gap") + F.length(F.regexp_extract("hit", LEAD, 0))).alias("start"),
+        F.regexp_replace(F.regexp_replace("hit", LEAD, ""), r"[^\pL\pN]+$", "").alias("value"),
+        F.substring_index(F.rtrim(_fold(F.concat("last", "gap"))), " ", -4).alias("before"),
+        F.substring_index(F.ltrim(_fold(F.concat("next", "follow"))), " ", 4).alias("after"),
+    ).filter("value <> ''")
+    secret = F.col("value").rlike(f"^{SECRET_LABEL}[:=]") | F.col("before").rlike(f"{SECRET_LABEL}[\"']?\\s*[:=]\\s*$")
+    shapes = F.array_compact(F.array(*(F.when(F.col("value").rlike(SHAPES[k]), F.lit(i)) for i, k in enumerate((*KINDS, "secret")))))
+    return each.select(
+        "doc_id",
+        "key",
+        "start",
+        (F.col("start") + F.length("value")).alias("stop"),
+        F.xxhash64(F.lower("value")).alias("instance"),
+        _kind_of(F.col("value"), secret & F.col("value").rlike(f"^{SECRET_VALUE}$") & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")).alias("kind"),
+        shapes.alias("shapes"),
+        _patterns(F.reverse(_words(F.col("before"))), _words(F.col("after"))).alias("patterns"),
+    )
 
 
-def _scored(graph: DataFrame, weights: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(s_pattern, trust) and (n_instance, n_kind, score) after some rounds.
+def bootstrap(edges: DataFrame, support: int = 4, rounds: int = 3, confidence: float = 0.75, trust: float = 0.5, purity: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """(instance, kind, score) of accepted instances that are no seeds, and (pattern, kind, trust).
 
-    graph: pattern, kind, instance, seed, shaped; weights: w_pattern, total (distinct instances), weight.
+    edges: pattern, instance, kind (of a seed, else null), shapes; one row a (pattern, instance) pair.
     """
-    nodes = graph.groupBy("instance", "kind").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(0.0)).alias("score"))
-    trusts = None
+    total = edges.groupBy(F.col("pattern").alias("t_pattern")).agg(F.count(F.lit(1)).alias("total"))
+    # A pattern with fewer instances is never induced.
+    total = materialize(total.filter(F.col("total") >= support), "pattern-totals")
+    graph = materialize(edges.join(total, F.col("pattern") == F.col("t_pattern")).select("pattern", "instance", "kind", "shapes", "total"), "pattern-graph")
+    seeds = graph.filter("kind >= 0").select(F.col("instance").alias("n_instance"), F.col("kind").alias("n_kind")).distinct()
+    nodes = materialize(seeds.withColumns({"score": F.lit(1.0), "accepted": F.lit(True)}), "instance-scores")
+    seeds, trusts = nodes, None
     for _ in range(rounds):
-        known = nodes.select(F.col("instance").alias("n_instance"), F.col("kind").alias("n_kind"), "score")
-        valued = graph.join(known, (F.col("instance") == F.col("n_instance")) & (F.col("kind") == F.col("n_kind")))
-        gained = valued.groupBy("pattern").agg(F.sum("score").alias("sum")).join(weights, F.col("pattern") == F.col("w_pattern"))
-        trusts = materialize(gained.select(F.col("pattern").alias("s_pattern"), (F.least(F.col("sum") / F.col("total"), F.lit(1.0)) * F.col("weight")).alias("trust")), "pattern-scores")
-        back = graph.join(trusts, F.col("pattern") == F.col("s_pattern"), "left")
-        doubt = F.sum(F.log(F.greatest(1 - F.coalesce("trust", F.lit(0.0)), F.lit(1e-9))))
-        either = F.when(F.bool_or("seed"), 1.0).when(F.bool_or("shaped"), 1 - F.exp(doubt)).otherwise(0.0)
-        nodes = materialize(back.groupBy("instance", "kind").agg(either.alias("score")), "instance-scores")
-    return trusts, nodes.select(F.col("instance").alias("n_instance"), F.col("kind").alias("n_kind"), "score")
-
-
-def discover(docs: DataFrame, base: DataFrame, support: int = 4, rounds: int = 3, confidence: float = 0.75, trust: float = 0.5) -> DataFrame | None:
-    """doc_id, key, kind, start, stop of identifiers that contextual patterns find; None if there are none.
-
-    Only shaped words can be found, so they are looked at first, with the pattern's other slots left out of its
-    score. That score is an upper bound, and what does not pass with it does not pass. Only if something does,
-    the patterns concerned are counted at every word of every text.
+        valued = graph.join(nodes, F.col("instance") == F.col("n_instance"))
+        by_kind = valued.groupBy("pattern", "n_kind").agg(F.sum("score").alias("sum"), F.count_if("accepted").alias("support"), F.max("total").alias("total"))
+        best = by_kind.groupBy("pattern").agg(F.max_by(F.struct("n_kind", "sum", "support", "total"), F.struct("support", "sum", -F.col("n_kind"))).alias("b"), F.sum("support").alias("all"))
+        best = best.select("pattern", "b.*", "all").filter((F.col("support") >= support) & (F.col("support") >= purity * F.col("all")))
+        weight = 1 - 1 / (1 + F.col("support"))
+        trusts = materialize(best.select(F.col("pattern").alias("p_pattern"), F.col("n_kind").alias("p_kind"), (F.least(F.col("sum") / F.col("total"), F.lit(1.0)) * weight).alias("trust")), "pattern-scores")
+        back = graph.filter("kind is null").join(trusts, F.col("pattern") == F.col("p_pattern"))
+        doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))
+        each = back.groupBy("instance", "p_kind").agg((1 - doubt).alias("score"), F.max("trust").alias("best"), F.bool_or(F.array_contains("shapes", F.col("p_kind"))).alias("fits"))
+        each = each.filter("fits").groupBy(F.col("instance").alias("n_instance")).agg(F.max_by(F.struct("p_kind", "score", "best"), F.struct("score", -F.col("p_kind"))).alias("b"))
+        new = each.select("n_instance", F.col("b.p_kind").alias("n_kind"), F.col("b.score").alias("score"), ((F.col("b.score") >= confidence) & (F.col("b.best") >= trust)).alias("accepted"))
+        new = materialize(new, "instance-scores")
+        if not new.take(1):
+            break
+        nodes = seeds.union(new)
+    found = nodes.filter("accepted").join(seeds.select(F.col("n_instance").alias("s_instance")), F.col("n_instance") == F.col("s_instance"), "left_anti")
+    return found.select(F.col("n_instance").alias("instance"), F.col("n_kind").alias("kind"), "score"), trusts.select(F.col("p_pattern").alias("pattern"), F.col("p_kind").alias("kind"), "trust")
+
+
+def discover(places: DataFrame, base: DataFrame, trust: float = 0.5, **settings) -> DataFrame:
+    """doc_id, key, kind, start, stop of identifiers that contextual patterns find, and of the secrets that are seeds.
+
+    places: as `instances` gives them; base: as `base_spans` does.
     """
-    edges = _seed_edges(base)
-    by_kind = edges.groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("seeds"))
-    best = by_kind.groupBy("pattern").agg(F.max_by("kind", F.struct("seeds", -F.col("kind"))).alias("kind"), F.max("seeds").alias("seeds"), F.sum("seeds").alias("all_seeds"))
-    patterns = materialize(best.filter(f"seeds >= {support} and seeds >= 0.9 * all_seeds").select(F.col("pattern").alias("p_pattern"), "kind", "seeds"), "patterns")
-    placed = _shaped_slots(docs).join(patterns, F.col("pattern") == F.col("p_pattern")).drop("p_pattern").distinct()
-    # What overlaps a base match of the text is that match.
-    held = base.filter("size(spans) > 0").select(F.col("doc_id").alias("b_id"), F.col("key").alias("b_key"), "spans").distinct()
-    joined = placed.join(held, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("key") == F.col("b_key")), "left")
-    same = F.get(F.filter("spans", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")) & (s["kind"] == F.col("kind"))), 0)["value"]
-    taken = F.coalesce(F.exists("spans", lambda s: (s["start"] < F.greatest(F.col("stop"), F.col("start") + 1)) & (s["stop"] > F.col("start"))), F.lit(False))
-    found = joined.select("doc_id", "key", "pattern", "kind", "seeds", "start", "stop", F.lower(F.coalesce(same, "value")).alias("instance"), same.isNotNull().alias("seed"), taken.alias("taken"))
-    found = materialize(found, "slots")
-    graph = found.groupBy("pattern", "kind", "instance").agg(F.bool_or("seed").alias("seed"), F.max("seeds").alias("seeds"))
-    graph = materialize(graph.withColumn("shaped", F.col("seed") | (F.length("instance") >= 4)), "pattern-graph")
-    weight = (1 - 1 / (1 + F.max("seeds"))).alias("weight")
-    weights = graph.groupBy(F.col("pattern").alias("w_pattern")).agg(F.count(F.lit(1)).alias("total"), weight)
-
-    def passing(weights: DataFrame) -> DataFrame:
-        trusts, scores = _scored(graph, weights, rounds)
-        known = scores.filter(F.col("score") >= confidence).select("n_instance", "n_kind")
-        new = found.filter("not seed and not taken").filter(F.length("instance") >= 4)
-        new = new.join(trusts.filter(F.col("trust") >= trust), F.col("pattern") == F.col("s_pattern"), "left_semi")
-        return new.join(known, (F.col("instance") == F.col("n_instance")) & (F.col("kind") == F.col("n_kind")), "left_semi")
-
-    if not found.filter("not seed and not taken").take(1):
-        return None
-    hopeful = materialize(passing(weights).select("kind").distinct(), "hopeful-kinds")
-    if not hopeful.take(1):
-        return None
-    # All patterns of these kinds: their instances' scores depend on one another.
-    open_ = weights.join(graph.join(hopeful, "kind", "left_semi").select(F.col("pattern").alias("o_pattern")).distinct(), F.col("w_pattern") == F.col("o_pattern"), "left_semi")
-    groups = -(-open_.count() // PATTERNS_AT_ONCE)
-    totals = None
-    for g in range(groups):  # groups of a bounded size, one after the other
-        names = [r["w_pattern"] for r in open_.filter(F.pmod(F.xxhash64("w_pattern"), F.lit(groups)) == g).select("w_pattern").collect()]
-        if names:
-            part = _plain_slots(docs, names)
-            totals = part if totals is None else totals.unionByName(part)
-    totals = materialize(totals, "pattern-totals")
-    exact = open_.join(totals, F.col("w_pattern") == F.col("pattern"), "left").select("w_pattern", (F.col("total") + F.coalesce("plain", F.lit(0))).alias("total"), "weight")
-    return passing(exact).select("doc_id", "key", "kind", "start", "stop").distinct()
+    each = places.filter("kind is null or kind >= 0").select("instance", "kind", "shapes", F.explode("patterns").alias("pattern"))
+    edges = materialize(each.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.first("shapes").alias("shapes")), "edges")
+    accepted, trusts = bootstrap(edges, trust=trust, **settings)
+    good = trusts.filter(F.col("trust") >= trust).select(F.col("pattern").alias("g_pattern"), F.col("kind").alias("g_kind"))
+    open_ = places.filter("kind is null").join(accepted.select(F.col("instance").alias("a_instance"), F.col("kind").alias("a_kind")), F.col("instance") == F.col("a_instance"))
+    slots = open_.select("doc_id", "key", "start", "stop", "a_kind", F.explode("patterns").alias("pattern"))
+    held = slots.join(good, (F.col("pattern") == F.col("g_pattern")) & (F.col("a_kind") == F.col("g_kind")), "left_semi")
+    new = held.select("doc_id", "key", F.col("a_kind").alias("kind"), "start", "stop").union(places.filter(f"kind = {SECRET}").select("doc_id", "key", "kind", "start", "stop")).distinct()
+    taken = base.filter("size(spans) > 0").select(F.col("doc_id").alias("b_id"), F.col("key").alias("b_key"), "spans").distinct()
+    joined = new.join(taken, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("key") == F.col("b_key")), "left")
+    clash = F.exists("spans", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")))
+    return joined.filter(~F.coalesce(clash, F.lit(False))).select("doc_id", "key", "kind", "start", "stop")
 
 
 def _text_of(spans: Column) -> Column:
-    name = lambda s: F.element_at(F.array(*(F.lit(k) for k in KINDS)), s["kind"] + 1)
+    name = lambda s: F.element_at(F.array(*(F.lit(k) for k in (*KINDS, "secret"))), s["kind"] + 1)
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"], s["stop"])), ",")
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, spans (array of kind, start, stop, value, found_by) for every row of `docs` (doc_id, text), with base_spans."""
+def find(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, base, spans, secrets (arrays of start, kind, stop) for every row of `docs` (doc_id, text); `settings` of `bootstrap`."""
     docs = docs.select("doc_id", "text")
     base = materialize(base_spans(docs), "base-spans")
-    more = discover(docs, base)
+    more = discover(materialize(instances(docs), "instances"), base, **settings)
     place = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))
     own = F.array_sort(F.transform("spans", place))
-    if more is None:
-        return base.select("doc_id", own.alias("base"), own.alias("spans"))
     extra = more.groupBy(F.col("doc_id").alias("m_id"), F.col("key").alias("m_key")).agg(F.collect_list(F.struct("start", "kind", "stop")).alias("more"))
     joined = base.join(extra, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("key") == F.col("m_key")), "left")
-    every = F.array_sort(F.concat(own, F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,stop:int>>"))))
-    return joined.select("doc_id", own.alias("base"), every.alias("spans"))
+    more = F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,stop:int>>"))
+    every = F.array_sort(F.concat(own, F.filter(more, lambda s: s["kind"] < SECRET)))
+    return joined.select("doc_id", own.alias("base"), every.alias("spans"), F.array_sort(F.filter(more, lambda s: s["kind"] == SECRET)).alias("secrets"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every text of `documents`."""
+    """Personal data in every text of `documents`; beside the contract's columns the labelled secrets, and the number of all finds."""
     found = find(table(spark, sf_dir, "documents", "doc_id", "text"))
     count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("bigint")
     return found.select(
@@ -280,4 +280,6 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)),
         F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"),
         _text_of(F.col("spans")).alias("spans"),
+        _text_of(F.col("secrets")).alias("secrets"),
+        (F.size("spans") + F.size("secrets")).cast("bigint").alias("n_found"),
     )

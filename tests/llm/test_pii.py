@@ -1,8 +1,10 @@
 """op2: base spans against Python's re, edge cases, and discovery of unseen identifiers."""
 
 import hashlib
+import math
 import random
 import re
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +91,91 @@ def test_copies_count_once_in_a_pattern(spark, tmp_path):
     assert got[51].spans == ""
 
 
+def plain_bootstrap(edges, support=4, rounds=3, confidence=0.75, trust=0.5, purity=0.9):
+    """The rounds over lists: edges are (pattern, instance, seed kind or None, shapes)."""
+    slots = defaultdict(set)
+    for p, i, *_ in edges:
+        slots[p].add(i)
+    slots = {p: s for p, s in slots.items() if len(s) >= support}
+    shapes = {i: s for p, i, _, s in edges}
+    seeds = {i: k for p, i, k, _ in edges if k is not None and p in slots}
+    nodes = {i: (k, 1.0, True) for i, k in seeds.items()}
+    trusts = {}
+    for _ in range(rounds):
+        trusts = {}
+        for p, own in slots.items():
+            kinds = defaultdict(lambda: [0, 0.0])
+            for i in own & nodes.keys():
+                kinds[nodes[i][0]][0] += nodes[i][2]
+                kinds[nodes[i][0]][1] += nodes[i][1]
+            if kinds:
+                k = max(kinds, key=lambda x: (*kinds[x], -x))
+                n, total = kinds[k]
+                if n >= support and n >= purity * sum(x[0] for x in kinds.values()):
+                    trusts[p] = k, min(total / len(own), 1) * (1 - 1 / (1 + n))
+        new = {}
+        for i in {i for own in slots.values() for i in own} - seeds.keys():
+            best = None
+            for k in range(5):
+                own = [t for p, (q, t) in trusts.items() if q == k and i in slots[p]]
+                if own and k in shapes[i]:
+                    score = 1 - math.prod(max(1 - t, 1e-9) for t in own)
+                    if best is None or score > best[1]:
+                        best = k, score, score >= confidence and max(own) >= trust
+            if best:
+                new[i] = best
+        nodes = {i: (k, 1.0, True) for i, k in seeds.items()} | new
+    return {i: v[0] for i, v in nodes.items() if v[2] and i not in seeds}, trusts
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bootstrap_equals_plain_rounds(spark, seed):
+    rng = random.Random(seed)
+    kind = {i: rng.choice([None, None, i % 3]) for i in range(60)}
+    shapes = {i: sorted({i % 3, *rng.sample(range(5), 2)}) for i in kind}
+    home = [[i for i in kind if i % 3 == k] for k in range(3)]
+    pairs = {(p, i) for p in range(40) for i in rng.sample(home[p % 3], rng.randint(1, 14)) + rng.sample(range(60), rng.randint(0, 2))}
+    edges = [(p, i, kind[i], shapes[i]) for p, i in sorted(pairs)]
+    found, trusts = pii.bootstrap(spark.createDataFrame(edges, "pattern long, instance long, kind int, shapes array<int>"))
+    want, want_trusts = plain_bootstrap(edges)
+    assert {r.instance: r.kind for r in found.collect()} == want
+    assert {r.pattern: (r.kind, round(r.trust, 9)) for r in trusts.collect()} == {p: (k, round(t, 9)) for p, (k, t) in want_trusts.items()}
+    assert want
+
+
+def test_found_instances_induce_patterns(spark, tmp_path):
+    # The word "ring" never stands before a seed; the numbers found after "please call" bring it in.
+    rows = [(i, f"Words. Please call +1 (555) 010-{1000 + i} now or then.", "", "") for i in range(12)]
+    rows += [(100 + i, f"Please call 555-01{10 + i}. You may also ring 555-01{10 + i} when late", "", "") for i in range(5)]
+    rows += [(200, "You may also ring 555 7788 99", "", "")]
+    got = {r.doc_id: r for r in run(spark, rows, tmp_path)}
+    text = rows[-1][1]
+    assert got[200].spans == f"phone:{text.index('555')}:{len(text)}"
+
+
+def test_labels_line_starts_and_long_words(spark, tmp_path):
+    rows = [(i, f"A{'b' * 500}\nE-mail: user{i}@mail.example\nrest of it {i}", "", "") for i in range(8)]
+    rows += [(20, "Something.\nE-mail: postmaster@localhost\nmore", "", ""), (21, "Costs: 12 in 1999 and 5 more", "", "")]
+    got = {r.doc_id: r for r in run(spark, rows, tmp_path)}
+    at = rows[8][1].index("postmaster")
+    assert got[20].spans == f"email:{at}:{at + 20}" and got[21].spans == ""
+
+
+def test_labelled_secrets_stay_out_of_the_contract_columns(spark, tmp_path):
+    key = "f4fddc3c96e5e269ce7e65dcd469a6a9ed407e8e"
+    got = run(spark, [(1, f'so token = "{key}" it is', "", "")], tmp_path)[0]
+    assert got.spans == "" and got.secrets == f"secret:12:{12 + len(key)}" and got.n_found == 1
+    assert got.base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_starts_add_up(spark):
+    for n in (0, 1, 2, 3, 10, 1000):
+        sizes = [(i * 7) % 11 for i in range(n)]
+        want = [sum(sizes[:i]) for i in range(n)]
+        frame = spark.createDataFrame([(sizes,)], "s array<int>")
+        assert frame.select(pii._starts(F.col("s"))).first()[0] == want
+
+
 def test_repeated_rows_and_empty_table(spark, tmp_path):
     got = run(spark, [(1, "a@b.cd", "", ""), (1, "a@b.cd", "", ""), (1, "none", "", ""), (None, "a@b.cd", "", "")], tmp_path)
     assert sorted((r.doc_id is None, r.n_email) for r in got) == [(False, 0), (False, 1), (False, 1), (True, 1)]
