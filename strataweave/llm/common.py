@@ -23,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def fresh(names: list[str], name: str) -> str:
+    """A column name like `name` that none of `names` is, in any case of letters."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 @functools.cache
 def _trim():
     """glibc's malloc_trim, where there is one."""
