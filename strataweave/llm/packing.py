@@ -3,16 +3,16 @@
 Only lengths decide a packing, and there are at most `capacity` of them. So the documents are
 tokenised and cut on the executors, the histogram of piece lengths (at most `capacity` rows,
 whatever the input) goes to the driver, and the driver packs the histogram: bins with the
-same content are one pattern with a multiplicity. Best-fit decreasing gives the first
+same content are one pattern with a multiplicity. Best fit in arrival order (of the lengths) gives the first
 patterns; the local search then moves, exchanges one for one and two for one between underfull
-patterns, each time raising the sum of squared fills, until bins empty. The plan, whose size
-follows the number of lengths, is broadcast; each piece finds its bin and offset from its rank among the pieces of
+patterns, each time raising the sum of squared fills, until bins empty. The plan, whose patterns are
+bounded, is broadcast; each piece finds its bin and offset from its rank among the pieces of
 its length. Ranks come from counts of (length, salt) cells, so a length that a third
 of all rows share is many small groups.
 
 Defined results: a null or empty text is the single end id. Repeated rows and repeated or null
-ids are packed one by one. An empty table packs into nothing. Columns beside doc_id and
-text never enter. Full pieces are sequences of their own.
+ids are packed one by one, and ties are broken by row. An empty table packs into nothing. Very long texts are whole, as
+full pieces, which are sequences of their own, and a rest. Columns beside doc_id and text never enter.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -152,8 +154,13 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1)
 Pattern = tuple[int, ...]  # lengths, largest first
 
 
+def arrival(length: int) -> tuple[int, int]:
+    """The order in which lengths come to the first plan: by a hash, as rows would come."""
+    return length * 2654435761 % (1 << 32), length
+
+
 def best_fit(histogram: dict[int, int], capacity: int) -> Counter[Pattern]:
-    """Best-fit decreasing over a histogram; equal bins are filled together."""
+    """Best fit in arrival order over a histogram; equal bins are filled together."""
     open_bins: dict[int, Counter[Pattern]] = {}  # by room
     rooms: list[int] = []
     closed: Counter[Pattern] = Counter()
@@ -169,7 +176,7 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter[Pattern]:
             insort(rooms, room)
         open_bins[room][pattern] += times
 
-    for length in sorted(histogram, reverse=True):
+    for length in sorted(histogram, key=arrival):
         left = histogram[length]
         while left:
             at = bisect_left(rooms, length)
@@ -192,26 +199,63 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter[Pattern]:
                 put(pattern, times, room)
     for bins in open_bins.values():
         closed.update(bins)
-    return closed
-
-
-def _better(a: Pattern, b: Pattern, room_b: int) -> tuple[Pattern, Pattern] | None:
-    """Lengths to take from a and from b in return, moving as much as b's room takes."""
-    own_a, own_b = sorted(set(a), reverse=True), sorted(set(b))
-    best: tuple[int, Pattern, Pattern] = (0, (), ())
-    many_a, many_b = Counter(a), Counter(b)
-    twos_a = [(x, y) for i, x in enumerate(own_a) for y in own_a[i:] if x != y or many_a[x] > 1]
-    twos_b = [(x, y) for i, x in enumerate(own_b) for y in own_b[i:] if x != y or many_b[x] > 1]
-    gives = [(x,) for x in own_a] + twos_a
-    takes: list[Pattern] = [(), *((y,) for y in own_b), *twos_b]
-    for give in gives:
-        for take in takes:
-            if len(give) + len(take) > 3:
-                continue  # moves, one for one, two for one
-            gain = sum(give) - sum(take)
-            if best[0] < gain <= room_b:
-                best = (gain, give, take)
-    return best[1:] if best[0] else None
+    return Counter({tuple(sorted(p, reverse=True)): n for p, n in closed.items()})
+
+
+def _some_of(pattern: Pattern, size: int) -> list[Pattern]:
+    """The different choices of `size` lengths of a pattern, largest first."""
+    many = Counter(pattern)
+    choices = combinations_with_replacement(sorted(many, reverse=True), size)
+    return [c for c in choices if size < 2 or c[0] != c[1] or many[c[0]] > 1]
+
+
+class _Takes:
+    """What underfull patterns can give in return, `size` lengths each: their total, and that and the pattern's room together."""
+
+    def __init__(self, size: int, capacity: int):
+        self.size, self.capacity, self.used, self.gone = size, capacity, 0, 0
+        self.total, self.reach, self.room, self.owner = (np.zeros(1024, np.int64) for _ in range(4))
+        self.places: dict[int, tuple[int, list[Pattern]]] = {}
+
+    def add(self, number: int, pattern: Pattern) -> None:
+        own = _some_of(pattern, self.size)
+        while self.used + len(own) > len(self.total):
+            self.total, self.reach, self.room, self.owner = (np.concatenate([x, np.zeros_like(x)]) for x in (self.total, self.reach, self.room, self.owner))
+        at = slice(self.used, self.used + len(own))
+        self.total[at] = [sum(c) for c in own]
+        self.room[at] = self.capacity - sum(pattern)
+        self.reach[at], self.owner[at] = self.total[at] + self.room[at], number
+        self.places[number] = self.used, own
+        self.used += len(own)
+
+    def show(self, number: int, there: bool) -> None:
+        first, own = self.places[number]
+        at = slice(first, first + len(own))
+        self.reach[at] = self.total[at] + self.room[at] if there else -1
+
+    def drop(self, number: int) -> None:
+        self.show(number, False)
+        self.gone += len(self.places.pop(number)[1])
+        if self.gone > 4096 and 2 * self.gone > self.used:  # close up
+            old, self.used, self.gone = self.places, 0, 0
+            columns = [x.copy() for x in (self.total, self.reach, self.room, self.owner)]
+            self.places = {}
+            for n, (first, own) in old.items():
+                self.places[n] = self.used, own
+                for mine, was in zip((self.total, self.reach, self.room, self.owner), columns, strict=True):
+                    mine[self.used : self.used + len(own)] = was[first : first + len(own)]
+                self.used += len(own)
+
+    def best(self, given: int, room: int) -> tuple[int, int, Pattern] | None:
+        """(room left, pattern's number, lengths) of the return for `given` that fills a pattern of at most `room` most."""
+        reach = self.reach[: self.used]
+        fits = np.flatnonzero((reach >= given) & (self.total[: self.used] < given) & (self.room[: self.used] <= room))
+        if not len(fits):
+            return None
+        at = int(fits[np.argmin(reach[fits])])
+        number = int(self.owner[at])
+        first, own = self.places[number]
+        return int(reach[at]) - given, number, own[at - first]
 
 
 def _without(pattern: Pattern, gone: Pattern, new: Pattern) -> Pattern:
@@ -221,50 +265,87 @@ def _without(pattern: Pattern, gone: Pattern, new: Pattern) -> Pattern:
     return tuple(sorted(left.elements(), reverse=True))
 
 
-def local_search(bins: Counter[Pattern], capacity: int, rounds: int = 400, partners: int = 64, width: int = 24) -> Counter[Pattern]:
-    """Empty bins by swaps between underfull patterns.
+def local_search(bins: Counter[Pattern], capacity: int, patterns: int = 500_000) -> Counter[Pattern]:
+    """Empty bins by moves and swaps between underfull patterns.
 
-    Each round takes the emptiest pattern and lets it give to the `partners` fullest
-    underfull ones. Every step raises the sum of squared fills; `rounds`
-    bounds the work, and the search ends sooner where no step is left or the bins are as few as
-    their total allows. Patterns of more than `width` lengths take part in moves only.
+    The emptiest pattern gives: one length or two (a move), one for one, two for one, or one for two, to a pattern that is
+    at least as full; of all such steps the one that leaves least room there. Each step raises the sum of squared fills, so
+    the search ends: when no pattern has a step left, or the bins are as few as their total allows. A step is taken as
+    often as both patterns allow at once. Above `patterns` patterns a step must use up both of its own, which bounds the plan.
     """
     bins = Counter(bins)
-    total = sum(sum(p) * n for p, n in bins.items())
-    fewest = -(-total // capacity)
-    stuck: set[Pattern] = set()
-    for _ in range(rounds):
-        if bins.total() <= fewest:
-            break
-        under = sorted((p for p in bins if sum(p) < capacity), key=sum)
-        donors = [p for p in under if p not in stuck]
-        if not donors:
-            break
-        a = donors[0]
-        done = False
-        for b in reversed(under[-partners:] if len(under) > partners else under):
-            if b == a and bins[a] < 2:
-                continue
-            if sum(b) < sum(a):
+    count, fewest = bins.total(), -(-sum(sum(p) * n for p, n in bins.items()) // capacity)
+    takes = [_Takes(size, capacity) for size in range(3)]
+    of: dict[int, Pattern] = {}
+    number: dict[Pattern, int] = {}
+    queue: list[tuple[int, int]] = []
+    fresh = 0
+
+    def enter(pattern: Pattern) -> None:
+        nonlocal fresh
+        if sum(pattern) < capacity and pattern not in number:
+            number[pattern], of[fresh] = fresh, pattern
+            for t in takes:
+                t.add(fresh, pattern)
+            heappush(queue, (sum(pattern), fresh))
+            fresh += 1
+
+    def leave(pattern: Pattern) -> None:
+        if pattern in number:
+            for t in takes:
+                t.drop(number[pattern])
+            del of[number.pop(pattern)]
+
+    for pattern in sorted(bins):
+        enter(pattern)
+    moved = True
+    while count > fewest:
+        if not queue:
+            if not moved:
                 break
-            short_a, short_b = a[:width], b[-width:]
-            step = _better(short_a, short_b, capacity - sum(b))
-            if step:
-                times = bins[a] // 2 if a == b else min(bins[a], bins[b])
-                give, take = step
-                for old in (a, b):
-                    bins[old] -= times
-                    if not bins[old]:
-                        del bins[old]
-                for new in (_without(a, give, take), _without(b, take, give)):
-                    if new:
-                        bins[new] += times
-                done = True
+            moved = False
+            queue = [(sum(p), n) for p, n in number.items()]
+            heapify(queue)
+        fill, n = heappop(queue)
+        if n not in of:
+            continue
+        a = of[n]
+        alone = bins[a] < 2  # a bin does not give to itself
+        for t in takes if alone else ():
+            t.show(n, False)
+        step: tuple[int, int, Pattern, Pattern] | None = None
+        for size, back in ((1, 0), (1, 1), (2, 0), (2, 1), (1, 2)):
+            for give in _some_of(a, size):
+                found = takes[back].best(sum(give), capacity - fill)
+                if found and (step is None or found[0] < step[0]):
+                    step = *found, give
+                    if not step[0]:
+                        break
+            if step and not step[0]:
                 break
-        if done:
-            stuck.clear()
-        else:
-            stuck.add(a)
+        for t in takes if alone else ():
+            t.show(n, True)
+        if step is None:
+            continue
+        _, other, take, give = step
+        b = of[other]
+        times = bins[a] // 2 if a == b else min(bins[a], bins[b])
+        if len(bins) > patterns and not (a != b and bins[a] == bins[b]):
+            continue
+        for old in (a, b):
+            bins[old] -= times
+            if not bins[old]:
+                del bins[old]
+                leave(old)
+        for new in (_without(a, give, take), _without(b, take, give)):
+            if new:
+                bins[new] += times
+                enter(new)
+            else:
+                count -= times
+        if a in number:
+            heappush(queue, (fill, n))
+        moved = True
     return bins
 
 

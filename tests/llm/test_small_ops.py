@@ -74,6 +74,36 @@ def test_local_search_empties_bins():
     assert all(sum(p) <= 100 for p in out) and out.total() == 2
 
 
+def _lengths(bins):
+    total = Counter()
+    for p, n in bins.items():
+        for x in p:
+            total[x] += n
+    return total
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_search_makes_the_packing(seed):
+    rng = random.Random(seed)
+    histogram = {rng.randint(3, 400): rng.randint(1, 60) for _ in range(60)} | {rng.randint(400, 900): rng.randint(1, 60) for _ in range(60)}
+    first = packing.best_fit(histogram, 1000)
+    out = packing.local_search(first, 1000)
+    fewest = -(-sum(k * n for k, n in histogram.items()) // 1000)
+    square = lambda bins: sum(sum(p) ** 2 * n for p, n in bins.items())
+    assert _lengths(first) == _lengths(out) == histogram and all(sum(p) <= 1000 for p in out)
+    assert square(out) > square(first) and fewest <= out.total() < first.total()  # without the search there are more bins
+    if out.total() > fewest:  # then no move between two bins is left
+        under = [p for p in out if sum(p) < 1000]
+        assert not any(min(a) <= 1000 - sum(b) for a in under for b in under if sum(a) <= sum(b) and (a != b or out[a] > 1))
+
+
+def test_the_search_keeps_to_its_bound_of_patterns():
+    rng = random.Random(9)
+    first = packing.best_fit({rng.randint(1, 900): rng.randint(1, 10**6) for _ in range(300)}, 1000)
+    out = packing.local_search(first, 1000, patterns=len(first))
+    assert len(out) <= len(first) + 2 and _lengths(out) == _lengths(first)
+
+
 def test_best_fit_on_large_counts():
     out = packing.best_fit({50: 10**9, 30: 10**9, 20: 10**9 + 1}, 100)
     total = Counter()
@@ -236,8 +266,28 @@ def test_digest_index_persists(spark):
     again = exact_dedup.DigestIndex(spark, index.path, buckets=4)
     second = exact_dedup.dedupe(docs(spark, [(9, "a"), (10, "c"), (11, "c")]), again).collect()
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in second} == {(9, 2, 3, False), (10, 11, 2, False), (11, 11, 2, True)}
-    again.append(spark.table(again.table))
+    again.append(again.read().select("digest", "keep_id", "copies"), 1)  # run again
     assert again.read().count() == 3 and again.compact().read().count() == 3
+    third = exact_dedup.dedupe(docs(spark, [(12, "a"), (13, "d")]), again).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in third} == {(12, 2, 4, False), (13, 13, 1, True)}
+    whole = again.compact()
+    fourth = exact_dedup.dedupe(docs(spark, [(14, "a"), (15, "c"), (16, "d"), (17, None)]), whole).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in fourth} == {(14, 2, 5, False), (15, 11, 3, False), (16, 13, 2, False), (17, 17, 1, True)}
+
+
+def test_batches_go_through_the_index(spark, monkeypatch):
+    rows = [(i, f"text {i % 7}") for i in range(50)] + [(None, "text 3"), (None, "other"), (None, "other")]
+    calls = []
+    missing = exact_dedup.DigestIndex.missing
+    monkeypatch.setattr(exact_dedup.DigestIndex, "missing", lambda self, groups: calls.append((groups.count(), missing(self, groups).count())) or missing(self, groups))
+    one, many = (sorted(map(str, exact_dedup.dedupe(docs(spark, rows), batches=n).collect())) for n in (1, 4))
+    assert one == many and sum(n for _, n in calls[1:]) == 8 and sum(n for n, _ in calls[1:]) > 8  # the anti-join drops what earlier batches brought
+
+
+def test_keep_first_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a", "x", 1), (2, "a", "y", 2), (2, "a", "y", 2), (3, None, None, None)], "doc_id bigint, text string, KEY string, sha long")
+    got = exact_dedup.keep_first(rows)
+    assert got.columns == rows.columns and sorted(r.doc_id for r in got.collect()) == [2, 3]
 
 
 def near_brute(rows):
