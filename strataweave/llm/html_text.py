@@ -1,7 +1,7 @@
 """Main-text extraction by tree scoring.
 
-A tolerant parser builds the page's tree. Subtrees that are boilerplate by tag, role, or class
-and id words go. Every remaining block with text is a paragraph that passes points, for its
+A tolerant parser builds the page's tree, in time in proportion to the page whatever its depth. Subtrees that are boilerplate
+by tag, role, or class and id words go; where such a word may also name a part of an article, its place, prose and links decide. Every remaining block with text is a paragraph that passes points, for its
 length and its commas, to its ancestors: all to the parent, half to the next, a third to the next,
 and so on. A container's points are discounted by the share of its text that is link text. The best
 container (widened to the article or main element it stands in) and the siblings that score
@@ -10,7 +10,7 @@ like it, or are its headings and paragraphs, are kept, and their blocks are join
 Defined results: null, empty and text-free pages give an empty text. Unclosed, misnested and
 cut-off markup is closed where a browser would close it; text after an unfinished tag is lost with
 the tag. White space is what Unicode calls so; a line break inside a block is a space. Very
-long or deep pages need memory in proportion and no recursion. Repeated rows are each extracted.
+long or deep pages need time and memory in proportion and no recursion. Of containers that score alike the first in the page is taken. Repeated rows are each extracted.
 Columns beside page_id, url and html never enter.
 """
 
@@ -52,14 +52,21 @@ P_SCOPE = frozenset("html body table td th caption button object".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status note".split())
 #: Words of a class or id that mark boilerplate.
 WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored sponsors promo promos promotion banner "
-    "nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager toc toolbar skip "
-    "header masthead topbar footer foot bottombar sidebar sidebars aside rail widget widgets "
-    "comment comments commentlist respond reply replies disqus discussion reviews "
+    "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored sponsors promo promos banner "
+    "nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager toolbar "
+    "topbar bottombar sidebar sidebars aside "
+    "comment comments commentlist respond reply replies disqus "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox toast paywall "
-    "newsletter subscribe subscription signup login signin share sharing social follow related recommended recommendations "
-    "outbrain taboola trending popular search searchbox form hidden".split()
+    "newsletter subscribe subscription signup login signin outbrain taboola searchbox hidden".split()
 )
+#: Words that may also name a part of an article; its content decides (see `_settle`).
+DOUBTFUL = frozenset(
+    "header masthead footer foot toc skip rail widget widgets discussion reviews promotion share sharing social follow "
+    "related recommended recommendations trending popular search form".split()
+)
+#: Words that speak for a part of an article.
+CONTENT = frozenset("post article entry story content text body work works chapter section paper title headline".split())
+PROSE = 80  # characters from which a block is prose
 KEPT = frozenset(["html", "body", "article", "main"])
 _MARK = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -68,16 +75,18 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "strong", "score", "chars", "linked", "links")
+    __slots__ = ("tag", "parent", "items", "drop", "strong", "inside", "doubt", "score", "chars", "linked", "prose")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False, strong: bool = False):
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, strong: bool = False, doubt: int = 0):
         self.tag, self.parent, self.drop, self.strong = tag, parent, drop, strong
+        self.inside = strong or parent is not None and parent.inside  # of an article or main element
+        self.doubt = doubt  # 1: boilerplate by a doubtful word, 2: which stands beside a word of content
         self.items: list = []
-        self.score, self.chars, self.linked, self.links = 0.0, 0, 0, 0
+        self.score, self.chars, self.linked, self.prose = 0.0, 0, 0, False
 
 
 def _node(tag: str, tail: str, parent: Node) -> Node:
-    strong = tag in ("article", "main")
+    strong, doubt = tag in ("article", "main"), 0
     drop = tag in DROPPED
     if not drop and tail.strip(" />\n\t"):
         found = {}
@@ -89,28 +98,47 @@ def _node(tag: str, tail: str, parent: Node) -> Node:
         named = {w.lower() for w in _PART.findall(f"{found.get('class', '')} {found.get('id', '')}")}
         drop = role in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style
         drop = drop or bool(named & WORDS) and tag not in ("html", "body") and not (tag in KEPT and "comment" not in named and "comments" not in named)
-    return Node(tag, parent, drop, strong)
+        if not drop and named & DOUBTFUL and tag not in KEPT:
+            doubt = 2 if named & CONTENT else 1
+    return Node(tag, parent, drop, strong, doubt)
 
 
-def parse(html: str) -> Node:
-    """The tree of a page; items are strings (character references decoded) and nodes."""
-    root = Node("#root", None)
-    here, at, end = root, 0, len(html)
-
-    def up_to(names: frozenset[str], stop: frozenset[str]) -> None:
-        nonlocal here
-        x: Node | None = here
-        while x is not None and x.tag not in stop:
-            if x.tag in names:
-                here = x.parent or root
-                return
-            x = x.parent
+class _Open:
+    """The open elements: a stack, and the places in it of each tag's elements, so that no search walks it."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {root.tag: [0]}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def top(self) -> Node:
+        return self.stack[-1]
+
+    def cut(self, size: int) -> None:
+        while len(self.stack) > max(size, 1):
+            self.places[self.stack.pop().tag].pop()
 
+    def close(self, names: frozenset[str], scope: frozenset[str]) -> bool:
+        """Close the innermost element of these names, unless one of `scope` stands inside it; whether there was one."""
+        inner = lambda tags: max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+        place = inner(names)
+        if place <= 0 or place <= inner(scope - names):
+            return False
+        self.cut(place)
+        return True
+
+
+def parse(html: str) -> tuple[Node, list[Node]]:
+    """The tree of a page and its nodes in page order; items are strings (character references decoded) and nodes."""
+    root = Node("#root", None)
+    nodes, open_, at, end = [root], _Open(root), 0, len(html)
     while at < end:
         mark = _MARK.search(html, at)
         stop = mark.start() if mark else end
         if stop > at:
-            here.items.append(unescape(html[at:stop]))
+            open_.top().items.append(unescape(html[at:stop]))
         if mark is None:
             break
         if mark[1]:
@@ -131,21 +159,18 @@ def parse(html: str) -> Node:
             rest, at = tail[0], tail.end()
         tag = mark[4].lower()
         if mark[3]:
-            up_to(frozenset([tag]), frozenset(["#root"]) if tag not in ("p", "li") else frozenset(["#root", "table"]))
+            open_.close(frozenset([tag]), frozenset() if tag not in ("p", "li") else frozenset(["table"]))
             continue
         if tag in CLOSES_P:
-            up_to(frozenset(["p"]), P_SCOPE)
+            open_.close(frozenset(["p"]), P_SCOPE)
         if tag in ENDS:
-            names, scope = ENDS[tag]
-            while True:
-                before = here
-                up_to(names, scope)
-                if here is before:
-                    break
-        if tag in HEADINGS and here.tag in HEADINGS:
-            here = here.parent or root
-        node = _node(tag, rest, here)
-        here.items.append(node)
+            while open_.close(*ENDS[tag]):
+                pass
+        if tag in HEADINGS and open_.top().tag in HEADINGS:
+            open_.cut(len(open_.stack) - 1)
+        node = _node(tag, rest, open_.top())
+        open_.top().items.append(node)
+        nodes.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.IGNORECASE).search(html, at)
             if close is None:
@@ -153,8 +178,8 @@ def parse(html: str) -> Node:
             after = html.find(">", close.start())
             at = end if after < 0 else after + 1
         elif tag not in VOID and not (rest.endswith("/>") and tag not in BLOCK):
-            here = node
-    return root
+            open_.push(node)
+    return root, nodes
 
 
 def _walk(top: Node) -> Iterator[tuple[str, object]]:
@@ -219,11 +244,40 @@ def _inside(node: Node) -> Node:
     return best
 
 
+def _measure(root: Node, nodes: list[Node]) -> list[tuple[Node, str, int]]:
+    """The blocks of the page; every node's characters, link characters and whether it holds prose, summed from the leaves up."""
+    for x in nodes:
+        x.chars = x.linked = 0
+        x.prose = False
+    found = list(text_blocks(root))
+    for owner, text, linked in found:
+        owner.chars += len(text)
+        owner.linked += linked
+        owner.prose = owner.prose or 4 * linked < len(text) and (len(text) >= PROSE or owner.tag in HEADINGS)
+    for x in reversed(nodes):  # children come after their parents
+        if x.parent is not None:
+            x.parent.chars += x.chars
+            x.parent.linked += x.linked
+            x.parent.prose = x.parent.prose or x.prose
+    return found
+
+
+def _settle(nodes: list[Node]) -> None:
+    """Drop the doubtful subtrees, but those that read like a part of an article: inside one, or named with a word of
+    content, with a heading or prose, and little of their text in links."""
+    for x in nodes:
+        if x.doubt:
+            x.drop = not ((x.doubt == 2 or x.inside) and x.prose and 4 * x.linked < x.chars)
+
+
 def main_text(html: str) -> str:
     """The page's main text, one line per block."""
-    root = parse(html)
+    root, nodes = parse(html)
+    if any(x.doubt for x in nodes):
+        _measure(root, nodes)
+        _settle(nodes)
     scored: dict[int, Node] = {}
-    for owner, text, linked in text_blocks(root):
+    for owner, text, _ in _measure(root, nodes):
         points = 1 + text.count(",") + text.count("،") + text.count("、") + min(len(text) / 100, 3)
         paragraph = owner.tag not in ("div", "section", "article", "main", "body", "html", "#root", "td", "center")
         x = owner.parent if paragraph and owner.parent is not None else owner
@@ -234,11 +288,6 @@ def main_text(html: str) -> str:
             scored[id(x)] = x
             level += 1
             x = x.parent
-        x = owner
-        while x is not None:
-            x.chars += len(text)
-            x.linked += linked
-            x = x.parent
     if not scored:
         return ""
     worth = lambda n: (n.score + (25 if n.strong else 0)) * (1 - n.linked / max(n.chars, 1))
