@@ -13,13 +13,17 @@ repeated tasks leave no double records.
 
 Defined results: a null page is the empty payload. Payloads under `least` bytes are
 always responses. Of longer equal payloads the smallest page_id is the response; rows that repeat that id and
-payload are responses too; null ids come last. An empty table gives an empty archive.
+payload are responses too; null ids come last. An empty table gives an empty archive. Very long payloads pass through in parts.
+Archives of other writers are read too: header names in any case, digests by SHA-1, SHA-256, SHA-512 or MD5 in hex or base 32
+(`digest_fits`; null where there is none or its name is unknown), records that are no HTTP messages. payload_bytes and payload_digest (SHA-256) are measured;
+a revisit, which has no payload, gives what it states, null where that is no number.
 Control characters in a URL are percent-encoded in its header. Columns beside page_id, url and
 html never enter.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -33,6 +37,8 @@ from pyspark.sql import functions as F
 from strataweave.llm.common import table
 from strataweave.session import materialize, scratch_path
 
+#: Algorithms of payload digests that are checked.
+DIGESTS = ("sha256", "sha1", "md5", "sha512")
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -41,7 +47,7 @@ READ_BYTES = 1 << 20
 MANIFEST = "path string, bytes bigint, records bigint"
 RECORDS = (
     "record_type string, record_id string, target_uri string, refers_to string, payload_bytes bigint, payload_digest string, "
-    "path string, at bigint, payload binary"
+    "digest_fits boolean, path string, at bigint, payload binary"
 )
 
 
@@ -66,16 +72,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 def write_archives(pages: DataFrame, folder: str, least: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write a record for each row of `pages` (page_id, url, html) below `folder`; returns the manifest."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", "html", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size"))
-    first = rows.filter(F.col("size") >= least).groupBy(F.col("digest").alias("f_digest")).agg(F.min("page_id").alias("first_id"))
-    joined = rows.join(first, F.col("digest") == F.col("f_digest"), "left").select(
-        "page_id",
-        "url",
-        "html",
-        "digest",
-        "first_id",
-        (F.col("f_digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))).alias("revisit"),
-    )
+    rows = pages.select("page_id", F.sha2(html, 256).alias("digest")).filter(F.octet_length(html) >= least)
+    first = rows.groupBy(F.col("digest").alias("f_digest")).agg(F.min("page_id").alias("first_id"))
+    # Only ids and digests meet by digest. Pages meet their decisions by id, so a payload that very many share is not one key.
+    ids = rows.distinct().join(first, F.col("digest") == F.col("f_digest")).filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
+    again = ids.select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "first_id")
+    whole = pages.select("page_id", "url", "html", F.sha2(html, 256).alias("digest"))
+    joined = whole.join(again.hint("merge"), F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
+    joined = joined.select("page_id", "url", "html", "digest", "first_id", F.col("r_digest").isNotNull().alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(folder)
@@ -106,11 +110,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, date: str =
 def _header(raw: bytes) -> dict[str, str] | None:
     if not raw.startswith(b"WARC/1."):
         return None
-    fields = {}
-    for line in raw.decode("utf-8", "replace").split("\r\n")[1:]:
-        name, colon, value = line.partition(":")
-        if colon:
-            fields[name.strip().lower()] = value.strip()
+    fields = _fields(raw)
     return fields if "warc-type" in fields and fields.get("content-length", "").isdigit() else None
 
 
@@ -129,13 +129,33 @@ class _Source:
         return memoryview(self.held)[inside:]
 
 
+def _fields(raw: bytes) -> dict[str, str]:
+    """Header lines by lower-case name."""
+    lines = (x.partition(":") for x in raw.decode("utf-8", "replace").split("\r\n")[1:])
+    return {name.strip().lower(): value.strip() for name, colon, value in lines if colon}
+
+
+def stated_digest(text: str) -> tuple[str, str]:
+    """Algorithm and lower-case hex of a digest header, whether it is in hex or base 32; the text itself where it is neither."""
+    name, colon, value = text.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if not colon or name not in DIGESTS:
+        return "", text
+    size = 2 * hashlib.new(name).digest_size
+    if len(value) == size and not set(value.lower()) - set("0123456789abcdef"):
+        return name, value.lower()
+    try:
+        return name, base64.b32decode(value.upper() + "=" * (-len(value) % 8)).hex()
+    except ValueError:
+        return "", text
+
+
 def _member(source: _Source, at: int, payloads: bool) -> tuple[int, dict] | None:
     """Length and content of the record whose member begins at `at`, or None if none does."""
     unpack = zlib.decompressobj(31)
-    head, fields, body, digest, taken, got = b"", None, None, hashlib.sha256(), 0, 0
+    head, fields, digests, taken, got = b"", None, {"sha256": hashlib.sha256()}, 0, 0
     kept: list[bytes] = []
-    http = b""
-    need = 0
+    http, body, need, size = b"", False, 0, 0
     try:
         while not unpack.eof:
             some = source.get(at + taken, 1)
@@ -155,26 +175,29 @@ def _member(source: _Source, at: int, payloads: bool) -> tuple[int, dict] | None
                 if fields is None:
                     return None
                 need, data = int(fields["content-length"]), head[stop + 4 :]
+                body = not fields.get("content-type", "").lower().startswith("application/http")  # else its header comes first
+                name, _ = stated_digest(fields.get("warc-payload-digest", ""))
+                if name:
+                    digests.setdefault(name, hashlib.new(name))
             block = data[: max(0, need - got)]
             got += len(data)
-            if body is None:
+            if not body:
                 http += block
                 stop = http.find(b"\r\n\r\n")
-                if stop >= 0:
-                    body, block = True, http[stop + 4 :]
-                    http = http[:stop]
-                else:
-                    block = b""
-            digest.update(block)
+                body, block = stop >= 0, http[stop + 4 :] if stop >= 0 else b""
+                http = http[:stop] if stop >= 0 else http
+            size += len(block)
+            for d in digests.values():
+                d.update(block)
             if payloads:
                 kept.append(block)
     except zlib.error:
         return None
     if fields is None or got != need + 4:
         return None
-    own = dict(x.split(": ", 1) for x in http.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-    fields["http-length"], fields["digest"] = own.get("Content-Length", "0"), digest.hexdigest()
-    return taken, fields | {"payload": b"".join(kept) if payloads else None}
+    stated = _fields(http).get("content-length", "")
+    fields |= {"size": size, "stated-size": int(stated) if stated.isascii() and stated.isdigit() else None}
+    return taken, fields | {"digests": {k: d.hexdigest() for k, d in digests.items()}, "payload": b"".join(kept) if payloads else None}
 
 
 def scan(path: str, start: int, stop: int, size: int, store: pafs.FileSystem, payloads: bool = False) -> Iterator[tuple]:
@@ -195,20 +218,21 @@ def scan(path: str, start: int, stop: int, size: int, store: pafs.FileSystem, pa
                 at += 1
                 continue
             length, fields = found
-            kind = fields["warc-type"]
-            stated = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-            if kind == "response" and stated and stated != fields["digest"]:
-                raise ValueError(f"{path}: payload at {at} does not fit its digest")
+            kind = fields["warc-type"].lower()
+            name, stated = stated_digest(fields.get("warc-payload-digest", ""))
+            own = fields["digests"]
+            revisit = kind == "revisit"
             yield (
                 kind,
                 fields.get("warc-record-id"),
                 fields.get("warc-target-uri"),
                 fields.get("warc-refers-to"),
-                int(fields["http-length"]),
-                fields["digest"] if kind == "response" else stated,
+                fields["stated-size"] if revisit else fields["size"],
+                (stated if name in ("", "sha256") else f"{name}:{stated}") if revisit else own["sha256"],
+                None if revisit or not name else own[name] == stated,
                 path,
                 at,
-                fields["payload"] if kind == "response" else None,
+                None if revisit else fields["payload"],
             )
             at += length
 
@@ -221,7 +245,7 @@ def read_archives(manifest: DataFrame, folder: str, split_bytes: int = 4 << 20,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(folder)
-        schema = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("path", pa.string()), ("at", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("digest_fits", pa.bool_()), ("path", pa.string()), ("at", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
             for path, whole, start in zip(*(batch.column(c).to_pylist() for c in ("path", "bytes", "start")), strict=True):
                 held: list[tuple] = []

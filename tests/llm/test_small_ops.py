@@ -1,10 +1,12 @@
 """The operators on small tables: brute force, ties, repeated rows, nulls, empty tables, clashing columns."""
 
+import base64
 import gzip
 import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -477,6 +479,57 @@ def test_main_text_without_article_and_odd_pages():
     assert html_text.main_text("<p>one<p>two</p></p>three") == "one\ntwo\nthree"
 
 
+def test_article_parts_with_doubtful_names_stay():
+    words = "Words, and more of them. " * 10
+    page = (
+        '<body><div class="header"><h1>Site</h1></div><article><div class="post-header"><h1>The title</h1></div><p>{0}</p><div class="related-work"><h2>Related work</h2><p>{0}</p></div>'
+        '<div class="related"><ul><li><a href="x">{0}</a></li></ul></div><div class="comments"><p>{0}</p></div><div class="share">Share this</div></article><div class="footer"><p>{0}</p></div></body>'
+    ).format(words)
+    text = words.strip()
+    assert html_text.main_text(page) == f"The title\n{text}\nRelated work\n{text}"
+
+
+def test_deep_and_wide_pages_are_linear():
+    text = "hello, this is the one text of a page"
+    begin = time.time()
+    assert html_text.main_text("<div>" * 200_000 + f"<p>{text}") == text
+    assert html_text.main_text("<ul>" * 50_000 + "<li>x<p>" * 50_000).count("x") == 50_000
+    assert len(html_text.main_text("".join(f"<div><p>hello, there {i}</p>" for i in range(50_000)))) > 0
+    assert time.time() - begin < 60
+
+
+def test_extract_nothing(spark):
+    assert html_text.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
+
+
+def _foreign(kind, block, *headers, content="application/http; msgtype=response"):
+    lines = ["WARC/1.0", f"warc-type: {kind}", "WARC-Record-ID: <urn:x>", f"content-type: {content}", f"CONTENT-LENGTH: {len(block)}", *headers]
+    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_warc_of_other_writers(tmp_path):
+    body = b"<p>payload</p>"
+    sha1 = hashlib.sha1(body)
+    http = lambda header: b"HTTP/1.1 200 OK\r\n" + header + b"\r\n\r\n" + body
+    records = [
+        _foreign("warcinfo", b"software: x", content="application/warc-fields"),
+        _foreign("response", http(b"content-length: 14"), "WARC-Payload-Digest: sha1:" + base64.b32encode(sha1.digest()).decode()),
+        _foreign("response", http(b"Content-Length: many"), "WARC-Payload-Digest: sha1:" + sha1.hexdigest()),
+        _foreign("response", http(b"Server: x"), "WARC-Payload-Digest: crc9:17"),
+        _foreign("response", http(b"Server: x"), "WARC-Payload-Digest: md5:" + "0" * 32),
+        _foreign("revisit", b"HTTP/1.1 200 OK\r\nContent-Length: what\r\n\r\n", "WARC-Payload-Digest: sha1:" + base64.b32encode(sha1.digest()).decode()),
+    ]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(records))
+    size = path.stat().st_size
+    got = list(warc.scan(str(path), 0, size, size, pafs.LocalFileSystem(), payloads=True))
+    own = hashlib.sha256(body).hexdigest()
+    assert [r[0] for r in got] == ["warcinfo", *["response"] * 4, "revisit"]
+    assert [(r[4], r[5]) for r in got] == [(11, hashlib.sha256(b"software: x").hexdigest()), *[(14, own)] * 4, (None, "sha1:" + sha1.hexdigest())]
+    assert [r[6] for r in got] == [None, True, True, None, False, None]
+    assert got[1][9] == body and got[0][9] == b"software: x"
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>", "t"), (1, "u", "<p>x</p>", "t"), (2, None, None, "t"), (None, "u", "", "t")], "page_id bigint, url string, html string, text string")
     got = Counter((r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract(pages).collect())
