@@ -16,6 +16,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strataweave.llm import decontaminate, exact_dedup, html_text, jaccard, language_model, packing, quality, token_count, warc
@@ -336,6 +337,32 @@ def test_near_classes_match_brute_force(spark, monkeypatch, short, split):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == near_brute(rows)
 
 
+def test_groups_of_one_prefix_are_expanded(spark):
+    rng = random.Random(4)
+    between = prose(rng, 6)
+    tails = [f"{between} {prose(rng, 18)}" for _ in range(4)]  # frequent, so not in a prefix of those that begin with a rare part
+    heads = [prose(rng, 18) for _ in range(5)]
+    rows = [(i, f"{prose(rng, 2)} {tails[i % 4]}") for i in range(160)]
+    rows += [(200 + 10 * h + k, f"{heads[h]} {tails[k % 4]}") for h in range(5) for k in range(6)]
+    rows += [(300 + 10 * h + k, f"{heads[h]} {' '.join(tails[k].split()[:20])} {prose(rng, 4)}") for h in range(5) for k in range(4)]
+    rng.shuffle(rows)
+    classes = jaccard.jaccard_classes(docs(spark, rows), bucket_postings=2000)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in classes.collect()) == near_brute(rows)
+    levels = spark.sparkContext.broadcast(jaccard._counted(docs(spark, rows), 5))
+    groups = jaccard._profile(docs(spark, rows), 5, (3, 4), levels).groupBy("grp").agg(F.count_distinct("name").alias("sets"))
+    assert groups.filter("sets > 2").count() >= 5
+
+
+def test_lists_without_reaching_sets_give_no_pairs(spark):
+    # Template and own words, just below the threshold: every list of the template is long, and no two sets can link.
+    shared = [f"t{i}" for i in range(32)]
+    rows = [(i, " ".join(shared + [f"u{i}x{j}" for j in range(8)])) for i in range(3000)]
+    levels = spark.sparkContext.broadcast(jaccard._counted(docs(spark, rows), 5))
+    groups = jaccard._profile(docs(spark, rows), 5, (3, 4), levels).filter("prefix is not null").withColumn("gid", F.monotonically_increasing_id())
+    posted = jaccard._postings(groups, levels, 8)
+    assert posted.groupBy("bucket").applyInArrow(jaccard._lists((3, 4)), jaccard.FOUND).filter("gid <> other or salt = 0").count() == 0
+
+
 def test_near_keep_one(spark):
     rng = random.Random(8)
     a = prose(rng, 60)
