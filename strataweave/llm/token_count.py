@@ -7,14 +7,18 @@ Two deterministic transducers reproduce a byte-level BPE tokenizer:
   documents is cut into equal chunks; every chunk is run from all states at once, which
   gives its state map, the maps are composed by a parallel prefix scan, and a second run
   from the then known states yields the marks.
-* The merger reads the bytes of a pre-token and annotates each transition with the change
-  in the number of tokens. It is compiled as it is needed: the last token of the encoding of
-  prefix+byte is the longest vocabulary suffix that may follow what stands before it, and a
-  pair may follow one another if the pair's own encoding is that pair. Counts of whole
-  pre-tokens are kept in a table of bounded size.
+* The merger reads the stream's bytes and annotates each transition with the tokens that it emits (fewer than none where
+  bytes join what were several). A new pre-token leads back to the first state. A state is all of a pre-token's prefix that can still matter: its
+  longest ending that some token begins with, and at each place of that the last token of the encoding and how many
+  tokens it lacks. Transitions are compiled as they are needed: the last token of the encoding of prefix+byte is the longest vocabulary suffix that
+  may follow what stands before it, and a pair may follow one another if the pair's own encoding is that pair. Chunks run side by side: the first run
+  starts in an unknown state and gives each chunk's map, which is the same end state whatever the start, because a chunk is longer than the pre-tokens
+  kept in it and so begins one, and the tokens emitted after that. The maps compose by a prefix scan, which gives every chunk its true
+  start, and a second run counts what each emits before its first pre-token. Sums of the counts between a text's
+  ends are its tokens. Pre-tokens longer than LONG bytes are run alone, by the same rule without kept states.
 
 Defined results: null and empty texts have 0 tokens; special strings inside a text are one
-token each, as the library's default has it; nothing is truncated. Repeated rows and empty
+token each, as the library's default has it; nothing is truncated, and very long texts and words are counted whole. Repeated rows and empty
 tables need no care: each row is counted on its own. Columns beside doc_id and text never
 enter.
 """
@@ -38,7 +42,10 @@ LETTER, NUMBER, OTHER, A2, A3, GLUE, ALONE, WHITE, END = range(9)
 # States: at a token's beginning, in a run of letters, numbers, others or white space, after a space
 # that joins what follows, and with one or two letters of a contraction to come.
 FRESH, LETTERS, NUMBERS, OTHERS, JOIN, WHITES, ONE, TWO = range(8)
-ENTRIES, WORDS = 600_000, 1_200_000  # of the merger's tables (about 100 bytes each); a full table starts anew
+STATES = 300_000  # of the merger (about 500 bytes each); the block of texts after one that reaches it begins anew
+SHIFT = 1 << 15  # keeps packed numbers of emitted tokens above zero
+LONG, LANE = 64, 128  # bytes: of the longest pre-token whose states are kept, and of a chunk of the merger
+UNKNOWN = -1  # the state of a chunk before its first pre-token begins
 
 
 def _splitter() -> tuple[np.ndarray, np.ndarray]:
@@ -116,11 +123,48 @@ def begins(stream: np.ndarray, chunk: int = 96) -> np.ndarray:
     return out.T.ravel()[:size]
 
 
-class Merger(dict):
-    """Pre-token -> its number of tokens; a missing one is run through the transducer."""
+class Moves:
+    """(state, byte) -> (state, tokens emitted) in one number: open addressing in arrays, so that many are looked up at once."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.used = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 where there is none."""
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.values[slot], -1)
+        open_ = np.flatnonzero((held != keys) & (held != -1))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slot[open_]]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.values[slot[open_[hit]]]
+            open_ = open_[~hit & (held != -1)]
+        return out
+
+    def add(self, key: int, value: int) -> None:
+        if 2 * self.used >= len(self.keys):
+            full = np.flatnonzero(self.keys >= 0)
+            keys, values = self.keys[full], self.values[full]
+            self.__init__(self.bits + 2)
+            for k, v in zip(keys.tolist(), values.tolist(), strict=True):
+                self.add(k, v)
+        slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+        while self.keys[slot] >= 0:
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+        self.keys[slot], self.values[slot] = key, value
+        self.used += 1
+
+
+class Merger:
+    """The merging transducer, compiled as it is needed."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
-        super().__init__()
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in own]
         self.letter = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -128,15 +172,17 @@ class Merger(dict):
         self.ids = {b: vocabulary[t] for t, b in raw.items()}
         self.text = {i: b for b, i in self.ids.items()}
         self.rank = {(vocabulary[a], vocabulary[b]): (n, vocabulary[a + b]) for n, (a, b) in enumerate(merges)}
+        self.split = {merged: (n, *pair) for pair, (n, merged) in self.rank.items()}
         self.longest = max(map(len, self.ids), default=1)
+        self.begun = {b[:i] for b in self.ids for i in range(len(b))}  # what some token begins with
         self.pairs: dict[int, bool] = {}
-        self.moves: dict[int, int] = {}  # by node and byte
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
-        # A node is a prefix: its last token, its number of tokens. Node 0 is the empty prefix.
-        self.moves.clear()
-        self.last, self.count = [-1], [0]
+    def clear(self) -> None:
+        # A state: the ending that a token may begin with, and from its end to its beginning (last token, tokens less than at the end).
+        self.moves = Moves()
+        self.states: list[tuple] = [(b"", ((-1, 0),))]
+        self.numbers: dict[tuple, int] = {self.states[0]: 0}
 
     def encode(self, raw: bytes) -> list[int]:
         """Merge the adjacent pair of least rank, leftmost first, until none is left."""
@@ -156,57 +202,105 @@ class Merger(dict):
             out = merged
         return out
 
+    @functools.cache  # noqa: B019  one merger a vocabulary and worker, as many entries as tokens
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The tokens that stand at an edge of a token while it is merged, each with the rank of the merge that ends it."""
+        out = [(token, len(self.rank))]
+        while token in self.split:
+            n, *parts = self.split[token]
+            token = parts[side]
+            out.append((token, n))
+        return out
+
     def follows(self, a: int, b: int) -> bool:
-        """Whether token b may stand after token a: the encoding of both is these two."""
+        """Whether token b may stand after token a: the encoding of both together is these two.
+
+        It is unless a token at a's right edge and one at b's left edge merge while both are there; of equal merges the left one goes first.
+        """
         key = a << 32 | b
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= ENTRIES:
+            if len(self.pairs) >= 4 * STATES:
                 self.pairs.clear()
-            known = self.pairs[key] = a < 0 or self.encode(self.text[a] + self.text[b]) == [a, b]
+            known = a < 0 or not any(
+                (found := self.rank.get((x, y))) and found[0] < x_ends and found[0] <= y_ends for x, x_ends in self._edge(a, 1) for y, y_ends in self._edge(b, 0)
+            )
+            self.pairs[key] = known
         return known
 
-    def _extend(self, raw: bytes, path: list[int], last: list[int], count: list[int]) -> None:
-        """Append to the path a new node for the prefix that is one byte longer.
-
-        path[i] is the node of raw[:i]; last and count are by node.
-        """
-        end = len(path)
-        for size in range(min(end, self.longest), 0, -1):
-            token = self.ids.get(raw[end - size : end])
-            if token is not None:
-                before = path[end - size]
-                if self.follows(last[before], token):
-                    path.append(len(last))
+    def _compile(self, state: int, byte: int) -> int:
+        """The transition of a byte, entered: state << 16 | tokens emitted + SHIFT."""
+        ending, places = self.states[state]
+        raw = ending + bytes([byte])
+        best = None
+        for size in range(len(raw), 0, -1):
+            token = self.ids.get(raw[-size:])
+            if token is not None and self.follows(places[size - 1][0], token):
+                best = token, 1 - places[size - 1][1]  # tokens more than before the byte
+                break
+        if best is None:
+            raise ValueError("the vocabulary lacks a single byte")
+        token, emitted = best
+        ending = raw
+        while ending not in self.begun:
+            ending = ending[1:]
+        key = ending, ((token, 0), *((t, less + emitted) for t, less in places[: len(ending)]))
+        new = self.numbers.get(key)
+        if new is None:
+            new = self.numbers[key] = len(self.states)
+            self.states.append(key)
+        value = new << 16 | emitted + SHIFT
+        self.moves.add(state << 8 | byte, value)
+        return value
+
+    def step(self, states: np.ndarray, bytes_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states that bytes lead to, and the tokens emitted."""
+        keys = states << 8 | bytes_
+        out = self.moves.find(keys)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            some, back = np.unique(keys[new], return_inverse=True)
+            out[new] = np.array([self._compile(k >> 8, k & 255) for k in some.tolist()], np.int64)[back]
+        return out >> 16, (out & 0xFFFF) - SHIFT
+
+    def alone(self, raw: bytes) -> int:
+        """The number of tokens of a long pre-token, by the same rule; no state is kept."""
+        last, count = [-1], [0]
+        for end in range(len(raw)):
+            for size in range(min(end + 1, self.longest), 0, -1):
+                token = self.ids.get(raw[end + 1 - size : end + 1])
+                if token is not None and self.follows(last[end + 1 - size], token):
                     last.append(token)
-                    count.append(count[before] + 1)
-                    return
-        raise ValueError("the vocabulary lacks a single byte")
-
-    def __missing__(self, word: str) -> int:
-        raw = word.encode()
-        path = [0]
-        if len(raw) > 24:  # too rare to keep: the same transitions, without nodes that stay
-            last, count = [-1], [0]
-            while len(path) <= len(raw):
-                self._extend(raw, path, last, count)
-            return count[-1]
-        if len(self.moves) >= ENTRIES:
-            self._clear()
-        if len(self) >= WORDS:
+                    count.append(count[end + 1 - size] + 1)
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a single byte")
+        return count[-1]
+
+    def emitted(self, raw: np.ndarray, begin: np.ndarray, lane: int = LANE) -> np.ndarray:
+        """Tokens that each byte of a stream emits; `begin`: where pre-tokens begin, at most `lane` bytes apart."""
+        if len(self.states) > STATES:
             self.clear()
-        node, moves = 0, self.moves
-        for byte in raw:
-            node = moves.get(node << 8 | byte)
-            if node is None:
+        lanes = -(-len(raw) // lane)
+        bytes_, marks = np.zeros(lanes * lane, np.int64), np.ones(lanes * lane, bool)
+        bytes_[: len(raw)], marks[: len(raw)] = raw, begin
+        bytes_, marks = (np.ascontiguousarray(x.reshape(lanes, lane).T) for x in (bytes_, marks))
+        out = np.zeros((lane, lanes), np.int32)
+        state = np.full(lanes, UNKNOWN, np.int64)
+        for i in range(lane):  # each chunk's map: nothing is known before its first pre-token
+            state[marks[i]] = 0
+            known = np.flatnonzero(state >= 0) if i < LONG else slice(None)
+            state[known], out[i][known] = self.step(state[known], bytes_[i][known])
+        # A map's end state does not depend on its start, so the scan's product is the last map's; the first chunk begins at 0.
+        state = np.concatenate([[0], state[:-1]])
+        live = np.flatnonzero(~marks[0])
+        for i in range(lane):  # what stands before a chunk's first pre-token
+            if not len(live):
                 break
-            path.append(node)
-        while len(path) <= len(raw):
-            key = path[-1] << 8 | raw[len(path) - 1]
-            self._extend(raw, path, self.last, self.count)
-            moves[key] = path[-1]
-        found = self[word] = self.count[path[-1]]
-        return found
+            state[live], out[i][live] = self.step(state[live], bytes_[i][live])
+            if i + 1 < lane:
+                live = live[~marks[i + 1][live]]
+        return out.T.ravel()[: len(raw)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -239,13 +333,24 @@ def count_texts(texts: list[str], path: str) -> list[int]:
     points = np.frombuffer(stream.encode("utf-32-le"), np.uint32)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     marks = np.flatnonzero(begins(symbols(points, ends)))
-    edges = marks.tolist()
-    own = (merger[stream[a:b]] for a, b in zip(edges, edges[1:], strict=False))
-    each = np.fromiter(own, np.int64, len(edges) - 1)
-    each[np.isin(marks[:-1], ends)] = 0  # the separators
+    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    place = np.concatenate([[0], np.cumsum(width)])  # of each character among the bytes
+    data = stream.encode()
+    raw = np.frombuffer(data, np.uint8)
+    begin = np.zeros(len(raw), bool)
+    begin[place[marks]] = True
+    edges = np.append(place[marks], len(raw))
+    long_ = np.flatnonzero(np.diff(edges) > LONG)
+    for i in long_.tolist():
+        begin[edges[i] : edges[i + 1]] = True  # its bytes go through as if alone, and are counted anew below
+    each = merger.emitted(raw, begin).astype(np.int64)
+    for i in long_.tolist():
+        each[edges[i] : edges[i + 1]] = 0
+        each[edges[i]] = merger.alone(data[edges[i] : edges[i + 1]])
     before = np.concatenate([[0], np.cumsum(each)])
-    upto = before[np.searchsorted(marks, ends)]  # each separator is a mark of its own
-    np.add.at(counts, owner, np.diff(upto, prepend=0))
+    stop = place[ends]
+    start = np.concatenate([[0], stop[:-1] + 1])  # the separators are left out
+    np.add.at(counts, owner, before[stop] - before[start])
     return counts.tolist()
 
 
