@@ -9,13 +9,14 @@ the shared folder by the reducer that has them. Segments grow in number and in t
 Score: texts lie in chunks of about CHUNK bytes. A chunk sends its distinct words and n-grams to their hash ranges, is
 answered with exact counts and levels in the same order, and scores its texts. A count is read by probing (n-gram, 1),
 (n-gram, 2), ... until a probe misses, and is at most those of the two shorter n-grams within. A word's probability is the n-gram's count smoothed by the lower order's probability
-(Dirichlet prior of weight `mu`), down to additively smoothed single words.
+(Dirichlet prior of weight `mu`), down to additively smoothed single words. So the mass that a context's counts leave goes to the lower order, and
+the probabilities after a context add up to one but for what the levels round and a Bloom filter's false hits add.
 
 Base score: exact. Words that are at least one in `hot` of all training tokens, so at most `hot` words,
 are broadcast with their counts and not asked for.
 
 Defined results: a null or empty text is one end. Null ids train and are not held out. Repeated rows count and are scored
-one by one. Without training texts N and V are 0, and base scores are those of unknown tokens. Columns beside doc_id and text
+one by one. Very long texts are scored whole, as a chunk of their own. Without training texts N and V are 0, and base scores are those of unknown tokens. Columns beside doc_id and text
 never enter.
 """
 
@@ -97,8 +98,8 @@ def quantise(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
-#: The count that a level stands for: the middle of those it holds, 0 for level 0.
-LEVELS = np.array([0.0] + [max((BASE ** (q - 1) + BASE**q - 1) / 2, 1.0) for q in range(1, 80)])
+#: The count that a level stands for: the mean of the whole numbers that it holds, 0 for level 0.
+LEVELS = np.array([0.0] + [(np.ceil(BASE ** (q - 1) - 1e-9) + np.ceil(BASE**q - 1e-9) - 1) / 2 for q in range(1, 80)])
 
 
 def places(keys: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:

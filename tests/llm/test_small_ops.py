@@ -131,6 +131,44 @@ def test_token_counts_equal_the_library(spark, tmp_path):
     assert token_count.op9_token_counts(spark, str(tmp_path)).collect() == []
 
 
+@pytest.fixture(scope="module")
+def merger():
+    return token_count._compiled(public_tokenizers.path("byte_bpe_50k.json"))[0]
+
+
+def test_followers_are_those_of_the_encoding(merger):
+    rng = random.Random(2)
+    ids = list(merger.text)
+    seen = Counter()
+    for _ in range(4000):
+        text = merger.text[rng.choice(ids)] + merger.text[rng.choice(ids)]
+        cut = rng.randint(1, len(text) - 1)
+        a, b = merger.ids.get(text[:cut], rng.choice(ids)), merger.ids.get(text[cut:], rng.choice(ids))
+        want = merger.encode(merger.text[a] + merger.text[b]) == [a, b]
+        seen[want] += 1
+        assert merger.follows(a, b) is want
+    assert min(seen.values()) > 100
+
+
+@pytest.mark.parametrize("lane", [65, 100, 128, 5000])
+def test_merger_maps_compose_as_one_run(merger, lane):
+    rng = random.Random(lane)
+    words = [bytes(rng.choice(b"abcdeinrst ") for _ in range(rng.randint(1, 64))) for _ in range(400)] + ["für日本".encode()] * 3
+    begin = np.concatenate([np.arange(len(w)) == 0 for w in words])
+    each = merger.emitted(np.frombuffer(b"".join(words), np.uint8), begin, lane)
+    got = np.add.reduceat(each, np.flatnonzero(begin)).tolist()
+    assert got == [len(merger.encode(w)) for w in words] == [merger.alone(w) for w in words]
+
+
+def test_full_tables_begin_anew(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [prose(rng, 200) for _ in range(8)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = [token_count.count_texts([t], path)[0] for t in texts]
+    monkeypatch.setattr(token_count, "STATES", 50)
+    assert [token_count.count_texts([t], path)[0] for t in texts] == want == token_count.count_texts(texts, path)
+
+
 def test_state_maps_compose_as_one_run():
     rng = np.random.default_rng(3)
     stream = rng.integers(0, 9, 5000).astype(np.uint8)
@@ -187,6 +225,45 @@ def test_lm_without_rows(spark, tmp_path):
     assert language_model.op4_lm_scores(spark, str(tmp_path)).collect() == []
 
 
+def test_lm_scores_equal_an_exact_count_model(spark, tmp_path):
+    """The score by plain dictionaries with the quantised counts is the operator's; with exact counts it is near."""
+    rng = random.Random(12)
+    words = [w for w in WORDS[:12] for _ in range(WORDS.index(w) + 1)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(300)]
+    docs(spark, rows, tmp_path)
+    got = {r.doc_id: (r.score, r.n_tokens) for r in language_model.op4_lm_scores(spark, str(tmp_path)).collect()}
+    train = [t.split() + ["\n"] for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    counts = [Counter(), Counter(), Counter()]
+    for t in train:
+        full = ["\n", "\n", *t]
+        for k, w in enumerate(t):
+            counts[0][w] += 1
+            counts[1][tuple(full[k + 1 : k + 3])] += 1
+            counts[2][tuple(full[k : k + 3])] += 1
+    total, distinct = sum(counts[0].values()), len(counts[0])
+
+    def chance(full, k, value):
+        p = (counts[0][full[k]] + 0.1) / (total + 0.1 * (distinct + 1))
+        before = counts[0][full[k - 1]]
+        for n in (1, 2):
+            c = value(counts[n][tuple(full[k - n : k + 1])])
+            p = (c + 40.0 * p) / (max(before, c) + 40.0)
+            before = value(counts[1][tuple(full[k - 2 : k])]) if k > 2 else counts[0]["\n"]
+        return p
+
+    quantised = lambda c: language_model.LEVELS[language_model.quantise(np.array([c]))[0]] if c else 0.0
+    for value, most in ((quantised, 0.01), (float, 0.03)):
+        apart = []
+        for i, t in rows:
+            full = ["\n", "\n", *t.split(), "\n"]
+            want = sum(log10(chance(full, k, value)) for k in range(2, len(full)))
+            apart.append(abs(got[i][0] - want) / got[i][1])
+        assert np.mean(apart) < most
+    # Over all words, and one unknown, a context's probabilities add up to one, but for what quantising moves.
+    sums = [sum(chance(["", a, b, w], 3, quantised) for w in [*counts[0], "?"]) for a, b in sorted(counts[1]) if b != "\n"]
+    assert abs(np.mean(sums) - 1) < 0.05 and max(abs(x - 1) for x in sums) < 0.25
+
+
 def test_filter_never_underestimates():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 5000).astype(np.uint64)
