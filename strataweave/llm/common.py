@@ -103,33 +103,51 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 FAN_IN = 32  # partial results that one task adds up
+PART_BYTES = 4 << 20  # of an array that one row holds
 
 
-def add_up(rows: DataFrame, keys: list[str], add, schema: str) -> DataFrame:
+def add_up(rows: DataFrame, keys: list[str], add, schema: str, segments: int = 1) -> DataFrame:
     """Partial results of tasks, added up in a tree of FAN_IN per task, whatever their number.
 
-    `add` takes the rows of a group and returns one row of `schema`, which begins with `idx bigint`.
+    `add` takes the rows of a group and returns one row of `schema`, which begins with `idx bigint`. `segments`: how many
+    different `keys` there are; every group of a level has a partition of its own, as far as LEAVES go.
     """
     parts = max(rows.rdd.getNumPartitions(), 1)
     rows = rows.withColumn("idx", F.spark_partition_id().cast("bigint"))
     while True:
-        rows = rows.withColumn("idx", F.floor(F.col("idx") / FAN_IN)).groupBy(*keys, "idx").applyInArrow(add, schema)
         parts = -(-parts // FAN_IN)
+        rows = rows.withColumn("idx", F.floor(F.col("idx") / FAN_IN)).repartition(min(max(parts * segments, 1), LEAVES), *keys, "idx")
+        rows = rows.groupBy(*keys, "idx").applyInArrow(add, schema)
         if parts <= 1:
             return rows
 
 
+LEAVES = 4096  # partitions of one level of the tree at most
+
+
+def parts_of(array: np.ndarray) -> pa.RecordBatch:
+    """An array's raw bytes as rows (segment, part) of at most PART_BYTES, without those that are all zero."""
+    flat = array.ravel()
+    step = max(1, PART_BYTES // flat.itemsize)
+    some = [(i // step, flat[i : i + step].tobytes()) for i in range(0, len(flat), step) if flat[i : i + step].any()]
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], ["segment", "part"])
+
+
 def sum_arrays(parts: DataFrame, dtype: str, size: int) -> np.ndarray:
-    """The sum of arrays of one fixed size that tasks report as raw bytes in column `part`; the driver gets one array."""
+    """The sum of arrays of one fixed size that tasks report by `parts_of`; the driver gets one array."""
 
     def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(size, dtype)
+        total = None
         for raw in group["part"]:
-            total += np.frombuffer(raw.as_buffer(), dtype)
-        return pa.table({"idx": group["idx"][:1], "part": pa.array([total.tobytes()], pa.binary())})
-
-    rows = add_up(parts.select("part"), [], add, "idx bigint, part binary").collect()
-    return np.frombuffer(rows[0]["part"], dtype).copy() if rows else np.zeros(size, dtype)
+            one = np.frombuffer(raw.as_buffer(), dtype)
+            total = one.copy() if total is None else np.add(total, one, out=total)
+        return pa.table({"idx": group["idx"][:1], "segment": group["segment"][:1], "part": pa.array([total.tobytes()], pa.binary())})
+
+    step = max(1, PART_BYTES // np.dtype(dtype).itemsize)
+    total = np.zeros(size, dtype)
+    for row in add_up(parts.select("segment", "part"), ["segment"], add, "idx bigint, segment int, part binary", -(-size // step)).collect():
+        total[row["segment"] * step : (row["segment"] + 1) * step] = np.frombuffer(row["part"], dtype)
+    return total
 
 
 def deal(bucket: np.ndarray, *arrays: np.ndarray) -> tuple[list[int], list[list[bytes]]]:

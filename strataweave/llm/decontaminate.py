@@ -1,23 +1,25 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Documents become arrays of codes of the words that benchmark items use. Words are
+1. Documents become arrays of codes of the words that benchmark items use, once for all items. Words are
    lower-cased and stripped of marks at their ends.
-2. Passages (PASSAGE words each) over all documents give document frequencies, and TF-IDF weights.
+2. Passages (PASSAGE words each) over all documents give document frequencies, and TF-IDF weights (the idf counted in both the
+   item and the passage, so squared).
 3. A randomised SVD of the passages' TF-IDF matrix A: every task multiplies its rows into
-   A'(A Z), where Z holds the items' own vectors and random ones; the sum gives the latent axes by
-   the Nystrom formula in one pass.
+   A'(A Z), where Z holds the items' own vectors (random mixtures of them where there are more than `rank`) and random ones; the sums, in
+   64-bit numbers, give the latent axes by the Nystrom formula in one pass.
 4. Windows of documents are projected on the axes. Those whose cosine with an item reaches
    `cosine` are candidates, all of them.
-5. A candidate stays if the longest common subsequence of words covers `lcs` of the item and `answer` of its answer
-   terms (the third of its words that tell most) are in the window.
+5. A candidate stays if `answer` of the item's answer terms (the third of its words that tell most) are in the window with
+   a block more on either side, and the longest common subsequence of words there covers `lcs` of the item.
 
-A window without the needed number of answer terms of any item fails step 5 whatever its
-cosine, so it is not projected. Items are handled in groups of at most `group` at a time;
-longer ones in segments of SEGMENT words, any of which convicts.
+A window that has not itself the number of answer terms that any item needs is not projected: windows begin at every block, so
+a passage that has them lies whole in one. Items are handled together as far as their words number at most `terms`, which bounds
+what is broadcast (terms x (rank + EXTRA) numbers) and what a task adds up; more go in further groups over the same codes. A benchmark of more than
+BENCHMARK_BYTES is read in parts. Items longer than SEGMENT words go in segments, any of which convicts.
 
 Defined results: null and empty texts and items match nothing. Items of fewer than
-LEAST words must be there whole. Repeated rows and repeated ids give one row per document id and item
-id. Empty tables give an empty result. Columns beside doc_id, text, item_id never enter.
+LEAST words must be there whole. Very long texts are searched whole. Repeated rows and repeated ids give one row per document id and item
+id, for the window with the largest shares, then cosine; of equal ones the first. Null ids are not reported. Empty tables give an empty result. Columns beside doc_id, text, item_id never enter.
 """
 
 from __future__ import annotations
@@ -30,13 +32,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import blocks, sum_arrays, table, words
+from strataweave.llm.common import blocks, parts_of, sum_arrays, table, words
 from strataweave.session import materialize
 
 PASSAGE, BLOCK, SEGMENT, LEAST = 48, 16, 60, 8
 WINDOWS = (3, 5)  # in blocks: any SEGMENT words lie inside a window of the last
+EXTRA = 24  # random directions beside the items' own
+BENCHMARK_BYTES = 256 << 20
 COMMON = 0.05  # share of passages above which a term has no weight
-FOUND = "doc_id bigint, item_id bigint, start bigint, cosine double, lcs_share double, answer_share double"
+FOUND = "doc_id {}, item_id bigint, start bigint, cosine double, lcs_share double, answer_share double"
 
 
 def normal(vocabulary: pa.Array) -> pa.Array:
@@ -66,33 +70,72 @@ class Items:
                 if len(part):
                     self.segments.append((item, part))
 
-    def weigh(self, df: np.ndarray, passages: int) -> None:
-        """TF-IDF weights, unit vectors of the segments, and their answer terms."""
-        idf = np.log((1 + passages) / (1 + df))
+    def groups(self, terms: int) -> list[list[tuple[int, np.ndarray]]]:
+        """The segments, in groups of at most `terms` different words (or of one segment)."""
+        out: list[list[tuple[int, np.ndarray]]] = []
+        seen = np.full(len(self.vocabulary), -1)
+        size = 0
+        for segment in self.segments:
+            new = np.count_nonzero(seen[np.unique(segment[1])] != len(out) - 1)
+            if not out or size + new > terms:
+                out.append([])
+                size = len(np.unique(segment[1]))
+            else:
+                size += new
+            seen[segment[1]] = len(out) - 1
+            out[-1].append(segment)
+        return out
+
+
+class Group:
+    """Segments with codes of their own words, weights and answer terms."""
+
+    def __init__(self, segments: list[tuple[int, np.ndarray]], vocabulary: int, df: np.ndarray, passages: int):
+        own = np.unique(np.concatenate([codes for _, codes in segments]))
+        self.local = np.full(vocabulary + 1, -1, np.int32)  # by the vocabulary's codes; -1, the last, is no word
+        self.local[own] = np.arange(len(own))
+        self.size = len(own)
+        self.segments = [(item, self.local[codes]) for item, codes in segments]
+        idf = np.log((1 + passages) / (1 + df[own]))
         square = np.maximum(idf, 1e-3) ** 2
-        self.weight = np.where(df > COMMON * passages, 0, square).astype(np.float32)
+        self.weight = np.where(df[own] > COMMON * passages, 0, square).astype(np.float32)
         for _, codes in self.segments:  # a segment of common words only keeps their weights
-            own = np.unique(codes)
-            if np.count_nonzero(self.weight[own]) < 4:
-                self.weight[own] = square[own]
-        size = len(self.vocabulary)
-        self.vectors = np.zeros((len(self.segments), size), np.float32)
+            some = np.unique(codes)
+            if np.count_nonzero(self.weight[some]) < 4:
+                self.weight[some] = square[some]
         self.answers = []
-        for k, (_, codes) in enumerate(self.segments):
-            np.add.at(self.vectors[k], codes, self.weight[codes])
-            own = np.unique(codes)
-            self.answers.append(np.sort(own[np.lexsort((own, -square[own]))][: max(1, -(-len(own) // 3))]))
-        norm = np.linalg.norm(self.vectors, axis=1, keepdims=True)
-        self.vectors /= np.maximum(norm, 1e-9)
-
-    def start(self, extra: int = 24, seed: int = 11) -> np.ndarray:
+        for _, codes in self.segments:
+            some = np.unique(codes)
+            self.answers.append(np.sort(some[np.lexsort((some, -square[some]))][: max(1, -(-len(some) // 3))]))
+
+    def vectors(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Terms and weights of each segment, of length one."""
+        for _, codes in self.segments:
+            some, many = np.unique(codes, return_counts=True)
+            value = self.weight[some] * many
+            yield some, (value / max(float(np.linalg.norm(value)), 1e-9)).astype(np.float32)
+
+    def start(self, rank: int, seed: int = 11) -> np.ndarray:
         """The orthonormal block that the range finder begins with."""
-        size = len(self.vocabulary)
-        drawn = np.random.default_rng(seed).standard_normal((size, extra)).astype(np.float32)
-        return np.linalg.qr(np.concatenate([self.vectors.T, drawn], axis=1)[:, : max(1, size)])[0].astype(np.float32)
-
-
-def _code_rows(docs: DataFrame, vocabulary: pa.Array) -> DataFrame:
+        rng = np.random.default_rng(seed)
+        mixed = len(self.segments) > rank
+        begin = np.zeros((self.size, min(rank, len(self.segments))), np.float32)
+        for k, (terms, value) in enumerate(self.vectors()):
+            if mixed:
+                begin[terms] += value[:, None] * rng.standard_normal(begin.shape[1]).astype(np.float32)
+            else:
+                begin[terms, k] = value
+        drawn = rng.standard_normal((self.size, EXTRA)).astype(np.float32)
+        return np.linalg.qr(np.concatenate([begin, drawn], axis=1)[:, : max(1, self.size)])[0].astype(np.float32)
+
+    def project(self, axes: np.ndarray) -> np.ndarray:
+        """Unit latent vectors of the segments; zero where the axes hold nothing of one."""
+        own = np.stack([value @ axes[terms] for terms, value in self.vectors()])
+        norm = np.linalg.norm(own, axis=1, keepdims=True)
+        return np.where(norm > 1e-6, own / np.maximum(norm, 1e-9), 0).astype(np.float32)
+
+
+def _code_rows(docs: DataFrame, vocabulary: pa.Array, id_type: str) -> DataFrame:
     kind = np.int16 if len(vocabulary) < 1 << 15 else np.int32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +145,7 @@ def _code_rows(docs: DataFrame, vocabulary: pa.Array) -> DataFrame:
             rows = [codes[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "codes"])
 
-    return docs.mapInArrow(run, "doc_id bigint, codes binary")
+    return docs.mapInArrow(run, f"doc_id {id_type}, codes binary")
 
 
 def _streams(batches: Iterator[pa.RecordBatch], kind, align: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -129,22 +172,22 @@ def _frequencies(coded: DataFrame, size: int, kind) -> tuple[np.ndarray, int]:
             key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
             total[:size] += np.bincount(key % size, minlength=size)
             total[size] += len(codes) // PASSAGE
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+        yield parts_of(total)
 
-    total = sum_arrays(coded.mapInArrow(run, "part binary"), "int64", size + 1)
+    total = sum_arrays(coded.mapInArrow(run, "segment int, part binary"), "int64", size + 1)
     return total[:size], int(total[size])
 
 
-def _range(coded: DataFrame, items: Items, kind) -> np.ndarray:
+def _range(coded: DataFrame, group: Group, start: np.ndarray, kind) -> np.ndarray:
     """A'(A Z) over all passages."""
-    start = items.start()
     size, rank = start.shape
-    shared = coded.sparkSession.sparkContext.broadcast((start, items.weight))
+    shared = coded.sparkSession.sparkContext.broadcast((start, group.weight, group.local))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin, weight = shared.value
-        total = np.zeros((size, rank), np.float32)
+        begin, weight, local = shared.value
+        total = np.zeros((size, rank), np.float64)
         for _, codes, _ in _streams(batches, kind, PASSAGE):
+            codes = local[codes]
             heavy = np.flatnonzero((codes >= 0) & (weight[codes] > 0))
             if not len(heavy):
                 continue
@@ -158,9 +201,9 @@ def _range(coded: DataFrame, items: Items, kind) -> np.ndarray:
                 term, back = term[order], (value * rows[np.cumsum(new) - 1])[order]
                 edge = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
                 total[term[edge]] += np.add.reduceat(back, edge, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+        yield parts_of(total)
 
-    return sum_arrays(coded.mapInArrow(run, "part binary"), "float32", size * rank).reshape(size, rank)
+    return sum_arrays(coded.mapInArrow(run, "segment int, part binary"), "float64", size * rank).reshape(size, rank)
 
 
 def latent_axes(start: np.ndarray, product: np.ndarray) -> np.ndarray:
@@ -192,12 +235,18 @@ def lcs_length(masks: dict[int, int], size: int, window: list[int]) -> int:
     return size - state.bit_count()
 
 
-def _search(coded: DataFrame, items: Items, axes: np.ndarray, kind, cosine: float, lcs: float, answer: float) -> DataFrame:
+def _near(vectors: np.ndarray, own: np.ndarray, cosine: float) -> Iterator[tuple[int, int, float]]:
+    """(vector, segment, cosine) of all pairs that reach `cosine`, by blocks of segments."""
+    for first in range(0, len(own), 4096):
+        near = vectors @ own[first : first + 4096].T
+        for i, k in zip(*np.nonzero(near >= cosine), strict=True):
+            yield int(i), first + int(k), float(near[i, k])
+
+
+def _search(coded: DataFrame, items: Group, axes: np.ndarray, kind, cosine: float, lcs: float, answer: float, id_type: str) -> DataFrame:
     projected = items.weight[:, None] * axes  # a word's share in its window's latent vector
-    own = items.vectors @ axes
-    norm = np.linalg.norm(own, axis=1, keepdims=True)
-    own = np.where(norm > 1e-6, own / np.maximum(norm, 1e-9), 0).astype(np.float32)
-    telling = np.zeros(len(items.vocabulary), bool)
+    own = items.project(axes)
+    telling = np.zeros(items.size, bool)
     for terms in items.answers:
         telling[terms] = True
     needed = min((-(-len(a) * answer // 1) for a in items.answers), default=1)
@@ -207,17 +256,19 @@ def _search(coded: DataFrame, items: Items, axes: np.ndarray, kind, cosine: floa
         for i, code in enumerate(codes.tolist()):
             mask[code] = mask.get(code, 0) | 1 << i
         masks.append(mask)
-    shared = coded.sparkSession.sparkContext.broadcast((projected, own, telling, needed, masks, items.segments, items.answers))
+    shared = coded.sparkSession.sparkContext.broadcast((projected, own, telling, needed, masks, items.segments, items.answers, items.local))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        projected, own, telling, needed, masks, segments, answers = shared.value
+        projected, own, telling, needed, masks, segments, answers, local = shared.value
         least = [max(-(-len(c) * lcs // 1), min(len(c), LEAST)) for _, c in segments]
         present = np.zeros(len(telling), bool)
+        ids_are = pa.int64() if id_type == "bigint" else pa.string()
         for ids, codes, first in _streams(batches, kind, BLOCK):
             best: dict[tuple[int, int], tuple] = {}
             count = len(codes) // BLOCK
             if not count:
                 continue
+            codes = local[codes]
             tells = np.concatenate([[0], np.cumsum(((codes >= 0) & telling[codes]).reshape(count, BLOCK).sum(axis=1))])
             doc_of = np.repeat(np.arange(len(ids)), np.diff(first) // BLOCK)
             end_of = (first[1:] // BLOCK)[doc_of]
@@ -235,8 +286,8 @@ def _search(coded: DataFrame, items: Items, axes: np.ndarray, kind, cosine: floa
                     vector = np.zeros((len(part), projected.shape[1]), np.float32)
                     vector[line[edge]] = np.add.reduceat(projected[word.ravel()[hit]], edge, axis=0)
                     size = np.linalg.norm(vector, axis=1, keepdims=True)
-                    near = (vector / np.maximum(size, 1e-9)) @ own.T
-                    for i, k in zip(*np.nonzero(near >= cosine), strict=True):
+                    vector /= np.maximum(size, 1e-9)
+                    for i, k, near in _near(vector, own, cosine):
                         item, item_codes = segments[k]
                         place = int(part[i])
                         doc = int(doc_of[place])
@@ -252,35 +303,43 @@ def _search(coded: DataFrame, items: Items, axes: np.ndarray, kind, cosine: floa
                         common = lcs_length(masks[k], len(item_codes), window.tolist())
                         if common < least[k]:
                             continue
-                        found = (common / len(item_codes), float(there), float(near[i, k]), low - int(first[doc]))
+                        found = (common / len(item_codes), float(there), near, int(first[doc]) - low)
                         if found > best.get((doc, item), (0.0,)):
                             best[doc, item] = found
             if best:
-                rows = [(ids[d], item, at, c, s, t) for (d, item), (s, t, c, at) in best.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.float64()] * 3, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
+                rows = [(ids[d], item, -at, c, s, t) for (d, item), (s, t, c, at) in best.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [ids_are, *[pa.int64()] * 2, *[pa.float64()] * 3], strict=True)], [c.split()[0] for c in FOUND.split(", ")])
+
+    return coded.mapInArrow(run, FOUND.format(id_type))
 
-    return coded.mapInArrow(run, FOUND)
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, lcs: float = 0.6, answer: float = 0.5, rank: int = 512, terms: int = 20_000) -> DataFrame:
+    """One row per (doc_id, item_id) that matches: start (word), cosine, lcs_share, answer_share of the best window.
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, lcs: float = 0.6, answer: float = 0.5, group: int = 256) -> DataFrame:
-    """One row per (doc_id, item_id) that matches: start (word), cosine, lcs_share, answer_share of the best window."""
+    doc_id may be a number or a string.
+    """
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
+    id_type = "string" if dict(docs.dtypes)["doc_id"] == "string" else "bigint"
     items = benchmark.select("item_id", "text").filter("item_id is not null")
-    groups = max(1, -(-items.count() // group))
+    parts = max(1, -(-(items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // BENCHMARK_BYTES))
     found = None
-    for k in range(groups):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == k)
+    for k in range(parts):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items
         own = Items([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()])
         if not own.segments:
             continue
-        kind = np.int16 if len(own.vocabulary) < 1 << 15 else np.int32
-        coded = materialize(_code_rows(docs, own.vocabulary), "codes")
-        own.weigh(*_frequencies(coded, len(own.vocabulary), kind))
-        axes = latent_axes(own.start(), _range(coded, own, kind))
-        some = _search(coded, own, axes, kind, cosine, lcs, answer)
-        found = some if found is None else found.union(some)
+        size = len(own.vocabulary)
+        kind = np.int16 if size < 1 << 15 else np.int32
+        coded = materialize(_code_rows(docs, own.vocabulary, id_type), "codes")
+        frequencies = _frequencies(coded, size, kind)
+        for segments in own.groups(terms):
+            group = Group(segments, size, *frequencies)
+            start = group.start(rank)
+            axes = latent_axes(start, _range(coded, group, start, kind))
+            some = _search(coded, group, axes, kind, cosine, lcs, answer, id_type)
+            found = some if found is None else found.union(some)
     if found is None:
-        return docs.sparkSession.createDataFrame([], FOUND)
+        return docs.sparkSession.createDataFrame([], FOUND.format(id_type))
     best = F.max_by(F.struct("start", "cosine", "lcs_share", "answer_share"), F.struct("lcs_share", "answer_share", "cosine", -F.col("start")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 

@@ -102,7 +102,7 @@ def _counted(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
     parts = docs.select("text").mapInArrow(run, "segment int, counts binary")
     levels, whole = np.zeros((SEGMENTS, (1 << BITS) // SEGMENTS), np.uint8), 0
-    for row in add_up(parts, ["segment"], add, "idx bigint, segment int, counts binary").collect():  # SEGMENTS rows of fixed size
+    for row in add_up(parts, ["segment"], add, "idx bigint, segment int, counts binary", SEGMENTS).collect():  # SEGMENTS rows of fixed size
         total = np.frombuffer(zlib.decompress(row["counts"]), np.uint64)
         levels[row["segment"]] = np.ceil(np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
         whole += int(total.sum())

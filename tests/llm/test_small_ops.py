@@ -467,12 +467,58 @@ def test_contaminated_documents_are_found(spark):
     bench = spark.createDataFrame([*items, (99, None), (98, "")], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
     assert got == {(500 + n, n % 25) for n in range(50)}
-    grouped = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), bench, group=6).collect()}
+    grouped = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), bench, terms=120).collect()}
     assert grouped == got
+    mixed = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), bench, rank=12).collect()}
+    assert mixed == got
+    named = docs(spark, rows).withColumn("doc_id", F.concat(F.lit("n"), F.col("doc_id")))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(named, bench.withColumn("codes", F.lit("x"))).collect()} == {(f"n{d}", i) for d, i in got}
     assert decontaminate.contaminated(docs(spark, []), bench).collect() == []
     assert decontaminate.contaminated(docs(spark, rows), spark.createDataFrame([], "item_id bigint, text string")).collect() == []
 
 
+def test_very_long_texts_and_repeated_items(spark):
+    rng = random.Random(16)
+    item = " ".join(f"{rng.choice(WORDS)}{rng.choice('aeiou')}q" for _ in range(30))
+    long_text = f"{prose(rng, 60_000)} {item} {prose(rng, 60_000)} {item}"
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item)], "item_id bigint, text string")
+    got = decontaminate.contaminated(docs(spark, [(5, long_text), (6, prose(rng, 500))]), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(5, 1), (5, 2)]
+    assert all(r.lcs_share == 1.0 and min(abs(r.start - 60_000), abs(r.start - 120_030)) < 100 for r in got)
+
+
+def test_axes_and_candidates_equal_a_dense_svd(spark):
+    rng = random.Random(3)
+    terms = [f"{w}{v}z" for w in WORDS[:20] for v in "ae"]
+    items = [(i, " ".join(rng.sample(terms, 10))) for i in range(18)]
+    rows = [(i, " ".join(rng.choice(terms + WORDS) for _ in range(rng.randint(20, 200)))) for i in range(150)]
+    own = decontaminate.Items(items)
+    size = len(own.vocabulary)
+    coded = decontaminate._code_rows(docs(spark, rows).select("doc_id", "text"), own.vocabulary, "bigint")
+    df, passages = decontaminate._frequencies(coded, size, np.int16)
+    [segments] = own.groups(1000)
+    group = decontaminate.Group(segments, size, df, passages)
+    group.weight = np.maximum(group.weight, 0.1)
+    start = group.start(512)
+    axes = decontaminate.latent_axes(start, decontaminate._range(coded, group, start, np.int16))
+    words = own.vocabulary.to_pylist()
+    lists = [t.split()[a : a + 48] for _, t in rows for a in range(0, len(t.split()), 48)]
+    counts = np.array([[ws.count(w) for w in words] for ws in lists], float)
+    assert passages == len(lists) and (df == (counts > 0).sum(axis=0)).all()
+    matrix = counts * group.weight
+    _, singular, right = np.linalg.svd(matrix, full_matrices=False)
+    assert start.shape[1] == size  # few terms: the range is whole, so the axes are those of the dense decomposition
+    lead = singular > 1e-3 * singular[0]
+    assert np.allclose(np.abs(np.sum(axes[:, :5] * right[:5].T, axis=0)), 1, atol=1e-2) and axes.shape[1] >= lead.sum() - 1
+    windows = matrix[:40] @ axes
+    dense = (matrix[:40] @ right[lead].T) @ (right[lead] @ np.stack([np.bincount(c, minlength=size) * group.weight for _, c in group.segments]).T)
+    norms = np.linalg.norm(matrix[:40] @ right[lead].T, axis=1)[:, None] * np.linalg.norm(right[lead] @ np.stack([np.bincount(c, minlength=size) * group.weight for _, c in group.segments]).T, axis=0)
+    unit = (windows / np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    got = {(i, k) for i, k, _ in decontaminate._near(unit, group.project(axes), 0.4)}
+    cosines = dense / np.maximum(norms, 1e-9)
+    assert {(i, k) for i, k in zip(*np.nonzero(cosines > 0.41), strict=True)} <= got <= {(i, k) for i, k in zip(*np.nonzero(cosines > 0.39), strict=True)}
+
+
 def test_lcs_with_bits():
     rng = random.Random(1)
     for _ in range(200):
@@ -646,7 +692,8 @@ def test_partial_sums_in_a_tree(spark, monkeypatch, fan):
     from strataweave.llm import common
 
     monkeypatch.setattr(common, "FAN_IN", fan)
-    parts = spark.range(0, 40, 1, 9).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([np.array([b.num_rows, 1], np.int64).tobytes()], pa.binary())], ["part"]) for b in bs), "part binary")
+    monkeypatch.setattr(common, "PART_BYTES", 8)
+    parts = spark.range(0, 40, 1, 9).mapInArrow(lambda bs: (common.parts_of(np.array([b.num_rows, 1], np.int64)) for b in bs), "segment int, part binary")
     assert common.sum_arrays(parts, "int64", 2)[0] == 40
 
 
