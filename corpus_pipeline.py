@@ -10,37 +10,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.llm import decontaminate, exact_dedup, jaccard, packing, quality
-from strataweave.llm.common import table
+from strataweave.llm.common import fresh, table
 from strataweave.session import materialize
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier, learnt from `labels`, accepts."""
+    """Rows that the classifier, learnt from `labels`, accepts; null and empty texts are scored as empty ones, repeated rows alike. All columns stay."""
     model = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     return quality.keep_good(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text."""
+    """One row of each text: that with the largest doc_id; null texts count as empty, nulls lose to any id. All columns stay, whatever their names."""
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near copies."""
+    """One row of each class of near copies: that with the least doc_id. Rows without words, null texts among them, stay. All columns stay, whatever their names."""
     return jaccard.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text holds no item of `benchmark`. Texts are named by their hash, so null and repeated ids are handled too."""
-    key = F.xxhash64("text")
-    named = docs.select(key.alias("doc_id"), "text")
+    """Rows whose text holds no item of `benchmark`.
+
+    Texts are named by their SHA-256, so null and repeated ids are handled too; null texts stay. Ties, very long texts and other
+    columns are as the operator has them; an empty table stays empty.
+    """
+    key, bad = fresh(docs.columns, "key"), fresh(docs.columns, "bad")
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    named = docs.select(sha.alias("doc_id"), "text")
     found = decontaminate.contaminated(named, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    bad = materialize(found.select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(bad, key == F.col("__bad"), "left_anti")
+    names = materialize(found.select(F.col("doc_id").alias(bad)).distinct(), "contaminated")
+    return docs.withColumn(key, sha).join(names, F.col(key) == F.col(bad), "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining rows as sequences of 4096 ids."""
+    """The remaining rows as sequences of 4096 ids; a null or empty text is the end id, repeated rows are packed one by one, an empty table gives no rows."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
