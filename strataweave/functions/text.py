@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # What Unicode calls white space, as a Java character class body.
 SPACE = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WORD = r"\p{L}\p{N}_"
+# What ends a line.
+LINE_END = r"\r\n|[\n\x{B}\x{C}\r\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 # Stop words of the comparison form.
 STOP_WORDS = ("der", "die", "das", "und", "oder", "in", "zu", "von", "mit", "für")
 # Words whose presence anywhere in a text counts for a language.

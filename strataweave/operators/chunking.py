@@ -1,82 +1,121 @@
 """Bounded chunks of page texts, with context headers and overlap.
 
 pages: source_id, page_number, text. chunks: source_id, chunk_index, text, pages.
-Packing is a fold over a source's pages in order, kept in the JVM as an array aggregate.
+Packing is a fold over the lengths of a source's pages in order. Only lengths go through it, as a sorted stream that a task
+reads once and holds one open chunk of; the texts meet their chunk numbers by row and are gathered per chunk.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.functions import text as T
-
-CHUNK = "struct<text:string,pages:array<int>>"
+from strataweave.session import materialize
+
+# The lines of a chunk's header, the marks around an overlap, and the ends of sentences in the order they are tried.
+RULE = "=" * 80
+DOCUMENT, SPAN, SECTION = "DOKUMENT: ", "SEITEN: ", "ABSCHNITT: "
+OVERLAP = ("\n\n[OVERLAP_START]\n", "\n[OVERLAP_END]")
+ENDINGS = (". ", ".\n", "! ", "!\n", "? ", "?\n")
+
+
+class _Packer:
+    """The chunk numbers of one source's pages; `pages` holds those of the open chunk, `last` the length of the chunk before."""
+
+    def __init__(self, source: str, most: int, least: int):
+        self.source, self.most, self.least = source, most, least
+        self.pages: list[int] = []
+        self.size, self.number, self.last = 0, -1, 0
+
+    def close(self) -> Iterator[tuple[int, int]]:
+        """(row, chunk number) of the open chunk; a small one joins the one before where both fit."""
+        if not self.pages:
+            return
+        if self.size < self.least and self.number >= 0 and self.last + self.size + 2 <= self.most:
+            self.last += self.size + 2
+        else:
+            self.number, self.last = self.number + 1, self.size
+        yield from ((row, self.number) for row in self.pages)
+        self.pages, self.size = [], 0
+
+    def add(self, row: int, size: int) -> Iterator[tuple[int, int]]:
+        if self.pages and size > self.most:  # stands alone, unless nothing is open: then it opens a chunk
+            yield from self.close()
+            self.pages, self.size = [row], size
+            yield from self.close()
+        elif self.pages and self.size + size + 2 <= self.most:
+            self.pages.append(row)
+            self.size += size + 2
+        else:
+            yield from self.close()
+            self.pages, self.size = [row], size
 
 
 def pack_pages(pages: DataFrame, most: int = 8000, least: int = 1500) -> DataFrame:
-    """Greedy packing of stripped pages, then small chunks join the one before where both fit.
-
-    A page longer than `most` stands alone, unless nothing is open: then it opens a chunk.
-    """
+    """Greedy packing of stripped pages, then small chunks join the one before where both fit."""
     rows = pages.select("source_id", "page_number", T.strip(F.col("text")).alias("text")).filter("text <> ''")
-    per = rows.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("pages"))
-    none = F.array().cast(f"array<{CHUNK}>")
-    chunk = lambda text, numbers: F.struct(text.alias("text"), numbers.alias("pages"))
-    start = F.struct(none.alias("done"), F.lit("").alias("text"), F.array().cast("array<int>").alias("pages"))
-
-    def add(state: Column, page: Column) -> Column:
-        text, number = page["text"], F.array(page["page_number"])
-        empty = state["text"] == ""
-        flushed = F.when(empty, state["done"]).otherwise(F.concat(state["done"], F.array(chunk(state["text"], state["pages"]))))
-        shape = lambda done, t, p: F.struct(done.alias("done"), t.alias("text"), p.alias("pages"))
-        fits = F.length(state["text"]) + F.length(text) + 2 <= most
-        alone = shape(F.concat(flushed, F.array(chunk(text, number))), F.lit(""), F.array().cast("array<int>"))
-        return (
-            F.when(empty, shape(state["done"], text, number))
-            .when(F.length(text) > most, alone)
-            .when(fits, shape(state["done"], F.concat(state["text"], F.lit("\n\n"), text), F.concat(state["pages"], number)))
-            .otherwise(shape(flushed, text, number))
-        )
-
-    end = lambda s: F.when(s["text"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(chunk(s["text"], s["pages"]))))
-    packed = F.aggregate("pages", start, add, end)
-
-    def merge(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        joins = (F.size(done) > 0) & (F.length(x["text"]) < least) & (F.length(last["text"]) + F.length(x["text"]) + 2 <= most)
-        both = chunk(F.concat(last["text"], F.lit("\n\n"), x["text"]), F.concat(last["pages"], x["pages"]))
-        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(x)))
-
-    merged = F.aggregate(packed, none, merge)
-    return per.select("source_id", F.posexplode(merged).alias("chunk_index", "c")).select(
-        "source_id", "chunk_index", F.col("c.text").alias("text"), F.array_sort(F.array_distinct("c.pages")).alias("pages")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer: _Packer | None = None
+        held: list[tuple[int, int]] = []
+        for batch in batches:
+            for source, row, size in zip(*(batch.column(c).to_pylist() for c in ("source_id", "row", "size")), strict=True):
+                if packer is None or packer.source != source:
+                    held += packer.close() if packer else ()
+                    packer = _Packer(source, most, least)
+                held += packer.add(row, size)
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], ["p_row", "chunk_index"])
+                held = []
+        held += packer.close() if packer else ()
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], ["p_row", "chunk_index"])
+
+    sizes = rows.select("source_id", "page_number", "row", F.length("text").cast("bigint").alias("size"))
+    places = sizes.repartition("source_id").sortWithinPartitions("source_id", "page_number", "row").mapInArrow(run, "p_row bigint, chunk_index bigint")
+    placed = rows.join(places, F.col("row") == F.col("p_row"))
+    parts = placed.groupBy("source_id", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("page_number", "row", "text"))).alias("parts"))
+    return parts.select(
+        "source_id", F.col("chunk_index").cast("int").alias("chunk_index"), F.array_join("parts.text", "\n\n").alias("text"), F.array_sort(F.array_distinct("parts.page_number")).alias("pages")
     )
 
 
-def with_header(chunks: DataFrame) -> DataFrame:
-    """Chunks that begin with their page range and, if one of the first five lines is one, a heading."""
-    first, last = F.array_min("pages"), F.array_max("pages")
-    span = F.when(first == last, F.concat(F.lit("[Page "), first, F.lit("]"))).otherwise(F.concat(F.lit("[Pages "), first, F.lit("-"), last, F.lit("]")))
-    heading = F.get(F.filter(F.slice(F.split("text", r"\R"), 1, 5), T.is_heading), 0)
-    head = F.concat_ws(" ", span, F.substring(T.strip(heading), 1, 100))
-    return chunks.withColumn("text", F.concat(head, F.lit("\n\n"), F.col("text")))
+def with_header(chunks: DataFrame, title: Column | str = "Dokument") -> DataFrame:
+    """Chunks below a header with the document's title, the page range and, if one of the first five lines is one, a heading."""
+    title = F.lit(title) if isinstance(title, str) else title
+    first, last = F.array_min("pages").cast("string"), F.array_max("pages").cast("string")
+    span = F.when(F.size("pages") > 1, F.concat(first, F.lit("-"), last)).otherwise(first)
+    heading = F.get(F.filter(F.transform(F.slice(F.split("text", T.LINE_END), 1, 5), T.strip), lambda x: (x != "") & T.is_heading(x)), 0)
+    section = F.when(heading.isNotNull(), F.concat(F.lit(SECTION), F.substring(heading, 1, 100)))
+    head = F.concat_ws("\n", F.lit(RULE), F.concat(F.lit(DOCUMENT), title), F.concat(F.lit(SPAN), span), section, F.lit(RULE))
+    return chunks.withColumn("text", F.concat(head, F.lit("\n"), F.col("text")))
+
+
+def _last(text: Column, mark: str) -> Column:
+    """Place (from 0) of the last `mark` in a text, negative if there is none."""
+    return F.when(F.contains(text, F.lit(mark)), F.length(text) - F.length(F.substring_index(text, mark, -1)) - len(mark)).otherwise(-1)
 
 
 def with_overlap(chunks: DataFrame, share: float = 0.15) -> DataFrame:
-    """Each chunk followed by the beginning of the next, cut at a sentence's end past its half or a paragraph past its 30 %."""
-    follow = F.lead("text").over(Window.partitionBy("source_id").orderBy("chunk_index"))
-    rows = chunks.withColumn("head", F.substring(follow, F.lit(1), F.floor(F.length(follow) * share).cast("int")))
-    head = F.col("head")
-    rfind = lambda mark: F.length(head) - F.length(F.substring_index(head, mark, -1)) - len(mark)  # noqa: E731  place of the last mark, negative if there is none
-    cut = F.lit(None).cast("int")
-    paragraph = rfind("\n\n")
-    cut = F.when(paragraph > F.length(head) * 0.3, paragraph)
-    for mark in reversed((". ", "! ", "? ", ".\n")):
-        at = rfind(mark)
-        cut = F.when(at > F.length(head) * 0.5, at + 1).otherwise(cut)
-    tail = F.when(cut.isNotNull(), F.substring(head, F.lit(1), cut.cast("int"))).otherwise(head)
-    whole = F.concat(F.col("text"), F.lit("\n\n[Overlap]\n"), tail, F.lit("\n[/Overlap]"))
+    """Each chunk followed by as much of the next as `share` of its own length, if the next is longer than that.
+
+    The piece ends after the last sentence end of the first kind that has one past its half, else after the last paragraph past its 30 %.
+    """
+    ahead = Window.partitionBy("source_id").orderBy("chunk_index")
+    size = F.floor(F.length("text") * share).cast("int")
+    follow = F.lead("text").over(ahead)
+    rows = chunks.withColumn("size", size).withColumn("piece", F.when((F.col("size") > 0) & (F.length(follow) > F.col("size")), F.substring(follow, F.lit(1), F.col("size"))))
+    piece, size = F.col("piece"), F.col("size")
+    cut = F.when(_last(piece, "\n\n") > size * 0.3, _last(piece, "\n\n") + 2).otherwise(size)
+    for mark in reversed(ENDINGS):
+        cut = F.when(_last(piece, mark) > size * 0.5, _last(piece, mark) + len(mark)).otherwise(cut)
+    tail = T.strip(F.substring(piece, F.lit(1), cut.cast("int")))
+    whole = F.concat(F.col("text"), F.lit(OVERLAP[0]), tail, F.lit(OVERLAP[1]))
     return rows.select("source_id", "chunk_index", F.when(F.coalesce(tail, F.lit("")) != "", whole).otherwise(F.col("text")).alias("text"), "pages")
 
 

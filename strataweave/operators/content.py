@@ -19,9 +19,9 @@ def texts(entities: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 
 
 def exact_repetition(rows: DataFrame) -> DataFrame:
-    """run_id, norm, n for compared forms that occur more than once."""
+    """run_id, digest (MD5 of the compared form), n for compared forms that occur more than once; texts are grouped by their digests."""
     forms = rows.select("run_id", T.compare_form(F.col("text")).alias("norm")).filter(F.length("norm") > 10)
-    return forms.groupBy("run_id", "norm").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return forms.select("run_id", F.md5("norm").alias("digest")).groupBy("run_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 def near_pairs(forms: DataFrame, above: float = 0.9) -> DataFrame:
@@ -111,21 +111,21 @@ def missing_required(entities: DataFrame) -> DataFrame:
 # ---- pages ---------------------------------------------------------------------------------
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """source_id, page_number, line_no (from 0), line, n_lines of the pages' texts."""
-    split = F.split(T.strip(F.col("text")), r"\R")
-    return pages.filter(T.strip(F.col("text")) != "").select("source_id", "page_number", F.posexplode(split).alias("line_no", "line"), F.size(split).alias("n_lines"))
-
-
 def headers_footers(pages: DataFrame, share: float = 0.3, floor: int = 0) -> DataFrame:
     """source_id, place (header, footer), pattern, n: lines that recur among the first or last three of the pages.
 
     Sources of fewer than 3 pages have none. The threshold is int(pages * share), as published; `floor` raises it.
     """
     size = pages.groupBy("source_id").agg(F.count(F.lit(1)).alias("pages")).filter("pages >= 3")
-    lines = page_lines(pages).withColumn("pattern", T.page_line(F.col("line"))).filter(F.length("pattern") > 10)
-    places = F.array_compact(F.array(F.when(F.col("line_no") < 3, "header"), F.when(F.col("line_no") >= F.col("n_lines") - 3, "footer")))
-    found = lines.select("source_id", "pattern", F.explode(places).alias("place")).groupBy("source_id", "place", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    # A page is split once; of its lines only the first and last three are compared.
+    split = pages.select("source_id", T.strip(F.col("text")).alias("bare")).filter("bare <> ''").select("source_id", F.split("bare", r"\R").alias("ls"))
+    n = F.size("ls")
+    ends = F.concat(
+        F.transform(F.slice("ls", 1, 3), lambda x: F.struct(F.lit("header").alias("place"), x.alias("line"))),
+        F.transform(F.slice("ls", F.greatest(n - 2, F.lit(1)), F.lit(3)), lambda x: F.struct(F.lit("footer").alias("place"), x.alias("line"))),
+    )
+    lines = split.select("source_id", F.explode(ends).alias("e")).select("source_id", "e.place", T.page_line(F.col("e.line")).alias("pattern")).filter(F.length("pattern") > 10)
+    found = lines.groupBy("source_id", "place", "pattern").agg(F.count(F.lit(1)).alias("n"))
     least = F.greatest(F.floor(F.col("pages") * share), F.lit(floor))
     return found.join(size, "source_id").filter(F.col("n") >= least).select("source_id", "place", "pattern", "n")
 

@@ -97,7 +97,7 @@ def edges_by_relation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     kinds = nodes.select("run_id", "node", "type")
     typed = edges.join(kinds.select("run_id", F.col("node").alias("u"), F.col("type").alias("a")), ["run_id", "u"])
     typed = typed.join(kinds.select("run_id", F.col("node").alias("v"), F.col("type").alias("b")), ["run_id", "v"])
-    name = lambda x, y: F.concat(F.col(x), F.lit("-"), F.col(y))
+    name = lambda x, y: F.concat(F.col(x), F.lit("_to_"), F.col(y))
     relations = F.when(F.col("a") == F.col("b"), F.array(name("a", "b"))).otherwise(F.array(name("a", "b"), name("b", "a")))
     return typed.select("run_id", F.explode(relations).alias("relation")).groupBy("run_id", "relation").agg(F.count(F.lit(1)).alias("n"))
 

@@ -35,9 +35,9 @@ def _docs(spark, sf_dir):
     return adapters.read(spark, sf_dir, "documents").select(F.lit("run").alias("run_id"), "doc_id", "text", "source")
 
 
-@query(f"WITH d AS (SELECT {NORM('text')} AS norm FROM documents) SELECT md5(norm) AS norm, n FROM (SELECT norm, count(*) AS n FROM d WHERE length(norm) > 10 GROUP BY norm) WHERE n > 1")
+@query(f"WITH d AS (SELECT {NORM('text')} AS norm FROM documents) SELECT md5(norm) AS digest, n FROM (SELECT norm, count(*) AS n FROM d WHERE length(norm) > 10 GROUP BY norm) WHERE n > 1")
 def repetition_exact(spark, sf_dir):
-    return content.exact_repetition(_docs(spark, sf_dir)).select(F.md5("norm").alias("norm"), "n")
+    return content.exact_repetition(_docs(spark, sf_dir)).select("digest", "n")
 
 
 @query(rf"""WITH {ROWS}, f AS (SELECT DISTINCT {NORM('text')} AS norm FROM r WHERE field = 'description'), w AS (SELECT norm, list_distinct(string_split(norm, ' ')) AS ws FROM f WHERE norm <> '')
@@ -136,7 +136,7 @@ def heading_lines(spark, sf_dir):
 
 @query()
 def noise_removed(spark, sf_dir):
-    """Pages without their headers and footers; held against a line-by-line version in the tests."""
+    """Pages without their headers and footers."""
     pages = _pages(spark, sf_dir)
     out = content.without_noise(pages, content.headers_footers(pages, share=0.05, floor=2))
     return out.select("source_id", "page_number", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))

@@ -40,9 +40,33 @@ def chunk_stats(spark, sf_dir):
     return chunking.chunk_stats(_chunks(spark, sf_dir))
 
 
-@query()
+STRIPPED = lambda x: STRIP.replace("regexp_replace(text,", f"regexp_replace({x},")
+_WS = lambda x: rf"list_filter(string_split(trim(regexp_replace({x}, '\s+', ' ', 'g')), ' '), lambda w: w <> '')"
+HEADING = lambda x: rf"""(length({x}) >= 3 AND (regexp_matches({x}, '^(\d+(\.\d+)*\.?|[IVXLCDM]+\.|[A-Za-z]\))\s+') OR regexp_matches({x}, '^({'|'.join(T.HEADING_WORDS)})')
+ OR (upper({x}) = {x} AND lower({x}) <> {x} AND length({x}) > 3) OR (len({_WS(x)}) >= 2 AND len(list_filter({_WS(x)}, lambda w: regexp_full_match(left(w, 1), '\p{{Lu}}'))) / len({_WS(x)}) > 0.7) OR ({x} LIKE '%:' AND length({x}) < 100)))"""
+_RFIND = lambda m: f"(CASE WHEN contains(piece, {m}) THEN length(piece) - strpos(reverse(piece), reverse({m})) - length({m}) + 1 ELSE -1 END)"
+_MARKS = ["'. '", "'.' || chr(10)", "'! '", "'!' || chr(10)", "'? '", "'?' || chr(10)"]
+_CUT = " ".join(f"WHEN {_RFIND(f'({m})')} > size * 0.5 THEN {_RFIND(f'({m})')} + 2" for m in _MARKS)
+HEADED = rf"""{PACK}, ct AS (SELECT p.source_id, m.chunk AS chunk_index, string_agg(p.text, chr(10) || chr(10) ORDER BY p.i) AS text, min(p.page_number) AS lo, max(p.page_number) AS hi, count(*) AS np
+  FROM p JOIN f ON f.source_id = p.source_id AND f.i = p.i JOIN o ON o.source_id = f.source_id AND o.own = f.own JOIN m ON m.source_id = o.source_id AND m.k = o.k GROUP BY p.source_id, m.chunk),
+hl AS (SELECT *, list_transform(list_slice(regexp_split_to_array(text, '\r\n|[\n\x{{0B}}\x{{0C}}\r\x{{1C}}-\x{{1E}}\x{{85}}\x{{2028}}\x{{2029}}]'), 1, 5), lambda l: {STRIPPED('l')}) AS ls FROM ct),
+hh AS (SELECT *, list_filter(ls, lambda l: {HEADING('l')})[1] AS heading FROM hl),
+headed AS (SELECT source_id, chunk_index, concat(repeat('=', 80), chr(10), 'DOKUMENT: Dokument', chr(10), 'SEITEN: ', CASE WHEN np > 1 THEN concat(lo, '-', hi) ELSE CAST(lo AS VARCHAR) END, chr(10),
+  CASE WHEN heading IS NOT NULL THEN concat('ABSCHNITT: ', left(heading, 100), chr(10)) ELSE '' END, repeat('=', 80), chr(10), text) AS text FROM hh)"""
+
+
+@query(f"{HEADED} SELECT source_id, CAST(chunk_index AS INT) AS chunk_index, CAST(length(text) AS INT) AS n_chars, md5(text) AS digest FROM headed")
+def chunk_headers(spark, sf_dir):
+    return chunking.with_header(_chunks(spark, sf_dir)).select("source_id", "chunk_index", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query(f"""{HEADED}, nx AS (SELECT *, CAST(floor(length(text) * 0.15) AS INT) AS size, lead(text) OVER (PARTITION BY source_id ORDER BY chunk_index) AS follow FROM headed),
+pc AS (SELECT *, CASE WHEN size > 0 AND length(follow) > size THEN left(follow, size) END AS piece FROM nx),
+cu AS (SELECT *, CASE {_CUT} WHEN {_RFIND("(chr(10) || chr(10))")} > size * 0.3 THEN {_RFIND("(chr(10) || chr(10))")} + 2 ELSE size END AS cut FROM pc),
+tl AS (SELECT *, {STRIPPED('left(piece, cut)')} AS tail FROM cu),
+ov AS (SELECT source_id, chunk_index, CASE WHEN coalesce(tail, '') <> '' THEN concat(text, chr(10), chr(10), '[OVERLAP_START]', chr(10), tail, chr(10), '[OVERLAP_END]') ELSE text END AS text FROM tl)
+SELECT source_id, CAST(chunk_index AS INT) AS chunk_index, CAST(length(text) AS INT) AS n_chars, md5(text) AS digest FROM ov""")
 def chunk_overlap(spark, sf_dir):
-    """Chunks with headers and overlap; held against a plain version in the tests."""
     out = chunking.with_overlap(chunking.with_header(_chunks(spark, sf_dir)))
     return out.select("source_id", "chunk_index", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 

@@ -30,7 +30,7 @@ def nodes_by_type(spark, sf_dir):
 
 
 @query(f"""WITH {GRAPH}, typed AS (SELECT a.type AS a, b.type AS b FROM pairs JOIN nodes a ON u = a.node JOIN nodes b ON v = b.node)
-SELECT relation, count(*) AS n FROM (SELECT concat(a, '-', b) AS relation FROM typed UNION ALL SELECT concat(b, '-', a) FROM typed WHERE a <> b) GROUP BY relation""")
+SELECT relation, count(*) AS n FROM (SELECT concat(a, '_to_', b) AS relation FROM typed UNION ALL SELECT concat(b, '_to_', a) FROM typed WHERE a <> b) GROUP BY relation""")
 def edges_by_relation(spark, sf_dir):
     return graph.edges_by_relation(*_graph(spark, sf_dir)).drop("run_id")
 

@@ -1,6 +1,7 @@
 """String functions against plain Python, and pages, graphs, reports end to end."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,8 +132,65 @@ def test_chunks_keep_all_text_in_order(spark):
     got = chunking.pack_pages(df).orderBy("chunk_index").collect()
     assert "".join(r.text.replace("\n", "") for r in got) == "".join(texts)
     assert sorted(p for r in got for p in r.pages) == list(range(1, 9))
-    over = chunking.with_overlap(chunking.with_header(chunking.pack_pages(df))).orderBy("chunk_index").collect()
-    assert all(r.text.startswith("[Page") for r in over) and "[Overlap]" in over[0].text and "[Overlap]" not in over[-1].text
+    headed = chunking.with_header(chunking.pack_pages(df)).orderBy("chunk_index").collect()
+    assert all(r.text.startswith("=" * 80 + "\nDOKUMENT: Dokument\nSEITEN: ") for r in headed)
+
+
+def plain_pack(sizes, most=8000, least=1500):
+    """Chunks of page numbers, by lists."""
+    out, now, size = [], [], 0
+    for i, n in enumerate(sizes):
+        if now and n > most:
+            out += [(now, size), ([i], n)]
+            now, size = [], 0
+        elif now and size + n + 2 <= most:
+            now, size = [*now, i], size + n + 2
+        else:
+            out += [(now, size)] if now else []
+            now, size = [i], n
+    out += [(now, size)] if now else []
+    final = []
+    for own, n in out:
+        if n < least and final and final[-1][1] + n + 2 <= most:
+            final[-1] = (final[-1][0] + own, final[-1][1] + n + 2)
+        else:
+            final.append((own, n))
+    return [own for own, _ in final]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_packing_equals_a_plain_fold(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"s{k}": [rng.choice([5, 300, 1200, 4000, 7990, 8000, 8001, 20000]) for _ in range(rng.randint(1, 60))] for k in range(4)}
+    rows = [(k, i, "y" * n) for k, own in sizes.items() for i, n in enumerate(own)]
+    df = spark.createDataFrame(rows, "source_id string, page_number int, text string").repartition(5)
+    got = {k: [] for k in sizes}
+    for r in chunking.pack_pages(df).orderBy("source_id", "chunk_index").collect():
+        assert r.chunk_index == len(got[r.source_id])
+        got[r.source_id].append(r.pages)
+    assert got == {k: plain_pack(own) for k, own in sizes.items()}
+
+
+@pytest.mark.parametrize(
+    ("own", "follow", "tail"),
+    [
+        ("a" * 100, "One twos. Three four five six", "One twos."),  # 15 characters: the sentence end is past the half
+        ("a" * 100, "Only. words without an end here", "Only. words wit"),  # the end is before the half
+        ("a" * 100, "One tw\n\nmore words that follow", "One tw"),  # a paragraph past the 30 %
+        ("a" * 100, "One two! X. Yes and so on", "One two! X."),  # full stops are tried first
+        ("a" * 100, "short", None),
+        ("a" * 6, "One two. Three", None),
+    ],
+)
+def test_overlap(spark, own, follow, tail):
+    df = spark.createDataFrame([("s", 0, own, [1]), ("s", 1, follow, [2])], "source_id string, chunk_index int, text string, pages array<int>")
+    got = [r.text for r in chunking.with_overlap(df).orderBy("chunk_index").collect()]
+    assert got == [own if tail is None else f"{own}\n\n[OVERLAP_START]\n{tail}\n[OVERLAP_END]", follow]
+
+
+def test_first_chunks(spark):
+    df = spark.range(5).select(F.col("id").alias("chunk_index"))
+    assert chunking.first_chunks(df, 2).count() == 2 and chunking.first_chunks(df, 0).count() == 5
 
 
 def test_noise_lines_go(spark):
