@@ -18,6 +18,24 @@ def texts(entities: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return entities.select("run_id", "bucket", "id", each).filter(T.strip(F.col("text")) != "")
 
 
+def all_texts(entities: DataFrame) -> DataFrame:
+    """run_id, bucket, id, field, text: one row per field of an entity's content that holds a string of some length."""
+    each = entities.select("run_id", "bucket", "id", F.explode("content").alias("field", "text"))
+    return each.filter(F.coalesce("text", F.lit("")) != "")
+
+
+def entity_texts(entities: DataFrame) -> DataFrame:
+    """run_id, text: title, name and description of each entity as one text, in lower case; missing ones are empty."""
+    parts = (F.lower(F.coalesce(F.try_element_at("content", F.lit(f)), F.lit(""))) for f in FIELDS[:3])
+    return entities.select("run_id", F.concat_ws(" ", *parts).alias("text"))
+
+
+def detection_texts(entities: DataFrame) -> DataFrame:
+    """run_id, text: the four text fields of each entity that have text, as one, for a language detector."""
+    parts = F.filter(F.array(*(F.try_element_at("content", F.lit(f)) for f in FIELDS)), lambda x: T.strip(x) != "")
+    return entities.select("run_id", F.array_join(parts, " ").alias("text"))
+
+
 def exact_repetition(rows: DataFrame) -> DataFrame:
     """run_id, digest (MD5 of the compared form), n for compared forms that occur more than once; texts are grouped by their digests."""
     forms = rows.select("run_id", T.compare_form(F.col("text")).alias("norm")).filter(F.length("norm") > 10)
@@ -66,8 +84,22 @@ def length_distribution(rows: DataFrame, fields: tuple[str, ...] = FIELDS) -> Da
     return grid.join(found, ["bucket", "field"], "left").fillna(0)
 
 
-def language_consistency(rows: DataFrame) -> DataFrame:
-    """Primary language of texts of more than 10 characters, and the share that is not it; rows: run_id, text."""
+def detected_languages(rows: DataFrame, detect, least: int = 20) -> DataFrame:
+    """Primary language, its distribution and the share of other ones, by a detector that the caller brings: a column function from text to a language or null.
+
+    Texts of at most `least` characters are not asked about. rows: run_id, text. Of languages as frequent the first by name is primary.
+    """
+    found = rows.filter(F.length("text") > least).select("run_id", detect(F.col("text")).alias("lang")).filter("lang is not null")
+    per = found.groupBy("run_id", "lang").agg(F.count(F.lit(1)).alias("n"))
+    out = per.groupBy("run_id").agg(F.sum("n").alias("texts"), F.max("n").alias("most"), F.min_by("lang", F.struct(-F.col("n"), "lang")).alias("primary_language"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "n")))).alias("counts"))
+    share = F.transform_values("counts", lambda _, n: F.round(n / F.col("texts"), 6))
+    return out.select("run_id", "texts", "primary_language", share.alias("distribution"), F.round(1 - F.col("most") / F.col("texts"), 6).alias("inconsistency"))
+
+
+def language_consistency(rows: DataFrame, detect=None) -> DataFrame:
+    """Primary language of texts of more than 10 characters, and the share that is not it; rows: run_id, text. `detect`: see `detected_languages`."""
+    if detect is not None:
+        return detected_languages(rows, detect)
     guess = rows.filter(F.length("text") > 10).withColumn("lang", T.guess_language(F.col("text")))
     n, de, en = F.count(F.lit(1)), F.count_if(F.col("lang") == "de"), F.count_if(F.col("lang") == "en")
     primary = F.when(F.col("de") > F.col("en"), "de").when(F.col("en") > 0, "en").otherwise("unknown")

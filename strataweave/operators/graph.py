@@ -70,7 +70,7 @@ def hierarchical_nodes_edges(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
     typed = [(af, "af", "action_field"), (proj, "proj", "project"), (msr, "leaf", "measure"), (ind, "leaf", "indicator")]
     nodes = None
     for df, c, t in typed:
-        part = df.select("run_id", F.col(c).alias("node"), F.lit(t).alias("type"))
+        part = df.select("run_id", F.col(c).alias("node"), F.lit(t).alias("type"), F.regexp_replace(c, "^[a-z]+:", "").alias("name"))
         nodes = part if nodes is None else nodes.union(part)
     pairs = proj.select("run_id", F.col("af").alias("a"), F.col("proj").alias("b")).union(msr.select("run_id", "proj", "leaf")).union(ind.select("run_id", "proj", "leaf"))
     edges = pairs.select("run_id", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()

@@ -250,7 +250,7 @@ def compare(before: DataFrame, after: DataFrame, names: tuple[str, ...] = ("inte
     a, b = before.alias("a"), after.alias("b")
     both = a.join(b, "key")
     change = F.col("b.score") - F.col("a.score")
-    trend = F.when(change > 5, "much better").when(change > 1, "better").when(change < -5, "much worse").when(change < -1, "worse").otherwise("stable")
+    trend = F.when(change > 5, "significant improvement").when(change > 1, "slight improvement").when(change < -5, "significant regression").when(change < -1, "slight regression").otherwise("stable")
     better = F.concat_ws(",", *(F.when(F.col(f"b.{n}") > F.col(f"a.{n}"), n) for n in names))
     worse = F.concat_ws(",", *(F.when(F.col(f"b.{n}") <= F.col(f"a.{n}"), n) for n in names))
     return both.select("key", r6(change).alias("change"), trend.alias("trend"), better.alias("better"), worse.alias("worse"))

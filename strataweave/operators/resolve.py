@@ -206,34 +206,38 @@ def impute(projects: DataFrame, rules: dict[str, tuple[str, ...]], default: tupl
     return projects.withColumn("imputed", empty).withColumn("measures", F.when(empty, F.slice(value, 1, most)).otherwise(F.col("measures")))
 
 
-def fuzzy_quote(quotes: DataFrame, pages: DataFrame, least: float = 0.9) -> DataFrame:
-    """Outcome of each quote on its page: exact, fuzzy, no_match, page_not_found; quotes: q_id, page, quote; pages: page, text.
+def fuzzy_quote(quotes: DataFrame, pages: DataFrame, least: float = 0.9, key: tuple[str, ...] = ("page",)) -> DataFrame:
+    """Outcome of each quote on its page: exact, fuzzy, no_match, page_not_found; quotes: q_id, key columns, quote; pages: key columns, text.
 
-    Exact containment is decided by the engine; only the rest goes to the matcher, a sliding window as wide as the quote.
+    Blank quotes have none and are left out. A quote that the page holds as it stands is exact, as is one of three words or more in the compared form;
+    only the rest goes to the matcher, a sliding window as wide as the quote.
     """
-    asked = pages.join(quotes.select("page").distinct(), "page", "left_semi")
-    known = asked.select("page", T.quote_form(F.col("text")).alias("page_text"))
-    rows = quotes.withColumn("form", T.quote_form(F.col("quote"))).join(known, "page", "left")
-    rows = rows.withColumn("outcome", F.when(F.col("page_text").isNull(), "page_not_found").when(F.contains("page_text", "form"), "exact"))
+    asked = pages.join(quotes.select(*key).distinct(), list(key), "left_semi")
+    known = asked.select(*key, "text", T.quote_form(F.col("text")).alias("page_text"))
+    rows = quotes.withColumn("bare", T.strip(F.col("quote"))).filter("bare <> ''").withColumn("form", T.quote_form(F.col("quote"))).join(known, list(key), "left")
+    words = F.size(F.filter(F.split("form", " "), lambda w: w != ""))
+    held = F.contains("text", "bare") | ((words >= 3) & F.contains("page_text", "form"))
+    rows = rows.withColumn("outcome", F.when(F.col("text").isNull(), "page_not_found").when(held, "exact").when((F.trim("form") == "") | (F.trim("page_text") == ""), "no_match"))
 
     @F.pandas_udf("boolean")
     def near(quote: pd.Series, page: pd.Series) -> pd.Series:
         return pd.Series([_near(q, p, least) for q, p in zip(quote, page, strict=True)])
 
     rest = rows.filter("outcome is null").withColumn("outcome", F.when(near("form", "page_text"), "fuzzy").otherwise("no_match"))
-    return rows.filter("outcome is not null").unionByName(rest).select("q_id", "page", "outcome")
+    return rows.filter("outcome is not null").unionByName(rest).select("q_id", *key, "outcome")
 
 
 def _near(quote: str, page: str, least: float) -> bool:
-    words = quote.split()
-    if len(words) < 3:
+    """Whether a window of the page, or of a quote of fewer than three words the whole page, is as similar as `least`."""
+    if len(quote.split()) < 3:
         return SequenceMatcher(None, quote, page).ratio() >= least
     width = len(quote)
-    matcher = SequenceMatcher()
-    matcher.set_seq2(quote)
-    for at in range(max(1, len(page) - width + 1)):
-        matcher.set_seq1(page[at : at + width])
-        if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and matcher.ratio() >= least:
+    sift = SequenceMatcher()  # its quick ratios do not depend on the order of the two, the ratio does
+    sift.set_seq2(quote)
+    for at in range(len(page) - width + 1):
+        window = page[at : at + width]
+        sift.set_seq1(window)
+        if sift.quick_ratio() >= least and SequenceMatcher(None, quote, window).ratio() >= least:
             return True
     return False
 

@@ -176,7 +176,7 @@ def batch_summary(spark, sf_dir):
  concat_ws(',', CASE WHEN b.integrity > a.integrity THEN 'integrity' END, CASE WHEN b.connectivity > a.connectivity THEN 'connectivity' END, CASE WHEN b.confidence > a.confidence THEN 'confidence' END, CASE WHEN b.sources > a.sources THEN 'sources' END, CASE WHEN b.content > a.content THEN 'content' END) AS better,
  concat_ws(',', CASE WHEN b.integrity <= a.integrity THEN 'integrity' END, CASE WHEN b.connectivity <= a.connectivity THEN 'connectivity' END, CASE WHEN b.confidence <= a.confidence THEN 'confidence' END, CASE WHEN b.sources <= a.sources THEN 'sources' END, CASE WHEN b.content <= a.content THEN 'content' END) AS worse
  FROM k a JOIN k b ON b.i = a.i + 1 WHERE a.i % 2 = 0)
-SELECT key, round(ch, 6) AS change, CASE WHEN ch > 5 THEN 'much better' WHEN ch > 1 THEN 'better' WHEN ch < -5 THEN 'much worse' WHEN ch < -1 THEN 'worse' ELSE 'stable' END AS trend, better, worse FROM p""")
+SELECT key, round(ch, 6) AS change, CASE WHEN ch > 5 THEN 'significant improvement' WHEN ch > 1 THEN 'slight improvement' WHEN ch < -5 THEN 'significant regression' WHEN ch < -1 THEN 'slight regression' ELSE 'stable' END AS trend, better, worse FROM p""")
 def run_comparison(spark, sf_dir):
     """Runs with even numbers against the next ones."""
     s = _scores(spark, sf_dir).withColumn("i", F.split_part("run_id", F.lit("_"), F.lit(2)).cast("bigint"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The two page markers, as written and as the analyzer reads them, and suffixes that names lose.
-MARKERS = {"bracket": r"\[Page (\d+)\]", "banner": r"=== Page (\d+) ==="}
-SUFFIXES = ("_operations_result", "_enhanced_structure", "_pages", ".pdf", ".txt", ".json")
+MARKERS = {"bracket": r"\[Page (\d+)\]", "banner": r"===\s*Page\s*(\d+)\s*==="}
+SUFFIXES = ("_operations_result", "_enhanced_structure", "_intermediate_extraction", "_pages", ".pdf", ".txt", ".json")
 #: A page is text if it has more characters than this, else it goes to recognition.
 TEXT_PAGE = 50
 
@@ -46,6 +47,21 @@ def read_pages(spark: SparkSession, path: str, marker: str = "either") -> DataFr
     return pages
 
 
+def beside(spark: SparkSession, path: str) -> DataFrame:
+    """folder, source_id, page_number, text of the page files (`*_pages.txt`) below a path of results; none is no error."""
+    try:
+        files = spark.read.option("pathGlobFilter", "*_pages.txt").option("recursiveFileLookup", "true").text(path, wholetext=True)
+        files = files.select(F.col("_metadata.file_path").alias("source_id"), "value")
+    except AnalysisException:
+        files = spark.createDataFrame([], "source_id string, value string")
+    found = split_pages(files)
+    return found.select(folder(F.col("source_id")).alias("folder"), source_key(F.col("source_id")).alias("source_id"), "page_number", "text")
+
+
+def folder(name: Column) -> Column:
+    return F.regexp_replace(name, "[^/]*$", "")
+
+
 def page_stats(pages: DataFrame) -> DataFrame:
     """Pages and estimated tokens per source."""
     n = F.floor(F.length("text") / 3.5).cast("bigint")

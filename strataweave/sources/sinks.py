@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The columns that a batch table begins with.
-LEADING = ("run_id", "score", "grade", "integrity", "connectivity", "confidence", "sources", "content")
+LEADING = ("file_path", "overall_score", "grade", "format", "total_entities", "total_connections", "critical_issues", "analysis_time_ms", "error")
+#: The parts of a score, in the order that reports list them.
+PARTS = ("integrity", "connectivity", "confidence", "sources", "content")
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
@@ -50,28 +52,61 @@ def terminal_report(scores: DataFrame, most: int = 50, verbose: bool = False) ->
     for r in _rows(scores.orderBy("run_id"), most):
         out.append(f"{r['run_id']}: {r['score']:.1f} ({r['grade']})")
         if verbose:
-            out += [f"  {k}: {r[k]:.1f}" for k in LEADING[3:] if r.get(k) is not None]
+            out += [f"  {k}: {r[k]:.1f}" for k in PARTS if r.get(k) is not None]
     return "\n".join(out)
 
 
+def _page(title: str, body: str) -> str:
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{body}</body></html>"
+
+
+def _table(rows: list[dict], names: list[str]) -> str:
+    cells = lambda r, tag: "".join(f"<{tag}>{html.escape('' if x is None else str(x))}</{tag}>" for x in r)
+    return f"<table><tr>{cells(names, 'th')}</tr>" + "".join(f"<tr>{cells((r[n] for n in names), 'td')}</tr>" for r in rows) + "</table>"
+
+
 def html_report(scores: DataFrame, title: str = "Quality", most: int = 1000) -> str:
-    """Scores as a page with one table, the first `most` runs."""
+    """Scores as a page, the first `most` runs: an overview, and for each run its parts with penalty, bonus and counts."""
     rows = _rows(scores.orderBy("run_id"), most)
     names = list(rows[0]) if rows else list(scores.columns)
-    cells = lambda r, tag: "".join(f"<{tag}>{html.escape(str(x))}</{tag}>" for x in r)
-    body = "".join(f"<tr>{cells(r.values(), 'td')}</tr>" for r in rows)
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table><tr>{cells(names, 'th')}</tr>{body}</table></body></html>"
+    first = [n for n in ("run_id", "score", "grade", *PARTS) if n in names]
+    body = "<h2>Overview</h2>" + _table(rows, first)
+    rest = [n for n in names if n not in first]
+    for r in rows if rest else ():
+        body += f"<h2>{html.escape(str(r['run_id']))}</h2>" + _table([{"measure": n, "value": r[n]} for n in rest], ["measure", "value"])
+    return _page(title, body)
+
+
+def html_comparison(changes: DataFrame, title: str = "Comparison", most: int = 1000) -> str:
+    """Changes as a page: a summary line, scores and drift of each pair."""
+    rows = [r.asDict() for r in changes.orderBy("key").limit(most).collect()]
+    body = "".join(f"<p>{html.escape(r['summary'])}</p>" for r in rows if r.get("summary"))
+    return _page(title, body + _table(rows, [c for c in changes.columns if c != "summary"]))
 
 
 def comparison_report(changes: DataFrame, most: int = 1000) -> str:
-    return "\n".join(f"{r['key']}: {r['change']:+.1f} ({r['trend']}); better: {r['better'] or '-'}; worse: {r['worse'] or '-'}" for r in changes.orderBy("key").limit(most).collect())
+    out = []
+    for r in (x.asDict() for x in changes.orderBy("key").limit(most).collect()):
+        out.append(f"{r['key']}: {r['change']:+.1f} ({r['trend']}); better: {r['better'] or '-'}; worse: {r['worse'] or '-'}")
+        if r.get("summary"):
+            out += [f"  {r['summary']}", f"  churn {r['churn']:.3f}, most volatile {r['volatile'] or '-'}; {r['advice'] or 'no advice'}"]
+    return "\n".join(out)
 
 
 def render(saved: str, form: str) -> str:
-    """A saved result (JSON object) as json or html; other forms are not there."""
-    data = json.loads(saved)
+    """A saved result (JSON object, or JSON lines of one) as json, html or terminal text; other forms are not there."""
+    lines = [x for x in saved.splitlines() if x.strip()]
+    try:
+        data = json.loads(saved)
+    except json.JSONDecodeError:
+        data = [json.loads(x) for x in lines]
+    rows = data if isinstance(data, list) else [data]
     if form == "json":
         return json.dumps(data, indent=2, ensure_ascii=False)
+    flat = [{k: v if not isinstance(v, dict | list) else json.dumps(v, ensure_ascii=False) for k, v in r.items()} for r in rows]
+    names = list(dict.fromkeys(n for r in flat for n in r))
     if form == "html":
-        return "<!DOCTYPE html><html><body><pre>" + html.escape(json.dumps(data, indent=2, ensure_ascii=False)) + "</pre></body></html>"
+        return _page("Quality", _table([{n: r.get(n) for n in names} for r in flat], names))
+    if form == "terminal":
+        return "\n".join(", ".join(f"{n}: {r[n]}" for n in names if r.get(n) is not None) for r in flat)
     raise NotImplementedError(form)

@@ -99,7 +99,7 @@ def test_graph_files(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps(TREE))
     (tmp_path / "e.json").write_text('{"action_fields": []}')
     g = graphs.read_graphs(spark, str(tmp_path))
-    assert {r.run_id.rsplit("/", 1)[1]: r.layout for r in g.collect()} == {"g.json": "flat", "t.json": "hierarchical", "e.json": "empty"}
+    assert {r.run_id.rsplit("/", 1)[1]: r.layout for r in g.collect()} == {"g.json": "EnrichedReviewJSON", "t.json": "ExtractionResult", "e.json": "empty"}
     nodes = graph.build_nodes(graphs.entities(g))
     edges = graph.build_edges(nodes, graphs.connections(g))
     assert nodes.count() == 4 and edges.count() == 3
@@ -109,7 +109,8 @@ def test_graph_files(spark, tmp_path):
     assert scores["g.json"].penalty == 2.0 and 0 <= scores["g.json"].score <= 100
     (tmp_path / "bad.json").write_text("{")
     with pytest.raises(ValueError):
-        graphs.read_graphs(spark, str(tmp_path))
+        graphs.read_graphs(spark, str(tmp_path), strict=True)
+    assert graphs.read_graphs(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_reports(spark):
