@@ -190,10 +190,14 @@ def state_changes(states: DataFrame) -> DataFrame:
     return rows.withColumn("tokens", F.floor(F.col("chars") / 3.5)).withColumn("change", F.col("chars") - F.coalesce(before, F.lit(0)))
 
 
+LAST_NUMBER = 9_999  # of an id; entities beyond it are named by a hash of their titles
+
+
 def free_ids(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     """Ids for new entities per source and prefix: the smallest numbers that are not taken, in order.
 
-    wanted: source_id, prefix, ord; taken: source_id, prefix, number.
+    wanted: source_id, prefix, ord and perhaps title; taken: source_id, prefix, number. With titles, numbers end at LAST_NUMBER, and what is
+    beyond is named by the first four digits of its title's MD5, with a running number from the second on.
     """
     n = F.row_number().over(Window.partitionBy("source_id", "prefix").orderBy("ord"))
     own = taken.distinct().withColumn("below", F.col("number") - F.row_number().over(Window.partitionBy("source_id", "prefix").orderBy("number")))
@@ -201,4 +205,10 @@ def free_ids(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     gaps = own.groupBy("source_id", "prefix").agg(F.array_sort(F.collect_list("below")).alias("gaps"))
     rows = wanted.withColumn("k", n).join(gaps, ["source_id", "prefix"], "left")
     skipped = F.coalesce(F.size(F.filter("gaps", lambda g: g < F.col("k"))), F.lit(0))
-    return rows.select("source_id", "prefix", "ord", F.concat_ws("_", "prefix", (F.col("k") + skipped).cast("string")).alias("id"))
+    rows = rows.withColumn("number", F.col("k") + skipped)
+    id_ = F.concat_ws("_", "prefix", F.col("number").cast("string"))
+    if "title" in wanted.columns:
+        rows = rows.withColumn("far", F.col("number") > LAST_NUMBER).withColumn("mark", F.substring(F.md5(F.coalesce("title", F.lit(""))), 1, 4))
+        again = F.row_number().over(Window.partitionBy("source_id", "prefix", "far", "mark").orderBy("ord")) - 1
+        id_ = F.when(F.col("far"), F.concat_ws("_", "prefix", "mark", F.when(again > 0, again.cast("string")))).otherwise(id_)
+    return rows.select("source_id", "prefix", "ord", id_.alias("id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -156,6 +157,133 @@ def merge_allowed(a: Column, b: Column, similarity: Column) -> Column:
     return (similarity >= 0.9) | F.contains(x, y) | F.contains(y, x) | (overlap >= 0.6)
 
 
+# ---- the resolution of nested extractions ------------------------------------------------------
+
+#: Similarity from which names may merge, and from which they do without further checks.
+SIMILAR, AUTOMATIC = 0.65, 0.9
+
+
+def positions(tree: DataFrame, kind: str = "action_field") -> DataFrame:
+    """run_id, name, ord: names of action fields or projects in the order in which they stand; blank ones are left out.
+
+    tree: run_id, ord, action_field, projects (array of title, measures, indicators, sources).
+    """
+    if kind == "action_field":
+        rows = tree.select("run_id", F.col("action_field").alias("name"), F.struct("ord", F.lit(0).alias("p_ord")).alias("at"))
+    else:
+        rows = tree.select("run_id", "ord", F.posexplode("projects").alias("p_ord", "p")).select("run_id", F.col("p.title").alias("name"), F.struct("ord", "p_ord").alias("at"))
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("at"))
+    return rows.filter(F.coalesce("name", F.lit("")) != "").withColumn("ord", place.cast("bigint")).select("run_id", "name", "ord")
+
+
+def _may_merge(a: str, b: str, similarity: float) -> bool:
+    """As `merge_allowed`, for a pair in a worker."""
+    x, y = a.lower(), b.lower()
+    p, q = set(x.split()), set(y.split())
+    return similarity >= AUTOMATIC or x in y or y in x or bool(p and q) and len(p & q) / max(len(p), len(q)) >= 0.6
+
+
+def similarity_groups(names: DataFrame, vectors: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Greedy stars of names by cosine: run_id, canonical (the star), names, keep (the longest name, first on ties).
+
+    In order, a name that no star has taken takes the later ones that are similar enough and may merge with it.
+    names: run_id, name, ord; vectors: name, v. A task holds the distinct names of one run, and compares one with the rest at a time.
+    """
+    distinct = names.groupBy("run_id", "name").agg(F.min("ord").alias("ord")).join(vectors, "name")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ord", kind="stable")
+        known = frame["name"].tolist()
+        unit = np.stack(frame["v"].to_numpy()).astype(np.float64)
+        unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+        star = np.full(len(known), -1)
+        for i, name in enumerate(known):
+            if star[i] >= 0:
+                continue
+            star[i] = i
+            near = unit[i + 1 :] @ unit[i]
+            for j in (np.flatnonzero((near >= least) & (star[i + 1 :] < 0)) + i + 1).tolist():
+                if _may_merge(name, known[j], float(near[j - i - 1])):
+                    star[j] = i
+        return frame.assign(canonical=[known[i] for i in star])[["run_id", "canonical", "name", "ord"]]
+
+    rows = distinct.groupBy("run_id").applyInPandas(run, "run_id string, canonical string, name string, ord bigint")
+    groups = rows.groupBy("run_id", "canonical").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("names"), F.max_by("name", F.struct(F.length("name"), -F.col("ord"))).alias("keep")
+    )
+    return groups.filter(F.size("names") > 1)
+
+
+def candidate_groups(names: DataFrame, vectors: DataFrame | None = None, least: float = SIMILAR) -> DataFrame:
+    """Groups of names that are one: by rules first, then by similarity among the names that no rule has grouped. run_id, names, keep."""
+    rules = rule_groups(names).select("run_id", "names", "keep")
+    if vectors is None:
+        return rules
+    taken = rules.select("run_id", F.explode("names").alias("name"))
+    return rules.unionByName(similarity_groups(names.join(taken, ["run_id", "name"], "left_anti"), vectors, least).select("run_id", "names", "keep"))
+
+
+def _renamed(rows: DataFrame, groups: DataFrame, column: str) -> DataFrame:
+    """Rows with `target`, the name kept for the group that `column` is in, else the name itself."""
+    to = groups.select("run_id", F.explode("names").alias(column), F.col("keep").alias("kept_name")).groupBy("run_id", column).agg(F.min("kept_name").alias("kept_name"))
+    return rows.join(to, ["run_id", column], "left").withColumn("target", F.coalesce("kept_name", column)).drop("kept_name")
+
+
+PROJECT_LISTS = ("measures", "indicators", "sources")
+
+
+def _merged(rows: DataFrame, keys: list[str], of: str = "own") -> DataFrame:
+    """One project per key: unseen details of all rows with `own`, in order. `at` is its first place."""
+    lists = F.array_sort(F.collect_list(F.when(F.col(of), F.struct("at", *PROJECT_LISTS))))
+    whole = rows.groupBy(*keys).agg(F.min("at").alias("at"), lists.alias("parts"))
+    merged = lambda c: F.array_distinct(F.flatten(F.filter(F.transform("parts", lambda p: p[c]), lambda x: x.isNotNull()))).alias(c)
+    return whole.select(*keys, "at", *(merged(c) for c in PROJECT_LISTS))
+
+
+def _exploded(tree: DataFrame) -> DataFrame:
+    each = tree.select("run_id", "ord", "action_field", F.posexplode("projects").alias("p_ord", "p"))
+    return each.select("run_id", "ord", "action_field", F.struct("ord", "p_ord").alias("at"), F.coalesce("p.title", F.lit("")).alias("title"), *(F.col(f"p.{c}").alias(c) for c in PROJECT_LISTS))
+
+
+def _tree(fields: DataFrame, projects: DataFrame) -> DataFrame:
+    """fields: run_id, ord, action_field; projects: run_id, ord, at, title and lists."""
+    per = projects.groupBy("run_id", "ord").agg(F.array_sort(F.collect_list(F.struct("at", F.struct("title", *PROJECT_LISTS).alias("p")))).alias("ps"))
+    both = fields.join(per, ["run_id", "ord"], "left")
+    return both.select("run_id", "ord", "action_field", F.coalesce(F.transform("ps", lambda x: x["p"]), F.filter(F.array(F.struct(F.lit("").alias("title"), *(F.lit(None).cast(projects.schema[c].dataType).alias(c) for c in PROJECT_LISTS))), lambda x: F.lit(False))).alias("projects"))
+
+
+def merge_action_fields(tree: DataFrame, groups: DataFrame) -> DataFrame:
+    """Action fields under the names kept, at their first place; projects of one title are one, with the unseen details of all."""
+    fields = _renamed(tree, groups, "action_field").groupBy("run_id", "target").agg(F.min("ord").alias("ord")).withColumnRenamed("target", "action_field")
+    rows = _renamed(_exploded(tree), groups, "action_field").drop("ord", "action_field").withColumnRenamed("target", "action_field").withColumn("own", F.lit(True))
+    projects = _merged(rows, ["run_id", "action_field", "title"]).join(fields, ["run_id", "action_field"])
+    return _tree(fields, projects)
+
+
+def merge_projects(tree: DataFrame, groups: DataFrame, all_details: bool = False) -> DataFrame:
+    """Projects of an action field under the names kept, at their first place.
+
+    As published, the first member's details stay and only those of members that have the kept name join them; with `all_details` those of all.
+    """
+    rows = _renamed(_exploded(tree), groups, "title")
+    first = F.col("at") == F.min("at").over(Window.partitionBy("run_id", "ord", "target"))
+    rows = rows.withColumn("own", F.lit(True) if all_details else first | (F.col("title") == F.col("target")))
+    projects = _merged(rows.drop("title").withColumnRenamed("target", "title"), ["run_id", "ord", "title"])
+    return _tree(tree.select("run_id", "ord", "action_field"), projects)
+
+
+def resolve(tree: DataFrame, vectors: DataFrame | None = None, action_fields: bool = True, projects: bool = True, least: float = SIMILAR, all_details: bool = False) -> DataFrame:
+    """Nested extractions with one name for what is one: action fields, then projects.
+
+    `vectors` (name, v) are embeddings that the caller brings; without them only the rules group names. Runs with fewer than two names stay as they are.
+    """
+    if action_fields:
+        tree = merge_action_fields(tree, candidate_groups(positions(tree), vectors, least))
+    if projects:
+        tree = merge_projects(tree, candidate_groups(positions(tree, "project"), vectors, least), all_details)
+    return tree
+
+
 def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:
     """The k most similar vectors of each query: q, id, similarity, rank; queries: q, v.
 
@@ -206,6 +334,84 @@ def impute(projects: DataFrame, rules: dict[str, tuple[str, ...]], default: tupl
     return projects.withColumn("imputed", empty).withColumn("measures", F.when(empty, F.slice(value, 1, most)).otherwise(F.col("measures")))
 
 
+# Words of action fields, then for each of their projects' words what a project without measures or indicators is given. None: whatever its title.
+MEASURE_RULES = (
+    (("klima", "energie", "co2"), (
+        (("solar", "photovoltaik"), ("Installation von Solaranlagen", "Förderung erneuerbarer Energien")),
+        (("wärme", "heizung"), ("Energetische Sanierung von Gebäuden", "Umstellung auf nachhaltige Heizsysteme")),
+        (("verkehr", "mobilität"), ("Förderung emissionsarmer Mobilität", "Ausbau der Ladeinfrastruktur")),
+    )),
+    (("mobilität", "verkehr"), (
+        (("rad", "fahrrad"), ("Ausbau des Radwegenetzes", "Verbesserung der Fahrradinfrastruktur")),
+        (("öpnv", "bus", "bahn"), ("Modernisierung des öffentlichen Nahverkehrs", "Verbesserung der Taktung")),
+        (("elektro", "laden"), ("Aufbau von Ladeinfrastruktur", "Förderung der Elektromobilität")),
+    )),
+    (("wohnen", "siedlung", "stadtentwicklung"), (
+        (None, ("Entwicklung nachhaltiger Wohnkonzepte", "Förderung des sozialen Wohnungsbaus", "Verbesserung der städtebaulichen Qualität")),
+    )),
+)
+MEASURE_DEFAULT = ("Entwicklung von Konzepten für {title}", "Umsetzung von Maßnahmen im Bereich {field}", "Koordination und Monitoring des Projekts {title}")
+# The same for indicators, where only the first rule that fits counts.
+INDICATOR_RULES = (
+    (("klima", "energie", "co2"), (
+        (("solar", "photovoltaik"), ("Installierte Solarkapazität in MW", "Anteil erneuerbarer Energien am Gesamtverbrauch in %", "CO2-Einsparung durch Solarenergie in Tonnen/Jahr")),
+        (("reduzierung", "reduktion"), ("CO2-Reduktion um 30% bis 2030", "Energieverbrauch-Reduktion um 20%")),
+        (None, ("CO2-Emissionen in Tonnen pro Jahr", "Energieeffizienz-Steigerung in %")),
+    )),
+    (("mobilität", "verkehr"), (
+        (("rad", "fahrrad"), ("Länge neuer Radwege in km", "Anzahl der Fahrradabstellplätze", "Steigerung des Radverkehrsanteils um 15%")),
+        (("öpnv", "bus", "bahn"), ("Fahrgastzahlen im ÖPNV", "Verbesserung der Pünktlichkeit auf 95%", "Reduktion der Wartezeiten um 20%")),
+        (("elektro", "laden"), ("Anzahl der Ladepunkte", "Anteil der Elektrofahrzeuge in %", "500 neue Ladepunkte bis 2025")),
+        (None, ("Verkehrsaufkommen-Reduktion in %", "Modal Split Verbesserung")),
+    )),
+    (("wohnen", "siedlung", "stadtentwicklung"), ((None, ("Anzahl neuer Wohneinheiten", "Anteil bezahlbarer Wohnungen in %", "Bevölkerungsdichte pro km²")),)),
+)
+INDICATOR_DEFAULT = ("Fortschritt bei der Umsetzung von {title} in %", "Zielerreichungsgrad für {field}", "Projektabschluss bis Ende 2026")
+
+
+def _any(text: Column, words: tuple[str, ...] | None) -> Column:
+    return F.lit(True) if words is None else reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
+
+
+def inferred(rules: tuple, default: tuple[str, ...], title: Column, field: Column, several: bool, most: int = 3) -> Column:
+    """What the rules give for a project: of the first group whose words the action field has, all rules that fit or (not `several`) the first; else the default."""
+    title, field = F.coalesce(title, F.lit("")), F.coalesce(field, F.lit(""))
+    low_title, low_field = F.lower(title), F.lower(field)
+    none = F.array().cast("array<string>")
+    value = none
+    for words, inner in reversed(rules):
+        given = [(_any(low_title, w), F.array(*map(F.lit, out))) for w, out in inner]
+        if several:
+            own = F.concat(*(F.when(fits, out).otherwise(none) for fits, out in given))
+        else:
+            own = reduce(lambda rest, g: F.when(g[0], g[1]).otherwise(rest), reversed(given), none)
+        value = F.when(_any(low_field, words), own).otherwise(value)
+    put = lambda text: F.replace(F.replace(F.lit(text), F.lit("{title}"), title), F.lit("{field}"), field)
+    return F.slice(F.when(F.size(value) > 0, value).otherwise(F.array(*map(put, default))), 1, most)
+
+
+def improve(projects: DataFrame, least_measures: int = 1, least_indicators: int = 1) -> DataFrame:
+    """Projects with too few measures or indicators get what the published rules infer, behind what they have; projects: run_id, action_field, title, measures, indicators.
+
+    Adds recovered_measures and recovered_indicators, the numbers that came in.
+    """
+    out = projects
+    for column, rules, default, several, least in (("measures", MEASURE_RULES, MEASURE_DEFAULT, True, least_measures), ("indicators", INDICATOR_RULES, INDICATOR_DEFAULT, False, least_indicators)):
+        own = F.coalesce(column, F.array().cast("array<string>"))
+        short = F.size(own) < least
+        new = F.array_except(inferred(rules, default, F.col("title"), F.col("action_field"), several), own)
+        out = out.withColumn(f"recovered_{column}", F.when(short, F.size(new)).otherwise(0)).withColumn(column, F.when(short, F.concat(F.array_distinct(own), new)).otherwise(own))
+    return out
+
+
+def improvement_report(projects: DataFrame, improved: DataFrame) -> DataFrame:
+    """Per run the consistency before and after `improve`, and what was recovered."""
+    before = consistency(projects).select("run_id", *(F.col(c).alias(f"{c}_before") for c in ("no_measures", "no_indicators")))
+    after = consistency(improved).select("run_id", "projects", "no_measures", "no_indicators")
+    gained = improved.groupBy("run_id").agg(F.sum("recovered_measures").alias("recovered_measures"), F.sum("recovered_indicators").alias("recovered_indicators"))
+    return before.join(after, "run_id").join(gained, "run_id")
+
+
 def fuzzy_quote(quotes: DataFrame, pages: DataFrame, least: float = 0.9, key: tuple[str, ...] = ("page",)) -> DataFrame:
     """Outcome of each quote on its page: exact, fuzzy, no_match, page_not_found; quotes: q_id, key columns, quote; pages: key columns, text.
 
