@@ -48,17 +48,21 @@ def near_pairs(forms: DataFrame, above: float = 0.9) -> DataFrame:
     Words are ordered rare first, and only prefixes meet: sets of sizes n and m that pass share
     one of their first n - ceil(above n) + 1 words, so no pair is lost and no cross join is made.
     """
-    sets = forms.filter("norm <> ''").select("run_id", "norm").distinct().withColumn("words", F.array_distinct(F.split("norm", " ")))
-    each = sets.select("run_id", "norm", F.size("words").alias("n"), F.explode("words").alias("word"))
+    sets = forms.filter("norm <> ''").select("run_id", F.md5("norm").alias("id"), "norm").dropDuplicates(["run_id", "id"]).withColumn("words", F.array_distinct(F.split("norm", " ")))
+    # Texts are named by digests while their words meet, and come back for the pairs that are left.
+    each = sets.select("run_id", "id", F.size("words").alias("n"), F.explode("words").alias("word"))
     common = each.groupBy("run_id", "word").agg(F.count(F.lit(1)).alias("df"))
     ranked = each.join(common, ["run_id", "word"])
-    place = F.row_number().over(Window.partitionBy("run_id", "norm").orderBy("df", "word"))
-    prefix = ranked.withColumn("i", place).filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * above) + 1).select("run_id", "norm", "n", "word")
+    place = F.row_number().over(Window.partitionBy("run_id", "id").orderBy("df", "word"))
+    prefix = ranked.withColumn("i", place).filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * above) + 1).select("run_id", "id", "n", "word")
     left, right = prefix.alias("l"), prefix.alias("r")
-    fits = (F.col("l.norm") < F.col("r.norm")) & (F.least("l.n", "r.n") >= above * F.greatest("l.n", "r.n"))
+    fits = (F.col("l.id") < F.col("r.id")) & (F.least("l.n", "r.n") >= above * F.greatest("l.n", "r.n"))
     pairs = left.join(right, (F.col("l.run_id") == F.col("r.run_id")) & (F.col("l.word") == F.col("r.word")) & fits)
-    found = pairs.select("l.run_id", F.col("l.norm").alias("a"), F.col("r.norm").alias("b")).distinct()
-    return found.withColumn("similarity", T.word_jaccard(F.col("a"), F.col("b"))).filter(F.col("similarity") > above)
+    found = pairs.select("l.run_id", F.col("l.id").alias("x"), F.col("r.id").alias("y")).distinct()
+    side = lambda c: sets.select("run_id", F.col("id").alias(c), F.col("norm").alias(f"norm_{c}"), F.col("words").alias(f"words_{c}"))
+    both = found.join(side("x"), ["run_id", "x"]).join(side("y"), ["run_id", "y"])
+    similarity = F.size(F.array_intersect("words_x", "words_y")) / F.size(F.array_union("words_x", "words_y"))
+    return both.select("run_id", F.least("norm_x", "norm_y").alias("a"), F.greatest("norm_x", "norm_y").alias("b"), similarity.alias("similarity")).filter(F.col("similarity") > above)
 
 
 def repetition_rate(forms: DataFrame, above: float = 0.9) -> DataFrame:

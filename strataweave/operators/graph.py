@@ -198,9 +198,9 @@ def cyclomatic(degree: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFr
     return summary(degree, edges, labels).select("run_id", (F.col("edges") - F.col("nodes") + F.col("components")).alias("cycles"))
 
 
-def distances(edges: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
-    """run_id, start, node, distance: level by level from each start, `starts` (run_id, start)."""
-    step = ends(edges)
+def distances(edges: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFrame:
+    """run_id, start, node, distance: level by level from each start, `starts` (run_id, start). A graph of more than `most` levels is an error."""
+    step = materialize(ends(edges), "ends")
     seen = starts.select("run_id", "start", F.col("start").alias("node"), F.lit(0).alias("distance"))
     front = seen
     for level in range(1, most + 1):
@@ -210,6 +210,8 @@ def distances(edges: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
         if not front.take(1):
             break
         seen = materialize(seen.union(front), "seen")
+    else:
+        raise RuntimeError(f"a graph of more than {most} levels")
     return seen
 
 
@@ -241,22 +243,34 @@ def closeness(distance: DataFrame, nodes: DataFrame) -> DataFrame:
     return reach.join(size, "run_id").select("run_id", "node", value.alias("centrality"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """run_id, node, rank after a fixed number of rounds; nodes without edges spread evenly."""
-    step = ends(edges)
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = 1e-6, most: int = 100) -> DataFrame:
+    """run_id, node, rank; nodes without edges spread evenly.
+
+    After a fixed number of rounds, or without one when the ranks of every run move by less than `tolerance` a node in sum; `most` rounds without
+    that are an error.
+    """
+    step = materialize(ends(edges), "ends")
     out = step.groupBy("run_id", "node").agg(F.count(F.lit(1)).alias("out"))
     size = nodes.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
     base = materialize(nodes.select("run_id", "node").join(size, "run_id").join(out, ["run_id", "node"], "left"), "rank-nodes")
     rank = base.select("run_id", "node", "n", "out", (1.0 / F.col("n")).alias("rank"))
-    for i in range(rounds):
+    for i in range(most if rounds is None else rounds):
         given = rank.filter("out is not null").select("run_id", "node", (F.col("rank") / F.col("out")).alias("part"))
         got = given.join(step, ["run_id", "node"]).groupBy("run_id", F.col("other").alias("node")).agg(F.sum("part").alias("got"))
         loose = rank.groupBy("run_id").agg(F.sum(F.when(F.col("out").isNull(), F.col("rank")).otherwise(0.0)).alias("loose"))
-        new = base.join(got, ["run_id", "node"], "left").join(loose, "run_id")
+        new = rank.join(got, ["run_id", "node"], "left").join(loose, "run_id")
         value = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / F.col("n"))
-        rank = new.select("run_id", "node", "n", "out", value.alias("rank"))
-        if i % 3 == 2:
-            rank = materialize(rank, "rank")
+        moved = new.select("run_id", "node", "n", "out", value.alias("rank"), F.abs(value - F.col("rank")).alias("moved"))
+        if rounds is None:
+            moved = materialize(moved, "rank")
+            rank = moved.drop("moved")
+            if not moved.groupBy("run_id").agg(F.sum("moved").alias("moved"), F.max("n").alias("n")).filter(F.col("moved") >= F.col("n") * tolerance).take(1):
+                break
+        else:
+            rank = materialize(moved.drop("moved"), "rank") if i % 3 == 2 else moved.drop("moved")
+    else:
+        if rounds is None:
+            raise RuntimeError(f"ranks did not settle in {most} rounds")
     return rank.select("run_id", "node", "rank")
 
 

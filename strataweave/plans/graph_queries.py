@@ -9,6 +9,7 @@ from strataweave.operators import graph
 from strataweave.plans import adapters
 from strataweave.plans.adapters import GRAPH
 from strataweave.plans.registry import query
+from strataweave.session import materialize
 
 RECURSIVE = f"""
 WITH RECURSIVE {GRAPH},
@@ -16,8 +17,9 @@ WITH RECURSIVE {GRAPH},
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    nodes = graph.build_nodes(adapters.entities(spark, sf_dir))
-    return nodes, graph.build_edges(nodes, adapters.connections(spark, sf_dir))
+    """Nodes and edges, written once: most queries read them several times."""
+    nodes = materialize(graph.build_nodes(adapters.entities(spark, sf_dir)), "nodes")
+    return nodes, materialize(graph.build_edges(nodes, adapters.connections(spark, sf_dir)), "edges")
 
 
 def _degree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,10 +25,28 @@ def build_session(app: str = "strataweave", cores: str = "*", shuffle_partitions
     )
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, which driver and executors share.
+
+    Only a local session may do without the setting; on a cluster a machine's own folder would split what is written.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: operators need a folder that all executors share")
+        root = LOCAL_SCRATCH
+    return f"{root.rstrip('/')}/strataweave/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    return f"{root.rstrip('/')}/strataweave/{name}-{uuid.uuid4().hex}"
+    """A fresh folder in the application's scratch."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to scratch. Results that were not yet written elsewhere are lost with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from strataweave.session import build_session
+from strataweave.session import build_session, drop_scratch
 
 
 @pytest.fixture(scope="session")
@@ -8,4 +8,5 @@ def spark():
     session = build_session("tests", cores="8")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_scratch(session)
     session.stop()
