@@ -185,7 +185,7 @@ def _range(coded: DataFrame, group: Group, start: np.ndarray, kind) -> np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin, weight, local = shared.value
-        total = np.zeros((size, rank), np.float64)
+        total, part = np.zeros((size, rank), np.float64), np.zeros((size, rank), np.float32)  # the sum, and that of one block
         for _, codes, _ in _streams(batches, kind, PASSAGE):
             codes = local[codes]
             heavy = np.flatnonzero((codes >= 0) & (weight[codes] > 0))
@@ -200,7 +200,9 @@ def _range(coded: DataFrame, group: Group, start: np.ndarray, kind) -> np.ndarra
                 order = np.argsort(term, kind="stable")
                 term, back = term[order], (value * rows[np.cumsum(new) - 1])[order]
                 edge = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
-                total[term[edge]] += np.add.reduceat(back, edge, axis=0)
+                part[term[edge]] += np.add.reduceat(back, edge, axis=0)
+            total += part
+            part[:] = 0
         yield parts_of(total)
 
     return sum_arrays(coded.mapInArrow(run, "segment int, part binary"), "float64", size * rank).reshape(size, rank)
