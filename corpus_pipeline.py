@@ -14,6 +14,9 @@ from strataweave.llm.common import fresh, table
 from strataweave.session import materialize
 
 
+BROADCAST_ROWS = 200_000  # names of texts that a join broadcasts
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier, learnt from `labels`, accepts; null and empty texts are scored as empty ones, repeated rows alike. All columns stay."""
     model = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -41,6 +44,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     named = docs.select(sha.alias("doc_id"), "text")
     found = decontaminate.contaminated(named, table(spark, sf_dir, "benchmark", "item_id", "text"))
     names = materialize(found.select(F.col("doc_id").alias(bad)).distinct(), "contaminated")
+    if names.count() <= BROADCAST_ROWS:  # about 100 bytes each; more are joined by shuffle
+        names = F.broadcast(names)
     return docs.withColumn(key, sha).join(names, F.col(key) == F.col(bad), "left_anti").select(*docs.columns)
 
 
