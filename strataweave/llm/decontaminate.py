@@ -178,6 +178,27 @@ def _frequencies(coded: DataFrame, size: int, kind) -> tuple[np.ndarray, int]:
     return total[:size], int(total[size])
 
 
+def sum_rows(table_: np.ndarray, index: np.ndarray, starts: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """For each run of `index` (they begin at `starts`) the sum of its rows of a table, weighted.
+
+    The j-th rows of all runs that are long enough are added at once, longest runs first.
+    """
+    many = np.diff(np.append(starts, len(index)))
+    order = np.argsort(-many, kind="stable")
+    first, many = starts[order], many[order]
+    out = np.zeros((len(starts), table_.shape[1]), table_.dtype)
+    for j in range(int(many[0]) if len(many) else 0):
+        size = int(np.searchsorted(-many, -j, side="left"))
+        at = first[:size] + j
+        rows = table_[index[at]]
+        if weight is not None:
+            rows *= weight[at, None]
+        out[:size] += rows
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 def _range(coded: DataFrame, group: Group, start: np.ndarray, kind) -> np.ndarray:
     """A'(A Z) over all passages."""
     size, rank = start.shape
@@ -194,13 +215,12 @@ def _range(coded: DataFrame, group: Group, start: np.ndarray, kind) -> np.ndarra
             key, count = np.unique(heavy // PASSAGE * size + codes[heavy], return_counts=True)
             for a in range(0, len(key), 40_000):
                 row, term = np.divmod(key[a : a + 40_000], size)  # a passage cut here is two shorter ones
-                value = (weight[term] * count[a : a + 40_000]).astype(np.float32)[:, None]
+                value = (weight[term] * count[a : a + 40_000]).astype(np.float32)
                 new = np.concatenate([[True], row[1:] != row[:-1]])
-                rows = np.add.reduceat(value * begin[term], np.flatnonzero(new), axis=0)
+                rows = sum_rows(begin, term, np.flatnonzero(new), value)
                 order = np.argsort(term, kind="stable")
-                term, back = term[order], (value * rows[np.cumsum(new) - 1])[order]
-                edge = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
-                part[term[edge]] += np.add.reduceat(back, edge, axis=0)
+                edge = np.flatnonzero(np.diff(term[order], prepend=-1))
+                part[term[order][edge]] += sum_rows(rows, (np.cumsum(new) - 1)[order], edge, value[order])
             total += part
             part[:] = 0
         yield parts_of(total)
@@ -274,19 +294,33 @@ def _search(coded: DataFrame, items: Group, axes: np.ndarray, kind, cosine: floa
             tells = np.concatenate([[0], np.cumsum(((codes >= 0) & telling[codes]).reshape(count, BLOCK).sum(axis=1))])
             doc_of = np.repeat(np.arange(len(ids)), np.diff(first) // BLOCK)
             end_of = (first[1:] // BLOCK)[doc_of]
+            chosen = []
+            used = np.zeros(count + 1, np.int64)
             for width in WINDOWS:
                 stop = np.minimum(np.arange(count) + width, end_of)
                 some = np.flatnonzero(tells[stop] - tells[:count] >= needed)
+                np.add.at(used, some, 1)
+                np.add.at(used, stop[some], -1)
+                chosen.append((width, stop, some))
+            # Each block that a window needs is projected once; a window is the sum of its blocks.
+            own_blocks = np.flatnonzero(np.cumsum(used[:-1]) > 0)
+            if not len(own_blocks):
+                continue
+            row_of = np.full(count, -1)
+            row_of[own_blocks] = np.arange(len(own_blocks))
+            in_blocks = codes.reshape(count, BLOCK)[own_blocks]
+            sums = np.zeros((len(own_blocks) + 1, projected.shape[1]), np.float32)  # the last row is that of no block
+            for a in range(0, len(own_blocks), 2048):
+                line, place = np.nonzero(in_blocks[a : a + 2048] >= 0)
+                if len(line):
+                    edge = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+                    sums[a + line[edge]] = sum_rows(projected, in_blocks[a : a + 2048][line, place], edge)
+            for width, stop, some in chosen:
                 for a in range(0, len(some), 1024):
                     part = some[a : a + 1024]
-                    spread = (part[:, None] * BLOCK + np.arange(width * BLOCK)[None, :])
-                    inside = spread < (stop[part] * BLOCK)[:, None]
-                    word = np.where(inside, codes[np.minimum(spread, len(codes) - 1)], -1)
-                    hit = np.flatnonzero(word.ravel() >= 0)
-                    line = hit // word.shape[1]
-                    edge = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-                    vector = np.zeros((len(part), projected.shape[1]), np.float32)
-                    vector[line[edge]] = np.add.reduceat(projected[word.ravel()[hit]], edge, axis=0)
+                    vector = sums[row_of[part]]
+                    for j in range(1, width):
+                        vector += sums[np.where(part + j < stop[part], row_of[np.minimum(part + j, count - 1)], -1)]
                     size = np.linalg.norm(vector, axis=1, keepdims=True)
                     vector /= np.maximum(size, 1e-9)
                     for i, k, near in _near(vector, own, cosine):

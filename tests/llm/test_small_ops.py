@@ -519,6 +519,15 @@ def test_axes_and_candidates_equal_a_dense_svd(spark):
     assert {(i, k) for i, k in zip(*np.nonzero(cosines > 0.41), strict=True)} <= got <= {(i, k) for i, k in zip(*np.nonzero(cosines > 0.39), strict=True)}
 
 
+def test_sums_of_rows():
+    rng = np.random.default_rng(5)
+    table, index, weight = rng.random((9, 3)), rng.integers(0, 9, 40), rng.random(40)
+    starts = np.array([0, 1, 4, 20, 21])
+    want = np.add.reduceat(table[index] * weight[:, None], starts, axis=0)
+    assert np.allclose(decontaminate.sum_rows(table, index, starts, weight), want)
+    assert decontaminate.sum_rows(table, index[:0], starts[:0]).shape == (0, 3)
+
+
 def test_lcs_with_bits():
     rng = random.Random(1)
     for _ in range(200):
@@ -555,6 +564,28 @@ def test_quality_on_held_out_rows(spark):
     assert {r.score for r in quality.score(df, none).collect()} == {0.5}
 
 
+def test_all_tied_neighbours_vote(spark):
+    rng = random.Random(31)
+    good, bad = prose(rng, 40), "$$$ %%% | " * 20
+    rows = [(i, good) for i in range(40)] + [(100 + i, good) for i in range(20)] + [(200 + i, bad) for i in range(10)] + [(300, good), (301, good + " x" * 200_000), (302, None), (302, None)]
+    labels = [(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(20)] + [(200 + i, 0) for i in range(10)]
+    df = docs(spark, rows)
+    model = quality.fit(df, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    seen = [y for d, y in labels if zlib.crc32(str(d).encode()) % 3 != 1 and d < 200]
+    got = {r.doc_id: r.score for r in quality.score(df, model).collect()}
+    assert abs(got[300] - np.mean(seen)) < 1e-6 and len({round(got[d], 12) for d, _ in rows if d is not None and d < 200}) == 1
+    # Over plain products: the neighbours at least as near as the 24th, weighted by their similarity.
+    terms = quality.terms_of(pa.array([good, bad, good + " zz " + bad]))
+    scores = model.score(terms, 24)
+    for i, row in enumerate(terms):
+        unit = (row * model.idf) @ model.axes
+        near = np.round(model.vectors @ (unit / np.linalg.norm(unit)), 5)
+        vote = near >= np.sort(near)[-24]
+        weight = np.maximum(near[vote], 0).astype(float) ** 4 + 1e-9
+        assert abs(scores[i] - (weight * model.labels[vote]).sum() / weight.sum()) < 1e-3
+    assert quality.score(docs(spark, []), model).collect() == []
+
+
 # ---- op6, op8 ------------------------------------------------------------------------------
 
 
