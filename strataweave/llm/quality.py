@@ -12,8 +12,9 @@ similarity as weight.
 
 Defined results: null, empty and term-free texts get the labelled rows' mean label. Labels
 that are null, rows without a document and repeated labels of other values are ignored or averaged:
-a document's label is the mean of its labels. Without labelled rows every score is 0.5. Repeated rows get equal
-scores. Labels, lang, source and doc_id are never inputs of a score. Columns beside those
+a document's label is the mean of its labels. Without labelled rows every score is 0.5. All neighbours as near as the last one
+vote, and cosines are compared to five digits, so ties and the block that a row is in do not matter and repeated rows get equal
+scores. Very long texts are read whole, as one block. An empty table gives no rows. Labels, lang, source and doc_id are never inputs of a score. Columns beside those
 named never enter.
 """
 
@@ -31,6 +32,7 @@ from strataweave.llm.common import blocks, hashes, table, words
 
 WORD_TERMS, SHAPE_TERMS, BINS, STATS = 1024, 256, 12, 10
 TERMS = WORD_TERMS + SHAPE_TERMS + BINS * STATS
+DIGITS = np.float32(1e5)  # cosines are compared in units of one by this
 STAT_WEIGHT = 2.0  # of a binned statistic against one word that fills the text
 
 
@@ -137,9 +139,12 @@ class Model:
             if not len(some):
                 continue
             near = self._unit((part[some] * self.idf) @ self.axes) @ self.vectors.T
-            at = np.argpartition(near, len(self.vectors) - k, axis=1)[:, -k:]
-            weight = np.maximum(np.take_along_axis(near, at, axis=1), 0).astype(np.float64) ** 4 + 1e-9
-            out[a + some] = (weight * self.labels[at]).sum(axis=1) / weight.sum(axis=1)
+            near = np.rint(near * DIGITS)  # a block's rounding is below this
+            last = np.partition(near, len(self.vectors) - k, axis=1)[:, len(self.vectors) - k, None]
+            for i, row in enumerate(near):
+                at = np.flatnonzero(row >= last[i])
+                weight = np.maximum(row[at] / DIGITS, 0).astype(np.float64) ** 4 + 1e-9
+                out[a + some[i]] = (weight * self.labels[at]).sum() / weight.sum()
         return out
 
 
