@@ -236,13 +236,20 @@ def batch_summary(scored: DataFrame) -> DataFrame:
     return by.join(F.broadcast(total))
 
 
-def severity(m: DataFrame) -> DataFrame:
-    """run_id, rule, value, severity for metrics past the limits of the triage."""
-    rules = (("dangling", 0, "critical"), ("duplicate_texts", 50, "critical"), ("repetition", 0.5, "critical"), ("components", 5, "minor"), ("violations", 0, "minor"), ("missing_sources", 0, "minor"))
-    found = F.array_compact(F.array(*(
-        F.when(F.col(k) > limit, F.struct(F.lit(k).alias("rule"), F.col(k).cast("double").alias("value"), F.lit(s).alias("severity"))) for k, limit, s in rules if k in m.columns
-    )))
-    return m.select("run_id", F.inline(found))
+# The rules of the triage as metric, limit, severity, and whether only a verbose report has it.
+TRIAGE = (
+    ("dangling", 0, "critical", False), ("duplicate_texts", 50, "critical", False), ("repetition", 0.5, "critical", False), ("components", 5, "critical", False),
+    ("missing_sources", 0, "minor", True), ("ambiguous", 0, "minor", False), ("isolated", 0, "minor", True),
+)
+
+
+def severity(m: DataFrame, verbose: bool = True) -> DataFrame:
+    """run_id, rule, value, severity for metrics past the limits of the triage. Duplicate texts that are not critical are minor."""
+    row = lambda k, s: F.struct(F.lit(k).alias("rule"), F.col(k).cast("double").alias("value"), F.lit(s).alias("severity"))
+    found = [F.when(F.col(k) > limit, row(k, s)) for k, limit, s, wordy in TRIAGE if k in m.columns and (verbose or not wordy)]
+    if "duplicate_texts" in m.columns:
+        found.append(F.when((F.col("duplicate_texts") > 0) & (F.col("duplicate_texts") <= 50), row("duplicate_texts", "minor")))
+    return m.select("run_id", F.inline(F.array_compact(F.array(*found))))
 
 
 def compare(before: DataFrame, after: DataFrame, names: tuple[str, ...] = ("integrity", "connectivity", "confidence", "sources", "content")) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import logging
 from difflib import SequenceMatcher
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.functions import text as T
+from strataweave.session import materialize
 
 
 def rule_groups(names: DataFrame) -> DataFrame:
@@ -104,8 +107,14 @@ def register(names: DataFrame, least: float = 0.8) -> DataFrame:
 
 
 def registry_statistics(registered: DataFrame) -> DataFrame:
+    """Names seen, canonical ones, merged ones with their share, and the last five merges as 'name -> canonical', per run and kind."""
     n, c = F.count(F.lit(1)), F.count_distinct("canonical")
-    return registered.groupBy("run_id", "kind").agg(n.alias("seen"), c.alias("canonical"), (n - c).alias("merged"), F.round((n - c) / n, 6).alias("rate"))
+    last = F.row_number().over(Window.partitionBy("run_id", "kind", "merged_name").orderBy(F.desc("ord")))
+    rows = registered.withColumn("merged_name", F.col("name") != F.col("canonical")).withColumn("back", last)
+    recent = F.array_sort(F.collect_list(F.when(F.col("merged_name") & (F.col("back") <= 5), F.struct("ord", F.concat("name", F.lit(" -> "), "canonical").alias("text")))))
+    return rows.groupBy("run_id", "kind").agg(
+        n.alias("seen"), c.alias("canonical"), (n - c).alias("merged"), F.round((n - c) / n, 6).alias("rate"), F.array_join(F.transform(recent, lambda x: x["text"]), "; ").alias("recent_merges")
+    )
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -316,12 +325,13 @@ def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
 
 
 def consistency(projects: DataFrame) -> DataFrame:
-    """Counts, projects without measures or indicators, distribution of measures; projects: run_id, action_field, title, measures, indicators."""
+    """Counts, projects without measures or indicators, their distributions, action fields without projects (rows without a title); projects: run_id, action_field, title, measures, indicators."""
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    m = F.greatest(size("measures"), F.lit(0))
+    m, i = (F.when(F.col("title").isNotNull(), F.greatest(size(c), F.lit(0))) for c in ("measures", "indicators"))
     return projects.groupBy("run_id").agg(
         F.count_distinct("action_field").alias("action_fields"), F.count("title").alias("projects"), F.count_if(F.col("title").isNotNull() & (m < 1)).alias("no_measures"),
         F.count_if(F.col("title").isNotNull() & (size("indicators") < 1)).alias("no_indicators"), F.round(F.avg(m), 6).alias("mean"), F.max(m).alias("most"), F.min(m).alias("least"), F.count_if(m > 10).alias("many"),
+        F.count_distinct(F.when(F.col("title").isNull(), F.col("action_field"))).alias("without_projects"), F.round(F.avg(i), 6).alias("mean_indicators"), F.max(i).alias("most_indicators"), F.min(i).alias("least_indicators"),
     )
 
 
@@ -334,6 +344,15 @@ def impute(projects: DataFrame, rules: dict[str, tuple[str, ...]], default: tupl
     return projects.withColumn("imputed", empty).withColumn("measures", F.when(empty, F.slice(value, 1, most)).otherwise(F.col("measures")))
 
 
+def resolve_or_keep(tree: DataFrame, *args, **settings) -> DataFrame:
+    """`resolve`, worked out; the tree as it came if that fails."""
+    try:
+        return materialize(resolve(tree, *args, **settings), "resolved")
+    except PySparkException as error:
+        logging.getLogger(__name__).warning("resolution failed, names stay as they are: %s", error)
+        return tree
+
+
 # Words of action fields, then for each of their projects' words what a project without measures or indicators is given. None: whatever its title.
 MEASURE_RULES = (
     (("klima", "energie", "co2"), (

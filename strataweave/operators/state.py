@@ -396,3 +396,41 @@ def extract_pages(pages: DataFrame, client: Callable[[], Model], most: int = 800
     from strataweave.operators.chunking import pack_pages, with_header
 
     return extract(with_header(pack_pages(pages, most, least)), client, **settings)
+
+
+ENHANCE = "These {count} action fields were found so far:\n{found}\n\nReturn them all as JSON {\"action_fields\": [...]}, with what the text below adds.\n\n{text}"
+FIRST = "Extract action fields with their projects, measures and indicators as JSON {\"action_fields\": [...]} from the text below.\n\n{text}"
+
+
+def accumulate(chunks: DataFrame, client: Callable[[], Model], attempts: int = 3, first: str = FIRST, enhance: str = ENHANCE) -> DataFrame:
+    """source_id, value (nested extraction as JSON): each chunk's prompt holds what was found so far, and the answer replaces it; without an answer it stays.
+
+    The first chunk is asked up to `attempts` times. Projects lose empty lists, as published.
+    """
+
+    def tidy(answer: dict) -> list[dict]:
+        out = []
+        for af in answer.get("action_fields") or ():
+            own = [{"title": p.get("title"), **{k: p[k] for k in ("measures", "indicators") if p.get(k)}} for p in af.get("projects") or ()]
+            out.append({"action_field": af.get("action_field"), "projects": own})
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        each = (r for frame in frames for r in frame.to_dict("records"))
+        for source, own in groupby(each, key=lambda r: r["source_id"]):
+            model, found = client(), None
+            for r in own:
+                if found is None:
+                    answers = (parse_answer(model(first.replace("{text}", r["text"]))) for _ in range(attempts))
+                    found = tidy(next((a for a in answers if a is not None), {}))
+                    continue
+                values = {"count": str(len(found)), "found": json.dumps({"action_fields": found}, indent=2, ensure_ascii=False), "text": r["text"].strip()}
+                prompt = enhance
+                for name, value in values.items():
+                    prompt = prompt.replace("{" + name + "}", value)
+                answer = parse_answer(model(prompt))
+                found = found if answer is None else tidy(answer)
+            yield pd.DataFrame({"source_id": [source], "value": [json.dumps({"action_fields": found or []}, ensure_ascii=False)]})
+
+    rows = chunks.select("source_id", "chunk_index", "text").repartition("source_id").sortWithinPartitions("source_id", "chunk_index")
+    return rows.mapInPandas(run, "source_id string, value string")

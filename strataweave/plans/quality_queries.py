@@ -187,7 +187,7 @@ def run_comparison(spark, sf_dir):
 
 @query(f"""WITH {SCORES} SELECT run_id, rule, value, severity FROM (
  SELECT run_id, 'dangling' AS rule, dangling AS value, 'critical' AS severity FROM m WHERE dangling > 0 UNION ALL SELECT run_id, 'repetition', repetition, 'critical' FROM m WHERE repetition > 0.5
- UNION ALL SELECT run_id, 'violations', violations, 'minor' FROM m WHERE violations > 0 UNION ALL SELECT run_id, 'missing_sources', missing_sources, 'minor' FROM m WHERE missing_sources > 0)""")
+ UNION ALL SELECT run_id, 'ambiguous', ambiguous, 'minor' FROM m WHERE ambiguous > 0 UNION ALL SELECT run_id, 'missing_sources', missing_sources, 'minor' FROM m WHERE missing_sources > 0)""")
 def issue_triage(spark, sf_dir):
     return quality.severity(adapters.sql(spark, sf_dir, METRICS))
 

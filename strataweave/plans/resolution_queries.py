@@ -102,7 +102,8 @@ P_DUCK, P_SPARK = PROJ.format(agg="list_sort(list(DISTINCT c_mktsegment))"), PRO
 
 
 @query(f"""WITH p AS ({P_DUCK}) SELECT count(DISTINCT action_field) AS action_fields, count(title) AS projects, count(*) FILTER (coalesce(len(measures), 0) < 1) AS no_measures, count(*) FILTER (coalesce(len(indicators), 0) < 1) AS no_indicators,
-round(avg(coalesce(len(measures), 0)), 6) AS mean, CAST(max(coalesce(len(measures), 0)) AS INT) AS most, CAST(min(coalesce(len(measures), 0)) AS INT) AS least, count(*) FILTER (coalesce(len(measures), 0) > 10) AS many FROM p""")
+round(avg(coalesce(len(measures), 0)), 6) AS mean, CAST(max(coalesce(len(measures), 0)) AS INT) AS most, CAST(min(coalesce(len(measures), 0)) AS INT) AS least, count(*) FILTER (coalesce(len(measures), 0) > 10) AS many,
+count(DISTINCT action_field) FILTER (title IS NULL) AS without_projects, round(avg(coalesce(len(indicators), 0)), 6) AS mean_indicators, CAST(max(coalesce(len(indicators), 0)) AS INT) AS most_indicators, CAST(min(coalesce(len(indicators), 0)) AS INT) AS least_indicators FROM p""")
 def consistency_report(spark, sf_dir):
     return resolve.consistency(adapters.sql(spark, sf_dir, P_SPARK)).drop("run_id")
 

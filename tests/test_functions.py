@@ -207,6 +207,8 @@ def test_star_groups_and_registry(spark):
     assert stars == {"Radweg": 0, "Radwege": 0, "Bahn": 2, "radweg": 0, "Radwegnetz": 0}
     reg = {r.name: r.canonical for r in resolve.register(names.withColumnRenamed("bucket", "kind")).collect()}
     assert reg["radweg"] == "Radweg" and reg["Bahn"] == "Bahn"
+    stats = resolve.registry_statistics(resolve.register(names.withColumnRenamed("bucket", "kind"))).first()
+    assert stats.seen - stats.canonical == stats.merged and stats.recent_merges.startswith("Radwege -> Radweg; radweg -> Radweg")
 
 
 def test_fuzzy_quotes(spark):
@@ -266,9 +268,25 @@ def test_prompt_files(tmp_path):
     for bad, error in (("ops.nodes", ValueError), ("ops.nodes.none", KeyError)):
         with pytest.raises(error):
             prompts.lookup(str(tmp_path), bad)
+    (tmp_path / "core.yaml").write_text("thinking_modes:\n  analytical: Think first.\n")
+    assert prompts.names(str(tmp_path)) == ["core", "ops"]
+    assert prompts.thinking(str(tmp_path), "Ask") == "Think first.\n\nAsk"
+    with pytest.raises(ValueError):
+        prompts.thinking(str(tmp_path), "Ask", "none")
+    with pytest.raises(FileNotFoundError):
+        prompts.lookup(str(tmp_path), "none.a.b")
     prompts.clear()
 
 
+def test_triage(spark):
+    from strataweave.operators import quality
+
+    m = spark.createDataFrame([("r", 1, 60, 0.6, 6, 2, 1, 3), ("t", 0, 5, 0.1, 1, 0, 0, 0)], "run_id string, dangling int, duplicate_texts int, repetition double, components int, missing_sources int, ambiguous int, isolated int")
+    got = {(r.run_id, r.rule): r.severity for r in quality.severity(m).collect()}
+    assert got == {("r", k): s for k, s in (("dangling", "critical"), ("duplicate_texts", "critical"), ("repetition", "critical"), ("components", "critical"), ("missing_sources", "minor"), ("ambiguous", "minor"), ("isolated", "minor"))} | {("t", "duplicate_texts"): "minor"}
+    assert {r.rule for r in quality.severity(m, verbose=False).collect()} & {"missing_sources", "isolated"} == set()
+
+
 def test_flat_columns_and_attribution(spark):
     df = spark.range(1).select(F.struct(F.lit(1).alias("a"), F.struct(F.lit(2).alias("b")).alias("c")).alias("r"), F.lit(3).alias("z"))
     assert T.flat_columns(df).columns == ["r.a", "r.c.b", "z"]

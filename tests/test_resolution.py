@@ -81,3 +81,16 @@ def test_merge_rule_in_both_forms(spark):
     df = spark.createDataFrame(pairs, "a string, b string, s double")
     got = [r[0] for r in df.select(resolve.merge_allowed(F.col("a"), F.col("b"), F.col("s"))).collect()]
     assert got == [resolve._may_merge(*p) for p in pairs] == [True, False, True, True, False]
+
+
+def test_a_failed_resolution_keeps_the_names(spark):
+    tree = spark.createDataFrame([("r", 0, "Klimaschutz", []), ("r", 1, "Klimaanpassung", [])], TREE)
+    broken = spark.createDataFrame([("Klimaschutz", "x")], "name string, v string")
+    assert resolve.resolve_or_keep(tree).count() == 1
+    assert resolve.resolve_or_keep(tree.withColumn("action_field", F.concat("action_field", F.lit("!"))), broken.withColumn("name", F.lit("Klimaschutz!"))).count() == 2
+
+
+def test_consistency_counts_fields_without_projects(spark):
+    df = spark.createDataFrame([("r", "A", "P", ["m"], []), ("r", "B", None, None, None)], "run_id string, action_field string, title string, measures array<string>, indicators array<string>")
+    c = resolve.consistency(df).first()
+    assert (c.projects, c.without_projects, c.no_measures, c.no_indicators, c["mean"], c.mean_indicators) == (1, 1, 0, 1, 1.0, 0.0)

@@ -158,3 +158,24 @@ def test_pages_to_state_without_a_model(spark):
 
 def test_no_context_yet():
     assert state.Fold("s").context() == state.FIRST_CHUNK and state.Fold("s").edges() == ""
+
+
+def test_accumulation(spark):
+    chunks = spark.createDataFrame([("s", 0, "one", [1]), ("s", 1, "two", [2]), ("s", 2, "three", [3]), ("t", 0, "none", [1])], CHUNKS)
+
+    def client():
+        asked = []
+
+        def send(prompt):
+            asked.append(prompt)
+            if "none" in prompt or "two" in prompt or len(asked) == 1:
+                return None
+            if "three" in prompt:
+                assert '"title": "P"' in prompt and "These 1 action" in prompt
+                return json.dumps({"action_fields": [{"action_field": "A", "projects": [{"title": "P", "measures": ["m"], "indicators": []}]}, {"action_field": "B"}]})
+            return json.dumps({"action_fields": [{"action_field": "A", "projects": [{"title": "P", "measures": []}]}]})
+
+        return send
+
+    got = {r.source_id: json.loads(r.value)["action_fields"] for r in state.accumulate(chunks, client).collect()}
+    assert got == {"s": [{"action_field": "A", "projects": [{"title": "P", "measures": ["m"]}]}, {"action_field": "B", "projects": []}], "t": []}
