@@ -59,18 +59,28 @@ ZERO = (
 )
 
 
+SMALL = 8 << 20  # bytes of graph files up to which one partition holds the tables, so that nothing is shuffled
+
+
 def tables(graphs: DataFrame, pages: DataFrame | None = None) -> Tables:
     """The tables of graph files, kept while they are read more than once. pages: folder, source_id, page_number, text, as `pages.beside` gives them."""
     graphs = graphs.persist()
-    e, c, s = (t.persist() for t in (files.entities(graphs), files.connections(graphs), files.sources(graphs)))
+    small = (graphs.agg(F.sum("size").alias("n")).first()["n"] or 0) <= SMALL
+    keep = (lambda t: t.coalesce(1).persist()) if small else DataFrame.persist
+    if small:
+        graphs = keep(graphs)
+    e, c, s = (keep(t) for t in (files.entities(graphs), files.connections(graphs), files.sources(graphs)))
     nested, nested_edges = graph.hierarchical_nodes_edges(files.trees(graphs))
     at = F.struct(F.lit(0).alias("bucket_ord"), F.lit(0).cast("bigint").alias("ord"))
-    nodes = graph.build_nodes(e).unionByName(nested.select("run_id", "node", "type", "name", at.alias("pos"))).persist()
-    edges = graph.build_edges(nodes, c).unionByName(nested_edges.withColumn("confidence", F.lit(None).cast("double"))).persist()
+    nodes = graph.build_nodes(e).unionByName(nested.select("run_id", "node", "type", "name", at.alias("pos")))
+    nodes = keep(nodes)
+    edges = graph.build_edges(nodes, c).unionByName(nested_edges.withColumn("confidence", F.lit(None).cast("double")))
+    edges = keep(edges)
     runs = graphs.select("run_id", page_files.folder(F.col("run_id")).alias("folder"), page_files.source_key(F.col("run_id")).alias("source_id"))
     if pages is None:
         pages = graphs.sparkSession.createDataFrame([], "folder string, source_id string, page_number int, text string")
-    own = runs.join(pages, ["folder", "source_id"]).select("run_id", "page_number", "text").persist()
+    own = runs.join(pages, ["folder", "source_id"]).select("run_id", "page_number", "text")
+    own = keep(own)
     return Tables(graphs, e, c, s, nodes, edges, own)
 
 
@@ -124,7 +134,9 @@ def metrics(t: Tables, config: Config = Config(), detect=None) -> DataFrame:
         row("total_connections", t.edges),
         *(row(name, made(t, config), F.max("value")) for name, made in sorted(_METRICS.items())),
     ]
-    long = reduce(DataFrame.union, parts)
+    while len(parts) > 1:  # in pairs, so that no long chain of plans is analysed again at each step
+        parts = [reduce(DataFrame.union, parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    [long] = parts
     columns = [F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in (*ZERO, *sorted(_METRICS))]
     found = long.groupBy("run_id").agg(*columns)
     return t.graphs.select("run_id", "layout").distinct().join(found, "run_id", "left").fillna(0.0, list(ZERO))

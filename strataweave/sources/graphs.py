@@ -29,8 +29,8 @@ def layout(value: Column) -> Column:
 
 
 def parse_graphs(files: DataFrame) -> DataFrame:
-    """run_id, layout, g (typed struct, null if it is no JSON) from files (run_id, value)."""
-    return files.select("run_id", layout(F.col("value")).alias("layout"), F.from_json("value", SCHEMA).alias("g"))
+    """run_id, layout, size (bytes), g (typed struct, null if it is no JSON) from files (run_id, value)."""
+    return files.select("run_id", layout(F.col("value")).alias("layout"), F.octet_length("value").alias("size"), F.from_json("value", SCHEMA).alias("g"))
 
 
 def read_graphs(spark: SparkSession, path: str, pattern: str = "*.json", strict: bool = False) -> DataFrame:
