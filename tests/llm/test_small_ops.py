@@ -723,9 +723,11 @@ def test_partial_sums_in_a_tree(spark, monkeypatch, fan):
     from strataweave.llm import common
 
     monkeypatch.setattr(common, "FAN_IN", fan)
-    monkeypatch.setattr(common, "PART_BYTES", 8)
-    parts = spark.range(0, 40, 1, 9).mapInArrow(lambda bs: (common.parts_of(np.array([b.num_rows, 1], np.int64)) for b in bs), "segment int, part binary")
-    assert common.sum_arrays(parts, "int64", 2)[0] == 40
+    size = common.PART_BYTES // 8 + 3  # two segments
+    ends = lambda b: np.concatenate([[b.num_rows], np.zeros(size - 2, np.int64), [1]])
+    parts = spark.range(0, 40, 1, 9).mapInArrow(lambda bs: (common.parts_of(ends(b)) for b in bs), "segment int, part binary")
+    total = common.sum_arrays(parts, "int64", size)
+    assert total[0] == 40 and total[-1] == 9 and total.sum() == 49
 
 
 def test_an_append_writes_one_file_a_bucket(spark):
