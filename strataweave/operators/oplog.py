@@ -200,11 +200,13 @@ def free_ids(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     beyond is named by the first four digits of its title's MD5, with a running number from the second on.
     """
     n = F.row_number().over(Window.partitionBy("source_id", "prefix").orderBy("ord"))
-    own = taken.distinct().withColumn("below", F.col("number") - F.row_number().over(Window.partitionBy("source_id", "prefix").orderBy("number")))
-    # The k-th free number is k plus the taken ones that have fewer than k free numbers below them.
-    gaps = own.groupBy("source_id", "prefix").agg(F.array_sort(F.collect_list("below")).alias("gaps"))
-    rows = wanted.withColumn("k", n).join(gaps, ["source_id", "prefix"], "left")
-    skipped = F.coalesce(F.size(F.filter("gaps", lambda g: g < F.col("k"))), F.lit(0))
+    own = taken.filter("number >= 1").distinct().withColumn("below", F.col("number") - F.row_number().over(Window.partitionBy("source_id", "prefix").orderBy("number")))
+    # The k-th free number is k plus the taken ones that have fewer than k free numbers below them: a running count, no list of what is taken.
+    asked = wanted.withColumn("k", n).withColumn("taken", F.lit(0)).withColumn("mark", F.col("k").cast("bigint"))
+    held = own.select("source_id", "prefix", F.lit(1).alias("taken"), F.col("below").cast("bigint").alias("mark"))
+    before = Window.partitionBy("source_id", "prefix").orderBy("mark", "taken").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = asked.unionByName(held, allowMissingColumns=True).withColumn("skipped", F.sum("taken").over(before)).filter("taken = 0").drop("mark")
+    skipped = F.col("skipped")
     rows = rows.withColumn("number", F.col("k") + skipped)
     id_ = F.concat_ws("_", "prefix", F.col("number").cast("string"))
     if "title" in wanted.columns:

@@ -252,10 +252,11 @@ def json_state_change(spark, sf_dir):
     return oplog.state_changes(s).withColumnRenamed("source_id", "conv_id").withColumnRenamed("step", "turn")
 
 
-@query("""WITH RECURSIVE w AS (SELECT n_regionkey AS r, n_nationkey AS ord, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation), t AS (SELECT DISTINCT c_nationkey % 5 AS r, c_custkey % 17 + 1 AS number FROM customer WHERE c_custkey % 4 = 0 AND c_custkey < 60),
-f AS (SELECT r, i AS number, row_number() OVER (PARTITION BY r ORDER BY i) AS k FROM (SELECT DISTINCT r FROM w), generate_series(1, 60) g(i) WHERE (r, i) NOT IN (SELECT r, number FROM t))
-SELECT w.r AS region, w.ord AS nation, concat('proj_', f.number) AS id FROM w JOIN f ON f.r = w.r AND f.k = w.k""")
+@query("""WITH w AS (SELECT s_nationkey % 5 AS r, s_suppkey AS ord, row_number() OVER (PARTITION BY s_nationkey % 5 ORDER BY s_suppkey) AS k FROM supplier), t AS (SELECT DISTINCT c_nationkey % 5 AS r, 2 * c_custkey AS number FROM customer),
+f AS (SELECT r, i AS number, row_number() OVER (PARTITION BY r ORDER BY i) AS k FROM (SELECT DISTINCT r FROM w), generate_series(1, (SELECT 2 * max(k) FROM w)) g(i) WHERE (r, i) NOT IN (SELECT r, number FROM t))
+SELECT w.r AS region, w.ord AS supplier, concat('proj_', f.number) AS id FROM w JOIN f ON f.r = w.r AND f.k = w.k""")
 def free_ids(spark, sf_dir):
-    wanted = adapters.sql(spark, sf_dir, "SELECT CAST(n_regionkey AS STRING) AS source_id, 'proj' AS prefix, n_nationkey AS ord FROM nation")
-    taken = adapters.sql(spark, sf_dir, "SELECT CAST(c_nationkey % 5 AS STRING) AS source_id, 'proj' AS prefix, c_custkey % 17 + 1 AS number FROM customer WHERE c_custkey % 4 = 0 AND c_custkey < 60")
-    return oplog.free_ids(wanted, taken).select(F.col("source_id").cast("int").alias("region"), F.col("ord").alias("nation"), "id")
+    """An id for every supplier among those that the customers of its group have left."""
+    wanted = adapters.sql(spark, sf_dir, "SELECT CAST(s_nationkey % 5 AS STRING) AS source_id, 'proj' AS prefix, s_suppkey AS ord FROM supplier")
+    taken = adapters.sql(spark, sf_dir, "SELECT CAST(c_nationkey % 5 AS STRING) AS source_id, 'proj' AS prefix, 2 * c_custkey AS number FROM customer")
+    return oplog.free_ids(wanted, taken).select(F.col("source_id").cast("int").alias("region"), F.col("ord").alias("supplier"), "id")
