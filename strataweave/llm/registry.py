@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataweave.llm import decontaminate, exact_dedup, html_text, jaccard, language_model, packing, pii, quality, token_count, warc
+from strataweave.llm import decontaminate, divergence, exact_dedup, html_text, jaccard, language_model, packing, pii, quality, token_count, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_token_counts": token_count.op9_token_counts,
     "op10_quality": quality.op10_quality,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 #: Operators without an entry are not expressible in SQL; their tests hold brute-force versions.
 ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_warc": warc.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
