@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataweave.llm import alignment, decontaminate, divergence, exact_dedup, html_text, jaccard, language_model, packing, pii, quality, token_count, warc
+from strataweave.llm import alignment, chunk_bpe, decontaminate, divergence, exact_dedup, html_text, jaccard, language_model, packing, pii, quality, token_count, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_token_counts": token_count.op9_token_counts,
     "op10_quality": quality.op10_quality,
+    "op11_bpe_codes": chunk_bpe.op11_bpe_codes,
     "op12_token_alignment": alignment.op12_token_alignment,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
