@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,16 +33,17 @@ from strataweave.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes in plain texts: A-Z in lower case, all other ASCII but a-z a space.
+PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 HELD = 1_000_000  # rows of counts that a task holds before it sends them on
 SHARD_ROWS = 200_000  # rows of whole terms that one SQL statement sees, and one term's rows beyond that
 GROUPS = 200_000  # groups' sizes that a join broadcasts (about 100 bytes each); more are joined by shuffle
 
-COUNT = f"""
+#: Texts are plain: terms in lower case, and spaces. A document's language and source come in by number, after its terms are counted.
+COUNT = """
 SELECT lang, source, term, sum(c)::BIGINT AS n, count(*)::BIGINT AS docs
-FROM (
-  SELECT lang, source, doc, term, count(*) AS c
-  FROM (SELECT lang, source, doc, translate(unnest(regexp_extract_all(text, '{TERM}')), '{UPPER}', '{LOWER}') AS term FROM texts)
-  GROUP BY ALL)
+FROM (SELECT doc, term, count(*) AS c FROM (SELECT doc, unnest(string_split(text, ' ')) AS term FROM texts) WHERE term <> '' GROUP BY ALL)
+JOIN (SELECT doc, lang, source FROM texts) USING (doc)
 GROUP BY ALL"""
 
 KEEP = """
@@ -95,6 +97,15 @@ def _batches(found: pa.Table, names: str) -> Iterator[pa.RecordBatch]:
     yield from found.cast(strings).select([c.split()[0] for c in names.split(", ")]).to_batches(max_chunksize=50_000)
 
 
+def plain(texts: pa.Array) -> pa.Array:
+    """Texts of terms and spaces: in UTF-8 each byte of PLAIN's ASCII stands for itself, so a column is changed as a whole."""
+    texts = pc.fill_null(texts, "")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    data = texts.buffers()[2]
+    data = data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if data is not None else b""
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer((ends - ends[0]).tobytes()), pa.py_buffer(data.translate(PLAIN)))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 1: counts of a task's rows by (lang, source, term)."""
     con = _engine()
@@ -102,8 +113,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = "SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM held GROUP BY ALL"
     rows = 0
     for block in blocks(batches):
-        texts = pa.table({c: pc.fill_null(block.column(c), "") for c in ("lang", "source", "text")}).append_column("doc", pa.array(range(block.num_rows)))
-        con.register("texts", texts)
+        names = [pc.fill_null(block.column(c), "") for c in ("lang", "source")]
+        con.register("texts", pa.table([*names, plain(block.column("text")), pa.array(range(block.num_rows), pa.int32())], ["lang", "source", "text", "doc"]))
         rows += _ask(con, f"INSERT INTO held {COUNT}")[0][0]
         if rows > HELD:
             rows = _ask(con, f"CREATE TABLE fewer AS {total}")[0][0]
