@@ -32,20 +32,41 @@ def buckets_for(rows: int) -> int:
 
 
 class DigestIndex:
-    """Digest -> row that stays and number of copies, in `buckets` buckets at `path` (a folder all executors see)."""
+    """Digest -> row that stays and number of copies, in buckets at `path` (a folder all executors see).
+
+    The number of buckets is written beside the data when the index is made (32 unless `buckets` says otherwise) and read when it is
+    opened again, by any session; opening it with another number is an error, as its files would be paired wrongly.
+    """
 
     SCHEMA = "digest BINARY, keep_id BIGINT, copies BIGINT, batch INT"
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32):
-        self.spark, self.path, self.buckets = spark, path or scratch_path(spark, "digest-index"), buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark, self.path = spark, (path or scratch_path(spark, "digest-index")).rstrip("/")
+        self.buckets = self._agree(buckets)
         self.table = "digest_index_" + "".join(c if c.isalnum() else "_" for c in self.path)[-80:].lower()
         # One file a bucket and append is sorted as it lies, so a compact index is merged without another sort.
         spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} ({self.SCHEMA}) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/digests'"
         )
 
+    def _agree(self, buckets: int | None) -> int:
+        """The index's own number of buckets; a new index gets one."""
+        exists = lambda path: path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        there = self.spark._jvm.org.apache.hadoop.fs.Path
+        note = f"{self.path}/buckets"
+        if not exists(there(f"{note}/_SUCCESS")):
+            if exists(there(f"{self.path}/digests")):
+                raise ValueError(f"{self.path} has digests and no number of buckets")
+            number = buckets or 32
+            self.spark.range(1).select(F.lit(number).alias("buckets")).write.mode("overwrite").parquet(note)
+            return number
+        own = self.spark.read.parquet(note).head()["buckets"]
+        if buckets and buckets != own:
+            raise ValueError(f"{self.path} has {own} buckets, not {buckets}")
+        return own
+
     def rows(self) -> DataFrame:
         """What was appended: one row per digest and batch."""
         return self.spark.table(self.table)

@@ -1,16 +1,16 @@
 """Main-text extraction by tree scoring.
 
 A tolerant parser builds the page's tree, in time in proportion to the page whatever its depth. Subtrees that are boilerplate
-by tag, role, or class and id words go; where such a word may also name a part of an article, its place, prose and links decide. Every remaining block with text is a paragraph that passes points, for its
+by tag, role, or class and id words go; where such a word may also name a part of an article, or stands beside words of another subject, place, prose and links decide. Every remaining block with text is a paragraph that passes points, for its
 length and its commas, to its ancestors: all to the parent, half to the next, a third to the next,
 and so on. A container's points are discounted by the share of its text that is link text. The best
 container (widened to the article or main element it stands in) and the siblings that score
-like it, or are its headings and paragraphs, are kept, and their blocks are joined in page order.
+like it, or are its headings, paragraphs, tables and lists, are kept, and their blocks are joined in page order.
 
 Defined results: null, empty and text-free pages give an empty text. Unclosed, misnested and
 cut-off markup is closed where a browser would close it; text after an unfinished tag is lost with
 the tag. White space is what Unicode calls so; a line break inside a block is a space. Very
-long or deep pages need time and memory in proportion and no recursion. Of containers that score alike the first in the page is taken. Repeated rows are each extracted.
+long or deep pages need time and memory in proportion and no recursion. Of containers that score alike the first in the page is taken. Repeated rows are each extracted, and an empty table gives no rows.
 Columns beside page_id, url and html never enter.
 """
 
@@ -59,6 +59,17 @@ WORDS = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox toast paywall "
     "newsletter subscribe subscription signup login signin outbrain taboola searchbox hidden".split()
 )
+#: Words of readers' comments; named by id alone they are boilerplate too.
+READERS = frozenset("comment comments commentlist respond reply replies disqus".split())
+#: Words that say where or how a thing is shown, not what it is about. A class whose words are all of these and of WORDS is boilerplate;
+#: with any other word in it ('menu-planning', 'comment-analysis') it may name a part of an article, whose content then decides.
+SHOWN = frozenset(
+    "site page top bottom left right main global primary secondary user users reader readers mobile desktop sticky inline slot unit label zone placement card "
+    "dialog link links button btn icon title wrap wrapper container box bar panel pane region area block blocks list item items row col column group module "
+    "component section inner outer content body text header footer head foot heading message msg info count form input field thread author meta avatar date time new "
+    "latest more all show open close toggle trigger small large big mini fixed floating full half first last js is has no wp fb google id in on the my our your "
+    "native display leaderboard rectangle skyscraper article post story entry widget widgets social share".split()
+)
 #: Words that may also name a part of an article; its content decides (see `_settle`).
 DOUBTFUL = frozenset(
     "header masthead footer foot toc skip rail widget widgets discussion reviews promotion share sharing social follow "
@@ -67,6 +78,7 @@ DOUBTFUL = frozenset(
 #: Words that speak for a part of an article.
 CONTENT = frozenset("post article entry story content text body work works chapter section paper title headline".split())
 PROSE = 80  # characters from which a block is prose
+PARTS = frozenset("p table pre blockquote figure ol ul dl".split())  # what stands beside the best container as part of its article
 KEPT = frozenset(["html", "body", "article", "main"])
 _MARK = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -80,7 +92,7 @@ class Node:
     def __init__(self, tag: str, parent: Node | None, drop: bool = False, strong: bool = False, doubt: int = 0):
         self.tag, self.parent, self.drop, self.strong = tag, parent, drop, strong
         self.inside = strong or parent is not None and parent.inside  # of an article or main element
-        self.doubt = doubt  # 1: boilerplate by a doubtful word, 2: which stands beside a word of content
+        self.doubt = doubt  # 1: boilerplate by a doubtful word or an anchor, 2: which stands beside a word of content, 3: by a name with another subject in it
         self.items: list = []
         self.score, self.chars, self.linked, self.prose = 0.0, 0, 0, False
 
@@ -95,14 +107,27 @@ def _node(tag: str, tail: str, parent: Node) -> Node:
         role = found.get("role", "").strip().lower()
         style = found.get("style", "").replace(" ", "").lower()
         strong = strong or role in ("main", "article") or found.get("itemprop") == "articleBody"
-        named = {w.lower() for w in _PART.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+        classes = [_words_of(c) for c in found.get("class", "").split()]
+        id_ = _words_of(found.get("id", ""))
+        named = id_.union(*classes)
         drop = role in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style
-        drop = drop or bool(named & WORDS) and tag not in ("html", "body") and not (tag in KEPT and "comment" not in named and "comments" not in named)
-        if not drop and named & DOUBTFUL and tag not in KEPT:
+        if not drop and named & WORDS and tag not in ("html", "body"):
+            part = tag == "section" or any(c <= CONTENT and c for c in classes)  # its id is the anchor of a part
+            plain = [c for c in classes if c & WORDS and c <= WORDS | SHOWN]
+            own = bool(id_ & WORDS) and id_ <= WORDS | SHOWN
+            drop = (bool(plain) or own and not (part and not id_ & READERS)) and not (tag in KEPT and "comment" not in named and "comments" not in named)
+            if not drop and tag not in KEPT:
+                doubt = 1 if own else 3
+        elif not drop and named & DOUBTFUL and tag not in KEPT:
             doubt = 2 if named & CONTENT else 1
     return Node(tag, parent, drop, strong, doubt)
 
 
+def _words_of(name: str) -> frozenset[str]:
+    """The words of a class or an id, numbers left out."""
+    return frozenset(w.lower() for w in _PART.findall(name) if not w.isdigit())
+
+
 class _Open:
     """The open elements: a stack, and the places in it of each tag's elements, so that no search walks it."""
 
@@ -264,10 +289,12 @@ def _measure(root: Node, nodes: list[Node]) -> list[tuple[Node, str, int]]:
 
 def _settle(nodes: list[Node]) -> None:
     """Drop the doubtful subtrees, but those that read like a part of an article: inside one, or named with a word of
-    content, with a heading or prose, and little of their text in links."""
+    content, with a heading or prose, and little of their text in links. Inside an article a name with a word of content
+    or of some other subject needs no prose."""
     for x in nodes:
         if x.doubt:
-            x.drop = not ((x.doubt == 2 or x.inside) and x.prose and 4 * x.linked < x.chars)
+            place = x.inside if x.doubt == 3 else x.doubt == 2 or x.inside
+            x.drop = not (place and (x.prose or x.doubt >= 2 and x.inside) and 4 * x.linked < x.chars)
 
 
 def main_text(html: str) -> str:
@@ -301,7 +328,7 @@ def main_text(html: str) -> str:
             if isinstance(x, str) or x.drop:
                 continue
             dense = x.linked / max(x.chars, 1)
-            alike = x.chars and dense < 0.25 and (worth(x) >= max(10, 0.2 * worth(top)) or x.tag in HEADINGS or x.tag == "p")
+            alike = x.chars and dense < 0.25 and (worth(x) >= max(10, 0.2 * worth(top)) or x.tag in HEADINGS or x.tag in PARTS)
             if x is top or alike:
                 kept.append(x)
     return "\n".join(text for x in kept for _, text, _ in text_blocks(x))

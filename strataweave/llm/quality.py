@@ -162,15 +162,20 @@ def _term_rows(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Model:
-    """A model from at most `sample` labelled rows of `docs` (doc_id, text), `labels` (doc_id, quality)."""
+    """A model from at most `sample` labelled rows of `docs` (doc_id, text), `labels` (doc_id, quality).
+
+    An id with several rows gives one of them, that with the least hash; one with several labels their mean.
+    """
     known = labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null").filter(~held_out())
     known = known.groupBy(F.col("doc_id").alias("l_id")).agg(F.avg(F.col("quality").cast("double")).alias("label"))
     order = F.xxhash64(F.col("doc_id"), F.lit("sample"))
-    ids = docs.select("doc_id").join(known, F.col("doc_id") == F.col("l_id")).orderBy(order, "doc_id").limit(sample)
-    # At most `sample` ids and labels: broadcast, so that no text is shuffled.
+    there = known.withColumnRenamed("l_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")  # an id once, however many rows have it
+    ids = there.orderBy(order, "doc_id").limit(sample)
+    # At most `sample` ids and labels: broadcast, so that no text is shuffled but those of these ids.
     picked = F.broadcast(ids.select(F.col("doc_id").alias("p_id"), "label"))
-    rows = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("p_id")).select("text", "label")
-    found = sorted((r["terms"], r["label"]) for r in _term_rows(rows).collect())[:sample]
+    rows = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("p_id"))
+    one = rows.groupBy("p_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("row"), F.first("label").alias("label")).select("row.text", "label")
+    found = sorted((r["terms"], r["label"]) for r in _term_rows(one).collect())
     terms = np.array([np.frombuffer(x, np.float32) for x, _ in found], np.float32).reshape(-1, TERMS)
     return Model(terms, np.array([y for _, y in found], np.float64))
 

@@ -735,3 +735,60 @@ def test_an_append_writes_one_file_a_bucket(spark):
     exact_dedup.dedupe(docs(spark, [(i, f"text {i}") for i in range(200)]).repartition(7), index)
     files = [f for f in spark.read.parquet(index.path).inputFiles() if f.endswith(".parquet")]
     assert len(files) == 4 and index.read().count() == 200
+
+
+# ---- what was lost before ----------------------------------------------------------------------
+
+
+def test_an_index_opened_again_knows_its_buckets(spark, tmp_path):
+    rows = [(i, f"text {i}") for i in range(200)]
+    index = exact_dedup.DigestIndex(spark, f"{tmp_path}/index", buckets=64)
+    exact_dedup.dedupe(docs(spark, rows), index).collect()
+    spark.sql(f"DROP TABLE {index.table}")  # as in a new process, whose catalog is empty
+    again = exact_dedup.DigestIndex(spark, f"{tmp_path}/index")
+    assert again.buckets == 64
+    assert not exact_dedup.dedupe(docs(spark, rows), again).filter("kept").collect()
+    with pytest.raises(ValueError, match="64 buckets"):
+        exact_dedup.DigestIndex(spark, f"{tmp_path}/index", buckets=32)
+
+
+def test_the_fit_takes_an_id_once(spark):
+    rng = random.Random(3)
+    rows = [(7, f"{prose(rng, 30)} {i}") for i in range(300)] + [(i, prose(rng, 30)) for i in range(100, 140)]
+    labels = spark.createDataFrame([(i, i % 2) for i in [7, *range(100, 140)]], "doc_id long, quality int")
+    known = labels.filter(~quality.held_out()).count()
+    model = quality.fit(docs(spark, rows), labels, sample=200)
+    assert 0 < len(model.labels) <= known
+    same = quality.fit(docs(spark, rows[::-1]).repartition(3), labels, sample=200)
+    assert sorted(model.labels) == sorted(same.labels)
+
+
+PROSE = "<p>This is a paragraph of the article, with commas, and enough prose to be one, as articles have them.</p>"
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        f'<section class="comment-analysis">{PROSE}UNIQUE</section>', '<p class="hidden-gem">UNIQUE short</p>', f'<section id="banner-history">{PROSE}UNIQUE</section>',
+        '<section id="menu-planning"><p>UNIQUE short.</p></section>', f'<section id="login"><h2>UNIQUE</h2>{PROSE}</section>', f'<div class="section" id="popup-menus">{PROSE}UNIQUE</div>',
+        '<div class="related-work"><p>UNIQUE short one.</p></div>', '<table class="results"><tr><td>UNIQUE</td><td>2</td></tr></table>',
+    ],
+)
+def test_parts_of_an_article_with_names_like_boilerplate_stay(part):
+    assert "UNIQUE" in html_text.main_text(f"<body><article><h1>T</h1>{PROSE}{part}{PROSE}</article></body>")
+
+
+def test_a_table_beside_the_best_container_stays():
+    page = f'<body><div class="nav"><a href="x">a</a></div><div><h1>T</h1>{PROSE * 3}</div><table><tr><td>UNIQUE</td></tr></table></body>'
+    assert "UNIQUE" in html_text.main_text(page)
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        f'<div id="comments">{PROSE}UNIQUE</div>', f'<div class="comment-body">{PROSE}UNIQUE</div>', f'<div class="ad-slot">{PROSE}UNIQUE</div>', f'<div id="newsletter">{PROSE}UNIQUE</div>',
+        f'<section id="comments">{PROSE}UNIQUE</section>', f'<div class="cookie-text">{PROSE}UNIQUE</div>', '<div class="related"><a href="x">UNIQUE one</a> <a href="y">two</a></div>',
+    ],
+)
+def test_boilerplate_inside_an_article_goes(part):
+    assert "UNIQUE" not in html_text.main_text(f"<body><article><h1>T</h1>{PROSE}{part}{PROSE}</article></body>")
