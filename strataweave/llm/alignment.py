@@ -37,12 +37,15 @@ from strataweave.session import materialize
 HELD = 1 << 19  # pairs whose counts are broadcast (about 40 bytes each)
 WRONG = 0xFFFFFFFF  # stands for the tokens of a unit whose bytes they do not give
 ARRAYS = "doc_id bigint, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
-BLOCK = 4_000_000  # bytes of text that a task tokenises at once
+BLOCK = 1_000_000  # bytes of text that a task tokenises at once
+KNOWN, YOUNG = 400_000, 50_000  # units whose ids a worker keeps, of either tokenizer
 
 
 class _Units(_Words):
     """Ids by unit, each distinct unit encoded once a worker (as long as the table is not full)."""
 
+    most, young_most = KNOWN, YOUNG
+
     def __init__(self):
         self.reset()
 
@@ -186,8 +189,13 @@ def tokenise(docs: DataFrame, a: str, b: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, ARRAYS)
 
 
-def _span(of: str, before: Column, through: Column) -> Column:
-    return F.array_join(F.slice(of, before + 1, through - before), ",")
+def _span(ids: str, cuts: str, g: Column) -> Column:
+    """The ids of one side of group `g`, with commas; most groups have one or two, which need no slice."""
+    before, through = F.get(cuts, g), F.get(cuts, g + 1)
+    first, second = F.get(ids, before).cast("string"), F.get(ids, before + 1).cast("string")
+    # The slice is cast, not the array: what a lambda names once is put into it and would be cast anew for each group.
+    more = F.array_join(F.slice(ids, before + 1, through - before).cast("array<string>"), ",")
+    return F.when(through == before + 1, first).when(through == before + 2, F.concat(first, F.lit(","), second)).otherwise(more)
 
 
 def align(arrays: DataFrame, pieces: int) -> DataFrame:
@@ -210,18 +218,17 @@ def align(arrays: DataFrame, pieces: int) -> DataFrame:
         F.size(F.array_intersect("a_ends", "b_ends")).cast("long").alias("n_groups"), F.transform("both", step).alias("steps"),
     )
     cut = found.select(
-        "doc_id", "n_a", "n_b", "n_groups", F.col("a_ids").cast("array<string>").alias("a_ids"), F.col("b_ids").cast("array<string>").alias("b_ids"),
+        "doc_id", "n_a", "n_b", "n_groups", "a_ids", "b_ids",
         F.filter("steps", lambda x: x >= 0).cast("array<int>").alias("links"), F.filter("steps", lambda x: x < 0).alias("cuts"),
     )
 
-    def spelled(g: Column) -> Column:
-        here, last = -F.get("cuts", g), -F.get("cuts", g - 1)
-        a = [F.coalesce(F.shiftright(x, 32), F.lit(0)).cast("int") for x in (last, here)]
-        b = [F.coalesce(x.bitwiseAND(F.lit(low)), F.lit(0)).cast("int") for x in (last, here)]
-        return F.concat(_span("a_ids", *a), F.lit("|"), _span("b_ids", *b))
-
+    spans = cut.withColumns({
+        "a_cuts": F.concat(F.array(F.lit(0)), F.transform("cuts", lambda x: F.shiftright(-x, 32).cast("int"))),
+        "b_cuts": F.concat(F.array(F.lit(0)), F.transform("cuts", lambda x: (-x).bitwiseAND(F.lit(low)).cast("int"))),
+    })
+    spelled = lambda g: F.concat(_span("a_ids", "a_cuts", g), F.lit("|"), _span("b_ids", "b_cuts", g))
     groups = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n_groups").cast("int") - 1), spelled), ";")
-    return cut.select(
+    return spans.select(
         "doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"),
         F.when(F.col("n_groups") > 0, F.sha2(groups, 256)).otherwise("").alias("groups_sha256"), "links",
     )

@@ -44,6 +44,8 @@ MARK = "\x01"  # a control character: alone it is one id
 class _Words:
     """Ids by word. Words are named by 128-bit hashes, in sorted arrays: a large one and a young one."""
 
+    most, young_most = WORDS, YOUNG
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -59,7 +61,7 @@ class _Words:
 
     def places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Place and number of ids of each word; unknown words are learnt."""
-        if len(self.old[0]) + len(self.young[0]) > WORDS:
+        if len(self.old[0]) + len(self.young[0]) > self.most:
             self.reset()
         digest = xxhash.xxh3_128_digest
         names = np.frombuffer(b"".join(map(digest, words)), np.uint64).reshape(-1, 2)
@@ -73,7 +75,7 @@ class _Words:
         if len(new):
             first[new], size[new] = self._learn([words[i] for i in new.tolist()])
             self.young = self._merge(self.young, (names[new, 0], names[new, 1], first[new], size[new]))
-            if len(self.young[0]) > YOUNG:
+            if len(self.young[0]) > self.young_most:
                 self.old, self.young = self._merge(self.old, self.young), tuple(x[:0] for x in self.young)
         return first, size
 
