@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.functions import text as T
+from strataweave.operators import stars
 from strataweave.session import materialize
 
 
@@ -48,32 +50,24 @@ def name_similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+def _similar(a: str, b: str, least: float) -> float:
+    """`name_similarity` of forms, with the matcher's bound first."""
+    if a and b and a != b and (a in b or b in a):
+        return 0.9
+    return stars.ratio(a, b, least)
+
+
 def star_groups(names: DataFrame, least: float = 0.85) -> DataFrame:
     """Greedy star clustering of names per run and bucket: run_id, bucket, name, ord, star (ord of the first similar one before it).
 
-    A name joins the first earlier representative that is similar enough, else it represents itself.
-    Equal names collapse before, so a task holds the distinct names of one bucket of one run.
+    A name joins the first earlier representative that is similar enough, else it represents itself. Equal names collapse before. Pairs that
+    may be similar are found by grams, and the representatives by rounds of joins (see `stars`); no bucket is ever in one task.
     """
-    distinct = names.groupBy("run_id", "bucket", "name").agg(F.min("ord").alias("ord"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord", kind="stable")
-        stars: list[tuple[str, int]] = []
-        out = []
-        for name, at in zip(frame["name"], frame["ord"], strict=True):
-            star = next((o for s, o in stars if _may_match(s, name, least) and name_similarity(s, name) >= least), at)
-            if star == at:
-                stars.append((name, at))
-            out.append(star)
-        return frame.assign(star=out)[["run_id", "bucket", "name", "ord", "star"]]
-
-    return distinct.groupBy("run_id", "bucket").applyInPandas(run, "run_id string, bucket string, name string, ord bigint, star bigint")
-
-
-def _may_match(a: str, b: str, least: float) -> bool:
-    """Whether lengths allow the similarity: the ratio is at most 2 min / (sum)."""
-    m, n = len(a), len(b)
-    return m + n == 0 or 2 * min(m, n) >= least * (m + n) or least <= 0.9
+    rows = stars.numbered(names, F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), r"(?U)^\s+|\s+$", ""), ["run_id", "bucket"])
+    pairs = stars.candidates(rows, least, contained=least <= 0.9)
+    edges = materialize(stars.scored(pairs, _similar, least), "similar")
+    star = stars.from_stars(edges).join(rows.select(F.col("id").alias("src"), F.col("at").alias("star_at")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("star_at").alias("star_at"))
+    return rows.join(star, "id", "left").select("run_id", "bucket", "name", "ord", F.coalesce("star_at.ord", "ord").alias("star"))
 
 
 def duplicate_rate(names: DataFrame, groups: DataFrame) -> DataFrame:
@@ -84,26 +78,17 @@ def duplicate_rate(names: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def register(names: DataFrame, least: float = 0.8) -> DataFrame:
-    """Ordered registration: each name takes the best canonical one before it of at least `least`, the earliest on ties, else becomes one."""
-    distinct = names.groupBy("run_id", "kind", "name").agg(F.min("ord").alias("ord"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord", kind="stable")
-        known: list[tuple[str, str]] = []
-        out = []
-        for name, form in zip(frame["name"], frame["form"], strict=True):
-            best, score = name, 0.0
-            for canonical, other in known:
-                s = 1.0 if form == other else SequenceMatcher(None, form, other).ratio()
-                if s >= least and s > score:
-                    best, score = canonical, s
-            if not score:
-                known.append((name, form))
-            out.append(best)
-        return frame.assign(canonical=out)[["run_id", "kind", "name", "ord", "canonical"]]
-
-    formed = distinct.withColumn("form", T.registry_form(F.col("name")))
-    return formed.groupBy("run_id", "kind").applyInPandas(run, "run_id string, kind string, name string, ord bigint, canonical string")
+    """Ordered registration: each name takes the best canonical one before it of at least `least`, the earliest on ties, else becomes one.
+
+    The canonical ones are the stars of the same kind of clustering, so they come from rounds of joins; a name then takes the best of its edges.
+    """
+    rows = stars.numbered(names, F.coalesce(T.registry_form(F.col("name")), F.lit("")), ["run_id", "kind"])
+    pairs = stars.candidates(rows, least)
+    # The matcher takes the new form first.
+    edges = materialize(stars.scored(pairs, lambda a, b, t: stars.ratio(b, a, t), least), "similar")
+    known = rows.select(F.col("id").alias("src"), F.col("at.ord").alias("known_ord"), F.col("name").alias("known"))
+    best = stars.from_stars(edges).join(known, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((-F.col("score")).alias("s"), "known_ord", "known")).alias("best"))
+    return rows.join(best, "id", "left").select("run_id", "kind", "name", "ord", F.coalesce("best.known", "name").alias("canonical"))
 
 
 def registry_statistics(registered: DataFrame) -> DataFrame:
@@ -196,31 +181,26 @@ def similarity_groups(names: DataFrame, vectors: DataFrame, least: float = SIMIL
     """Greedy stars of names by cosine: run_id, canonical (the star), names, keep (the longest name, first on ties).
 
     In order, a name that no star has taken takes the later ones that are similar enough and may merge with it.
-    names: run_id, name, ord; vectors: name, v. A task holds the distinct names of one run, and compares one with the rest at a time.
+    names: run_id, name, ord; vectors: name, v (one a name). Blocks of vectors meet in tasks, and stars come from rounds of joins; no run is in one task but as its result.
     """
-    distinct = names.groupBy("run_id", "name").agg(F.min("ord").alias("ord")).join(vectors, "name")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord", kind="stable")
-        known = frame["name"].tolist()
-        unit = np.stack(frame["v"].to_numpy()).astype(np.float64)
-        unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
-        star = np.full(len(known), -1)
-        for i, name in enumerate(known):
-            if star[i] >= 0:
-                continue
-            star[i] = i
-            near = unit[i + 1 :] @ unit[i]
-            for j in (np.flatnonzero((near >= least) & (star[i + 1 :] < 0)) + i + 1).tolist():
-                if _may_merge(name, known[j], float(near[j - i - 1])):
-                    star[j] = i
-        return frame.assign(canonical=[known[i] for i in star])[["run_id", "canonical", "name", "ord"]]
-
-    rows = distinct.groupBy("run_id").applyInPandas(run, "run_id string, canonical string, name string, ord bigint")
-    groups = rows.groupBy("run_id", "canonical").agg(
+    rows = stars.numbered(names, F.col("name"), ["run_id"])
+    placed = rows.join(vectors, "name").select("id", "at", "cluster", "v")
+    near = stars.near_vectors(placed, least)
+    name = lambda end, to: rows.select(F.col("id").alias(end), F.col("text").alias(to))
+    pairs = near.join(name("src", "a"), "src").join(name("dst", "b"), "dst")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.loc[[_may_merge(a, b, s) for a, b, s in zip(frame["a"], frame["b"], frame["score"], strict=True)], ["src", "dst"]]
+
+    edges = materialize(pairs.mapInPandas(run, "src bigint, dst bigint"), "similar")
+    star = stars.from_stars(edges).join(rows.select(F.col("id").alias("src"), "at"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("at").alias("star_at"))
+    member = star.join(rows, "id").select("run_id", F.col("star_at").alias("star"), "name", "ord")
+    heads = member.select("run_id", "star").distinct().select("run_id", "star", F.col("star.name").alias("name"), F.col("star.ord").alias("ord"))
+    each = member.unionByName(heads)
+    return each.groupBy("run_id", "star").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("names"), F.max_by("name", F.struct(F.length("name"), -F.col("ord"))).alias("keep")
-    )
-    return groups.filter(F.size("names") > 1)
+    ).select("run_id", F.col("star.name").alias("canonical"), "names", "keep")
 
 
 def candidate_groups(names: DataFrame, vectors: DataFrame | None = None, least: float = SIMILAR) -> DataFrame:
