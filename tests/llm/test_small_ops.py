@@ -792,3 +792,19 @@ def test_a_table_beside_the_best_container_stays():
 )
 def test_boilerplate_inside_an_article_goes(part):
     assert "UNIQUE" not in html_text.main_text(f"<body><article><h1>T</h1>{PROSE}{part}{PROSE}</article></body>")
+
+
+def _histogram(rng, kind):
+    if kind == "uniform":
+        return Counter(rng.randint(1, 4095) for _ in range(800))
+    if kind == "middle":
+        return Counter(rng.randint(900, 2100) for _ in range(500))
+    return Counter(min(4095, max(1, int(rng.lognormvariate(6, 1)))) for _ in range(1500))
+
+
+@pytest.mark.parametrize("seed", range(9))
+def test_packing_never_needs_more_bins_than_best_fit_decreasing(seed):
+    histogram = _histogram(random.Random(seed), ("uniform", "middle", "lognormal")[seed % 3])
+    out = packing.pack_histogram(histogram, 4096)
+    assert _lengths(out) == histogram and all(sum(p) <= 4096 for p in out)
+    assert out.total() <= packing.best_fit(histogram, 4096, lambda length: -length).total()
