@@ -8,8 +8,6 @@ edges: run_id, u, v, confidence; u < v, one row per undirected pair
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -274,43 +272,6 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int | None = None, damp
     return rank.select("run_id", "node", "rank")
 
 
-def betweenness(edges: DataFrame, most_nodes: int = 300) -> DataFrame:
-    """Shortest-path betweenness of graphs of at most `most_nodes` nodes (run_id, node, centrality).
-
-    Larger graphs are left out, so what one task holds is bounded.
-    """
-    size = ends(edges).select("run_id", "node").distinct().groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most_nodes)
-    small = edges.join(size.select("run_id"), "run_id", "left_semi")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, set[str]] = {}
-        for u, v in zip(frame["u"], frame["v"], strict=True):
-            near.setdefault(u, set()).add(v)
-            near.setdefault(v, set()).add(u)
-        value = dict.fromkeys(sorted(near), 0.0)
-        for start in value:
-            paths, level, order, before = {start: 1.0}, {start: 0}, [start], {start: []}
-            for x in order:  # grows while it is read: breadth first
-                for y in sorted(near[x]):
-                    if y not in level:
-                        level[y], paths[y], before[y] = level[x] + 1, 0.0, []
-                        order.append(y)
-                    if level[y] == level[x] + 1:
-                        paths[y] += paths[x]
-                        before[y].append(x)
-            share = dict.fromkeys(order, 0.0)
-            for y in reversed(order):
-                for x in before[y]:
-                    share[x] += paths[x] / paths[y] * (1 + share[y])
-                if y != start:
-                    value[y] += share[y]
-        n = len(value)
-        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-        return pd.DataFrame({"run_id": frame["run_id"].iloc[0], "node": list(value), "centrality": [x * scale for x in value.values()]})
-
-    return small.groupBy("run_id").applyInPandas(run, "run_id string, node string, centrality double")
-
-
 def redundant_shortcuts(connections: DataFrame) -> DataFrame:
     """Connections without the action field - measure ones that a project between makes redundant."""
     kind = lambda c: type_of_id(F.col(c))

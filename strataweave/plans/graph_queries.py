@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.operators import graph
+from strataweave.operators import graph, paths
 from strataweave.plans import adapters
 from strataweave.plans.adapters import GRAPH
 from strataweave.plans.registry import query
@@ -130,12 +130,53 @@ def pagerank_by_type(spark, sf_dir):
     return rank.groupBy("type").agg(F.round(F.sum("rank"), 6).alias("rank"), F.round(F.max("rank"), 6).alias("most"))
 
 
-@query()
+@query("""WITH n AS (SELECT n_regionkey AS r, concat('proj_', n_nationkey) AS p, count(*) OVER (PARTITION BY n_regionkey) AS k FROM nation)
+SELECT concat('r', r) AS run_id, concat('af_', r) AS node, CASE WHEN max(k) > 1 THEN 1.0 ELSE 0.0 END AS centrality FROM n GROUP BY r UNION ALL SELECT concat('r', r), p, 0.0 FROM n""")
 def betweenness_small(spark, sf_dir):
-    """Regions and nations form small graphs of their own: one run per region."""
+    """Regions and nations form small graphs of their own: one run per region. All paths between nations lead over the region."""
     edges = adapters.sql(spark, sf_dir, """SELECT concat('r', n_regionkey) AS run_id, concat('af_', n_regionkey) AS u, concat('proj_', n_nationkey) AS v,
         CAST(0.9 AS DOUBLE) AS confidence FROM nation""")
-    return graph.betweenness(edges).select("run_id", "node", F.round("centrality", 6).alias("centrality"))
+    return paths.betweenness(edges).select("run_id", "node", F.round("centrality", 6).alias("centrality"))
+
+
+#: Suppliers between two nations each, and nations in their regions: a graph with cycles in which all pairs of nodes are counted.
+SUPPLY = """SELECT concat('af_', CAST(n_regionkey AS STRING)) AS u, concat('proj_', CAST(n_nationkey AS STRING)) AS v FROM nation
+UNION SELECT concat('proj_', CAST(s_nationkey AS STRING)), concat('sup_', CAST(s_suppkey AS STRING)) FROM supplier
+UNION SELECT concat('proj_', CAST(s_suppkey % 25 AS STRING)), concat('sup_', CAST(s_suppkey AS STRING)) FROM supplier"""
+ALL_PAIRS = f"""WITH RECURSIVE e AS ({SUPPLY}), ends AS (SELECT u AS node, v AS other FROM e UNION SELECT v, u FROM e), nodes AS (SELECT DISTINCT node FROM ends),
+walk AS (SELECT node AS start, node, 0 AS distance FROM nodes UNION SELECT start, other, distance + 1 FROM walk JOIN ends USING (node) WHERE distance < 12),
+dist AS (SELECT start, node, min(distance) AS distance FROM walk GROUP BY start, node),
+big AS (SELECT start AS node, min(node) AS component FROM dist GROUP BY start),
+largest AS (SELECT node FROM big WHERE component = (SELECT component FROM big GROUP BY component ORDER BY count(*) DESC, component LIMIT 1))"""
+
+
+def _supply(spark, sf_dir):
+    edges = materialize(adapters.sql(spark, sf_dir, f"SELECT 'run' AS run_id, * FROM ({SUPPLY})"), "edges")
+    return graph.ends(edges).select("run_id", "node").distinct(), edges
+
+
+@query(f"""{ALL_PAIRS}, d AS (SELECT d.* FROM dist d JOIN largest l ON l.node = d.start) SELECT round(avg(distance), 6) AS mean, CAST(max(distance) AS INT) AS diameter, CAST(min(distance) AS INT) AS min_path,
+count(*) AS pairs, (SELECT CAST(min(e) AS INT) FROM (SELECT max(distance) AS e FROM d GROUP BY start)) AS radius FROM d WHERE distance > 0""")
+def path_summary_all(spark, sf_dir):
+    """Distances between all nodes of the largest component."""
+    nodes, edges = _supply(spark, sf_dir)
+    kept = materialize(paths.largest_component(graph.components(nodes, edges)), "largest")
+    near = edges.join(kept.withColumnRenamed("node", "u"), ["run_id", "u"], "left_semi")
+    return paths.path_lengths(paths.reach(kept, near)).drop("run_id")
+
+
+@query(f"""{ALL_PAIRS} SELECT start AS node, round(CASE WHEN sum(distance) > 0 THEN (count(*) - 1) / sum(distance) * (count(*) - 1) / ((SELECT count(*) FROM nodes) - 1) ELSE 0 END, 6) AS centrality FROM dist GROUP BY start""")
+def closeness_all(spark, sf_dir):
+    return paths.closeness(paths.reach(*_supply(spark, sf_dir))).select("node", F.round("centrality", 6).alias("centrality"))
+
+
+@query(f"""{ALL_PAIRS}, trail AS (SELECT node AS start, node, 0 AS d, CAST([] AS VARCHAR[]) AS mids FROM nodes
+  UNION ALL SELECT t.start, e.other, t.d + 1, CASE WHEN t.d = 0 THEN t.mids ELSE list_append(t.mids, t.node) END FROM trail t JOIN ends e ON e.node = t.node JOIN dist x ON x.start = t.start AND x.node = e.other AND x.distance = t.d + 1),
+many AS (SELECT start, node, count(*) AS n FROM trail WHERE d > 0 GROUP BY start, node),
+part AS (SELECT mid, sum(1.0::DOUBLE / n) AS share FROM (SELECT start, node, unnest(mids) AS mid FROM trail WHERE d > 1) JOIN many USING (start, node) GROUP BY mid)
+SELECT node, round(coalesce(share, 0) / ((SELECT count(*) FROM nodes) - 1) / ((SELECT count(*) FROM nodes) - 2), 6) AS centrality FROM nodes LEFT JOIN part ON mid = node""")
+def betweenness_all(spark, sf_dir):
+    return paths.betweenness(_supply(spark, sf_dir)[1]).select("node", F.round("centrality", 6).alias("centrality"))
 
 
 @query(f"WITH {GRAPH} SELECT round(avg(CASE WHEN degree > 0 THEN 1 ELSE 0 END), 6) AS coverage FROM degrees WHERE type = 'action_field'")

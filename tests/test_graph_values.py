@@ -1,12 +1,13 @@
 """Graph measures held against values worked out by hand, and small helpers."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from strataweave.functions import text as T
-from strataweave.operators import content, graph, oplog
+from strataweave.operators import content, graph, oplog, paths
 from strataweave.session import scratch_root
 from strataweave.sources import pages, sinks
 
@@ -28,7 +29,7 @@ def test_paths_and_centralities(spark, star):
     assert near == {"proj_1": 1.0, "af_1": 0.6, "msr_1": 0.6, "ind_1": 0.6}
     d = graph.centrality_summary(graph.degree_centrality(graph.degrees(nodes, edges))).first()
     assert (d["mean"], d.most, d.least, d.std) == (0.5, 1.0, 0.333333, 0.288675)
-    between = {r.node: r.centrality for r in graph.betweenness(edges).collect()}
+    between = {r.node: r.centrality for r in paths.betweenness(edges).collect()}
     assert between == {"proj_1": 1.0, "af_1": 0.0, "msr_1": 0.0, "ind_1": 0.0}
     rank = {r.node: round(r["rank"], 4) for r in graph.pagerank(nodes, edges).collect()}
     assert rank == {"proj_1": 0.4797, "af_1": 0.1734, "msr_1": 0.1734, "ind_1": 0.1734}
@@ -37,7 +38,7 @@ def test_paths_and_centralities(spark, star):
 
 def test_betweenness_of_a_path(spark):
     edges = spark.createDataFrame([("r", a, b) for a, b in ("ab", "bc", "cd", "de")], "run_id string, u string, v string")
-    got = {r.node: round(r.centrality, 6) for r in graph.betweenness(edges).collect()}
+    got = {r.node: round(r.centrality, 6) for r in paths.betweenness(edges).collect()}
     assert got == {"a": 0.0, "b": 0.5, "c": 0.666667, "d": 0.5, "e": 0.0}
 
 
@@ -97,3 +98,56 @@ def test_a_cluster_needs_a_shared_folder(spark):
     with pytest.raises(RuntimeError):
         scratch_root(Cluster)
     assert spark.sparkContext.applicationId in scratch_root(spark)
+
+
+def plain_paths(edges):
+    """Distances from every node, and Brandes' betweenness, of one graph."""
+    near = {}
+    for u, v in edges:
+        if u != v:
+            near.setdefault(u, set()).add(v)
+            near.setdefault(v, set()).add(u)
+    value, far = dict.fromkeys(near, 0.0), {}
+    for start in near:
+        count, level, order = {start: 1}, {start: 0}, [start]
+        for x in order:
+            for y in near[x]:
+                if y not in level:
+                    level[y], count[y] = level[x] + 1, 0
+                    order.append(y)
+                if level[y] == level[x] + 1:
+                    count[y] += count[x]
+        far[start] = len(level), sum(level.values()), max(level.values())
+        share = dict.fromkeys(order, 0.0)
+        for y in reversed(order):
+            for x in near[y]:
+                if level[x] == level[y] - 1:
+                    share[x] += count[x] / count[y] * (1 + share[y])
+            if y != start:
+                value[y] += share[y]
+    n = len(near)
+    return far, {k: x / ((n - 1) * (n - 2) if n > 2 else 1) for k, x in value.items()}
+
+
+@pytest.mark.parametrize(("seed", "words", "pairs"), [(1, 1, 2500), (2, 2, 10**7)])
+def test_paths_of_random_graphs(spark, seed, words, pairs):
+    rng = random.Random(seed)
+    graphs = {"r": [tuple(rng.sample([f"n{i}" for i in range(70)], 2)) for _ in range(130)] + [("n1", "n1"), ("x", "y")], "s": [(f"p{i}", f"p{i + 1}") for i in range(4)]}
+    rows = [(run, *sorted(e)) for run, edges in graphs.items() for e in edges]
+    edges = spark.createDataFrame(sorted(set(rows)), "run_id string, u string, v string")
+    nodes = graph.ends(edges).select("run_id", "node").unionByName(spark.createDataFrame([("s", "alone")], "run_id string, node string")).distinct()
+    reached = {(r.run_id, r.node): (r.reached, r.far, r.ecc) for r in paths.reach(nodes, edges, words=words).collect()}
+    between = {(r.run_id, r.node): r.centrality for r in paths.betweenness(edges.where("u <> v"), pairs=pairs).collect()}
+    assert reached.pop(("s", "alone")) == (1, 0, 0)
+    for run, own in graphs.items():
+        far, value = plain_paths(own)
+        assert {k: v for (r, k), v in reached.items() if r == run} == far
+        mine = {k: v for (r, k), v in between.items() if r == run}
+        assert mine.keys() == value.keys() and all(abs(mine[k] - value[k]) < 1e-9 for k in value)
+
+
+def test_paths_of_nothing(spark):
+    edges = spark.createDataFrame([], "run_id string, u string, v string")
+    nodes = spark.createDataFrame([], "run_id string, node string")
+    assert paths.reach(nodes, edges).collect() == [] and paths.betweenness(edges).collect() == []
+    assert paths.path_lengths(paths.reach(nodes, edges)).collect() == []
