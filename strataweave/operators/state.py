@@ -34,33 +34,76 @@ NO_ENTITIES = "No entities yet - use CREATE operations"
 FIRST_CHUNK = "ERSTER CHUNK: Noch keine Entities extrahiert. Beginnen Sie mit CREATE-Operationen."
 
 
+# What a result says of an operation or of one of its connections.
+NO_CONTENT, NO_ID, NO_CONNECTIONS = "CREATE operation requires content", "UPDATE operation requires entity_id", "CONNECT operation requires connections"
+NOT_FOUND, UNKNOWN = "Entity {} not found", "Unknown operation type: {}"
+NO_END, TEMPORARY_SOURCE, TEMPORARY_TARGET = "missing ID", "temporary source ID", "temporary target ID"
+NO_SOURCE, NO_TARGET, REPEATED = "source not found", "target not found", "duplicate connection"
+OUT_OF_RANGE = "Failed to create connections: confidence {} is not between 0 and 1"
+PARTLY, FAILED, FAILED_ONE = "Partial success: {}/{} connections failed", "{} failed connections: {}", "{} -> {} ({})"
+SENTENCE_ENDS = (".", "!", "?", ":", ";")
+CITED = frozenset(["measure", "indicator"])  # kinds of entities that keep sources
+
+Result = tuple[str | None, list[str]]  # what is wrong, and the ids that were touched
+
+
+def _sentences(old: str, new: str) -> str:
+    parts = [x.strip() for x in (old, new) if x.strip()]
+    return old if new in old else (" " if parts[0].endswith(SENTENCE_ENDS) else ". ").join(parts) if parts else ""
+
+
+def _unseen(old: list, new: list) -> list:
+    return old + [x for i, x in enumerate(new) if x not in old and x not in new[:i]]
+
+
+#: How two values of one type become one; values of any other types: the longer one, the old one on ties.
+MERGES: dict[type, Callable[[Any, Any], Any]] = {str: _sentences, list: _unseen, dict: lambda old, new: old | new}
+
+
 def merge_value(old: Any, new: Any) -> Any:
     """Two values of one field: strings join as sentences, lists take unseen items, dicts are updated, else the longer one stays."""
-    if isinstance(old, str) and isinstance(new, str):
-        if new in old:
-            return old
-        a, b = old.strip(), new.strip()
-        if not a or not b:
-            return a or b
-        return f"{a} {b}" if a[-1] in ".!?:;" else f"{a}. {b}"
-    if isinstance(old, list) and isinstance(new, list):
-        out = list(old)
-        for item in new:
-            if item not in out:
-                out.append(item)
-        return out
-    if isinstance(old, dict) and isinstance(new, dict):
-        return {**old, **new}
-    return new if len(str(new)) > len(str(old)) else old
+    for kind, merge in MERGES.items():
+        if isinstance(old, kind) and isinstance(new, kind):
+            return merge(old, new)
+    return max(old, new, key=lambda x: len(str(x)))
 
 
 @dataclass
 class Entity:
     kind: str
     content: dict[str, Any]
-    links: list[tuple[str, float]] = field(default_factory=list)
+    links: dict[str, float] = field(default_factory=dict)  # confidence by target, in the order in which they came
     sources: list[tuple[int, str | None]] = field(default_factory=list)
 
+    def learn(self, content: dict[str, Any]) -> None:
+        self.content |= {k: merge_value(self.content[k], v) if k in self.content else v for k, v in content.items()}
+
+    def cite(self, pages: list | None, quote: str | None) -> None:
+        """Pages with a quote join the sources of a measure or an indicator, but for those it has: places are equal if page and stripped quote are."""
+        if self.kind in CITED and pages and quote:
+            places = {(page, text and text.strip()) for page, text in self.sources}
+            self.sources += [(page, quote) for page in map(int, pages) if (page, quote.strip()) not in places]
+
+
+#: The first rule that holds for a connection (state, from, to) is why it fails; none: it is made.
+CONNECTION_RULES: tuple[tuple[str, Callable[[dict[str, Entity], str, str], bool]], ...] = (
+    (NO_END, lambda state, a, b: not (a and b)),
+    (TEMPORARY_SOURCE, lambda state, a, b: a.lower().startswith(TEMPORARY)),
+    (TEMPORARY_TARGET, lambda state, a, b: b.lower().startswith(TEMPORARY)),
+    (NO_SOURCE, lambda state, a, b: a not in state),
+    (NO_TARGET, lambda state, a, b: b not in state),
+    (REPEATED, lambda state, a, b: b in state[a].links),
+)
+#: The first rule that holds for an operation (state, operation) is why it is not to be tried.
+OPERATION_RULES: tuple[tuple[str, Callable[[dict[str, Entity], dict], bool]], ...] = (
+    ("unknown operation", lambda state, op: op.get("operation") not in ORDER),
+    ("no content", lambda state, op: op["operation"] == "CREATE" and not op.get("content")),
+    ("no entity id", lambda state, op: op["operation"] == "UPDATE" and not op.get("entity_id")),
+    ("no connections", lambda state, op: op["operation"] == "CONNECT" and not op.get("connections")),
+    ("connection without an end", lambda state, op: op["operation"] == "CONNECT" and not all(c.get("from_id") and c.get("to_id") for c in op["connections"])),
+    ("unknown entity", lambda state, op: op["operation"] != "CREATE" and bool(op.get("entity_id")) and op["entity_id"] not in state),
+)
+
 
 class Fold:
     """One source's state, and what each operation came to."""
@@ -74,99 +117,61 @@ class Fold:
 
     # ---- one operation ---------------------------------------------------------------------
 
-    def _create(self, op: dict) -> tuple[str | None, list[str]]:
-        if not op.get("content"):
-            return "CREATE operation requires content", []
-        prefix = PREFIX.get(op.get("entity_type"), "ent")
+    def _next_id(self, kind: str) -> str:
+        prefix = PREFIX.get(kind, "ent")
         self.top[prefix] = self.top.get(prefix, 0) + 1
-        entity = Entity(op.get("entity_type"), dict(op["content"]))
-        self.entities[f"{prefix}_{self.top[prefix]}"] = entity
+        return f"{prefix}_{self.top[prefix]}"
+
+    def _create(self, op: dict) -> Result:
+        if not op.get("content"):
+            return NO_CONTENT, []
+        kind = op.get("entity_type")
+        new = self._next_id(kind)
+        self.entities[new] = Entity(kind, dict(op["content"]))
+        self.entities[new].cite(op.get("source_pages"), op.get("source_quote"))
         self.made += 1
-        self._attribute(entity, op)
-        return None, [f"{prefix}_{self.top[prefix]}"]
-
-    def _attribute(self, entity: Entity, op: dict) -> None:
-        """Sources of measures and indicators, those that are there already (page, stripped quote) left out."""
-        if entity.kind not in ("measure", "indicator") or not op.get("source_pages") or not op.get("source_quote"):
-            return
-        known = {(p, q.strip() if q else None) for p, q in entity.sources}
-        quote = op["source_quote"]
-        entity.sources += [(int(p), quote) for p in op["source_pages"] if (int(p), quote.strip()) not in known]
-
-    def _update(self, op: dict) -> tuple[str | None, list[str]]:
+        return None, [new]
+
+    def _update(self, op: dict) -> Result:
         name = op.get("entity_id")
-        if not name:
-            return "UPDATE operation requires entity_id", []
-        entity = self.entities.get(name)
-        if entity is None:
-            return f"Entity {name} not found", []
-        for key, value in (op.get("content") or {}).items():
-            entity.content[key] = merge_value(entity.content[key], value) if key in entity.content else value
-        self._attribute(entity, op)
-        return None, [name]
-
-    def _connect(self, op: dict) -> tuple[str | None, list[str]]:
+        if name and name in self.entities:
+            self.entities[name].learn(op.get("content") or {})
+            self.entities[name].cite(op.get("source_pages"), op.get("source_quote"))
+            return None, [name]
+        return (NOT_FOUND.format(name) if name else NO_ID), []
+
+    def _connect(self, op: dict) -> Result:
+        """Connections one after the other, as an earlier one may make a later one a repetition."""
         items = op.get("connections") or []
-        if not items:
-            return "CONNECT operation requires connections", []
-        failed, touched = [], []
+        made: list[str] = []
+        failed: list[str] = []
         for item in items:
             a, b = item.get("from_id"), item.get("to_id")
-            own = item.get("confidence")
-            confidence = own if own is not None else op.get("confidence") if op.get("confidence") is not None else CONFIDENCE
-            reason = None
-            if not a or not b:
-                reason = "missing ID"
-            elif a.lower().startswith(TEMPORARY):
-                reason = "temporary source ID"
-            elif b.lower().startswith(TEMPORARY):
-                reason = "temporary target ID"
-            elif a not in self.entities:
-                reason = "source not found"
-            elif b not in self.entities:
-                reason = "target not found"
-            elif any(t == b for t, _ in self.entities[a].links):
-                reason = "duplicate connection"
-            elif not 0 <= confidence <= 1:  # ends the operation; what it linked before stays
-                return f"Failed to create connections: confidence {confidence} is not between 0 and 1", touched
-            if reason:
-                failed.append((a or "null", b or "null", reason))
-            else:
-                self.entities[a].links.append((b, float(confidence)))
-                touched += [a, b]
-        if not failed:
-            return None, touched
-        if len(failed) < len(items):
-            return f"Partial success: {len(failed)}/{len(items)} connections failed", touched
-        return f"{len(failed)} failed connections: " + "; ".join(f"{a} -> {b} ({why})" for a, b, why in failed), touched
+            why = next((reason for reason, holds in CONNECTION_RULES if holds(self.entities, a, b)), None)
+            if why:
+                failed.append(FAILED_ONE.format(a or "null", b or "null", why))
+                continue
+            confidence = next(c for c in (item.get("confidence"), op.get("confidence"), CONFIDENCE) if c is not None)
+            if not 0 <= confidence <= 1:  # ends the operation; what it linked before stays
+                return OUT_OF_RANGE.format(confidence), made
+            self.entities[a].links[b] = float(confidence)
+            made += [a, b]
+        counts = len(failed), len(items)
+        error = NO_CONNECTIONS if not items else None if not failed else PARTLY.format(*counts) if len(failed) < len(items) else FAILED.format(len(failed), "; ".join(failed))
+        return error, made
 
     # ---- batches ---------------------------------------------------------------------------
 
     def problem(self, op: dict) -> str | None:
         """Why an operation is not to be tried on the state as it is."""
-        kind = op.get("operation")
-        if kind not in ORDER:
-            return "unknown operation"
-        if kind == "CREATE" and not op.get("content"):
-            return "no content"
-        if kind == "UPDATE" and not op.get("entity_id"):
-            return "no entity id"
-        if kind == "CONNECT":
-            items = op.get("connections")
-            if not items:
-                return "no connections"
-            if any(not c.get("from_id") or not c.get("to_id") for c in items):
-                return "connection without an end"
-        if kind != "CREATE" and op.get("entity_id") and op["entity_id"] not in self.entities:
-            return "unknown entity"
-        return None
+        return next((reason for reason, holds in OPERATION_RULES if holds(self.entities, op)), None)
 
     def apply(self, ops: list[dict], chunk: int, mode: str = "operations") -> int:
         """Apply a batch; the number of operations that succeeded."""
         good = 0
         for op in sorted(ops, key=lambda o: ORDER.get(o.get("operation"), 3)):
             step = {"CREATE": self._create, "UPDATE": self._update, "CONNECT": self._connect}.get(op.get("operation"))
-            error, touched = step(op) if step else (f"Unknown operation type: {op.get('operation')}", [])
+            error, touched = step(op) if step else (UNKNOWN.format(op.get("operation")), [])
             success = error is None or error.startswith("Partial success")
             good += success
             new = touched[0] if success and op.get("operation") == "CREATE" else None
@@ -194,7 +199,7 @@ class Fold:
             if number.isdigit():
                 self.top[prefix] = max(self.top.get(prefix, 0), int(number))
         elif kind == "connection" and id_ in self.entities:
-            self.entities[id_].links.append((payload["to_id"], payload["confidence"]))
+            self.entities[id_].links.setdefault(payload["to_id"], payload["confidence"])
         elif kind == "source" and id_ in self.entities:
             self.entities[id_].sources.append((payload["page_number"], payload["quote"]))
 
@@ -202,7 +207,7 @@ class Fold:
         dump = lambda x: json.dumps(x, ensure_ascii=False)
         for n, (id_, e) in enumerate(self.entities.items()):
             yield self.source, "entity", id_, n, dump({"entity_type": e.kind, "content": e.content})
-            for i, (to, confidence) in enumerate(e.links):
+            for i, (to, confidence) in enumerate(e.links.items()):
                 yield self.source, "connection", id_, i, dump({"to_id": to, "confidence": confidence})
             for i, (page, quote) in enumerate(e.sources):
                 yield self.source, "source", id_, i, dump({"page_number": page, "quote": quote})
@@ -226,7 +231,7 @@ class Fold:
         """The edges from action fields to projects and from projects to measures and indicators, as a prompt lists them."""
         lines = []
         for kind, word, ends in (("action_field", "ACTION FIELD", ("proj_",)), ("project", "PROJECT", ("msr_", "ind_"))):
-            own = [(i, [f"{t} ({c:.2f})" for t, c in e.links if t.startswith(ends)]) for i, e in self.entities.items() if e.kind == kind]
+            own = [(i, [f"{t} ({c:.2f})" for t, c in e.links.items() if t.startswith(ends)]) for i, e in self.entities.items() if e.kind == kind]
             own = [f"  {i} → {', '.join(ts)}" for i, ts in own if ts]
             lines += [f"- {word}:", *own] if own else []
         return "\n".join(["EXISTING CONNECTIONS", *lines]) if lines else ""
