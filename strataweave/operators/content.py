@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,12 +69,12 @@ def near_pairs(forms: DataFrame, above: float = 0.9) -> DataFrame:
 
 
 def repetition_rate(forms: DataFrame, above: float = 0.9) -> DataFrame:
-    """Share of distinct texts that are repeated or nearly so."""
+    """Share of distinct texts that are repeated or nearly so. Texts are grouped and joined by their digests."""
     norm = forms.filter(F.length("norm") > 10)
-    counts = norm.groupBy("run_id", "norm").agg(F.count(F.lit(1)).alias("n"))
-    near = near_pairs(counts, above)
-    ends = near.select("run_id", F.col("a").alias("norm")).union(near.select("run_id", "b")).distinct().withColumn("near", F.lit(True))
-    both = counts.join(ends, ["run_id", "norm"], "left")
+    counts = norm.groupBy("run_id", F.md5("norm").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+    near = near_pairs(norm.select("run_id", "norm"), above)
+    ends = near.select("run_id", F.md5("a").alias("digest")).union(near.select("run_id", F.md5("b"))).distinct().withColumn("near", F.lit(True))
+    both = counts.join(ends, ["run_id", "digest"], "left")
     dup = (F.col("n") > 1) | F.coalesce("near", F.lit(False))
     return both.groupBy("run_id").agg(F.count_if(dup).alias("duplicated"), F.count(F.lit(1)).alias("distinct_texts"), F.round(F.avg(dup.cast("int")), 6).alias("rate"))
 
@@ -166,14 +169,61 @@ def headers_footers(pages: DataFrame, share: float = 0.3, floor: int = 0) -> Dat
     return found.join(size, "source_id").filter(F.col("n") >= least).select("source_id", "place", "pattern", "n")
 
 
-def without_noise(pages: DataFrame, patterns: DataFrame, least: int = 100) -> DataFrame:
-    """Pages without the lines that hold a header or footer or are bare page numbers; a page that would keep less than `least` characters stays as it is."""
-    own = patterns.groupBy("source_id").agg(F.collect_set("pattern").alias("patterns"))
-    rows = pages.join(own, "source_id", "left").withColumn("patterns", F.coalesce("patterns", F.array().cast("array<string>")))
+def _held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each page which of its lines hold a pattern of its source. A source's patterns come before its pages; one automaton finds all of them in one reading of a line."""
+    import ahocorasick
+
+    source, known, every = None, None, False
+    for frame in frames:
+        out = []
+        for own, pattern, page, text, lines in frame[["source_id", "pattern", "page_number", "text", "lines"]].itertuples(index=False):
+            if own != source:
+                source, known, every = own, ahocorasick.Automaton(), False
+            if pattern is not None:
+                every = every or not pattern  # the empty one is in every line
+                if pattern:
+                    known.add_word(pattern, True)
+                continue
+            if known.kind == ahocorasick.TRIE:
+                known.make_automaton()
+            ready = known.kind == ahocorasick.AHOCORASICK
+            out.append((own, page, text, [every or ready and next(known.iter(x), None) is not None for x in lines]))
+        yield pd.DataFrame(out, columns=["source_id", "page_number", "text", "held"])
+
+
+PAGES_A_TASK = 5000
 
-    def noise(line: Column) -> Column:
-        return F.exists("patterns", lambda p: F.contains(T.page_line(line), p)) | T.strip(line).rlike(r"^(Seite|Page|S\.)?\s*\d{1,4}(\s*(von|of|/)\s*\d{1,4})?$")
 
-    kept = F.filter(F.split("text", r"\R"), lambda line: (T.strip(line) == "") | ~noise(line))
+def held_lines(pages: DataFrame, patterns: DataFrame, cell: int = PAGES_A_TASK) -> DataFrame:
+    """Pages with `held`: for each line whether it holds a pattern of its source.
+
+    A source's pages are dealt over as many parts as `cell` asks for, and its patterns go to each part, so a long source is not one task. Time is
+    linear in the pages and, for each part, in the patterns.
+    """
+    size = pages.groupBy("source_id").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("parts"))
+    mine = size.withColumnRenamed("source_id", "size_of")
+    rows = pages.join(mine, F.col("source_id").eqNullSafe(F.col("size_of"))).select(
+        "source_id", F.pmod(F.xxhash64("page_number", "text"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("pattern"), "page_number", "text",
+        F.transform(F.split("text", r"\R"), T.page_line).alias("lines"),
+    )
+    page = pages.schema["page_number"].dataType
+    known = patterns.select("source_id", "pattern").where("pattern is not null").distinct().join(size, "source_id").select(
+        "source_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "pattern", F.lit(None).cast(page).alias("page_number"), F.lit(None).cast("string").alias("text"), F.array().cast("array<string>").alias("lines"),
+    )
+    keys = ["source_id", "part"]
+    # Patterns come first in their part, and the next part begins anew.
+    dealt = rows.unionByName(known).withColumn("own", F.concat_ws("\x01", F.coalesce("source_id", F.lit("\x02")), "part")).repartition(*keys).sortWithinPartitions(*keys, "kind")
+    found = dealt.select(F.col("own").alias("source_id"), "pattern", F.struct("source_id", "page_number").alias("page_number"), "text", "lines")
+    flat = found.select("source_id", "pattern", F.to_json("page_number").alias("page_number"), "text", "lines").mapInPandas(_held, "source_id string, page_number string, text string, held array<boolean>")
+    at = F.from_json("page_number", f"source_id string, page_number {page.simpleString()}")
+    return flat.select(at.getField("source_id").alias("source_id"), at.getField("page_number").alias("page_number"), "text", "held")
+
+
+def without_noise(pages: DataFrame, patterns: DataFrame, least: int = 100) -> DataFrame:
+    """Pages without the lines that hold a header or footer or are bare page numbers; a page that would keep less than `least` characters stays as it is. A null text stays null."""
+    rows = held_lines(pages.where("text is not null"), patterns)
+    number = lambda line: T.strip(line).rlike(r"^(Seite|Page|S\.)?\s*\d{1,4}(\s*(von|of|/)\s*\d{1,4})?$")
+    kept = F.filter(F.split("text", r"\R"), lambda line, i: (T.strip(line) == "") | ~(F.get("held", i) | number(line)))
     bare = F.array_join(F.filter(kept, lambda line: T.strip(line) != ""), "\n")
-    return rows.select("source_id", "page_number", F.when(F.length(bare) >= least, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text"))
+    out = rows.select("source_id", "page_number", F.when(F.length(bare) >= least, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text"))
+    return out.unionByName(pages.where("text is null").select("source_id", "page_number", "text"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from strataweave.config import Config
 from strataweave.functions import text as T
 from strataweave.operators import content, drift, graph, quality, resolve
+from strataweave.session import materialize
 from strataweave.sources import graphs as files
 from strataweave.sources import pages as page_files
 from strataweave.sources import sinks
@@ -171,38 +172,41 @@ def batch_table(scored: DataFrame, milliseconds: float = 0.0) -> DataFrame:
     return named.select(*sinks.LEADING)
 
 
-def _state(t: Tables, run: str) -> tuple[DataFrame, DataFrame]:
-    return t.entities.filter(F.col("run_id") == run), t.connections.filter(F.col("run_id") == run)
+def drift_between(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
+    """A row a pair of states: churn, stability score and grade, most volatile bucket, advice. The two are (entities, connections); `by`: columns that name a pair."""
+    return drift.stability(
+        drift.node_churn(before, after, by), drift.edge_churn(before[1], after[1], by), drift.coverage_delta(before, after, by), drift.confidence_drift(before[1], after[1], by),
+        drift.structural_similarity(before, after, by), by,
+    )
 
 
-def drift_between(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """One row: churn, stability score and grade, most volatile bucket, advice. The two are (entities, connections)."""
-    return drift.stability(
-        drift.node_churn(before, after), drift.edge_churn(before[1], after[1]), drift.coverage_delta(before, after), drift.confidence_drift(before[1], after[1]), drift.structural_similarity(before, after)
-    )
+PAIR = ("pair", "run_a", "run_b")
 
 
-def compare_paths(spark: SparkSession, before: str, after: str, config: Config = Config(), most: int = 100) -> DataFrame:
-    """Runs of one source on both sides: change of scores, and the drift from one to the other.
+def compare_paths(spark: SparkSession, before: str, after: str, config: Config = Config()) -> DataFrame:
+    """Runs of one source on both sides: change of scores, and the drift from one to the other, for all pairs at once.
 
-    Two single files are compared whatever their names. Drift is worked out for the first `most` pairs.
+    Two single files are compared whatever their names. The drift of all pairs comes from the same few joins, keyed by pair.
     """
     sides = [tables(files.read_graphs(spark, p, strict=True), page_files.beside(spark, _folder(p))) for p in (before, after)]
     single = all(p.endswith(".json") for p in (before, after))
     key = F.lit("run") if single else page_files.source_key(F.col("run_id"))
-    scored = [results(t, config).withColumn("key", key) for t in sides]
-    changes = quality.compare(*scored)
-    improved = scored[0].select("key", F.col("run_id").alias("run_a"), F.col("dangling").alias("dangling_a"), F.col("af_coverage").alias("coverage_a"))
-    improved = improved.join(scored[1].select("key", F.col("run_id").alias("run_b"), F.col("dangling").alias("dangling_b"), F.col("af_coverage").alias("coverage_b")), "key")
-    out = changes.join(improved, "key").orderBy("key")
-    rows = []
-    for r in out.limit(most).collect():
-        found = drift_between(_state(sides[0], r["run_a"]), _state(sides[1], r["run_b"])).first()
-        moved = {"dangling_refs_fixed": r["dangling_a"] - r["dangling_b"], "af_coverage": r["coverage_b"] - r["coverage_a"]}
-        change = f"Quality {r['trend']} (Δ{r['change']:+.1f} points), stability grade {found['grade']}"
-        rows.append((r["key"], r["run_a"], r["run_b"], r["change"], r["trend"], r["better"], r["worse"], float(moved["dangling_refs_fixed"]), float(moved["af_coverage"]), found["churn"], found["score"], found["grade"], found["volatile"], found["advice"], change))
-    schema = "key string, before string, after string, change double, trend string, better string, worse string, dangling_refs_fixed double, af_coverage double, churn double, stability double, stability_grade string, volatile string, advice string, summary string"
-    return spark.createDataFrame(rows, schema)
+    scored = [materialize(results(t, config).withColumn("key", key), "scores") for t in sides]
+    of = lambda i, s: scored[i].select("key", F.col("run_id").alias(f"run_{s}"), F.col("dangling").alias(f"dangling_{s}"), F.col("af_coverage").alias(f"coverage_{s}"))
+    pairs = materialize(of(0, "a").join(of(1, "b"), "key").withColumn("pair", F.col("key")), "pairs")
+
+    def state(i: int, run: str) -> tuple[DataFrame, DataFrame]:
+        own = pairs.select(*PAIR, F.col(run).alias("run_id"))
+        return tuple(materialize(df.join(own, "run_id").drop("run_id"), "state") for df in (sides[i].entities, sides[i].connections))
+
+    found = drift_between(state(0, "run_a"), state(1, "run_b"), PAIR).withColumnsRenamed({"score": "stability", "grade": "stability_grade"})
+    found = materialize(found, "drift")
+    out = quality.compare(*scored).join(pairs, "key").join(found, list(PAIR), "left")
+    change = F.format_string("Quality %s (Δ%+.1f points), stability grade %s", "trend", F.col("change").cast("double"), "stability_grade")
+    return out.select(
+        "key", F.col("run_a").alias("before"), F.col("run_b").alias("after"), "change", "trend", "better", "worse", (F.col("dangling_a") - F.col("dangling_b")).cast("double").alias("dangling_refs_fixed"),
+        (F.col("coverage_b") - F.col("coverage_a")).cast("double").alias("af_coverage"), "churn", "stability", "stability_grade", "volatile", "advice", change.alias("summary"),
+    )
 
 
 def main(args: list[str] | None = None) -> int:

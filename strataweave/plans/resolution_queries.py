@@ -84,8 +84,10 @@ def quote_exact_match(spark, sf_dir):
     # The quote's second to fifth words are whole words of the page, too: an equi-join proposes, containment decides.
     key = F.concat_ws(" ", F.slice(F.split("form", " "), 2, 4))
     words = d.withColumn("w", F.split("page", " "))
-    grams = words.select("doc_id", "page", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(4)))))).alias("key"))
-    found = grams.join(F.broadcast(q.withColumn("key", key)), "key").filter(F.contains("page", "form"))
+    grams = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(4)))))).alias("key"))
+    # Runs of words meet without their pages; a page's text comes back for the pairs that are left.
+    pairs = grams.join(q.select("item_id", key.alias("key")), "key").select("item_id", "doc_id").distinct()
+    found = pairs.join(q, "item_id").join(d, "doc_id").filter(F.contains("page", "form"))
     return found.select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("pages"))
 
 

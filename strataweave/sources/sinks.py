@@ -42,18 +42,22 @@ def append_events(events: DataFrame, path: str) -> None:
     stamped.write.mode("append").json(path)
 
 
-def _rows(table: DataFrame, most: int) -> list[dict]:
-    return [r.asDict() for r in ordered(table).limit(most).collect()]
+def _first(table: DataFrame, most: int) -> tuple[list[dict], str]:
+    """The first `most` rows, and a line on how many more there are ('' if none)."""
+    rows = [r.asDict() for r in table.limit(most + 1).collect()]
+    more = table.count() - most if len(rows) > most else 0
+    return rows[:most], f"... and {more} more" if more else ""
 
 
 def terminal_report(scores: DataFrame, most: int = 50, verbose: bool = False) -> str:
-    """Scores as lines of text, the first `most` runs; verbose adds the parts."""
+    """Scores as lines of text, the first `most` runs and how many more there are; verbose adds the parts."""
     out = []
-    for r in _rows(scores.orderBy("run_id"), most):
+    rows, more = _first(ordered(scores).orderBy("run_id"), most)
+    for r in rows:
         out.append(f"{r['run_id']}: {r['score']:.1f} ({r['grade']})")
         if verbose:
             out += [f"  {k}: {r[k]:.1f}" for k in PARTS if r.get(k) is not None]
-    return "\n".join(out)
+    return "\n".join([*out, more] if more else out)
 
 
 def _page(title: str, body: str) -> str:
@@ -67,10 +71,10 @@ def _table(rows: list[dict], names: list[str]) -> str:
 
 def html_report(scores: DataFrame, title: str = "Quality", most: int = 1000) -> str:
     """Scores as a page, the first `most` runs: an overview, and for each run its parts with penalty, bonus and counts."""
-    rows = _rows(scores.orderBy("run_id"), most)
+    rows, more = _first(ordered(scores).orderBy("run_id"), most)
     names = list(rows[0]) if rows else list(scores.columns)
     first = [n for n in ("run_id", "score", "grade", *PARTS) if n in names]
-    body = "<h2>Overview</h2>" + _table(rows, first)
+    body = "<h2>Overview</h2>" + _table(rows, first) + (f"<p>{more}</p>" if more else "")
     rest = [n for n in names if n not in first]
     for r in rows if rest else ():
         body += f"<h2>{html.escape(str(r['run_id']))}</h2>" + _table([{"measure": n, "value": r[n]} for n in rest], ["measure", "value"])
@@ -79,18 +83,19 @@ def html_report(scores: DataFrame, title: str = "Quality", most: int = 1000) ->
 
 def html_comparison(changes: DataFrame, title: str = "Comparison", most: int = 1000) -> str:
     """Changes as a page: a summary line, scores and drift of each pair."""
-    rows = [r.asDict() for r in changes.orderBy("key").limit(most).collect()]
+    rows, more = _first(changes.orderBy("key"), most)
     body = "".join(f"<p>{html.escape(r['summary'])}</p>" for r in rows if r.get("summary"))
-    return _page(title, body + _table(rows, [c for c in changes.columns if c != "summary"]))
+    return _page(title, body + _table(rows, [c for c in changes.columns if c != "summary"]) + (f"<p>{more}</p>" if more else ""))
 
 
 def comparison_report(changes: DataFrame, most: int = 1000) -> str:
     out = []
-    for r in (x.asDict() for x in changes.orderBy("key").limit(most).collect()):
+    rows, more = _first(changes.orderBy("key"), most)
+    for r in rows:
         out.append(f"{r['key']}: {r['change']:+.1f} ({r['trend']}); better: {r['better'] or '-'}; worse: {r['worse'] or '-'}")
         if r.get("summary"):
             out += [f"  {r['summary']}", f"  churn {r['churn']:.3f}, most volatile {r['volatile'] or '-'}; {r['advice'] or 'no advice'}"]
-    return "\n".join(out)
+    return "\n".join([*out, more] if more else out)
 
 
 def render(saved: str, form: str) -> str:

@@ -137,3 +137,19 @@ def test_command_line(spark, tmp_path, capsys):
     assert analyze.main(["batch", str(tmp_path), "--format", "html", "--output", str(tmp_path / "r.html")]) == 0
     assert "<h2>Overview</h2>" in (tmp_path / "r.html").read_text()
     assert analyze.main(["config"]) == 0 and "weights" in capsys.readouterr().out
+
+
+def test_comparison_keeps_every_pair_and_reports_say_what_they_leave_out(spark, tmp_path):
+    for side in ("a", "b"):
+        (tmp_path / side).mkdir()
+        for i in range(103):
+            fields = [{"id": f"af_{n}", "content": {"title": f"F{n}"}, "connections": []} for n in range(1 + (i % 3) * (side == "b"))]
+            data = {"action_fields": fields, "projects": [], "measures": [], "indicators": []}
+            (tmp_path / side / f"s{i:03d}.json").write_text(json.dumps(data), encoding="utf-8")
+    changes = spark.createDataFrame(analyze.compare_paths(spark, str(tmp_path / "a"), str(tmp_path / "b")).toPandas())
+    got = {r.key: r.churn for r in changes.collect()}
+    assert len(got) == 103
+    one = [analyze.tables(graphs.read_graphs(spark, f"{tmp_path}/{s}/s002.json", strict=True)) for s in ("a", "b")]
+    alone = analyze.drift_between(*((t.entities, t.connections) for t in one)).first()
+    assert got[next(k for k in got if k.endswith("002"))] == alone["churn"] or alone["churn"] is None
+    assert sinks.comparison_report(changes, most=100).endswith("... and 3 more") and "... and 3 more" in sinks.html_comparison(changes, most=100)
