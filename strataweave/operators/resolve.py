@@ -480,12 +480,9 @@ def exact_merge(projects: DataFrame) -> DataFrame:
 
 
 def without_contained(names: DataFrame) -> DataFrame:
-    """Names that no longer name of the run contains (longest first, then by order); names: run_id, name, ord."""
-    distinct = names.groupBy("run_id", "name").agg(F.min("ord").alias("ord"))
-    every = distinct.groupBy("run_id").agg(F.collect_list(F.lower("name")).alias("all_names"))
-    low = F.lower("name")
-    inside = F.exists("all_names", lambda x: (F.length(x) > F.length(low)) & F.contains(x, low))
-    return distinct.join(every, "run_id").filter(~inside).select("run_id", "name")
+    """Names that no longer name of the run contains, whatever the case of letters; names: run_id, name, ord. A name meets its containers by its rarest gram; no run is one array."""
+    rows = stars.numbered(names.where("name is not null"), F.lower("name"), ["run_id"])
+    return rows.join(stars.contained(rows), "id", "left_anti").select("run_id", "name")
 
 
 def collect_names(names: DataFrame) -> DataFrame:

@@ -122,8 +122,8 @@ def tokens(text: str, least: float, counts: np.ndarray, contained: bool) -> list
     return out
 
 
-def candidates(texts: DataFrame, least: float, contained: bool = False) -> DataFrame:
-    """src, dst, a, b: pairs of texts of a group that may be similar, src before dst; texts: id, at (sortable), cluster, text."""
+def _met(texts: DataFrame, least: float, contained: bool) -> DataFrame:
+    """cluster, id, at, text, token, kind: what each text is met by."""
     counts = texts.sparkSession.sparkContext.broadcast(_rarity(texts))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,16 +132,35 @@ def candidates(texts: DataFrame, least: float, contained: bool = False) -> DataF
 
     met = texts.select("cluster", "id", "text").mapInPandas(run, "cluster string, id bigint, text string, token array<string>")
     each = met.join(texts.select("id", "at"), "id").select("cluster", "id", "at", "text", F.explode("token").alias("token"))
-    kind = F.substring("token", 1, 1)
-    side = lambda rows, name, ref: rows.select("cluster", "token", F.col("id").alias(name), F.col("at").alias(f"{name}_at"), F.col("text").alias(ref), F.length("text").alias(f"{ref}_size"))
-    alike = each.where(kind.isin("=", "1", "2"))
+    return each.withColumn("kind", F.substring("token", 1, 1))
+
+
+def _side(rows: DataFrame, name: str, ref: str) -> DataFrame:
+    return rows.select("cluster", "token", F.col("id").alias(name), F.col("at").alias(f"{name}_at"), F.col("text").alias(ref), F.length("text").alias(f"{ref}_size"))
+
+
+def _inside(each: DataFrame) -> DataFrame:
+    """x, y, s, t: texts s (not empty) that a text t of the cluster contains, met by the rarest gram of s."""
+    probe, holds = (each.where(F.col("kind") == kind).withColumn("token", F.expr("substring(token, 2)")) for kind in "pc")
+    return _side(probe, "x", "s").join(_side(holds, "y", "t"), ["cluster", "token"]).where((F.col("x") != F.col("y")) & F.expr("contains(t, s)"))
+
+
+def contained(texts: DataFrame) -> DataFrame:
+    """id of the texts that a longer one of their cluster contains; texts: id, at, cluster, text. The empty text is in every other one."""
+    inside = _inside(_met(texts, 1.0, True)).where("t_size > s_size").select(F.col("x").alias("id"))
+    filled = texts.where("text <> ''").select("cluster").distinct()
+    return inside.unionByName(texts.where("text = ''").join(filled, "cluster", "left_semi").select("id")).distinct()
+
+
+def candidates(texts: DataFrame, least: float, contained: bool = False) -> DataFrame:
+    """src, dst, a, b: pairs of texts of a group that may be similar, src before dst; texts: id, at (sortable), cluster, text."""
+    each = _met(texts, least, contained)
+    alike = each.where(F.col("kind").isin("=", "1", "2"))
     # 2 min / (m + n) bounds the ratio
     fits = 2 * F.least("a_size", "b_size") >= F.lit(least - EPS) * (F.col("a_size") + F.col("b_size"))
-    pairs = side(alike, "src", "a").join(side(alike, "dst", "b"), ["cluster", "token"]).where((F.col("src_at") < F.col("dst_at")) & fits)
+    pairs = _side(alike, "src", "a").join(_side(alike, "dst", "b"), ["cluster", "token"]).where((F.col("src_at") < F.col("dst_at")) & fits)
     if contained:
-        probe = each.where(kind == "p").withColumn("token", F.expr("substring(token, 2)"))
-        holds = each.where(kind == "c").withColumn("token", F.expr("substring(token, 2)"))
-        inside = side(probe, "x", "s").join(side(holds, "y", "t"), ["cluster", "token"]).where((F.col("x") != F.col("y")) & F.expr("contains(t, s)"))
+        inside = _inside(each)
         first = F.col("x_at") < F.col("y_at")
         pick = lambda p, q, name: F.when(first, F.col(p)).otherwise(F.col(q)).alias(name)
         pairs = pairs.select("src", "dst", "a", "b").unionByName(inside.select(pick("x", "y", "src"), pick("y", "x", "dst"), pick("s", "t", "a"), pick("t", "s", "b")))

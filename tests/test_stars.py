@@ -105,6 +105,17 @@ def test_similarity_groups_equal_the_sequential_rule(spark, monkeypatch, block):
     assert sorted(map(tuple, got.collect())) == sorted(want) and want
 
 
+def test_names_that_longer_ones_contain_go(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("rs"), "".join(rng.choice("abC ") for _ in range(rng.randint(0, 7))), i) for i in range(300)] + [("t", "", 0), ("u", "", 1), ("u", "x", 2)]
+    own = {}
+    for run, name, _ in rows:
+        own.setdefault(run, set()).add(name)
+    want = sorted((run, n) for run, known in own.items() for n in known if not any(len(x) > len(n) and n.lower() in x.lower() for x in known))
+    got = resolve.without_contained(spark.createDataFrame(rows, "run_id string, name string, ord long"))
+    assert sorted(map(tuple, got.collect())) == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_taken_equals_greedy_on_random_graphs(spark, seed):
     rng = random.Random(seed)
