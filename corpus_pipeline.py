@@ -18,7 +18,7 @@ BROADCAST_ROWS = 200_000  # names of texts that a join broadcasts
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier, learnt from `labels`, accepts; null and empty texts are scored as empty ones, repeated rows alike. All columns stay."""
+    """Rows that the classifier, learnt from `labels`, accepts; null and empty texts are scored as empty ones, repeated rows alike, an empty table stays empty. All columns stay."""
     model = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     return quality.keep_good(docs, model)
 
