@@ -18,7 +18,7 @@ from itertools import groupby
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.operators.extract import CONNECT_CONFIDENCE, FALLBACK, RULES
@@ -248,14 +248,24 @@ def _streamed(rows: DataFrame, order: list[str], work: Callable[[str, Iterator[d
     return rows.repartition("source_id").sortWithinPartitions("source_id", *order).mapInPandas(run, ROWS)
 
 
+def operation_json() -> Column:
+    """An operation's columns as one JSON object, for `parse_operation`."""
+    return F.to_json(F.struct("operation", "entity_type", "entity_id", "content", "connections", "confidence", "source_pages", "source_quote"))
+
+
+def parse_operation(payload: str) -> dict:
+    op = json.loads(payload)
+    op["content"] = json.loads(op["content"]) if op.get("content") else None
+    return op
+
+
 def apply_log(ops: DataFrame, before: DataFrame | None = None, validated: bool = True) -> DataFrame:
     """The state after a log: source_id, kind, id, ord, payload. `before`: the state to go on from, as this returns it (its results are left out).
 
     ops: source_id, chunk_index, seq, operation, entity_type, entity_id, content (a JSON object as a string), connections, confidence, source_pages,
     source_quote. A chunk's operations are one batch. With `validated` those that cannot succeed are left out first.
     """
-    op = F.to_json(F.struct("operation", "entity_type", "entity_id", "content", "connections", "confidence", "source_pages", "source_quote"))
-    rows = ops.select("source_id", F.lit(1).alias("step"), F.col("chunk_index").cast("bigint").alias("at"), F.col("seq").cast("bigint").alias("n"), F.lit("").alias("kind"), F.lit("").alias("id"), op.alias("payload"))
+    rows = ops.select("source_id", F.lit(1).alias("step"), F.col("chunk_index").cast("bigint").alias("at"), F.col("seq").cast("bigint").alias("n"), F.lit("").alias("kind"), F.lit("").alias("id"), operation_json().alias("payload"))
     if before is not None:
         rank = F.when(F.col("kind") == "entity", 0).when(F.col("kind") == "connection", 1).otherwise(2).cast("bigint")
         rows = rows.unionByName(before.filter("kind <> 'result'").select("source_id", F.lit(0).alias("step"), rank.alias("at"), F.col("ord").alias("n"), "kind", "id", "payload"))
@@ -267,10 +277,7 @@ def apply_log(ops: DataFrame, before: DataFrame | None = None, validated: bool =
                 for r in batch:
                     fold.load(r["kind"], r["id"], json.loads(r["payload"]))
                 continue
-            some = [json.loads(r["payload"]) for r in batch]
-            for o in some:
-                o["content"] = json.loads(o["content"]) if o.get("content") else None
-            (fold.apply_valid if validated else fold.apply)(some, chunk)
+            (fold.apply_valid if validated else fold.apply)([parse_operation(r["payload"]) for r in batch], chunk)
         return fold
 
     return _streamed(rows, ["step", "at", "n"], work)
@@ -407,19 +414,21 @@ ENHANCE = "These {count} action fields were found so far:\n{found}\n\nReturn the
 FIRST = "Extract action fields with their projects, measures and indicators as JSON {\"action_fields\": [...]} from the text below.\n\n{text}"
 
 
+def tidy_fields(answer: dict) -> list[dict]:
+    """The action fields of an answer; projects lose empty lists, as published."""
+    out = []
+    for af in answer.get("action_fields") or ():
+        own = [{"title": p.get("title"), **{k: p[k] for k in ("measures", "indicators") if p.get(k)}} for p in af.get("projects") or ()]
+        out.append({"action_field": af.get("action_field"), "projects": own})
+    return out
+
+
 def accumulate(chunks: DataFrame, client: Callable[[], Model], attempts: int = 3, first: str = FIRST, enhance: str = ENHANCE) -> DataFrame:
     """source_id, value (nested extraction as JSON): each chunk's prompt holds what was found so far, and the answer replaces it; without an answer it stays.
 
     The first chunk is asked up to `attempts` times. Projects lose empty lists, as published.
     """
 
-    def tidy(answer: dict) -> list[dict]:
-        out = []
-        for af in answer.get("action_fields") or ():
-            own = [{"title": p.get("title"), **{k: p[k] for k in ("measures", "indicators") if p.get(k)}} for p in af.get("projects") or ()]
-            out.append({"action_field": af.get("action_field"), "projects": own})
-        return out
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         each = (r for frame in frames for r in frame.to_dict("records"))
         for source, own in groupby(each, key=lambda r: r["source_id"]):
@@ -427,14 +436,14 @@ def accumulate(chunks: DataFrame, client: Callable[[], Model], attempts: int = 3
             for r in own:
                 if found is None:
                     answers = (parse_answer(model(first.replace("{text}", r["text"]))) for _ in range(attempts))
-                    found = tidy(next((a for a in answers if a is not None), {}))
+                    found = tidy_fields(next((a for a in answers if a is not None), {}))
                     continue
                 values = {"count": str(len(found)), "found": json.dumps({"action_fields": found}, indent=2, ensure_ascii=False), "text": r["text"].strip()}
                 prompt = enhance
                 for name, value in values.items():
                     prompt = prompt.replace("{" + name + "}", value)
                 answer = parse_answer(model(prompt))
-                found = found if answer is None else tidy(answer)
+                found = found if answer is None else tidy_fields(answer)
             yield pd.DataFrame({"source_id": [source], "value": [json.dumps({"action_fields": found or []}, ensure_ascii=False)]})
 
     rows = chunks.select("source_id", "chunk_index", "text").repartition("source_id").sortWithinPartitions("source_id", "chunk_index")

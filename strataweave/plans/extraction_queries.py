@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataweave.functions import text as T
-from strataweave.operators import chunking, extract, oplog
+from strataweave.operators import chunking, extract, halves, oplog
 from strataweave.plans import adapters
 from strataweave.plans.content_queries import PAGES
 from strataweave.plans.registry import query
@@ -260,3 +260,31 @@ def free_ids(spark, sf_dir):
     wanted = adapters.sql(spark, sf_dir, "SELECT CAST(s_nationkey % 5 AS STRING) AS source_id, 'proj' AS prefix, s_suppkey AS ord FROM supplier")
     taken = adapters.sql(spark, sf_dir, "SELECT CAST(c_nationkey % 5 AS STRING) AS source_id, 'proj' AS prefix, 2 * c_custkey AS number FROM customer")
     return oplog.free_ids(wanted, taken).select(F.col("source_id").cast("int").alias("region"), F.col("ord").alias("supplier"), "id")
+
+
+#: Customers as action fields in runs of 64, with more or fewer names a run.
+FIELDS = "SELECT CAST(floor(c_custkey / 64) AS BIGINT) AS run_id, c_custkey AS ord, concat('Feld ', CAST(c_custkey * 7 % (5 + floor(c_custkey / 64) * 13 % 40) AS INT)) AS name, concat('P', c_custkey % 3) AS one, concat('Q', c_nationkey % 2) AS two FROM customer"
+
+
+def _halves_sql(levels: int = 3, target: int = 20) -> str:
+    seen = "min(ord) OVER (PARTITION BY run_id, half, name) AS first, min(ord) OVER (PARTITION BY run_id, half, name, title) AS seen"
+    steps = [f"l0 AS (SELECT run_id, ord, name, unnest([0, 1]) AS p, unnest([one, two]) AS title FROM ({FIELDS}))", f"r0 AS (SELECT run_id, count(DISTINCT ord) AS n, CASE WHEN count(DISTINCT ord) <= {target} THEN 'small' ELSE 'open' END AS outcome FROM l0 GROUP BY 1)"]
+    for k in range(levels):
+        steps += [
+            f"h{k} AS (SELECT l.*, dense_rank() OVER (PARTITION BY run_id ORDER BY ord) <= n // 2 AS half FROM l{k} l JOIN r{k} USING (run_id) WHERE outcome = 'open')",
+            f"l{k + 1} AS (SELECT run_id, first AS ord, name, row_number() OVER (PARTITION BY run_id, first ORDER BY ord, p) AS p, title FROM (SELECT *, {seen} FROM h{k}) WHERE seen = ord)",
+            f"r{k + 1} AS (SELECT run_id, m.n, CASE WHEN m.n <= {target} THEN 'done' WHEN m.n >= r{k}.n THEN 'stalled' WHEN {k + 1} = {levels} THEN 'depth' ELSE 'open' END AS outcome FROM (SELECT run_id, count(DISTINCT ord) AS n FROM l{k + 1} GROUP BY 1) m JOIN r{k} USING (run_id))",
+        ]
+    ends = " UNION ALL ".join(f"SELECT run_id, dense_rank() OVER (PARTITION BY run_id ORDER BY ord) - 1 AS ord, name, p, title, outcome, outcome IN ('small', 'done') AS fit FROM l{k} JOIN r{k} USING (run_id) WHERE outcome <> 'open'" for k in range(levels + 1))
+    return f"""WITH {', '.join(steps)}, e AS ({ends}), f AS (SELECT *, CASE WHEN fit THEN ord ELSE min(ord) OVER (PARTITION BY run_id, name) END AS first, CASE WHEN fit THEN ord ELSE min(ord) OVER (PARTITION BY run_id, name, title) END AS seen FROM e)
+SELECT run_id, CAST(first AS INT) AS ord, name AS action_field, outcome, string_agg(title, ',' ORDER BY ord, p) AS titles FROM f WHERE seen = ord GROUP BY run_id, first, name, outcome"""
+
+
+@query(_halves_sql())
+def aggregate_halves(spark, sf_dir):
+    """Action fields joined in halves, with a model that joins equal names."""
+    lists = F.array().cast("array<string>")
+    project = lambda c: F.struct(F.col(c).alias("title"), lists.alias("measures"), lists.alias("indicators"))
+    tree = adapters.sql(spark, sf_dir, FIELDS).select("run_id", "ord", F.col("name").alias("action_field"), F.array(project("one"), project("two")).alias("projects"))
+    left, _ = halves.aggregate_halves(tree, halves.name_model)
+    return left.select("run_id", "ord", "action_field", "outcome", F.array_join(F.transform("projects", lambda p: p["title"]), ",").alias("titles"))
