@@ -182,6 +182,16 @@ def parent_edges(nodes: DataFrame, edges: DataFrame, confidence: float = 0.8) ->
     return new.join(edges.select("source_id", "from_id", "to_id"), ["source_id", "from_id", "to_id"], "left_anti").withColumn("confidence", F.lit(confidence))
 
 
+# The least confidence that the published prompt asks of an operation of each kind.
+FLOORS = {"CREATE": 0.7, "UPDATE": 0.8, "CONNECT": 0.6}
+
+
+def below_floor(ops: DataFrame, floors: dict[str, float] | None = None) -> DataFrame:
+    """Operations whose confidence is below the floor of their kind, with `floor`. Operations without a confidence or of another kind are not among them."""
+    floor = F.create_map(*(F.lit(x) for pair in (floors or FLOORS).items() for x in pair))[F.col("operation")]
+    return ops.withColumn("floor", floor).filter(F.col("confidence") < F.col("floor"))
+
+
 def state_changes(states: DataFrame) -> DataFrame:
     """Size of each state's JSON against the one before: source_id, step, chars, tokens, change; states: source_id, step, state."""
     chars = F.length(F.to_json("state"))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from strataweave.operators.extract import CONNECT_CONFIDENCE, FALLBACK, RULES
 from strataweave.operators.oplog import ORDER, PREFIX
+from strataweave.session import materialize
 
 ROWS = "source_id string, kind string, id string, ord bigint, payload string"
 #: An operation that names no confidence has this one.
@@ -403,11 +404,17 @@ def keyword_model() -> Model:
     return send
 
 
-def extract_pages(pages: DataFrame, client: Callable[[], Model], most: int = 8000, least: int = 1500, **settings) -> DataFrame:
-    """From pages (source_id, page_number, text) to the extracted state: packing, headers, extraction."""
+def extract_pages(pages: DataFrame, client: Callable[[], Model], most: int = 8000, least: int = 1500, parents: bool = True, prune: bool = False, **settings) -> DataFrame:
+    """From pages (source_id, page_number, text) to the extracted state: packing, headers, extraction, connections of parent references.
+
+    `prune` leaves out shortcuts past a project. `operators.finish` makes checked projects of the state.
+    """
+    from strataweave.operators import finish
     from strataweave.operators.chunking import pack_pages, with_header
 
-    return extract(with_header(pack_pages(pages, most, least)), client, **settings)
+    found = materialize(extract(with_header(pack_pages(pages, most, least)), client, **settings), "extracted")  # the model is asked once
+    found = finish.with_parents(found) if parents else found
+    return finish.without_shortcuts(found) if prune else found
 
 
 ENHANCE = "These {count} action fields were found so far:\n{found}\n\nReturn them all as JSON {\"action_fields\": [...]}, with what the text below adds.\n\n{text}"

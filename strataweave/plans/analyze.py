@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strataweave.config import Config
 from strataweave.functions import text as T
-from strataweave.operators import content, drift, graph, quality, resolve
+from strataweave.operators import content, drift, graph, paths, quality, resolve
 from strataweave.session import materialize
 from strataweave.sources import graphs as files
 from strataweave.sources import pages as page_files
@@ -143,6 +143,27 @@ def metrics(t: Tables, config: Config = Config(), detect=None) -> DataFrame:
     return t.graphs.select("run_id", "layout").distinct().join(found, "run_id", "left").fillna(0.0, list(ZERO))
 
 
+def connectivity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per run: components, nodes of the largest, its path lengths, and mean, most, least and deviation of four centralities over all nodes.
+
+    nodes: run_id, node, type and further columns; edges: run_id, u, v. Runs without pairs in reach have no path lengths. All nodes count, whatever the graph's size.
+    """
+    labels = materialize(graph.components(nodes, edges), "components")
+    largest = paths.largest_component(labels)
+    reached = materialize(paths.reach(nodes, edges), "reach")
+    values = {
+        "degree": graph.degree_centrality(graph.degrees(nodes, edges)), "closeness": paths.closeness(reached),
+        "betweenness": nodes.select("run_id", "node").join(paths.betweenness(edges), ["run_id", "node"], "left").withColumn("centrality", F.coalesce("centrality", F.lit(0.0))),
+        "pagerank": graph.pagerank(nodes, edges).withColumnRenamed("rank", "centrality"),
+    }
+    out = labels.groupBy("run_id").agg(F.count_distinct("component").alias("components")).join(largest.groupBy("run_id").agg(F.count(F.lit(1)).alias("largest")), "run_id")
+    out = out.join(paths.path_lengths(reached.join(largest, ["run_id", "node"], "left_semi")).drop("pairs"), "run_id", "left")
+    for name, value in values.items():
+        summary = graph.centrality_summary(value)
+        out = out.join(summary.select("run_id", *(F.col(c).alias(f"{name}_{c}") for c in summary.columns if c != "run_id")), "run_id", "left")
+    return out
+
+
 def results(t: Tables, config: Config = Config(), detect=None) -> DataFrame:
     """Scores and counts of every run. A run that is no JSON object has the score 0, the grade F and an error."""
     found = metrics(t, config, detect).persist()

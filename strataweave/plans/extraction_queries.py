@@ -262,6 +262,12 @@ def free_ids(spark, sf_dir):
     return oplog.free_ids(wanted, taken).select(F.col("source_id").cast("int").alias("region"), F.col("ord").alias("supplier"), "id")
 
 
+@query(f"""WITH {LOG} SELECT source_id, chunk_index, seq, operation, confidence, CASE operation WHEN 'CREATE' THEN 0.7 WHEN 'UPDATE' THEN 0.8 ELSE 0.6 END::DOUBLE AS floor FROM flat
+WHERE confidence < CASE operation WHEN 'CREATE' THEN 0.7 WHEN 'UPDATE' THEN 0.8 WHEN 'CONNECT' THEN 0.6 END""")
+def ops_below_floor(spark, sf_dir):
+    return oplog.below_floor(_ops(spark, sf_dir)).select("source_id", "chunk_index", "seq", "operation", "confidence", "floor")
+
+
 #: Customers as action fields in runs of 64, with more or fewer names a run.
 FIELDS = "SELECT CAST(floor(c_custkey / 64) AS BIGINT) AS run_id, c_custkey AS ord, concat('Feld ', CAST(c_custkey * 7 % (5 + floor(c_custkey / 64) * 13 % 40) AS INT)) AS name, concat('P', c_custkey % 3) AS one, concat('Q', c_nationkey % 2) AS two FROM customer"
 
