@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataweave.functions import text as T
-from strataweave.operators import content, graph, oplog, paths
+from strataweave.operators import content, graph, oplog, paths, quality
 from strataweave.session import scratch_root
 from strataweave.sources import pages, sinks
 
@@ -146,6 +146,34 @@ def test_paths_of_random_graphs(spark, seed, words, pairs):
         assert mine.keys() == value.keys() and all(abs(mine[k] - value[k]) < 1e-9 for k in value)
 
 
+def test_twins_are_searched_once(spark, monkeypatch):
+    """Leaves of the same hubs are one class: rounds do not grow with them, and results are those of a plain search."""
+    rows = sorted({("r", min(h, x), max(h, x)) for i in range(400) for h in (f"h{i % 5}", f"h{i * 3 % 7}") for x in (f"x{i}",)} | {("r", "h0", "top"), ("r", "h6", "top"), ("s", "a", "b")})
+    edges = spark.createDataFrame(rows, "run_id string, u string, v string")
+    nodes = graph.ends(edges).select("run_id", "node").distinct()
+    written = []
+    real = paths.materialize
+    monkeypatch.setattr(paths, "materialize", lambda df, name: written.append(name) or real(df, name))
+    reached = {(r.run_id, r.node): (r.reached, r.far, r.ecc) for r in paths.reach(nodes, edges, words=1).collect()}
+    between = {(r.run_id, r.node): r.centrality for r in paths.betweenness(edges, pairs=5000).collect()}
+    assert len(written) < 70
+    for run in "rs":
+        far, value = plain_paths([(u, v) for r, u, v in rows if r == run])
+        assert {k: v for (r, k), v in reached.items() if r == run} == far
+        assert all(abs(between[run, k] - value[k]) < 1e-9 for k in value)
+
+
+def test_a_spread_of_just_the_limit_is_none(spark):
+    """Nine confidences whose deviation is exactly 0.2, in many orders: whatever order they are added in, none is spread."""
+    values = [0.79, 0.40, 0.90, 0.91, 0.93, 0.42, 0.71, 0.62, 0.68]
+    whole = [round(100 * v) for v in values]
+    assert 9 * sum(v * v for v in whole) - sum(whole) ** 2 == 20 * 20 * 9 * 8
+    rng = random.Random(1)
+    rows = [(f"r{i}", "msr_1", f"ind_{j}", v) for i in range(50) for j, v in enumerate(rng.sample(values, 9))]
+    c = spark.createDataFrame(rows, "run_id string, source_id string, target_id string, confidence double")
+    assert {r.reasons for r in quality.ambiguous(c).collect()} <= {"low"}
+
+
 def test_paths_of_nothing(spark):
     edges = spark.createDataFrame([], "run_id string, u string, v string")
     nodes = spark.createDataFrame([], "run_id string, node string")
