@@ -105,7 +105,8 @@ def ambiguous(connections: DataFrame, config: Config = Config()) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.avg("confidence").alias("mean"),
         (F.count_if(F.col("confidence") < config.low_confidence) / F.count(F.lit(1))).alias("low_ratio"),
-        F.coalesce(F.stddev_samp("confidence"), F.lit(0.0)).alias("std"),
+        # Rounded, so that a spread of just the limit does not pass it by the last bit of the sums.
+        F.coalesce(F.round(F.stddev_samp("confidence"), 9), F.lit(0.0)).alias("std"),
     )
     reasons = F.array_compact(F.array(
         F.when(F.col("low_ratio") > 0.5, "low"),
