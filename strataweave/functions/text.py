@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 # What Unicode calls white space, as a Java character class body.
 SPACE = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-WORD = r"\p{L}\p{N}_"
+WORD = r"a-zA-Z0-9_\p{L}\p{N}"
+# The same white space as characters, and without the plain space as a class body.
+BLANKS = "".join(map(chr, (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+NO_SPACE = SPACE.replace(r"\x{1C}-\x{20}", r"\x{1C}-\x{1F}")
+# White space that is not one plain space already.
+RUN = rf"[{NO_SPACE}][{SPACE}]*| [{SPACE}]+"
 # What ends a line.
 LINE_END = r"\r\n|[\n\x{B}\x{C}\r\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 # Stop words of the comparison form.
@@ -44,12 +49,12 @@ NAME_RULES = (
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def squeeze(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, rf"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(c, RUN, " "))
 
 
 def lines(c: Column) -> Column:
@@ -64,8 +69,8 @@ def estimate_tokens(c: Column) -> Column:
 
 def compare_form(c: Column) -> Column:
     """Lower case, no punctuation, no stop words, single spaces; duplicates of words stay."""
-    bare = F.regexp_replace(squeeze(F.lower(c)), rf"[^{WORD}{SPACE}]", "")
-    return F.array_join(F.filter(F.split(squeeze(bare), " "), lambda w: ~w.isin(*STOP_WORDS)), " ")
+    bare = F.trim(F.regexp_replace(F.regexp_replace(squeeze(F.lower(c)), rf"[^{WORD} ]+", ""), " {2,}", " "))
+    return F.ltrim(F.regexp_replace(bare, rf"(?:^| )(?:{'|'.join(STOP_WORDS)})(?= |\z)", ""))
 
 
 def word_jaccard(a: Column, b: Column) -> Column:
@@ -75,18 +80,22 @@ def word_jaccard(a: Column, b: Column) -> Column:
 
 def page_line(c: Column) -> Column:
     """A line without short numbers, for comparison between pages."""
-    return squeeze(F.regexp_replace(c, r"(?U)\b\d{1,4}\b", ""))
+    return squeeze(F.regexp_replace(c, r"(?U)(?=\d)\b\d{1,4}\b", ""))
 
 
 def is_heading(c: Column) -> Column:
     """Numbered, lettered, keyword, all-capital and mostly capitalised lines, and short ones that end in a colon."""
-    x = strip(c)
-    words = F.filter(F.split(squeeze(x), " "), lambda w: w != "")
-    capital = F.size(F.filter(words, lambda w: F.substring(w, 1, 1).rlike(r"^\p{Lu}$")))
+    return is_bare_heading(strip(c))
+
+
+def is_bare_heading(x: Column) -> Column:
+    """As `is_heading`, for lines without white space at their ends."""
+    words = F.regexp_count(x, F.lit(rf"[{SPACE}]+")) + 1
+    capital = F.regexp_count(x, F.lit(rf"(?=\p{{Lu}})(?<![^{SPACE}])\p{{Lu}}"))
     numbered = x.rlike(r"^(\d+(\.\d+)*\.?|[IVXLCDM]+\.|[A-Za-z]\))\s+")
     keyword = reduce(lambda a, b: a | b, (x.startswith(k) for k in HEADING_WORDS))
     upper = (F.upper(x) == x) & (F.lower(x) != x) & (F.length(x) > 3)
-    titled = (F.size(words) >= 2) & (capital / F.size(words) > 0.7)
+    titled = (capital >= 2) & (words >= 2) & (capital / words > 0.7)
     return (F.length(x) >= 3) & (numbered | keyword | upper | titled | (x.endswith(":") & (F.length(x) < 100)))
 
 
@@ -114,7 +123,7 @@ def registry_form(c: Column) -> Column:
 
 def quote_form(c: Column) -> Column:
     """A quote for matching: single spaces, plain letters for umlauts, lower case."""
-    x = F.regexp_replace(F.regexp_replace(c, rf"[{SPACE}]+", " "), rf"[^{WORD}{SPACE}.,;:!?()\-]", " ")
+    x = F.regexp_replace(F.regexp_replace(c, RUN, " "), rf"[^{WORD} .,;:!?()\-]", " ")
     for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("Ä", "Ae"), ("Ö", "Oe"), ("Ü", "Ue"), ("ß", "ss")):
         x = F.replace(x, F.lit(a), F.lit(b))
     return F.lower(F.trim(x))
@@ -139,12 +148,12 @@ def clean(c: Column) -> Column:
         (r"(?dm)^(Seite|Page|S\.|Blatt)\s*\d+(\s+(von|of|/)\s*\d+)?\s*$", ""),
         (r"(?dm)^\s*\d{1,4}\s*$", ""),
         (r"(?dm)^\d+\)\s*https?://.*$", ""),
-        (rf"([{WORD}]+)-\n([{WORD}]+)", "$1$2"),
-        (rf"(Beratz|Ober|Unter|Bad|Neu|Alt|Klein|Groß)-\s+([{WORD}]+)", "$1$2"),
+        (rf"([{WORD}])-\n([{WORD}]+)", "$1$2"),
+        (rf"(?=[ABGKNOU])(Beratz|Ober|Unter|Bad|Neu|Alt|Klein|Groß)-\s+([{WORD}]+)", "$1$2"),
         (r"(?dm)^(\d{1,2})\s+([A-Z])", "• $1 $2"),
-        (r"(?<![.!?])\n(?![A-ZÄÖÜ•*\d-])", " "),
+        (r"\n(?<![.!?]\n)(?![A-ZÄÖÜ•*\d-])", " "),
         (r"\n{3,}", "\n\n"),
-        (r"[ \t]+", " "),
+        (r"\t[ \t]*| [ \t]+", " "),
         (r"(?dm)^\s+", ""),
     )
     x = reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), steps, c)

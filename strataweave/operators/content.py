@@ -41,8 +41,10 @@ def detection_texts(entities: DataFrame) -> DataFrame:
 
 def exact_repetition(rows: DataFrame) -> DataFrame:
     """run_id, digest (MD5 of the compared form), n for compared forms that occur more than once; texts are grouped by their digests."""
-    forms = rows.select("run_id", T.compare_form(F.col("text")).alias("norm")).filter(F.length("norm") > 10)
-    return forms.select("run_id", F.md5("norm").alias("digest")).groupBy("run_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    forms = rows.select("run_id", T.compare_form(F.col("text")).alias("norm"))
+    # Lengths are compared after the count: a filter on forms would move below a shuffle of the texts, into the few tasks that read them.
+    sized = forms.select("run_id", F.md5("norm").alias("digest"), F.length("norm").alias("size"))
+    return sized.groupBy("run_id", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")).filter("n > 1 and size > 10").drop("size")
 
 
 def near_pairs(forms: DataFrame, above: float = 0.9) -> DataFrame:

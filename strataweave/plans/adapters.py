@@ -66,6 +66,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over all cores by their keys: a file of few row groups is read by few tasks, and work on its texts would stay with them."""
+    return df.repartition(max(64, 4 * df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run SQL with the tables of `sf_dir` as views; only tables that the text names are opened."""
     for name in TABLES:

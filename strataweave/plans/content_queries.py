@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataweave.functions import text as T
 from strataweave.operators import content
 from strataweave.plans import adapters
 from strataweave.plans.registry import query
+from strataweave.session import materialize
 
 #: Parts as entities: names as titles, brand and type as descriptions, with some faults.
 PARTS = """
@@ -31,8 +33,12 @@ def _rows(spark, sf_dir):
     return content.texts(_parts(spark, sf_dir), FIELDS)
 
 
+def _documents(spark, sf_dir):
+    return adapters.spread(adapters.read(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
+
+
 def _docs(spark, sf_dir):
-    return adapters.read(spark, sf_dir, "documents").select(F.lit("run").alias("run_id"), "doc_id", "text", "source")
+    return _documents(spark, sf_dir).select(F.lit("run").alias("run_id"), "doc_id", "text", "source")
 
 
 @query(f"WITH d AS (SELECT {NORM('text')} AS norm FROM documents) SELECT md5(norm) AS digest, n FROM (SELECT norm, count(*) AS n FROM d WHERE length(norm) > 10 GROUP BY norm) WHERE n > 1")
@@ -116,13 +122,20 @@ pt AS (SELECT source_id, i, n, trim(regexp_replace(regexp_replace(line, '\b\d{1,
 
 
 def _pages(spark, sf_dir):
-    return adapters.sql(spark, sf_dir, PAGES)
+    """The rows of PAGES. Only keys are put in order source by source; texts meet their numbers by key, in as many tasks as there are."""
+    rows = adapters.spread(adapters.read(spark, sf_dir, "documents").select(F.struct("source", "doc_id").alias("key"), "text"), "key")
+    keys = adapters.read(spark, sf_dir, "documents").groupBy(F.struct("source", "doc_id").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key.source").orderBy("key.doc_id")) - F.col("n")
+    inside = F.row_number().over(Window.partitionBy("key").orderBy("text"))
+    numbered = rows.join(keys.select("key", before.alias("before")), "key")
+    return numbered.select(F.col("key.source").alias("source_id"), (F.col("before") + inside).cast("int").alias("page_number"), "text")
 
 
 @query(rf"""WITH {LINES}, f AS (SELECT source_id, 'header' AS place, pattern FROM pt WHERE i < 3 AND length(pattern) > 10 UNION ALL SELECT source_id, 'footer', pattern FROM pt WHERE i >= n - 3 AND length(pattern) > 10)
 SELECT source_id, place, md5(pattern) AS pattern, count(*) AS n FROM f JOIN tot USING (source_id) WHERE pages >= 3 GROUP BY source_id, place, f.pattern, pages HAVING count(*) >= greatest(floor(pages * 0.05), 2)""")
 def header_footer_lines(spark, sf_dir):
-    found = content.headers_footers(_pages(spark, sf_dir), share=0.05, floor=2)
+    pages = _documents(spark, sf_dir).select(F.col("source").alias("source_id"), "text")
+    found = content.headers_footers(pages, share=0.05, floor=2)
     return found.select("source_id", "place", F.md5("pattern").alias("pattern"), "n")
 
 
@@ -130,14 +143,14 @@ def header_footer_lines(spark, sf_dir):
 WHERE length(x) >= 3 AND (regexp_matches(x, '^(\d+(\.\d+)*\.?|[IVXLCDM]+\.|[A-Za-z]\))\s+') OR regexp_matches(x, '^(Kapitel|Abschnitt|Teil|Artikel|Paragraph|Handlungsfeld|Maßnahme|Projekt|Ziel|Indikator|Anhang|Anlage|Übersicht|Zusammenfassung)')
  OR (upper(x) = x AND lower(x) <> x AND length(x) > 3) OR (len(ws) >= 2 AND len(list_filter(ws, lambda w: regexp_full_match(left(w, 1), '\p{Lu}'))) / len(ws) > 0.7) OR (x LIKE '%:' AND length(x) < 100)) GROUP BY source""")
 def heading_lines(spark, sf_dir):
-    lines = adapters.read(spark, sf_dir, "documents").select("source", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.filter(T.is_heading(F.col("line"))).groupBy("source").agg(F.count(F.lit(1)).alias("headings"))
+    lines = _documents(spark, sf_dir).select("source", F.explode(F.transform(F.split("text", "\n"), T.strip)).alias("line"))
+    return lines.filter(T.is_bare_heading(F.col("line"))).groupBy("source").agg(F.count(F.lit(1)).alias("headings"))
 
 
 @query()
 def noise_removed(spark, sf_dir):
     """Pages without their headers and footers."""
-    pages = _pages(spark, sf_dir)
+    pages = materialize(_pages(spark, sf_dir), "pages")
     out = content.without_noise(pages, content.headers_footers(pages, share=0.05, floor=2))
     return out.select("source_id", "page_number", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
@@ -145,7 +158,7 @@ def noise_removed(spark, sf_dir):
 @query()
 def clean_text_full(spark, sf_dir):
     """Cleaned documents; look-around has no counterpart in the oracle's expressions."""
-    return adapters.read(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text")).alias("text")).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+    return _documents(spark, sf_dir).select("doc_id", T.clean(F.col("text")).alias("text")).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 @query(r"SELECT p_partkey, CASE WHEN length(p_name) > 10 THEN concat(left(p_name, 7), '...') ELSE p_name END AS short, CASE WHEN p_size * 100 < 1024 THEN concat(p_size * 100, ' B') ELSE printf('%.1f KB', p_size * 100 / 1024) END AS size FROM part")
