@@ -106,10 +106,15 @@ def with_overlap(chunks: DataFrame, share: float = 0.15) -> DataFrame:
 
     The piece ends after the last sentence end of the first kind that has one past its half, else after the last paragraph past its 30 %.
     """
-    ahead = Window.partitionBy("source_id").orderBy("chunk_index")
     size = F.floor(F.length("text") * share).cast("int")
-    follow = F.lead("text").over(ahead)
-    rows = chunks.withColumn("size", size).withColumn("piece", F.when((F.col("size") > 0) & (F.length(follow) > F.col("size")), F.substring(follow, F.lit(1), F.col("size"))))
+    own = materialize(chunks.select("source_id", "chunk_index", "text", "pages", size.alias("size"), F.struct("source_id", "chunk_index").alias("key")), "chunks")
+    most = own.agg(F.max("size")).head()[0] or 0
+    # Only keys are put in order source by source. A chunk gets the beginning of the next by its key, never longer than the longest piece needs.
+    ahead = Window.partitionBy("key.source_id").orderBy("key.chunk_index")
+    after = own.select("key", F.lead("key").over(ahead).alias("next")).where("next is not null")
+    begins = own.select(F.col("key").alias("next"), F.substring("text", 1, most + 1).alias("follow"))
+    rows = own.join(after.join(begins, "next").select("key", "follow"), "key", "left")
+    rows = rows.withColumn("piece", F.when((F.col("size") > 0) & (F.length("follow") > F.col("size")), F.substring("follow", F.lit(1), F.col("size"))))
     piece, size = F.col("piece"), F.col("size")
     cut = F.when(_last(piece, "\n\n") > size * 0.3, _last(piece, "\n\n") + 2).otherwise(size)
     for mark in reversed(ENDINGS):

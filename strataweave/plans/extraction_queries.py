@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strataweave.functions import text as T
 from strataweave.operators import chunking, extract, halves, oplog
 from strataweave.plans import adapters
-from strataweave.plans.content_queries import PAGES
+from strataweave.plans.content_queries import PAGES, _pages
 from strataweave.plans.registry import query
 
 STRIP = r"regexp_replace(text, '^[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g')"
@@ -27,7 +27,7 @@ chunks AS (SELECT o.source_id, m.chunk AS chunk_index, sum(o.n) + 2 * (count(*)
 
 
 def _chunks(spark, sf_dir):
-    return chunking.pack_pages(adapters.sql(spark, sf_dir, PAGES))
+    return chunking.pack_pages(_pages(spark, sf_dir))
 
 
 @query(f"{PACK} SELECT source_id, CAST(chunk_index AS INT) AS chunk_index, CAST(n_chars AS BIGINT) AS n_chars, first_page, last_page, CAST(n_pages AS BIGINT) AS n_pages FROM chunks")
