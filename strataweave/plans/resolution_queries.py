@@ -9,6 +9,7 @@ from strataweave.operators import graph, resolve
 from strataweave.plans import adapters
 from strataweave.plans.adapters import GRAPH
 from strataweave.plans.registry import query
+from strataweave.session import materialize
 
 #: Names with variants that the rules know.
 NAMES = """SELECT CAST(n_regionkey AS STRING) AS run_id, CAST(n_nationkey AS BIGINT) AS ord, CASE n_nationkey % 8 WHEN 0 THEN 'Klimaschutz' WHEN 1 THEN 'klimaanpassung' WHEN 2 THEN 'Klimaschutz und Klimaanpassung' WHEN 3 THEN 'Mobilität'
@@ -80,14 +81,16 @@ FORM = lambda x: f"lower(replace(replace(replace(replace(replace(replace(replace
 def quote_exact_match(spark, sf_dir):
     """Documents that hold a benchmark item word for word: each item is a quote, looked up in every document by its first words."""
     q = adapters.read(spark, sf_dir, "benchmark").select("item_id", T.quote_form(F.col("text")).alias("form"))
-    d = adapters.read(spark, sf_dir, "documents").select("doc_id", T.quote_form(F.col("text")).alias("page"))
+    texts = adapters.read(spark, sf_dir, "documents").select("doc_id", "text")
+    page = T.quote_form(F.col("text")).alias("page")
     # The quote's second to fifth words are whole words of the page, too: an equi-join proposes, containment decides.
     key = F.concat_ws(" ", F.slice(F.split("form", " "), 2, 4))
-    words = d.withColumn("w", F.split("page", " "))
+    words = adapters.spread(texts, "doc_id").select("doc_id", page).withColumn("w", F.split("page", " "))
     grams = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(4)))))).alias("key"))
     # Runs of words meet without their pages; a page's text comes back for the pairs that are left.
-    pairs = grams.join(q.select("item_id", key.alias("key")), "key").select("item_id", "doc_id").distinct()
-    found = pairs.join(q, "item_id").join(d, "doc_id").filter(F.contains("page", "form"))
+    pairs = materialize(grams.join(q.select("item_id", key.alias("key")), "key").select("item_id", "doc_id").distinct(), "proposed")
+    proposed = adapters.spread(texts.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id").select("doc_id", page)
+    found = pairs.join(q, "item_id").join(proposed, "doc_id").filter(F.contains("page", "form"))
     return found.select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("pages"))
 
 

@@ -94,3 +94,16 @@ def test_consistency_counts_fields_without_projects(spark):
     df = spark.createDataFrame([("r", "A", "P", ["m"], []), ("r", "B", None, None, None)], "run_id string, action_field string, title string, measures array<string>, indicators array<string>")
     c = resolve.consistency(df).first()
     assert (c.projects, c.without_projects, c.no_measures, c.no_indicators, c["mean"], c.mean_indicators) == (1, 1, 0, 1, 1.0, 0.0)
+
+
+def test_quotes_are_looked_up_in_texts_that_left_the_task_that_read_them(spark, tmp_path, monkeypatch):
+    from strataweave.plans import resolution_queries
+
+    spark.createDataFrame([(i, f"One  two three four five six {i % 2}") for i in range(9)], "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "two three four five six 1"), (2, "two three four five six 7")], "item_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    plans = []
+    real = resolution_queries.materialize
+    monkeypatch.setattr(resolution_queries, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, name))
+    found = resolution_queries.quote_exact_match(spark, str(tmp_path))
+    assert len(plans) == 1 and "Repartition" in plans[0] and "explode" in plans[0].split("Repartition")[0]
+    assert [tuple(r) for r in found.collect()] == [(1, 4)]
