@@ -110,14 +110,22 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) == 0) | (norm(b) == 0), 0.0).otherwise(dot / (norm(a) * norm(b)))
 
 
+#: Blocks of `cosine_pairs`: while there are fewer than PARTS of the least size more are made, and beyond that they grow up to MOST vectors.
+PARTS, MOST = 24, 16384
+
+
+def cosine_parts(count: int, block: int) -> int:
+    """In how many blocks so many vectors are dealt; a vector is sent to each block's pair with its own, so what is sent grows with this number."""
+    return max(1, min(-(-count // block), max(PARTS, -(-count // max(block, MOST)))))
+
+
 def cosine_pairs(vectors: DataFrame, least: float = 0.65, block: int = 2048) -> DataFrame:
     """Pairs (a, b, similarity), a < b, of vectors at least so similar; vectors: id, v.
 
-    Vectors are dealt over blocks, and each pair of blocks is one exact matrix product: every task
-    holds two blocks of a fixed size. Only similar pairs leave it.
+    Vectors are dealt over blocks, and each pair of blocks is one exact matrix product, by strips: every task
+    holds two blocks of a bounded size. Only similar pairs leave it.
     """
-    count = vectors.count()
-    parts = max(1, -(-count // block))
+    parts = cosine_parts(vectors.count(), block)
     dealt = vectors.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     # Row p of the upper triangle of block pairs meets column q.
     key = lambda p, q: (p * parts + q).alias("pair")
@@ -133,12 +141,17 @@ def cosine_pairs(vectors: DataFrame, least: float = 0.65, block: int = 2048) ->
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "similarity": np.empty(0)})
-        near = unit(a["v"]) @ unit(b["w"]).T
-        i, j = np.nonzero(near >= least)
+        one, two = unit(a["v"]), unit(b["w"]).T
+        found = []
+        for at in range(0, len(one), 512):
+            near = one[at : at + 512] @ two
+            i, j = np.nonzero(near >= least)
+            found.append((i + at, j, near[i, j]))
+        i, j, score = map(np.concatenate, zip(*found, strict=True))
         x, y = a["id"].to_numpy()[i], b["other"].to_numpy()[j]
         p, q = divmod(int(a["pair"].iloc[0]), parts)
         keep = x < y if p == q else x != y
-        return pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep], "similarity": near[i, j][keep]})
+        return pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep], "similarity": score[keep]})
 
     return left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(run, "a bigint, b bigint, similarity double")
 
