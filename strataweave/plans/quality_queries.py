@@ -8,6 +8,7 @@ from strataweave.operators import graph, quality
 from strataweave.plans import adapters
 from strataweave.plans.adapters import GRAPH
 from strataweave.plans.registry import query
+from strataweave.session import materialize
 
 KIND = lambda c: f"CASE WHEN {c} LIKE 'af!_%' ESCAPE '!' THEN 'af' WHEN {c} LIKE 'proj!_%' ESCAPE '!' THEN 'proj' WHEN {c} LIKE 'msr!_%' ESCAPE '!' THEN 'msr' WHEN {c} LIKE 'ind!_%' ESCAPE '!' THEN 'ind' ELSE 'unknown' END"
 TYPED = f"typed AS (SELECT *, {KIND('source_id')} AS s, {KIND('target_id')} AS t FROM connections)"
@@ -197,8 +198,10 @@ def top_entities(spark, sf_dir):
     """The three best connected entities of each type, with how many there are."""
     from pyspark.sql import Window
 
-    nodes = graph.build_nodes(adapters.entities(spark, sf_dir))
-    d = graph.degrees(nodes, graph.build_edges(nodes, adapters.connections(spark, sf_dir)))
+    # Written once: degrees, ends and totals read them several times.
+    nodes = materialize(graph.build_nodes(adapters.entities(spark, sf_dir)), "nodes")
+    edges = materialize(graph.build_edges(nodes, adapters.connections(spark, sf_dir)), "edges")
+    d = graph.degrees(nodes, edges)
     w = Window.partitionBy("type").orderBy(F.desc("degree"), "node")
     ranked = d.withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
     return ranked.join(graph.nodes_by_type(nodes).select("type", F.col("n").alias("total")), "type").select("type", "node", "degree", "rank", "total")

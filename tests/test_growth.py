@@ -3,6 +3,7 @@
 import numpy as np
 
 from strataweave.operators import resolve
+from strataweave.plans import quality_queries
 
 
 def test_blocks_grow_with_the_vectors():
@@ -17,3 +18,11 @@ def test_similar_pairs_equal_all_pairs(spark):
     for block in (700, 2048):  # strips of 512 in either
         got = [(r.a, r.b) for r in resolve.cosine_pairs(rows, 0.95, block).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_top_entities_works_out_nodes_once(spark, monkeypatch):
+    written = []
+    real = quality_queries.materialize
+    monkeypatch.setattr(quality_queries, "materialize", lambda df, name: written.append(name) or real(df, name))
+    got = quality_queries.top_entities(spark, "/root/testdata/sf0.001")
+    assert written == ["nodes", "edges"] and got.where("rank > 3").count() == 0
