@@ -115,15 +115,21 @@ def degree_by_type(degree: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """run_id, node, component: the smallest node reachable.
 
-    String nodes are ranked once, so the label contraction runs on longs; isolated nodes stay alone.
+    String nodes are ranked once, so the label contraction runs on longs; isolated nodes stay alone. A leaf, a node with one neighbour,
+    takes that neighbour's label, so the rounds of the contraction see no leaves (but where both ends of an edge are leaves).
     """
     from strataweave.operators.components import connected_components
 
     number = F.xxhash64("run_id", "node")
     ids = nodes.select("run_id", "node", number.alias("k"))
-    pairs = edges.select(F.xxhash64("run_id", "u").alias("u"), F.xxhash64("run_id", "v").alias("v"))
-    label = connected_components(pairs)
-    named = ids.join(label, ids.k == label.node, "left").select("run_id", ids.node, F.coalesce("component", "k").alias("c"))
+    pairs = edges.select(F.xxhash64("run_id", "u").alias("u"), F.xxhash64("run_id", "v").alias("v")).where("u <> v")
+    near = pairs.union(pairs.select("v", "u")).groupBy(F.col("u").alias("leaf")).agg(F.min("v").alias("hub"), F.max("v").alias("most"))
+    ends_ = materialize(near.where("hub = most").select("leaf", "hub"), "leaves")
+    leaves = ends_.join(ends_.select(F.col("leaf").alias("hub")), "hub", "left_anti").select("leaf", "hub")
+    inner = pairs.join(leaves.select(F.col("leaf").alias("u")), "u", "left_anti").join(leaves.select(F.col("leaf").alias("v")), "v", "left_anti")
+    label = connected_components(inner.select("u", "v"))
+    of = ids.join(leaves, ids.k == leaves.leaf, "left").select("run_id", "node", F.coalesce("hub", "k").alias("k"))
+    named = of.join(label.withColumnRenamed("node", "at"), F.col("k") == F.col("at"), "left").select("run_id", "node", F.coalesce("component", "k").alias("c"))
     least = named.groupBy("run_id", "c").agg(F.min("node").alias("component"))
     return named.join(least, ["run_id", "c"]).select("run_id", "node", "component")
 

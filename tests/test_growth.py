@@ -26,3 +26,24 @@ def test_top_entities_works_out_nodes_once(spark, monkeypatch):
     monkeypatch.setattr(quality_queries, "materialize", lambda df, name: written.append(name) or real(df, name))
     got = quality_queries.top_entities(spark, "/root/testdata/sf0.001")
     assert written == ["nodes", "edges"] and got.where("rank > 3").count() == 0
+
+
+def test_leaves_stay_out_of_the_rounds(spark, monkeypatch):
+    """A hub of 20 leaves, a chain, a single edge, a ring with a tail, loops, and a node alone; only what is no leaf is contracted."""
+    from strataweave.operators import components as rounds
+    from strataweave.operators import graph
+
+    pairs = [("h", f"l{i}") for i in range(20)] + [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("p", "q"), ("q", "r"), ("p", "r"), ("r", "s"), ("s", "t"), ("x", "x"), ("o", "o")]
+    names = sorted({n for p in pairs for n in p} | {"z"})
+    seen = []
+    whole = rounds.connected_components
+    monkeypatch.setattr(rounds, "connected_components", lambda e, **k: (seen.append(e.count()), whole(e, **k))[1])
+    edges = spark.createDataFrame([(run, *sorted(p)) for run in ("1", "2") for p in pairs], "run_id string, u string, v string")
+    nodes = spark.createDataFrame([(run, n) for run in ("1", "2") for n in names], "run_id string, node string")
+    label = {n: n for n in names}
+    for _ in names:
+        for u, v in pairs:
+            label[u] = label[v] = min(label[u], label[v])
+    got = {(r.run_id, r.node): r.component for r in graph.components(nodes, edges).collect()}
+    assert got == {(run, n): c for run in ("1", "2") for n, c in label.items()}
+    assert seen == [2 * (1 + 1 + 3 + 1)]  # b-c, x-y, the ring, r-s
