@@ -53,7 +53,8 @@ def near_pairs(forms: DataFrame, above: float = 0.9) -> DataFrame:
     Words are ordered rare first, and only prefixes meet: sets of sizes n and m that pass share
     one of their first n - ceil(above n) + 1 words, so no pair is lost and no cross join is made.
     """
-    sets = forms.filter("norm <> ''").select("run_id", F.md5("norm").alias("id"), "norm").dropDuplicates(["run_id", "id"]).withColumn("words", F.array_distinct(F.split("norm", " ")))
+    # Grouped by the text itself, copies fall away where they are read; the first text of a digest would have every copy sorted there.
+    sets = forms.filter("norm <> ''").select("run_id", "norm").distinct().select("run_id", F.md5("norm").alias("id"), "norm", F.array_distinct(F.split("norm", " ")).alias("words"))
     # Texts are named by digests while their words meet, and come back for the pairs that are left.
     each = sets.select("run_id", "id", F.size("words").alias("n"), F.explode("words").alias("word"))
     common = each.groupBy("run_id", "word").agg(F.count(F.lit(1)).alias("df"))

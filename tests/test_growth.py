@@ -47,3 +47,17 @@ def test_leaves_stay_out_of_the_rounds(spark, monkeypatch):
     got = {(r.run_id, r.node): r.component for r in graph.components(nodes, edges).collect()}
     assert got == {(run, n): c for run in ("1", "2") for n, c in label.items()}
     assert seen == [2 * (1 + 1 + 3 + 1)]  # b-c, x-y, the ring, r-s
+
+
+def test_copies_of_texts_fall_away_where_they_are_read(spark):
+    """No sort of whole texts before near pairs are looked for; parts are made in more tasks than read them."""
+    from strataweave.operators import content
+    from strataweave.plans import content_queries
+
+    rows = [("run", f"one two three four five six seven {i % 3}") for i in range(60)] + [("run", ""), ("run", "other words")]
+    forms = spark.createDataFrame(rows, "run_id string, norm string")
+    found = content.near_pairs(forms, 0.6)
+    assert sorted((r.a[-1], r.b[-1], round(r.similarity, 6)) for r in found.collect()) == [(a, b, round(7 / 9, 6)) for a, b in (("0", "1"), ("0", "2"), ("1", "2"))]
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    plan = content_queries._rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(p_partkey" in plan
