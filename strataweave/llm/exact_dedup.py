@@ -48,16 +48,20 @@ class DigestIndex:
         spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} ({self.SCHEMA}) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/digests'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.data}'"
         )
 
     def _agree(self, buckets: int | None) -> int:
         """The index's own number of buckets; a new index gets one."""
         exists = lambda path: path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
         there = self.spark._jvm.org.apache.hadoop.fs.Path
-        note = f"{self.path}/buckets"
+        # The note's name hides it from readers of the folder, which is the table; an index made before has two folders.
+        self.data, note = self.path, f"{self.path}/_buckets"
+        if exists(there(f"{self.path}/digests")):
+            self.data, note = f"{self.path}/digests", f"{self.path}/buckets"
         if not exists(there(f"{note}/_SUCCESS")):
-            if exists(there(f"{self.path}/digests")):
+            status = there(self.data).getFileSystem(self.spark._jsc.hadoopConfiguration())
+            if exists(there(self.data)) and any(f.getPath().getName().endswith(".parquet") for f in status.listStatus(there(self.data))):
                 raise ValueError(f"{self.path} has digests and no number of buckets")
             number = buckets or 32
             self.spark.range(1).select(F.lit(number).alias("buckets")).write.mode("overwrite").parquet(note)
