@@ -752,6 +752,18 @@ def test_an_index_opened_again_knows_its_buckets(spark, tmp_path):
         exact_dedup.DigestIndex(spark, f"{tmp_path}/index", buckets=32)
 
 
+def test_an_index_of_two_folders_opens_as_it_is(spark, tmp_path):
+    rows = [(i, f"text {i}") for i in range(50)]
+    index = exact_dedup.DigestIndex(spark, f"{tmp_path}/new", buckets=8)
+    exact_dedup.dedupe(docs(spark, rows), index).collect()
+    (tmp_path / "old").mkdir()
+    (tmp_path / "new" / "_buckets").rename(tmp_path / "old" / "buckets")
+    (tmp_path / "new").rename(tmp_path / "old" / "digests")
+    again = exact_dedup.DigestIndex(spark, f"{tmp_path}/old")
+    assert again.buckets == 8 and again.read().count() == 50
+    assert not exact_dedup.dedupe(docs(spark, rows), again).filter("kept").collect()
+
+
 def test_the_fit_takes_an_id_once(spark):
     rng = random.Random(3)
     rows = [(7, f"{prose(rng, 30)} {i}") for i in range(300)] + [(i, prose(rng, 30)) for i in range(100, 140)]
